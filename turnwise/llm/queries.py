@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import langid, secrets, simhash, suffixes
+from turnwise.llm import chat, decontaminate, langid, secrets, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,14 @@ def query(f):
     return f
 
 
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op1_decontaminate"] = decontaminate.oracle_sql()
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -40,3 +48,17 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.preference_pairs(chat.neighbours(_table(spark, sf_dir, "conversations"))))
+
+
+ORACLES["op9_chat"] = chat.ORACLE_SQL
