@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import chat, decontaminate, langid, secrets, simhash, suffixes, toxicity
+from turnwise.llm import chat, decontaminate, langid, mtree, packing, secrets, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,16 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_chat"] = chat.ORACLE_SQL
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op6_mtree"] = mtree.ORACLE_SQL
