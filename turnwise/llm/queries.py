@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import chat, decontaminate, langid, mtree, packing, secrets, simhash, suffixes, toxicity
+from turnwise.llm import chat, decontaminate, langid, mtree, packing, render, secrets, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_mtree"] = mtree.ORACLE_SQL
+
+
+@query
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.extract(_table(spark, sf_dir, "pages"))
