@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import staged
+from turnwise.llm.common import Staged, staged
 
 LENGTH = 200
 ANCHOR = 32
@@ -33,7 +33,7 @@ CELLS = (24, 1)
 _AT_ONCE = 1 << 21
 _POSITION = 24
 
-_SPAN = "doc_id long, anchor int, first int, n int, weight long, digit long, whole binary"
+_SPAN = "row long, anchor int, first int, n int, weight long, digit long, whole_a long, whole_b long"
 
 
 def anchor_hashes(data: np.ndarray) -> np.ndarray:
@@ -77,47 +77,52 @@ def anchored_spans(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _batch(rows: list) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    """Rows are tuples of arrays for row .. digit and a list of 128-bit digests."""
+    columns = [np.concatenate(c) for c in zip(*(r[:-1] for r in rows))]
+    whole = np.frombuffer(b"".join(x for r in rows for x in r[-1]), np.int64).reshape(-1, 2)
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in _SPAN.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []), t) for c, t in zip(zip(*rows), kinds)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, whole[:, 0], whole[:, 1]], kinds)], names=names)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b"")).alias("text"))
+    """doc_id, its stand-in `row` where ids can be null, and the bytes of the text."""
+    text = F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
 
 
 def _first_pass(texts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for doc, data in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for row, data in zip(b.column("row").to_pylist(), b.column("text").to_pylist()):
                 if len(data) < length:
                     continue
                 anchor, first, n, digit = anchored_spans(data, length)
                 ends = (first + n + length - 1).tolist()
                 whole = [xxhash.xxh3_128_digest(data[s:e]) for s, e in zip(first.tolist(), ends)]
-                rows.append((np.full(len(n), doc), anchor, first, n, np.ones(len(n), np.int64), digit.view(np.int64), whole))
+                rows.append((np.full(len(n), row), anchor, first, n, np.ones(len(n), np.int64), digit.view(np.int64), whole))
                 if len(rows) >= 512:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
 
-    return texts.mapInArrow(run, _SPAN)
+    return texts.select("row", "text").mapInArrow(run, _SPAN)
 
 
 def _finer_pass(texts: DataFrame, pending: DataFrame, length: int, size: int) -> DataFrame:
     """The pending spans, cut into cells of `size` suffixes by distance from the anchor."""
-    by_doc = pending.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "n", "weight")).alias("spans"))
+    by_row = pending.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "n", "weight")).alias("spans"))
 
     def run(batches):
         for b in batches:
-            for doc, data, spans in zip(*(b.column(x).to_pylist() for x in ("doc_id", "text", "spans"))):
+            for row, data, spans in zip(*(b.column(x).to_pylist() for x in ("row", "text", "spans"))):
                 out: list[list] = [[] for _ in range(6)]
                 for x in spans:
                     anchor, first, end = x["anchor"], x["first"], x["first"] + x["n"]
                     while first < end:
-                        cell = (anchor - first) // size  # the cell's suffixes lie from anchor - cell * size back to size - 1 before it
+                        cell = (anchor - first) // size  # its suffixes begin cell * size to cell * size + size - 1 before the anchor
                         last = min(end, anchor - cell * size + 1)
                         common = data[anchor - cell * size : anchor - cell * size - size + 1 + length]
                         out[0].append(anchor)
@@ -127,37 +132,45 @@ def _finer_pass(texts: DataFrame, pending: DataFrame, length: int, size: int) ->
                         out[4].append(xxhash.xxh3_64_intdigest(common, seed=cell))
                         out[5].append(xxhash.xxh3_128_digest(data[first : last - 1 + length], seed=cell))
                         first = last
-                yield _batch([(np.full(len(out[0]), doc), *map(np.array, out[:4]), np.array(out[4], np.uint64).view(np.int64), out[5])])
+                yield _batch([(np.full(len(out[0]), row), *map(np.array, out[:4]), np.array(out[4], np.uint64).view(np.int64), out[5])])
 
-    return texts.join(by_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, _SPAN)
+    return texts.join(by_row, "row").select("row", "text", "spans").mapInArrow(run, _SPAN)
 
 
-def _sorted_out(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeated spans as doc_id, first, n; pending spans) of one pass."""
-    digits = spans.groupBy("digit").agg(F.sum("weight").alias("total"), (F.min("whole") != F.max("whole")).alias("mixed")).where("total > 1").drop("total")
-    alive = staged(spans.join(digits, "digit"), "alive_spans")
-    each = alive.groupBy("digit", "whole").agg(F.sum("weight").alias("total"), F.min(F.struct("doc_id", "first", "anchor", "n")).alias("one"), F.any_value("mixed").alias("mixed"))
-    repeated = alive.where("weight = 1").join(each.where("total > 1").select("digit", "whole"), ["digit", "whole"], "left_semi")
-    pending = each.where("mixed").select("one.doc_id", "one.anchor", "one.first", "one.n", F.col("total").alias("weight"))
-    return repeated.select("doc_id", "first", "n"), pending
+def _sorted_out(pass_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repeated spans as row, first, n; pending spans) of one pass.
 
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first, n): suffixes first .. first + n - 1 start with `length` bytes that also start elsewhere."""
-    texts = _texts(docs, id_col, text_col)
-    repeated, pending = _sorted_out(_first_pass(texts, length))
-    found = [repeated]
+    Counts are written before they are joined to spans, so that Spark can split the partition of a
+    digit that very many texts share.
+    """
+    spans = Staged(pass_, "spans")
+    digits = spans.read().groupBy("digit").agg(F.sum("weight").alias("total"), (F.min("whole_a") != F.max("whole_a")).alias("mixed"))
+    digits = staged(digits.where("total > 1").select("digit", "mixed"), "repeated_digits")
+    alive = staged(spans.read().join(digits, "digit"), "alive_spans")
+    spans.drop()
+    whole = ["digit", "whole_a", "whole_b"]
+    # Any one of the equal spans stands for all: first() takes every column from the same row.
+    each = alive.groupBy(*whole).agg(F.sum("weight").alias("total"), F.first("mixed").alias("mixed"), *[F.first(c).alias(c) for c in ("row", "anchor", "first", "n")])
+    each = staged(each.where("mixed or total > 1"), "different_spans")
+    repeated = alive.where("weight = 1").join(each.where("total > 1").select(*whole), whole, "left_semi")
+    pending = each.where("mixed").select("row", "anchor", "first", "n", F.col("total").alias("weight"))
+    return repeated.select("row", "first", "n"), pending
+
+
+def _repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+    """(row, first, n): suffixes first .. first + n - 1 start with `length` bytes that also start elsewhere."""
+    found, pending = _sorted_out(_first_pass(texts, length))
     for size in CELLS:
-        repeated, pending = _sorted_out(_finer_pass(texts, staged(pending, "pending_spans"), length, size))
-        found.append(repeated)
-    return found[0].union(found[1]).union(found[2])
+        repeated, pending = _sorted_out(_finer_pass(texts, pending, length, size))
+        found = found.union(repeated)
+    return found
 
 
 def keep(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
     """The bytes outside the windows of the suffix spans (first, n), how many were removed, in how many runs."""
     kept, at, removed, runs, end = [], 0, 0, 0, 0
     for first, n in sorted(spans):
-        stop = first + n + length - 1
+        stop = min(len(data), first + n + length - 1)
         if first > end or not runs:
             runs += 1
         if first > at:
@@ -173,12 +186,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     Each text is its UTF-8 bytes; null counts as empty. A byte goes if a window of `length` bytes
     that covers it also starts at another place, in this text or another; windows are judged on the
-    input. Texts shorter than `length` are kept whole. doc_id must name each row once; rows that
-    repeat an id are judged as different texts and each loses what any of them would. An empty table
-    gives no rows.
+    input. Texts shorter than `length` are kept whole. Rows that repeat an id and its text are
+    repeats like any others; an id should not have two texts (each would lose what either would).
+    Rows with a null id are told apart by their texts. An empty table gives no rows.
     """
     texts = _texts(docs, id_col, text_col)
-    spans = repeated_spans(docs, length, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    spans = _repeated_spans(texts, length).groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
     def run(batches):
         for b in batches:
@@ -189,7 +202,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return texts.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def digest(kept: DataFrame) -> DataFrame:
