@@ -51,11 +51,17 @@ def inflections(word: Column) -> Column:
 
 def lemma(word: Column) -> Column:
     """A regular form without its ending; an approximation that is equal for forms of one family."""
+    cut = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
     w = F.lower(word)
-    w = F.when(w.rlike("[^aeiou]ies$|[^aeiou]ied$"), F.concat(F.substring(w, F.lit(1), F.length(w) - 3), F.lit("y"))).when(w.rlike("(s|x|z|ch|sh)es$"), F.substring(w, F.lit(1), F.length(w) - 2)).when(
-        w.rlike("[^s]s$") & (F.length(w) > 3), F.substring(w, F.lit(1), F.length(w) - 1)
-    ).when(w.rlike("..ing$") & (F.length(w) > 5), F.substring(w, F.lit(1), F.length(w) - 3)).when(w.rlike("..ed$") & (F.length(w) > 4), F.substring(w, F.lit(1), F.length(w) - 2)).otherwise(w)
-    return F.regexp_replace(F.regexp_replace(w, "([bdgmnprt])\\1$", "$1"), "e$", "")
+    w = (
+        F.when(w.rlike("[^aeiou](ies|ied)$"), F.concat(cut(w, 3), F.lit("y")))
+        .when(w.rlike("(s|x|z|ch|sh)es$"), cut(w, 2))
+        .when(w.rlike("[^s]s$") & (F.length(w) > 3), cut(w, 1))
+        .when(w.rlike("..ing$") & (F.length(w) > 5), cut(w, 3))
+        .when(w.rlike("..ed$") & (F.length(w) > 4), cut(w, 2))
+        .otherwise(w)
+    )
+    return F.when(w.rlike("(bb|dd|gg|mm|nn|pp|rr|tt|.e)$"), cut(w, 1)).otherwise(w)
 
 
 def derivational_forms(lexicon: DataFrame, known: DataFrame) -> DataFrame:

@@ -1 +1,200 @@
+"""Queries over curation: samples, merges, set operations, generated dialogs and repairs."""
+
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from turnwise.operators import curation, metrics, repair
+from turnwise.plans import derived
+from turnwise.plans.derived import DUCK, _sql
+from turnwise.plans.registry import query
+from turnwise.sources.tables import table
+
+_FRACTION = "('0x' || substr(sha256({0}), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_FRACTION.format('CAST(doc_id AS VARCHAR)')} < 0.25")
+def hash_sample(spark, sf):
+    return curation.hash_sample(table(spark, sf, "documents"), "doc_id", 0.25).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY sha256('7:' || doc_id), doc_id LIMIT 100")
+def nested_subsample(spark, sf):
+    return curation.nested_subsample(table(spark, sf, "documents").select("doc_id"), "doc_id", 100, 7)
+
+
+@query("SELECT o_custkey, o_orderstatus, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY ALL")
+def merge_last_wins(spark, sf):
+    return curation.merge_last_wins(table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderkey", "o_totalprice"), ["o_custkey", "o_orderstatus"], F.col("o_orderkey"))
+
+
+def _halves(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return docs.where("doc_id % 10 != 0"), docs.where("doc_id % 10 = 0")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 10 <> 0 AND text IN (SELECT text FROM documents WHERE doc_id % 10 = 0)")
+def contamination_semi(spark, sf):
+    return curation.contaminated(*_halves(spark, sf)).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 10 <> 0 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 10 = 0)")
+def clean_anti(spark, sf):
+    return curation.clean(*_halves(spark, sf)).select("doc_id")
+
+
+@query("SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def repeated_texts(spark, sf):
+    return curation.require_unique(table(spark, sf, "documents"), "text").select(F.sha2("text", 256).alias("sha"), "n")
+
+
+@query(
+    DUCK
+    + """, p AS (SELECT conv_id AS notice_id, list_filter([CASE WHEN o_orderkey % 13 = 0 THEN 'id' END, CASE WHEN o_orderkey % 11 = 0 THEN 'genre' END,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'deadline' END, CASE WHEN o_orderkey % 5 = 0 THEN 'amounts' END], lambda x: x IS NOT NULL) AS p FROM d_notices)
+SELECT CASE WHEN list_contains(p, 'id') THEN 'x' ELSE '' END || notice_id AS notice_id, array_to_string(p, ',') AS problems FROM p"""
+)
+def notice_validate(spark, sf):
+    k = F.col("o_orderkey")
+    n = derived.notices(spark, sf).select(
+        F.concat(F.when(k % 13 == 0, "x").otherwise(""), "conv_id").alias("notice_id"), F.when(k % 11 == 0, "letter").otherwise(F.col("genre")).alias("genre"), "notice_text",
+        F.when(k % 7 == 0, F.col("later")).otherwise(F.col("deadline")).alias("deadline"), F.when(k % 5 == 0, F.array("amount", F.lit("$0.01x"))).otherwise(F.array("amount")).alias("amounts"),
+        F.when(k % 2 == 0, F.lit("CASE")).alias("rare_term"),
+    )
+    return curation.validate_notices(n, "notice-", list(derived.GENRES)).select("notice_id", F.array_join("problems", ",").alias("problems"))
+
+
+_MINIMUMS = {**{g: 100 * w for g, w in derived.GENRES.items()}, "other": 1}
+
+
+@query(DUCK + f", m AS (SELECT unnest([{', '.join(map(_sql, _MINIMUMS))}]) AS genre, unnest([{', '.join(map(str, _MINIMUMS.values()))}])::INTEGER AS minimum) SELECT genre, minimum, count(conv_id) AS n, count(conv_id) >= minimum AS enough FROM m LEFT JOIN d_notices USING (genre) GROUP BY ALL")
+def strata_minimums(spark, sf):
+    return metrics.strata(derived.notices(spark, sf), _MINIMUMS, "genre")
+
+
+_WEIGHTS = derived.GENRES
+_CASES, _sum = "", 0
+for _g, _w in _WEIGHTS.items():
+    _sum += _w
+    _CASES += f" WHEN at < {_sum} THEN '{_g}'"
+
+
+@query(f"SELECT genre, count(*) AS n FROM (SELECT CASE{_CASES} END AS genre FROM (SELECT {_FRACTION.format(chr(39) + '3:' + chr(39) + ' || o_orderkey')} * {_sum} AS at FROM orders)) GROUP BY genre")
+def weighted_genres(spark, sf):
+    return table(spark, sf, "orders").select(curation.weighted_choice(F.col("o_orderkey"), 3, _WEIGHTS).alias("genre")).groupBy("genre").agg(F.count("*").alias("n"))
+
+
+_ATTEMPTS = """WITH a AS (SELECT l_orderkey AS dialog_id, CAST(l_linenumber AS BIGINT) AS turn, l_quantity < 30 AS ok, l_discount < 0.05 AS rewrite_ok, CASE WHEN l_tax >= 0.075 THEN 'refusal' END AS failure FROM lineitem),
+e AS (SELECT *, min(CASE WHEN failure IS NOT NULL OR (NOT ok AND NOT rewrite_ok) THEN turn END) OVER (PARTITION BY dialog_id) AS stop FROM a),
+l AS (SELECT * FROM e WHERE stop IS NULL OR turn <= stop)"""
+
+
+def _attempts(spark, sf):
+    li = table(spark, sf, "lineitem")
+    turn = F.col("l_linenumber").cast("long")
+    return li.select(
+        F.col("l_orderkey").alias("dialog_id"), turn.alias("turn"), F.concat(F.lit("reply "), turn.cast("string")).alias("reply"), (F.col("l_quantity") < 30).alias("first_ok"),
+        F.concat(F.lit("rewrite "), turn.cast("string")).alias("rewrite"), (F.col("l_discount") < 0.05).alias("rewrite_ok"), F.when(F.col("l_tax") >= 0.075, "refusal").alias("failure"),
+    )
+
+
+@query(
+    _ATTEMPTS
+    + """ SELECT dialog_id, min(stop) IS NULL AS accepted, count(*) FILTER (failure IS NULL AND NOT ok AND rewrite_ok) AS repairs, count(*) FILTER (failure IS NULL AND NOT ok) AS repairs_tried,
+count(*) FILTER (failure IS NULL AND ok) AS first_passed, count(*) FILTER (failure IS NULL) AS first_checked, arg_max(CASE WHEN turn = stop THEN coalesce(failure, 'repair_failed') END, turn) AS discard_reason FROM l GROUP BY dialog_id"""
+)
+def repair_fold(spark, sf):
+    return repair.run_dialogs(_attempts(spark, sf)).drop("rejected")
+
+
+@query(_ATTEMPTS + " SELECT dialog_id, turn, 'reply ' || turn AS rejected, 'rewrite ' || turn AS chosen FROM l WHERE failure IS NULL AND NOT ok AND rewrite_ok")
+def preference_pairs(spark, sf):
+    return repair.preference_pairs(repair.run_dialogs(_attempts(spark, sf)))
+
+
+@query(
+    _ATTEMPTS
+    + """, d AS (SELECT dialog_id, min(stop) IS NULL AS accepted, count(*) FILTER (failure IS NULL AND NOT ok AND rewrite_ok) AS repairs, count(*) FILTER (failure IS NULL AND NOT ok) AS tried,
+  count(*) FILTER (failure IS NULL AND ok) AS passed, count(*) FILTER (failure IS NULL) AS checked, count(*) AS calls FROM l GROUP BY dialog_id),
+s AS (SELECT count(*) AS planned, count(*) FILTER (accepted) AS accepted, CAST(sum(checked) AS BIGINT) AS first_checked, CAST(sum(passed) AS BIGINT) AS first_passed, CAST(sum(repairs) AS BIGINT) AS repairs,
+  CAST(sum(tried) AS BIGINT) AS repairs_tried, count(*) FILTER (dialog_id % 3 = 0) AS bait, count(DISTINCT CASE WHEN dialog_id % 8 < 2 THEN dialog_id // 8 END) AS contrast_groups, CAST(sum(checked + tried) AS BIGINT) AS api_calls FROM d)
+SELECT *, round_even(accepted / planned, 4) AS acceptance, round_even(first_passed / first_checked, 4) AS first_pass_rate, round_even(repairs / repairs_tried, 4) AS repair_rate FROM s"""
+)
+def build_stats(spark, sf):
+    d = repair.run_dialogs(_attempts(spark, sf))
+    k = F.col("dialog_id")
+    return metrics.build_stats(d.withColumn("bait", k % 3 == 0).withColumn("contrast_group", F.when(k % 8 < 2, F.floor(k / 8))).withColumn("api_calls", F.col("first_checked") + F.col("repairs_tried")))
+
+
+@query(
+    _ATTEMPTS
+    + " SELECT discard_reason, count(*) AS n FROM (SELECT arg_max(CASE WHEN turn = stop THEN coalesce(failure, 'repair_failed') END, turn) AS discard_reason FROM l GROUP BY dialog_id) WHERE discard_reason IS NOT NULL GROUP BY discard_reason"
+)
+def discard_histogram(spark, sf):
+    return repair.run_dialogs(_attempts(spark, sf)).where("discard_reason is not null").groupBy("discard_reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH t AS (SELECT c_custkey // 2 AS g, c_custkey % 2 = 0 AS used, (c_custkey % 2 = 0 AND c_custkey % 14 <> 0) OR c_custkey % 9 = 0 AS has FROM customer)
+SELECT g AS contrast_group FROM t GROUP BY g HAVING NOT coalesce(bool_or(has) FILTER (used), FALSE) OR coalesce(bool_or(has) FILTER (NOT used), FALSE)"""
+)
+def contrast_pairs(spark, sf):
+    k = F.col("c_custkey")
+    has = ((k % 2 == 0) & (k % 14 != 0)) | (k % 9 == 0)
+    rows = table(spark, sf, "customer").select(
+        F.floor(k / 2).alias("contrast_group"), F.when(k % 2 == 0, "used").otherwise("absent").alias("contrast_role"), F.col("c_mktsegment").alias("contrast_term"), F.lit(1).alias("turn"),
+        F.when(has, F.concat(F.lit("What about "), "c_mktsegment", F.lit("?"))).otherwise("What now?").alias("text"),
+    )
+    return curation.broken_twins(rows)
+
+
+@query(
+    """WITH d AS (SELECT conv_id AS dialog_id, count(*) AS n_turns, conv_id % 5 = 0 AS bait FROM conversations GROUP BY conv_id),
+n AS (SELECT greatest(round_even(count(*) * 0.30, 0) - count(*) FILTER (bait), 0) AS need FROM d),
+c AS (SELECT dialog_id, row_number() OVER (ORDER BY sha256('0:' || dialog_id), dialog_id) AS r FROM d WHERE NOT bait)
+SELECT d.*, CASE WHEN c.r <= need THEN CASE WHEN n_turns >= 4 THEN 'replace' ELSE 'append' END END AS change FROM d CROSS JOIN n LEFT JOIN c USING (dialog_id)"""
+)
+def bait_top_up(spark, sf):
+    dialogs = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("dialog_id")).agg(F.count("*").alias("n_turns")).withColumn("bait", F.col("dialog_id") % 5 == 0)
+    return curation.bait_top_up(dialogs)
+
+
+@query("SELECT conv_id, model, strategy FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest(['base', 'large', 'tuned']) AS model), (SELECT unnest(['zero_shot', 'few_shot', 'structured_cot']) AS strategy)")
+def scenario_grid(spark, sf):
+    return curation.grid(table(spark, sf, "conversations").select("conv_id").distinct(), derived.MODELS, derived.STRATEGIES)
+
+
+@query(
+    DUCK
+    + ", s AS (SELECT conv_id, genre, length(notice_text) AS n FROM d_notices WHERE o_orderkey % 3 <> 0) SELECT 'notice-' || o_orderkey AS scenario_id, coalesce(genre, 'clean') AS category, n AS n_chars FROM orders LEFT JOIN s ON s.conv_id = 'notice-' || o_orderkey WHERE o_orderkey % 4 <> 1"
+)
+def records_with_scenarios(spark, sf):
+    n = derived.notices(spark, sf).where("o_orderkey % 3 != 0").select(F.col("conv_id").alias("id"), F.col("genre").alias("category"), "notice_text")
+    records = table(spark, sf, "orders").where("o_orderkey % 4 != 1").select(F.concat(F.lit("notice-"), F.col("o_orderkey").cast("string")).alias("scenario_id"))
+    return curation.with_scenario(records, n).select("scenario_id", "category", F.length("notice_text").cast("long").alias("n_chars"))
+
+
+_FLAGS = "WITH r AS (SELECT n_chars < 1000 AS flagged, n_chars < 800 AS again, quality = 0 AS actual FROM labels JOIN documents USING (doc_id)), c AS (SELECT count(*) AS n, count(*) FILTER (flagged AND actual) AS tp, count(*) FILTER (flagged AND NOT actual) AS fp, count(*) FILTER (NOT flagged AND actual) AS fn, count(*) FILTER (NOT flagged AND NOT actual) AS tn FROM r)"
+
+
+def _flags(spark, sf):
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.select((F.col("n_chars") < 1000).alias("flagged"), (F.col("n_chars") < 800).alias("again"), (F.col("quality") == 0).alias("actual"))
+
+
+@query(_FLAGS + " SELECT *, round_even(fp / n, 4) AS fp_rate, round_even(fn / n, 4) AS fn_rate, round_even((tp + tn) / n, 4) AS agreement, round_even(fp / (tp + fp), 4) AS fp_of_flagged FROM c")
+def confusion_matrix(spark, sf):
+    return metrics.confusion(_flags(spark, sf), "flagged", "actual")
+
+
+@query(_FLAGS + " SELECT n, fp, fp / n AS fp_share, fp / n < 0.05 AS passed FROM c")
+def gate_verdict(spark, sf):
+    return metrics.gate(metrics.confusion(_flags(spark, sf), "flagged", "actual"))
+
+
+@query(
+    _FLAGS
+    + " SELECT CASE WHEN flagged <> actual AND again = actual THEN 'resolved' WHEN flagged AND NOT actual AND again THEN 'residual_fp' WHEN NOT flagged AND actual AND NOT again THEN 'still_fn' WHEN flagged = actual AND again <> actual THEN 'new' ELSE 'agree' END AS kind, count(*) AS n FROM r GROUP BY kind"
+)
+def disagreements(spark, sf):
+    return metrics.disagreements(_flags(spark, sf), "flagged", "again", "actual")
