@@ -127,11 +127,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", id_col: str
     Null, empty and letterless texts give `und` with score 0. Repeated rows repeat; equal
     posteriors go to the first language by name; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.log_prob, model.log_prior))  # BUCKETS x languages numbers
 
     def run(batches):
+        learned = Model(*shared.value)
         for b in batches:
-            found = shared.value.predict(b.column("text").to_pylist())
+            found = learned.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],

@@ -165,11 +165,12 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
     REJECT or more. Null and wordless texts get what an empty text gets. Repeated rows repeat; an
     empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES weights at most
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.cuts))  # MAX_FEATURES weights at most
 
     def run(batches):
+        learned = Model(*shared.value)
         for b in batches:
-            over = shared.value.over(np.array([shared.value.score(t) for t in b.column("text").to_pylist()], float))
+            over = learned.over(np.array([learned.score(t) for t in b.column("text").to_pylist()], float))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array((over >= 0.5).sum(axis=1), pa.int32()), pa.array(over[:, 0]), pa.array(over.sum(axis=1)), pa.array(over[:, 0] >= REJECT)],
                 names=["doc_id", "grade", "p_toxic", "severity", "rejected"],
@@ -181,11 +182,12 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that grade() does not reject."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.cuts))
 
     def run(batches):
+        learned = Model(*shared.value)
         for b in batches:
-            over = shared.value.over(np.array([shared.value.score(t) for t in b.column(text_col).to_pylist()], float))
+            over = learned.over(np.array([learned.score(t) for t in b.column(text_col).to_pylist()], float))
             yield b.filter(pa.array(over[:, 0] < REJECT))
 
     return docs.mapInArrow(run, docs.schema)
