@@ -133,8 +133,8 @@ _MARK, _STOP = "'<|im_start|>assistant' || chr(10)", "'<|im_end|>'"
 @query(
     f"""WITH r AS (SELECT conv_id, string_split(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn), {_MARK}) AS parts FROM conversations GROUP BY conv_id),
 i AS (SELECT conv_id, parts, unnest(range(2, len(parts) + 1)) AS i FROM r),
-s AS (SELECT conv_id, parts[i] AS part, list_sum(list_transform(parts[1:i - 1], lambda p: length(p))) + (i - 1) * 22 AS at FROM i)
-SELECT conv_id, CAST(at AS INTEGER) AS span_start, CAST(at + CASE WHEN instr(part, {_STOP}) > 0 THEN instr(part, {_STOP}) - 1 + 10 ELSE length(part) END AS INTEGER) AS span_end FROM s"""
+s AS (SELECT conv_id, parts[i] AS part, list_sum(list_transform(parts[1:i - 1], lambda p: length(p))) + (i - 1) * 22 AS behind FROM i)
+SELECT conv_id, CAST(behind AS INTEGER) AS span_start, CAST(behind + CASE WHEN instr(part, {_STOP}) > 0 THEN instr(part, {_STOP}) - 1 + 10 ELSE length(part) END AS INTEGER) AS span_end FROM s"""
 )
 def assistant_spans(spark, sf):
     said = turns.messages(table(spark, sf, "conversations"))
@@ -163,7 +163,7 @@ def loss_curve(spark, sf):
 @query(
     """WITH g AS (SELECT *, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER w > 1800 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
-SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n_events, CAST(epoch(min(ts)) AS BIGINT) AS started, CAST(epoch(max(ts)) AS BIGINT) AS ended FROM s GROUP BY user_id, session"""
+SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n_events, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, CAST(floor(epoch(max(ts))) AS BIGINT) AS ended FROM s GROUP BY user_id, session"""
 )
 def session_windows(spark, sf):
     panel = curation.rate_panel(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))

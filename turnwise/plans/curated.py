@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from turnwise.operators import curation, metrics, repair
 from turnwise.plans import derived
@@ -67,7 +68,7 @@ def notice_validate(spark, sf):
 _MINIMUMS = {**{g: 100 * w for g, w in derived.GENRES.items()}, "other": 1}
 
 
-@query(DUCK + f", m AS (SELECT unnest([{', '.join(map(_sql, _MINIMUMS))}]) AS genre, unnest([{', '.join(map(str, _MINIMUMS.values()))}])::INTEGER AS minimum) SELECT genre, minimum, count(conv_id) AS n, count(conv_id) >= minimum AS enough FROM m LEFT JOIN d_notices USING (genre) GROUP BY ALL")
+@query(DUCK + f", m AS (SELECT unnest([{', '.join(map(_sql, _MINIMUMS))}]) AS genre, unnest([{', '.join(map(str, _MINIMUMS.values()))}])::INTEGER AS minimum) SELECT genre, minimum, count(conv_id) AS n, count(conv_id) >= minimum AS enough FROM m LEFT JOIN d_notices USING (genre) GROUP BY genre, minimum")
 def strata_minimums(spark, sf):
     return metrics.strata(derived.notices(spark, sf), _MINIMUMS, "genre")
 
@@ -76,22 +77,23 @@ _WEIGHTS = derived.GENRES
 _CASES, _sum = "", 0
 for _g, _w in _WEIGHTS.items():
     _sum += _w
-    _CASES += f" WHEN at < {_sum} THEN '{_g}'"
+    _CASES += f" WHEN place < {_sum} THEN '{_g}'"
 
 
-@query(f"SELECT genre, count(*) AS n FROM (SELECT CASE{_CASES} END AS genre FROM (SELECT {_FRACTION.format(chr(39) + '3:' + chr(39) + ' || o_orderkey')} * {_sum} AS at FROM orders)) GROUP BY genre")
+@query(f"SELECT genre, count(*) AS n FROM (SELECT CASE{_CASES} END AS genre FROM (SELECT {_FRACTION.format(chr(39) + '3:' + chr(39) + ' || o_orderkey')} * {_sum} AS place FROM orders)) GROUP BY genre")
 def weighted_genres(spark, sf):
     return table(spark, sf, "orders").select(curation.weighted_choice(F.col("o_orderkey"), 3, _WEIGHTS).alias("genre")).groupBy("genre").agg(F.count("*").alias("n"))
 
 
-_ATTEMPTS = """WITH a AS (SELECT l_orderkey AS dialog_id, CAST(l_linenumber AS BIGINT) AS turn, l_quantity < 30 AS ok, l_discount < 0.05 AS rewrite_ok, CASE WHEN l_tax >= 0.075 THEN 'refusal' END AS failure FROM lineitem),
+_ATTEMPTS = """WITH a AS (SELECT l_orderkey AS dialog_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate) AS BIGINT) AS turn, l_quantity < 30 AS ok, l_discount < 0.05 AS rewrite_ok, CASE WHEN l_tax >= 0.075 THEN 'refusal' END AS failure FROM lineitem),
 e AS (SELECT *, min(CASE WHEN failure IS NOT NULL OR (NOT ok AND NOT rewrite_ok) THEN turn END) OVER (PARTITION BY dialog_id) AS stop FROM a),
 l AS (SELECT * FROM e WHERE stop IS NULL OR turn <= stop)"""
 
 
 def _attempts(spark, sf):
     li = table(spark, sf, "lineitem")
-    turn = F.col("l_linenumber").cast("long")
+    # Line numbers repeat within an order.
+    turn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")).cast("long")
     return li.select(
         F.col("l_orderkey").alias("dialog_id"), turn.alias("turn"), F.concat(F.lit("reply "), turn.cast("string")).alias("reply"), (F.col("l_quantity") < 30).alias("first_ok"),
         F.concat(F.lit("rewrite "), turn.cast("string")).alias("rewrite"), (F.col("l_discount") < 0.05).alias("rewrite_ok"), F.when(F.col("l_tax") >= 0.075, "refusal").alias("failure"),
