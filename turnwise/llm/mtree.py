@@ -26,9 +26,10 @@ K = 5
 #: At most so many pivots are taken, by a hash of the id; about one for VECTORS_PER_PIVOT vectors.
 MAX_PIVOTS, VECTORS_PER_PIVOT = 512, 2048
 SHARD = 4096
-PAGE, FANOUT = 64, 16
+PAGE, FANOUT = 256, 16
 QUERY_BLOCK = 1024
 MARGIN = 1e-6
+_NONE = np.int64(-(1 << 62))
 
 
 def _distance(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -77,26 +78,85 @@ class Tree:
         self.reach[page] = np.array([self.radius[c] for c in children])
         return page
 
-    def search(self, q: np.ndarray, bound, visit) -> None:
-        """Calls visit(rows) with the rows of leaf pages that may lie within bound(), nearest pages first."""
-        d = float(_distance(self.center[0][None], q)[0])
-        heap = [(max(0.0, d - self.radius[0]), 0, d)]
+    def search(self, queries: np.ndarray, best: Best) -> None:
+        """Offers `best` the leaf rows that may be among its queries' k best, pages of the least distance first.
+
+        Queries go down together: a page is visited with those that it may still serve. Stored
+        distances to the parent rule out queries and entries before their distance is computed.
+        """
+        everyone = np.arange(len(queries))
+        away = _distance(queries, self.center[0])
+        heap = [(0.0, 0, everyone, away)]
         while heap:
-            least, page, d = heapq.heappop(heap)
-            most = bound()
-            if least > most:
-                return
+            _, page, who, d = heapq.heappop(heap)
+            most = best.reach(who)
+            still = d - self.radius[page] <= most
+            who, d, most = who[still], d[still], most[still]
+            if not len(who):
+                continue
             entries, to_parent, reach = self.entries[page], self.to_parent[page], self.reach[page]
             if not len(reach):
-                if len(some := entries[np.abs(to_parent - d) <= most]):
-                    visit(some)
+                may = np.abs(to_parent[None] - d[:, None]) <= most[:, None]
+                if may.any():
+                    best.offer(who[may.any(axis=1)], entries[may.any(axis=0)])
                 continue
-            left = np.flatnonzero(np.abs(to_parent - d) - reach <= most)
-            if len(left):
-                away = _distance(np.stack([self.center[c] for c in entries[left]]), q)
-                for c, x, r in zip(entries[left].tolist(), away.tolist(), reach[left].tolist()):
-                    if (low := max(0.0, x - r)) <= most:
-                        heapq.heappush(heap, (low, c, x))
+            may = np.abs(to_parent[None] - d[:, None]) - reach[None] <= most[:, None]
+            for i, (c, r) in enumerate(zip(entries.tolist(), reach.tolist())):
+                some = np.flatnonzero(may[:, i])
+                if len(some):
+                    x = _distance(queries[who[some]], self.center[c])
+                    near = x - r <= most[some]
+                    if near.any():
+                        heapq.heappush(heap, (max(0.0, float((x[near] - r).min())), c, who[some][near], x[near]))
+
+
+class Best:
+    """The best (score, id) of each query of a block so far, in the order of rank.
+
+    Scores are whole numbers. They are computed in floating point, which is exact while the largest
+    squared norm is under 2^53, and in 64-bit integers beyond.
+    """
+
+    def __init__(self, queries: np.ndarray, top: float, keep: int):
+        self.exact = top < 2**53
+        self.queries = queries.astype(float) if self.exact else queries
+        self.norm = (queries.astype(float) ** 2).sum(axis=1) + top
+        self.score = np.full((len(queries), keep), _NONE)
+        self.vec_id = np.full((len(queries), keep), -1, np.int64)
+
+    def take(self, rows: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> Best:
+        """The shard whose rows are offered next, with the ids of each row one after the other."""
+        self.rows = rows.astype(float) if self.exact else rows
+        self.ids, self.n_ids, self.first = ids, n_ids, np.cumsum(n_ids) - n_ids
+        return self
+
+    def reach(self, who: np.ndarray) -> np.ndarray:
+        """The distance within which a vector can still be among the best of each query."""
+        last = self.score[who, -1]
+        far = np.sqrt(np.maximum(0.0, self.norm[who] - 2.0 * last)) * (1 + MARGIN) + MARGIN
+        return np.where(last == _NONE, np.inf, far)
+
+    def offer(self, who: np.ndarray, some: np.ndarray) -> None:
+        found = self.queries[who] @ self.rows[some].T
+        keep = self.score.shape[1]
+        least = self.score[who, -1].astype(found.dtype)
+        if len(some) > keep:
+            least = np.maximum(least, np.partition(found, len(some) - keep, axis=1)[:, -keep])
+        i, j = np.nonzero(found >= least[:, None])
+        n = self.n_ids[some[j]]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        new_id = self.ids[np.repeat(self.first[some[j]], n) + nth]
+        new_score = np.repeat(found[i, j].astype(np.int64), n)
+        at = np.unique(i)
+        query = np.concatenate([np.repeat(i, n), np.repeat(at, keep)])
+        score = np.concatenate([new_score, self.score[who[at]].ravel()])
+        vec_id = np.concatenate([new_id, self.vec_id[who[at]].ravel()])
+        order = np.lexsort((vec_id, -score, query))
+        query, score, vec_id = query[order], score[order], vec_id[order]
+        start = np.searchsorted(query, at)
+        rank = np.arange(len(query)) - np.repeat(start, np.diff(np.r_[start, len(query)]))
+        self.score[who[query[rank < keep]], rank[rank < keep]] = score[rank < keep]
+        self.vec_id[who[query[rank < keep]], rank[rank < keep]] = vec_id[rank < keep]
 
 
 def _vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -168,9 +228,11 @@ def top_k(rows: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id",
     dealt = placed.join(F.broadcast(parts), "pivot").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))  # a row for each of MAX_PIVOTS pivots
 
     def grow(table: pa.Table) -> pa.Table:
-        x = _matrix(table.column("vec").to_pylist(), width)
-        tree = (vars(Tree(_lifted(x, top))), x, table.column("ids").to_pylist())
-        return pa.table({"shard": [f"{table.column('pivot')[0]}-{table.column('part')[0]}"], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+        x, ids = _matrix(table.column("vec").to_pylist(), width), table.column("ids").combine_chunks()
+        small = x.astype(np.int32) if top < 2**62 and (not x.size or np.abs(x).max() < 2**31) else x
+        flat, n = ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
+        shard = f"{table.column('pivot')[0]}-{table.column('part')[0]}"
+        return pa.table({"shard": [shard], "tree": pa.array([pickle.dumps((vars(Tree(_lifted(x, top))), small, flat, n))], pa.binary())})
 
     shards = staged(dealt.select("pivot", "part", "vec", "ids").groupBy("pivot", "part").applyInArrow(grow, "shard string, tree binary"), "trees")
 
@@ -178,41 +240,28 @@ def top_k(rows: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id",
     queries = staged(asked.join(classes.select("vec", "rep"), "vec").select(F.col("vec_id").alias("query_id"), "rep"), "queries")
     wanted = classes.join(queries.select("rep").distinct(), "rep", "left_semi")
     n_blocks = max(1, -(-queries.select("rep").distinct().count() // QUERY_BLOCK))
-    blocks = wanted.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("rep", "vec")).alias("queries"))
-    # Every block of queries meets every shard: the query set against all rows.
-    work = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(partitions(spark), "shard").join(blocks, "block").select("block", "queries", "tree")
+    # Every block of queries meets every shard, the query set against all rows; a block's shards are dealt to several tasks.
+    deals = min(max(1, -(-2 * partitions(spark) // n_blocks)), max(1, shards.count()))
+    count_to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = wanted.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("rep", "vec")).alias("queries")).withColumn("deal", count_to(deals))
+    trees = shards.withColumn("deal", F.pmod(F.xxhash64("shard"), F.lit(deals)).cast("int")).withColumn("block", count_to(n_blocks))
+    work = trees.repartition(max(partitions(spark), n_blocks * deals), "block", "deal").join(blocks, ["block", "deal"]).select("block", "queries", "tree")
 
     def search(batches):
-        best: dict[int, list[tuple[int, int]]] = {}  # of each query, the k + 1 best (score, -vec_id) so far in this task
+        best: dict[int, tuple[list[int], np.ndarray, Best]] = {}  # of each block that this task has seen
         for b in batches:
-            for asked, blob in zip(b.column("queries").to_pylist(), b.column("tree").to_pylist()):
-                pages, x, ids = pickle.loads(blob)
-                tree = Tree.of(pages)
-                q = _matrix([a["vec"] for a in asked], width)
-                lifted = np.c_[q.astype(float), np.zeros(len(q))]
-                for i, a in enumerate(asked):
-                    found = best.setdefault(a["rep"], [])
-                    reach = float((lifted[i] ** 2).sum()) + top
-
-                    def bound():
-                        return np.inf if len(found) <= k else np.sqrt(max(0.0, reach - 2 * found[0][0])) * (1 + MARGIN) + MARGIN
-
-                    def visit(some):
-                        scores = x[some] @ q[i]
-                        if len(found) > k:
-                            some, scores = some[scores >= found[0][0]], scores[scores >= found[0][0]]
-                        for r, s in zip(some.tolist(), scores.tolist()):
-                            for v in ids[r]:
-                                if len(found) <= k:
-                                    heapq.heappush(found, (s, -v))
-                                elif (s, -v) > found[0]:
-                                    heapq.heapreplace(found, (s, -v))
-                                else:
-                                    break
-
-                    tree.search(lifted[i], bound, visit)
-        out = [(rep, -v, s) for rep, found in best.items() for s, v in found]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["rep", "vec_id", "score"])
+            for block, asked, blob in zip(b.column("block").to_pylist(), b.column("queries"), b.column("tree").to_pylist()):
+                pages, x, ids, n_ids = pickle.loads(blob)
+                if block not in best:
+                    asked = asked.as_py()
+                    q = _matrix([a["vec"] for a in asked], width)
+                    best[block] = [a["rep"] for a in asked], np.c_[q.astype(float), np.zeros(len(q))], Best(q, top, k + 1)
+                _, lifted, found = best[block]
+                Tree.of(pages).search(lifted, found.take(x, ids, n_ids))
+        for reps, _, found in best.values():
+            there = found.score.ravel() != _NONE
+            columns = [np.repeat(reps, k + 1)[there], found.vec_id.ravel()[there], found.score.ravel()[there]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rep", "vec_id", "score"])
 
     order = [F.desc("score"), F.asc("vec_id")]
     found = work.mapInArrow(search, "rep long, vec_id long, score long").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(*order))).where(F.col("r") <= k + 1)
