@@ -75,7 +75,8 @@ def _cell_edges(bits: int):
     """Rows sorted by cell in, links within each cell out; a cell may go over several batches."""
 
     def edges(table: dict[str, np.ndarray]):
-        cell, part, fp, counts, rep = (table[k] for k in ("cell", "part", "fp", "counts", "rep"))
+        cell, part, rep = (table[k] for k in ("cell", "part", "rep"))
+        fp, counts = (table[k].view(np.uint64) for k in ("fp", "counts"))  # bits of signed numbers are counted without the sign
         starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
         sizes = np.diff(np.r_[starts, len(cell)])
         two = starts[sizes == 2]
