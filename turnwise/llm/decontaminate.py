@@ -4,7 +4,7 @@ A seed is the hash of the tokens at the set positions of a fixed mask; the other
 anything. Seeds of benchmark items and of documents are joined, each hit gives a diagonal (where the
 item would begin in the document), and the tokens along the diagonal are compared one by one: the
 document holds the item if some WINDOW tokens in a row, or the whole of a shorter item, agree in
-AGREE of their places or more.
+AGREE of their places or more. The masks are so chosen that none of these is missed.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ("11011011", "1100110011")
+#: One of these lies on equal tokens alone in every window of SHORT to WINDOW tokens that agrees in AGREE of its places.
+MASKS = ("11111", "111011", "11010011")
 WINDOW = 13
 AGREE = 0.8
-#: Items of fewer tokens say nothing about where they come from and match no document.
-MIN_TOKENS = 5
+#: Items of fewer than MIN_TOKENS tokens say nothing about where they come from and match no document; those of
+#: fewer than SHORT must agree in all places.
+MIN_TOKENS, SHORT = 5, 8
 #: Seeds of about so many bytes are broadcast at once; a larger benchmark is taken in several parts.
 BROADCAST_BYTES = 32 << 20
 
@@ -28,19 +30,13 @@ def tokens(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ", -1)
 
 
-def _masks(lengths: list[int]) -> list[str]:
-    """The fixed masks, and a full one for each length of the items too short for those."""
-    least = min(map(len, MASKS))
-    return [*MASKS, *("1" * n for n in sorted(lengths) if MIN_TOKENS <= n < least)]
-
-
-def _seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
+def _seeds(rows: DataFrame) -> DataFrame:
     """A row for each position and mask of the token hashes `hashes` of `rows`: columns position, seed."""
-    least = min(map(len, masks))
+    least = min(map(len, MASKS))
     at = rows.withColumn("n", F.size("hashes")).where(F.col("n") >= least)
     at = at.withColumn("position", F.explode(F.sequence(F.lit(0), F.col("n") - least)))
     seed = lambda i, m: F.when(F.col("position") + len(m) <= F.col("n"), F.xxhash64(F.lit(i), *[F.get("hashes", F.col("position") + k) for k, c in enumerate(m) if c == "1"]))
-    each = at.withColumn("seed", F.explode(F.array(*[seed(i, m) for i, m in enumerate(masks)])))
+    each = at.withColumn("seed", F.explode(F.array(*[seed(i, m) for i, m in enumerate(MASKS)])))
     return each.where("seed is not null").drop("n")
 
 
@@ -58,16 +54,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     items = _hashed(benchmark, F.col(item_col), F.col(item_text_col), "item_id").where("item_id is not null").withColumn("n_item", F.size("hashes")).where(F.col("n_item") >= MIN_TOKENS).distinct()
-    size = items.agg(F.sum((F.lit(len(MASKS)) * F.col("n_item") * (F.col("n_item") * 8 + 64))).alias("bytes"), F.collect_set(F.when(F.col("n_item") < min(map(len, MASKS)), F.col("n_item"))).alias("short")).first()
-    masks = _masks(size.short)
+    size = items.agg(F.sum((F.lit(len(MASKS)) * F.col("n_item") * (F.col("n_item") * 8 + 64))).alias("bytes")).first()
     parts = max(1, math.ceil((size.bytes or 0) / BROADCAST_BYTES))
     texts = _hashed(docs, F.col(id_col), F.col(text_col), "doc_id").where("doc_id is not null")
     hits = None
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
-        seeds = _seeds(some.withColumn("item", F.col("hashes")), masks).select("seed", "item_id", "item", "n_item", F.col("position").alias("at")).distinct()
+        seeds = _seeds(some.withColumn("item", F.col("hashes"))).select("seed", "item_id", "item", "n_item", F.col("position").alias("at")).distinct()
         # Whole documents stay where they are: only rows with a hit take a stretch of them along.
-        found = _seeds(texts, masks).join(F.broadcast(seeds), "seed").withColumn("diagonal", F.col("position") - F.col("at"))
+        found = _seeds(texts).join(F.broadcast(seeds), "seed").withColumn("diagonal", F.col("position") - F.col("at"))
         first = F.greatest(F.lit(0), -F.col("diagonal"))
         stretch = F.slice("hashes", F.col("diagonal") + first + 1, F.least(F.col("n_item"), F.size("hashes") - F.col("diagonal")) - first)
         found = found.select("doc_id", "item_id", "diagonal", "n_item", "item", first.alias("first"), stretch.alias("stretch"))
@@ -78,7 +73,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, e: s + e)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("width") + 1), lambda i: total(F.slice("equal", i, F.col("width")))))
     checked = once.select("doc_id", "item_id", "n_item", width.alias("width"), equal.alias("equal")).where(F.size("equal") >= F.col("width"))
-    passed = checked.where(best >= F.ceil(F.lit(agree) * F.col("width")))
+    passed = checked.where(best >= F.when(F.col("n_item") < SHORT, F.col("width")).otherwise(F.ceil(F.lit(agree) * F.col("width"))))
     return passed.groupBy("doc_id", "item_id").agg(F.max(total(F.col("equal"))).alias("n_equal"), F.max("n_item").alias("n_item"))
 
 
@@ -101,6 +96,6 @@ hit AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS g, ds.
 eq AS (SELECT doc_id, item_id, g, len(v) AS n_item, least({WINDOW}, len(v)) AS wd,
   list_transform(range(greatest(0, -g), least(len(v), len(w) - g)), lambda i: CASE WHEN v[i + 1] = w[g + i + 1] THEN 1 ELSE 0 END) AS e FROM hit),
 ok AS (SELECT doc_id, item_id, n_item, list_sum(e) AS n FROM eq WHERE len(e) >= wd
-  AND list_max(list_transform(range(0, len(e) - wd + 1), lambda i: list_sum(e[i + 1 : i + wd]))) >= ceil({AGREE} * wd))
+  AND list_max(list_transform(range(0, len(e) - wd + 1), lambda i: list_sum(e[i + 1 : i + wd]))) >= CASE WHEN n_item < {SHORT} THEN wd ELSE ceil({AGREE} * wd) END)
 SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS n_equal, CAST(max(n_item) AS INTEGER) AS n_item FROM ok GROUP BY doc_id, item_id
 """
