@@ -12,6 +12,7 @@ from turnwise.operators.rules import BANNER
 
 # Forms that need no list.
 CLITICS = ["'s", "’s", "s’", "s'"]
+ORDINAL = r"(?i)\b[0-9]+(st|nd|rd|th)\b"
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
@@ -50,11 +51,11 @@ def unearned_words(replies: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(conv_id, turn, word, n): words of replies(conv_id, turn, text, notice_text, user_texts) that are
     on no list, that the user did not use before, and that are no names of the source.
 
-    A hyphenated word is earned if all its parts are. Quotes, the banner and contractions' short
+    A hyphenated word is earned if all its parts are. Quotes, ordinals, the banner and contractions' short
     forms don't count. Families go by a rule-based lemma. The list is joined as it is: Spark
     broadcasts it while it is small and shuffles by word when it is not.
     """
-    masked = F.replace(T.unquoted(F.col("text")), F.lit(BANNER), F.lit(" "))
+    masked = F.regexp_replace(F.replace(T.unquoted(F.col("text")), F.lit(BANNER), F.lit(" ")), ORDINAL, " ")
     tokens = F.transform(T.words(T.expand_contractions(masked)), T.strip_possessive)
     rows = replies.select("conv_id", "turn", "notice_text", "user_texts", F.explode(tokens).alias("token")).where(~exempt(F.col("token"), F.coalesce("notice_text", F.lit("")), F.col("user_texts")))
     counts = rows.groupBy("conv_id", "turn", F.lower("token").alias("word")).agg(F.count("*").alias("n"))

@@ -85,9 +85,8 @@ _EARNED = f"""{_TOP},
 lex AS (SELECT DISTINCT {_lemma('word')} AS family FROM top WHERE rank <= 1000),
 u AS (SELECT r.conv_id, r.turn, r.text, (SELECT string_agg(x.text, chr(10)) FROM conversations x WHERE x.conv_id = r.conv_id AND x.role = 'user' AND x.turn < r.turn) AS said
   FROM conversations r WHERE r.role = 'assistant'),
-t AS (SELECT conv_id, turn, said, regexp_replace(unnest(regexp_extract_all({_expand("regexp_replace(text, " + _sql(T.QUOTE) + ", ' ', 'g')")}, {_W})), '[''’]s$|[''’]$', '') AS token FROM u),
-k AS (SELECT conv_id, turn, lower(token) AS word, count(*) AS n FROM t WHERE NOT (regexp_matches(token, '^[A-Z]') AND said IS NOT NULL AND regexp_matches(said, '(^|[^\\pL\\pN_])' || token || '($|[^\\pL\\pN_])'))
-  AND NOT regexp_matches(token, '(?i)^\\d+(st|nd|rd|th)$') GROUP BY ALL),
+t AS (SELECT conv_id, turn, said, regexp_replace(unnest(regexp_extract_all({_expand("regexp_replace(regexp_replace(text, " + _sql(T.QUOTE) + ", ' ', 'g'), " + _sql(lexicon.ORDINAL) + ", ' ', 'g')")}, {_W})), '[''’]s$|[''’]$', '') AS token FROM u),
+k AS (SELECT conv_id, turn, lower(token) AS word, count(*) AS n FROM t WHERE NOT (regexp_matches(token, '^[A-Z]') AND said IS NOT NULL AND regexp_matches(said, '(^|[^\\pL\\pN_])' || token || '($|[^\\pL\\pN_])')) GROUP BY ALL),
 p AS (SELECT conv_id, turn, word, n, unnest(list_filter(string_split(word, '-'), lambda x: x <> '')) AS part FROM k),
 s AS (SELECT DISTINCT conv_id, turn, {_lemma('w')} AS family FROM (SELECT conv_id, turn, unnest(regexp_extract_all(said, {_W})) AS w FROM u))
 SELECT DISTINCT conv_id, turn, word, n FROM p WHERE {_lemma('part')} NOT IN (SELECT family FROM lex)
