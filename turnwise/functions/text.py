@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ CONTRACTIONS = [
 ]
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out a single time; as part of a lambda it would be for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
@@ -110,13 +117,13 @@ def unquoted(text: Column) -> Column:
     return blanked(blanked(text, QUOTE), r"(?md)^[ \t]*>[ \t]?.*$")
 
 
-def quoted_chars(text: Column) -> Column:
-    return F.aggregate(quote_contents(text), F.lit(0), lambda n, c: n + F.length(c)).cast("long")
+def quoted_chars(text: Column, contents: Column | None = None) -> Column:
+    return F.aggregate(contents if contents is not None else quote_contents(text), F.lit(0), lambda n, c: n + F.length(c)).cast("long")
 
 
-def quote_ratio(text: Column) -> Column:
+def quote_ratio(text: Column, contents: Column | None = None) -> Column:
     """Quoted characters over all; 0 for an empty text."""
-    return F.when(F.length(text) > 0, quoted_chars(text) / F.length(text)).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(quoted_chars(text, contents), F.length(text)), F.lit(0.0))
 
 
 def quote_matches(content: Column, source: Column) -> Column:

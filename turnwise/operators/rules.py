@@ -37,17 +37,17 @@ def each(items: Column, rule: str) -> Column:
     return F.transform(items, lambda x: violation(rule, x)).cast(NONE)
 
 
-def quotes(reply: Column, source: Column) -> Column:
+def quotes(reply: Column, source: Column, contents: Column | None = None, ratio: Column | None = None) -> Column:
     """Quoted spans are parts of the source, and at most 40 % of a reply is quoted."""
-    made_up = F.filter(T.quote_contents(reply), lambda c: (T.strip(c) != "") & ~T.quote_matches(c, source))
-    ratio = T.quote_ratio(reply)
+    made_up = F.filter(contents if contents is not None else T.quote_contents(reply), lambda c: (T.strip(c) != "") & ~T.quote_matches(c, source))
+    ratio = ratio if ratio is not None else T.quote_ratio(reply)
     percent = F.concat(F.bround(ratio * 100, 0).cast("int").cast("string"), F.lit("% quoted"))
     return F.concat(each(made_up, "fabricated_quote"), one_if(ratio > QUOTE_CAP, "over_quoting", percent))
 
 
 def anchors(reply: Column, source: Column, user_texts: Column) -> Column:
     """Dates, amounts and phone numbers of a reply are, as printed, in the source or in a user turn."""
-    known = F.concat(T.anchor_texts(source), F.flatten(F.transform(user_texts, T.anchor_texts)))
+    known = T.anchor_texts(F.concat_ws("\n", source, user_texts))
     return each(F.array_except(T.anchor_texts(reply), known), "paraphrased_anchor")
 
 
@@ -58,8 +58,8 @@ def deadline(reply: Column, date: Column) -> Column:
 
 def advice(reply: Column) -> Column:
     """No advice outside quotes; one violation for each phrase."""
-    low = F.lower(T.unquoted(reply))
-    return each(F.filter(F.array(*map(F.lit, ADVICE)), lambda p: F.contains(low, p)), "advice_given")
+    phrases = F.array(*map(F.lit, ADVICE))
+    return T.once(F.lower(T.unquoted(reply)), lambda low: each(F.filter(phrases, lambda p: F.contains(low, p)), "advice_given"))
 
 
 def scaffold(reply: Column, first_reply: Column, markers: Column | None = None) -> Column:
@@ -85,7 +85,7 @@ def modals(reply: Column, source: Column) -> Column:
     duties = F.filter(sentences(source), lambda s: s.rlike(MODAL_SOURCE))
     bound = F.array_sort(F.array_distinct(F.flatten(F.transform(duties, T.anchor_texts))))
     soft = F.filter(sentences(reply), lambda s: ~s.rlike(MODAL_REPLY))
-    hits = F.flatten(F.transform(bound, lambda a: F.transform(F.filter(soft, lambda s: F.contains(s, a)), lambda s: a)))
+    hits = T.once(soft, lambda sentences: F.flatten(F.transform(bound, lambda a: F.transform(F.filter(sentences, lambda s: F.contains(s, a)), lambda s: a))))
     return each(hits, "softened_modal")
 
 
@@ -96,10 +96,12 @@ def check_replies(replies: DataFrame) -> DataFrame:
     """
     rows = replies.withColumn("reply", T.strip_think(F.coalesce("text", F.lit("")))).withColumn("source", F.coalesce("notice_text", F.lit("")))
     reply, source = F.col("reply"), F.col("source")
+    # What several rules need is worked out once, as a column of its own.
+    rows = rows.withColumn("contents", T.quote_contents(reply)).withColumn("ratio", T.quote_ratio(reply, F.col("contents")))
     users = F.coalesce("user_texts", F.array().cast("array<string>"))
     strict = F.concat(
-        quotes(reply, source), anchors(reply, source, users), deadline(reply, F.col("deadline")), advice(reply), scaffold(reply, F.col("first_reply")), banner(reply, F.col("first_reply"), F.col("adverse"))
+        quotes(reply, source, F.col("contents"), F.col("ratio")), anchors(reply, source, users), deadline(reply, F.col("deadline")), advice(reply), scaffold(reply, F.col("first_reply")), banner(reply, F.col("first_reply"), F.col("adverse"))
     )
     return (
-        rows.withColumn("word_count", T.word_count(reply)).withColumn("quoted_ratio", F.bround(T.quote_ratio(reply), 4)).withColumn("violations", strict).withColumn("advisory", modals(reply, source)).drop("reply", "source")
+        rows.withColumn("word_count", T.word_count(reply)).withColumn("quoted_ratio", F.bround("ratio", 4)).withColumn("violations", strict).withColumn("advisory", modals(reply, source)).drop("reply", "source", "contents", "ratio")
     )
