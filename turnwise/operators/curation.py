@@ -106,15 +106,16 @@ def broken_twins(turns: DataFrame) -> DataFrame:
     return by.where("not coalesce(in_used, false) or coalesce(in_absent, false)").select("contrast_group")
 
 
-def bait_top_up(dialogs: DataFrame, share: float = 0.30, seed: int = 0) -> DataFrame:
-    """dialogs(dialog_id, n_turns, bait) with `change`: how many more need bait, first in hash order.
+def bait_top_up(dialogs: DataFrame, share: float = 0.30, seed: int = 0, may: Column | None = None) -> DataFrame:
+    """dialogs(dialog_id, n_turns, bait) with `change`: how many more need bait, first in hash order
+    of those without, and where `may` holds.
 
     `replace` puts it in place of the last turn where there are 4 or more, `append` behind it.
     """
     n = dialogs.agg(F.count("*").alias("n"), F.count_if("bait").alias("baits"))
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("dialog_id").cast("string")), 256)
     need = n.select(F.greatest(F.bround(F.col("n") * share, 0) - F.col("baits"), F.lit(0)).cast("int").alias("need")).first()["need"]
-    chosen = dialogs.where(~F.col("bait")).orderBy(order, "dialog_id").limit(need).select(F.col("dialog_id").alias("chosen_id"))
+    chosen = dialogs.where(~F.col("bait")).where(may if may is not None else F.lit(True)).orderBy(order, "dialog_id").limit(need).select(F.col("dialog_id").alias("chosen_id"))
     joined = dialogs.join(chosen, F.col("dialog_id") == F.col("chosen_id"), "left")
     change = F.when(F.col("chosen_id").isNotNull(), F.when(F.col("n_turns") >= 4, "replace").otherwise("append"))
     return joined.withColumn("change", change).drop("chosen_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from turnwise.operators import curation, metrics, repair
+from turnwise.operators import curation, generate, metrics, repair
 from turnwise.plans import derived
 from turnwise.plans.derived import DUCK, _sql
 from turnwise.plans.registry import query
@@ -65,6 +65,17 @@ def notice_validate(spark, sf):
     return curation.validate_notices(n, "notice-", list(derived.GENRES)).select("notice_id", F.array_join("problems", ",").alias("problems"))
 
 
+@query()
+def generated_notices(spark, sf):
+    """As many generated notices as there are customers."""
+    return generate.notices(spark, table(spark, sf, "customer").count())
+
+
+@query()
+def dialog_plan(spark, sf):
+    return generate.plan_dialogs(spark, table(spark, sf, "customer").count())
+
+
 _MINIMUMS = {**{g: 100 * w for g, w in derived.GENRES.items()}, "other": 1}
 
 

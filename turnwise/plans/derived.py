@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
-from turnwise.operators import curation, metrics, rules, turns
+from turnwise.operators import metrics, rules, turns
+from turnwise.operators.generate import ADVERSE, GENRES
+from turnwise.operators.generate import FIRST_TURN as PREFIX
 from turnwise.sources.tables import table
 
-# Genres of notices with their weights, and those that take something away.
-GENRES = {"reduction": 16, "denial": 14, "termination": 12, "approval": 12, "verification": 12, "recert_form": 12, "multi_program": 11, "missing_element": 11}
-ADVERSE = ["denial", "termination", "reduction", "multi_program", "missing_element"]
-PREFIX = "I got this letter. Can you explain it?\n\n---\n"
 MODELS = ["base", "large", "tuned"]
 STRATEGIES = ["zero_shot", "few_shot", "structured_cot"]
 
