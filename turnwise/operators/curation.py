@@ -77,7 +77,7 @@ def grid(scenarios: DataFrame, models: list[str], strategies: list[str]) -> Data
 def with_scenario(records: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Records with their scenario; a record without one keeps its id and an empty notice."""
     found = scenarios.select(F.col("id").alias("scenario_id"), "category", "notice_text")
-    return records.join(found, "scenario_id", "left").withColumn("category", F.coalesce("category", F.lit("clean")))
+    return records.join(found, "scenario_id", "left").withColumn("category", F.coalesce("category", F.lit("clean"))).withColumn("notice_text", F.coalesce("notice_text", F.lit("")))
 
 
 def weighted_choice(key: Column, seed: int, weights: dict[str, int]) -> Column:

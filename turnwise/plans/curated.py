@@ -179,7 +179,7 @@ def scenario_grid(spark, sf):
 
 @query(
     DUCK
-    + ", s AS (SELECT conv_id, genre, length(notice_text) AS n FROM d_notices WHERE o_orderkey % 3 <> 0) SELECT 'notice-' || o_orderkey AS scenario_id, coalesce(genre, 'clean') AS category, n AS n_chars FROM orders LEFT JOIN s ON s.conv_id = 'notice-' || o_orderkey WHERE o_orderkey % 4 <> 1"
+    + ", s AS (SELECT conv_id, genre, length(notice_text) AS n FROM d_notices WHERE o_orderkey % 3 <> 0) SELECT 'notice-' || o_orderkey AS scenario_id, coalesce(genre, 'clean') AS category, coalesce(n, 0) AS n_chars FROM orders LEFT JOIN s ON s.conv_id = 'notice-' || o_orderkey WHERE o_orderkey % 4 <> 1"
 )
 def records_with_scenarios(spark, sf):
     n = derived.notices(spark, sf).where("o_orderkey % 3 != 0").select(F.col("conv_id").alias("id"), F.col("genre").alias("category"), "notice_text")
