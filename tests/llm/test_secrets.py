@@ -79,3 +79,21 @@ def test_false_discovery_control():
     least = secrets.admitted(counts)[0]
     assert [k for (_, k) in counts if k >= least] == [k for (_, k) in counts if 10 ** (-k / secrets.PER_DECADE) <= cut]
     assert secrets.admitted({}) == {}
+
+
+def test_values_after_names_letters_only_and_rests_of_runs(spark):
+    """A key is found behind NAME= and in a query, without digits, and beside a base span; padding stays with its run."""
+    rng = random.Random(7)
+    key = lambda: random_key(rng, 60)
+    forms = [lambda k: f"STRIPE_KEY={k}", lambda k: f"see https://x.example/?sig={k}&a=b", lambda k: f"AWS_SECRET_ACCESS_KEY={k}", lambda k: f"X={k}=="]
+    rows = [(f(k), k) for f in forms for k in (key(), key(), key())]
+    rows += [(f"see {k} here", k) for k in (random_key(rng, 60, string.ascii_letters) for _ in range(5))]
+    rows += [(f"see {k}/AKIA{'A1B2' * 4} here", k) for k in (key(), key(), key())]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    for r in secrets.scan(docs).collect():
+        text, k = rows[r.doc_id]
+        at = text.index(k)
+        assert any(s.kind == "random" and s.start <= at and s.end >= at + len(k) for s in r.spans), text
+    words = ["AbstractSingletonProxyFactoryBeanDefinition", "donaudampfschifffahrtsgesellschaftskapitaen", "internationalization_of_user_interfaces", "com/example/project/module/controller/impl"]
+    docs = spark.createDataFrame([(i, f"NAME={w}") for i, w in enumerate(words)], "doc_id long, text string")
+    assert not any(r.spans for r in secrets.scan(docs).collect())

@@ -24,7 +24,8 @@ _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+# '=' is part of a run only as padding at its end: NAME=value gives the value as a run of its own.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
 
 # Alphabets from small to large, with the sum of squared shares of their characters in word-like strings.
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -32,6 +33,9 @@ _ALPHABETS = [
     ("decimal", _DIGITS, 0.2),
     ("hex", _DIGITS + "abcdef", 0.25),
     ("hex upper", _DIGITS + "ABCDEF", 0.25),
+    ("lower", _LOWER, 0.066),
+    ("upper", _UPPER, 0.066),
+    ("letters", _UPPER + _LOWER, 0.064),
     ("base32", _UPPER + "234567", 0.066),
     ("base36", _DIGITS + _LOWER, 0.066),
     ("base36 upper", _DIGITS + _UPPER, 0.066),
@@ -60,7 +64,7 @@ def battery(token: str) -> float | None:
     body = token.rstrip("=")
     chars = set(body)
     alphabet = next(((values, share) for _, values, share in _ALPHABETS if chars <= values.keys()), None)
-    if alphabet is None or len(body) < BANDS[0] or not chars & set(_DIGITS):
+    if alphabet is None or len(body) < BANDS[0]:
         return None
     values, share = alphabet
     n, k = len(body), len(values)
@@ -108,12 +112,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, band, bucket) of the runs outside the base spans that the battery does not reject."""
+    """(start, end, band, bucket) of what the base spans leave of runs and the battery does not reject."""
     found = []
     for m in _RUN.finditer(text):
         s, e = m.span()
-        if not any(s < b and a < e for a, b, _ in base) and (p := battery(m[0])) is not None:
-            found.append((s, e, band(e - s), bucket(p)))
+        left = []
+        for a, b in sorted((a, b) for a, b, _ in base if a < e and s < b):
+            left.append((s, a))
+            s = max(s, b)
+        for s, e in [*left, (s, e)]:
+            if e - s >= BANDS[0] and (p := battery(text[s:e])) is not None:
+                found.append((s, e, band(e - s), bucket(p)))
     return found
 
 
