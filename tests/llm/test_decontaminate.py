@@ -82,6 +82,20 @@ def test_sql(spark):
     same(D.overlaps(d, b).toPandas(), duck().execute(D.oracle_sql()).df())
 
 
+def test_a_long_item_is_broadcast_by_seeds_alone(spark, monkeypatch):
+    """One item over the bound is dealt into parts, no broadcast row holds its tokens, and the copy in a document is found."""
+    n = 3000
+    item = " ".join(f"w{i}" for i in range(n))
+    docs = spark.createDataFrame([(1, "before " + item + " after"), (1, "a short text of the same id"), (2, "nothing of it is here at all")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 1 << 18)
+    sent, broadcast = [], D.F.broadcast
+    monkeypatch.setattr(D.F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    assert [tuple(r) for r in D.overlaps(docs, items).collect()] == [(1, 7, n, n)]
+    assert len(sent) == 3 and not [t for df in sent for _, t in df.dtypes if t.startswith("array")]
+    assert max(df.count() for df in sent) < 1.2 * 3 * n / len(sent)
+
+
 @pytest.mark.parametrize("python", ["mapInArrow", "mapInPandas", "pandas_udf", "applyIn", ".rdd"])
 def test_native(python):
     import inspect

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.llm.common import staged
+
 #: One of these lies on equal tokens alone in every window of SHORT to WINDOW tokens that agrees in AGREE of its places.
 MASKS = ("11111", "111011", "11010011")
 WINDOW = 13
@@ -54,20 +56,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     items = _hashed(benchmark, F.col(item_col), F.col(item_text_col), "item_id").where("item_id is not null").withColumn("n_item", F.size("hashes")).where(F.col("n_item") >= MIN_TOKENS).distinct()
-    size = items.agg(F.sum((F.lit(len(MASKS)) * F.col("n_item") * (F.col("n_item") * 8 + 64))).alias("bytes")).first()
+    size = items.agg(F.sum(F.col("n_item") * (len(MASKS) * 64)).alias("bytes")).first()
     parts = max(1, math.ceil((size.bytes or 0) / BROADCAST_BYTES))
-    texts = _hashed(docs, F.col(id_col), F.col(text_col), "doc_id").where("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    texts = _hashed(rows, F.col("doc_id"), F.col("text"), "doc_id")
+    seeds = _seeds(items).select("seed", "item_id", "n_item", F.col("position").alias("at")).distinct()
     hits = None
     for part in range(parts):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
-        seeds = _seeds(some.withColumn("item", F.col("hashes"))).select("seed", "item_id", "item", "n_item", F.col("position").alias("at")).distinct()
-        # Whole documents stay where they are: only rows with a hit take a stretch of them along.
-        found = _seeds(texts).join(F.broadcast(seeds), "seed").withColumn("diagonal", F.col("position") - F.col("at"))
-        first = F.greatest(F.lit(0), -F.col("diagonal"))
-        stretch = F.slice("hashes", F.col("diagonal") + first + 1, F.least(F.col("n_item"), F.size("hashes") - F.col("diagonal")) - first)
-        found = found.select("doc_id", "item_id", "diagonal", "n_item", "item", first.alias("first"), stretch.alias("stretch"))
+        some = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == part) if parts > 1 else seeds
+        found = _seeds(texts).select("doc_id", "seed", "position").join(F.broadcast(some), "seed")
+        found = found.select("doc_id", "item_id", "n_item", (F.col("position") - F.col("at")).alias("diagonal"))
         hits = found if hits is None else hits.union(found)
-    once = hits.groupBy("doc_id", "item_id", "diagonal", "n_item").agg(F.first("item").alias("item"), F.first("first").alias("first"), F.first("stretch").alias("stretch"))
+    hits = staged(hits.distinct(), "hits")
+    # Only documents with a hit are cut into tokens again; each diagonal takes its stretch of them along once.
+    hit = _hashed(rows.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), F.col("doc_id"), F.col("text"), "doc_id")
+    first = F.greatest(F.lit(0), -F.col("diagonal"))
+    length = F.least(F.col("n_item"), F.size("hashes") - F.col("diagonal")) - first
+    stretch = F.slice("hashes", F.col("diagonal") + first + 1, F.greatest(F.lit(0), length))
+    along = hit.join(hits, "doc_id").where(F.col("diagonal") < F.size("hashes")).select("doc_id", "item_id", "n_item", first.alias("first"), stretch.alias("stretch"))
+    once = along.join(items.select("item_id", "n_item", F.col("hashes").alias("item")), ["item_id", "n_item"])
     equal = F.zip_with("stretch", F.slice("item", F.col("first") + 1, F.size("stretch")), lambda a, b: (a == b).cast("int"))
     width = F.least(F.lit(WINDOW), F.col("n_item"))
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, e: s + e)
