@@ -32,6 +32,27 @@ def test_layout(page):
     assert render.render(page)[1] == CASES[page]
 
 
+DEEP = "<div>" * 200
+SHOWN = {
+    "a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b": "a x=1 b",
+    "<svg><title>no</title><defs><text>no</text></defs><path d='m'/><text>one</text><text>two</text></svg>": "one two",
+    "<object data='x'>instead</object>": "instead",
+    "<table><tr><li>x</li></tr></table>": "- x",
+    "<table><tr><li>x<td>y</table>": "- x\n\ny",
+    "<table><dt>t<dd>d<tr><td>y</table>": "t\n  d\n\ny",
+    "<table><tr><option>o</option><td>y</table>": "o\n\ny",
+    "<table><tr><caption>c</caption><tr><td>y</table>": "c\ny",
+    DEEP + "<p hidden>no</p><template><b>no</b></template><noscript>no</noscript>yes": "yes",
+    "<section hidden>" + DEEP + "<section>x</section>no</section>": "",
+    DEEP + "<table><tr><td>cell</table>": "cell",
+}
+
+
+@pytest.mark.parametrize("page", SHOWN)
+def test_all_visible_text_and_no_other(page):
+    assert render.render(page)[1] == SHOWN[page]
+
+
 def test_titles():
     assert render.render("<head><title> A &amp;\n b </title></head>x") == ("A & b", "x")
     assert render.render("<svg><title>no</title></svg><p>x")[0] == ""

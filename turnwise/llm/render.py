@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements nested deeper than this hang from the deepest allowed one.
+#: What is nested deeper than this hangs from the deepest allowed element that can hold it, unless an element between hides it.
 MAX_DEPTH = 120
 #: Cells are filled up to the width of their column, at most so far; longer ones are whole but not filled up.
 MAX_PAD = 40
@@ -19,7 +20,7 @@ MAX_COLSPAN = 1000
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes textarea title".split())
 HEAD = set("base link meta title script style template noscript".split())
-NOT_SHOWN = set("head title script style template noscript iframe object svg math audio video canvas datalist noembed noframes".split())
+NOT_SHOWN = set("head title script style template noscript iframe audio video canvas datalist noembed noframes annotation annotation-xml".split())
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split()
 )
@@ -33,6 +34,7 @@ _CLOSERS = {
     "dd": ({"dt", "dd"}, {"dl"} | _TABLES),
     "option": ({"option"}, {"select"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
+    "caption": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, _TABLES),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, _TABLES),
     "td": ({"td", "th", "caption", "colgroup"}, _TABLES | {"tr"}),
     "th": ({"td", "th", "caption", "colgroup"}, _TABLES | {"tr"}),
@@ -40,6 +42,10 @@ _CLOSERS = {
 }
 _P_SCOPE = {"table", "td", "th", "caption", "button", "object", "template"}
 _PARTS_OF_TABLE = {"table", "thead", "tbody", "tfoot", "tr"}
+_IN_TABLE = _PARTS_OF_TABLE - {"table"} | {"td", "th", "caption"}
+_STAY_IN_TABLE = _IN_TABLE | HEAD | {"colgroup", "col"}
+#: Of svg, the elements whose text is drawn, and those that are only defined.
+_SVG_TEXT, _SVG_UNSEEN = {"text", "foreignobject"}, set("defs symbol clippath mask pattern marker desc metadata".split())
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -54,31 +60,53 @@ _BREAK = "\0"
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "hides")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.tag, self.attrs, self.children, self.hides = tag, attrs or {}, [], False
 
 
 def parse(page: str) -> Element:
     """The tree of a page; tags that authors may leave out are put in, stray end tags are ignored."""
     root = Element("html")
     stack = [root]
+    opened: Counter[str] = Counter()  # tags on the stack above the root
     in_head = True
 
+    def push(node: Element) -> None:
+        top = stack[-1]
+        closed = top.tag == "details" and "open" not in top.attrs and node.tag != "summary"
+        node.hides = len(stack) >= MAX_DEPTH and (top.hides or closed or not shown(node))
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut(i: int) -> None:
+        opened.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
     def close(tags: set[str], scope: set[str]) -> None:
+        if not any(opened[t] > 0 for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                cut(i)
                 return close(tags, scope)
             if stack[i].tag in scope:
                 return
 
     def put(node: Element | str) -> None:
         top = stack[-1]
-        stray = node.strip() if isinstance(node, str) else node.tag not in _CLOSERS and node.tag not in HEAD | {"caption", "colgroup", "col"}
-        if top.tag in _PARTS_OF_TABLE and stray:  # what a table can't hold goes before it
-            i = max(k for k in range(len(stack)) if stack[k].tag == "table") if any(e.tag == "table" for e in stack) else 0
+        if len(stack) > MAX_DEPTH:
+            closed = top.tag == "details" and "open" not in top.attrs and not (isinstance(node, Element) and node.tag == "summary")
+            if not top.hides and not closed:
+                # In a part of a table only its own parts are shown, so what is flattened goes to the nearest other element.
+                next(e for e in reversed(stack[:MAX_DEPTH]) if e.tag not in _PARTS_OF_TABLE).children.append(node)
+            return
+        stray = node.strip() if isinstance(node, str) else node.tag not in _STAY_IN_TABLE
+        if top.tag in _PARTS_OF_TABLE and stray and opened["table"] > 0:  # what a table can't hold goes before it
+            i = len(stack) - 1
+            while i and (stack[i].tag != "table" or stack[i - 1].tag in _PARTS_OF_TABLE):
+                i -= 1
             if i:
                 stack[i - 1].children.insert(len(stack[i - 1].children) - 1, node)
                 return
@@ -86,7 +114,7 @@ def parse(page: str) -> Element:
 
     def leave_head() -> None:
         if len(stack) > 1 and stack[1].tag == "head":
-            del stack[1:]
+            cut(1)
 
     at = 0
     while True:
@@ -103,15 +131,15 @@ def parse(page: str) -> Element:
         at = m.end()
         if end := m[1]:
             tag = end.lower()
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            if tag == "p" and not opened["p"]:
                 put(Element("p"))
             elif tag == "br":
                 put(Element("br"))
-            else:
+            elif opened[tag] > 0:
                 inner = _PARTS_OF_TABLE | {"td", "th", "caption"}
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i].tag in {"table", "td", "th"} and tag not in inner:
                         break
@@ -128,7 +156,7 @@ def parse(page: str) -> Element:
         if tag == "head":
             if in_head and len(stack) == 1:
                 put(node := Element("head"))
-                stack.append(node)
+                push(node)
             continue
         if tag not in HEAD:
             leave_head()
@@ -137,18 +165,24 @@ def parse(page: str) -> Element:
             close({"p"}, _P_SCOPE)
         if tag in _CLOSERS:
             close(*_CLOSERS[tag])
+            if tag in _IN_TABLE and opened["table"] > 0:  # back out of what was moved before the table
+                i = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in _PARTS_OF_TABLE), 0)
+                if i:
+                    cut(i + 1)
             if tag in ("td", "th") and stack[-1].tag in _PARTS_OF_TABLE - {"tr"}:
                 put(row := Element("tr"))
-                stack.append(row)
+                push(row)
         node = Element(tag, attrs)
         put(node)
+        if (opened["svg"] > 0 or opened["math"] > 0 or tag in ("svg", "math")) and (m[3] or m[5] or "").endswith("/"):
+            continue
         if tag in RAW:
             end = _END_OF[tag].search(page, at)
             body = page[at : end.start() if end else len(page)]
             node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
             at = end.end() if end else len(page)
-        elif tag not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif tag not in VOID and tag != "colgroup":
+            push(node)
 
 
 def shown(e: Element) -> bool:
@@ -197,6 +231,8 @@ def lines(e: Element) -> list[str]:
             elif tag == "input":
                 if c.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                     run.append(c.attrs.get("value", ""))
+            elif tag == "svg":
+                drawn(c)
             elif tag not in BLOCKS:
                 walk(c)
             else:
@@ -232,6 +268,16 @@ def lines(e: Element) -> list[str]:
                     flush()
                 out.extend([""] * (tag in SPACED))
 
+    def drawn(e: Element) -> None:
+        for c in e.children:
+            if isinstance(c, Element) and shown(c) and c.tag not in _SVG_UNSEEN:
+                if c.tag in _SVG_TEXT:
+                    run.append(" ")
+                    walk(c)
+                    run.append(" ")
+                else:
+                    drawn(c)
+
     walk(e)
     flush()
     return out
