@@ -6,6 +6,8 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -30,21 +32,42 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[app]}"
 
 
+_scratch: list[list[Staged]] = []
+
+
 class Staged:
-    """A table written to the shared folder, so that a lost executor costs only its running tasks."""
+    """A table written to the shared folder, so that a lost executor costs only its running tasks.
+
+    It goes when it is dropped, when the scratch() around it ends, or else with the application.
+    """
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self._folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self._files.deleteOnExit(self._folder)
         df.write.parquet(self.path)
         self.schema = df.schema
+        if _scratch:
+            _scratch[-1].append(self)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._files.delete(self._folder, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is staged within goes at its end; results that still read it must be written before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for table in _scratch.pop():
+            table.drop()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -18,10 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import Staged, components, partitions, staged
+from turnwise.llm.common import Staged, components, partitions
 
 BITS = 3
-SLABS = 6
+#: Slabs by how many fingerprints there are: a cell of 6 slabs has about 24 bits, of 8 about 30, of 10 about 34.
+SLABS = {6: 1 << 30, 8: 1 << 36, 10: 1 << 62}
 BLOCK = 4096
 _SHINGLES_AT_ONCE = 1 << 16
 
@@ -75,18 +76,18 @@ def _cell_edges(bits: int):
     """Rows sorted by cell in, links within each cell out; a cell may go over several batches."""
 
     def edges(table: dict[str, np.ndarray]):
-        cell, part, rep = (table[k] for k in ("cell", "part", "rep"))
+        cell, part, name = (table[k] for k in ("cell", "part", "fp"))
         fp, counts = (table[k].view(np.uint64) for k in ("fp", "counts"))  # bits of signed numbers are counted without the sign
         starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
         sizes = np.diff(np.r_[starts, len(cell)])
         two = starts[sizes == 2]
         near = (np.bitwise_count(counts[two] ^ counts[two + 1]) <= bits) & (np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits)
-        a, b = [rep[two[near]]], [rep[two[near] + 1]]
+        a, b = [name[two[near]]], [name[two[near] + 1]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             if pairs := linked(fp[s : s + n], counts[s : s + n], bits):
                 i, j = np.array(pairs).T
-                a.append(rep[s + i])
-                b.append(rep[s + j])
+                a.append(name[s + i])
+                b.append(name[s + j])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
 
     def run(batches):
@@ -115,40 +116,46 @@ def slab_masks(bits: int, slabs: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def near_pairs(reps: DataFrame, bits: int = BITS, slabs: int = SLABS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between distinct fingerprints `reps`(fp, rep) that connect the same rows as all links do.
+def near_pairs(fps: DataFrame, bits: int = BITS, slabs: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints `fps`(fp) that connect the same ones as all links do.
 
-    A cell of more than `block` rows is cut into blocks, and each two of its blocks meet in a part
-    of their own: no task holds more than two blocks of a cell, and no pair is left out.
+    Cells get more slabs, and so stay small, as there are more fingerprints. A cell of more than
+    `block` rows is cut into blocks, and each two of its blocks meet in a part of their own: no task
+    holds more than two blocks of a cell, and no pair is left out.
     """
+    if slabs is None:
+        n = fps.count()
+        slabs = next(s for s, most in SLABS.items() if n <= most)
     low = "cast(6148914691236517205 as bigint)"  # 0x5555..., the lower bit of each segment
     # The bits of each segment in sorted order: the count in unary, so XOR counts Manhattan distance.
     counts = F.expr(f"((fp | shiftrightunsigned(fp, 1)) & {low}) | shiftleft((fp & shiftrightunsigned(fp, 1)) & {low}, 1)")
     masks = F.array(*[F.lit(m).cast("long") for m in slab_masks(bits, slabs)])
-    cells = reps.withColumn("counts", counts).select("fp", "rep", "counts", F.posexplode(masks).alias("choice", "mask"))
-    cells = cells.select(F.xxhash64("choice", F.col("counts").bitwiseAND(F.col("mask"))).alias("cell"), "fp", "rep", "counts")
-    large = staged(cells.groupBy("cell").count().where(F.col("count") > block).select("cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large_cells")
+    cells = fps.select("fp", counts.alias("counts"), F.posexplode(masks).alias("choice", "mask"))
+    cells = cells.select(F.xxhash64("choice", F.col("counts").bitwiseAND(F.col("mask"))).alias("cell"), "fp", "counts")
+    large = Staged(cells.groupBy("cell").count().where(F.col("count") > block).select("cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large_cells").read()
     own = F.expr("pmod(xxhash64(fp), blocks)")
     # Of part (i, j), i <= j, the rows of blocks i and j.
     parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.expr("transform(sequence(0, blocks - 1), j -> least(own, j) * blocks + greatest(own, j))")
     )
-    dealt = cells.join(large, "cell", "left").withColumn("own", own).select("cell", F.explode(parts).alias("part"), "fp", "counts", "rep")
-    dealt = dealt.repartition(partitions(reps.sparkSession), "cell", "part").sortWithinPartitions("cell", "part")
+    dealt = cells.join(large, "cell", "left").withColumn("own", own).select("cell", F.explode(parts).alias("part"), "fp", "counts")
+    dealt = dealt.repartition(partitions(fps.sparkSession), "cell", "part").sortWithinPartitions("cell", "part")
     return dealt.mapInArrow(_cell_edges(bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, slabs: int = SLABS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, slabs: int | None = None, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of `docs`.
 
     Documents link when their fingerprints differ in `bits` bits or fewer; component_id is the
     smallest doc_id that links reach. Null, empty and wordless texts have fingerprint zero and link
-    like any others. Equal fingerprints count once, under their smallest doc_id, before any pairing.
-    Rows that repeat a doc_id are all returned; a null doc_id takes part but is never a
-    component_id while another id is there. Other columns are ignored; an empty table gives no rows.
+    like any others. Fingerprints are linked, not rows: equal ones count once, and one whose rows
+    all have a null id still links what lies on either side of it. Rows that repeat a doc_id are all
+    returned; component_id is null only where no row reached has an id. Other columns are ignored;
+    an empty table gives no rows.
     """
-    fps = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = Staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct_fingerprints").read()
-    groups = components(near_pairs(reps.where("rep is not null"), bits, slabs, block))
-    ids = reps.join(groups, reps.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    fps = Staged(fingerprints(docs, id_col, text_col), "fingerprints").read()
+    distinct = Staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints").read()
+    groups = components(near_pairs(distinct.select("fp"), bits, slabs, block))
+    named = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    ids = named.select("fp", "component").join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component")
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
