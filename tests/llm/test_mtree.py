@@ -8,19 +8,14 @@ from turnwise.llm import mtree
 
 
 def brute(rows, every, k):
-    usable = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        x = np.floor(256 * np.array(v, float)).astype(int)
-        if i not in usable or x.tobytes() < usable[i].tobytes():
-            usable[i] = x
+    """Every usable row against every other, repeated ids as rows of their own."""
+    usable = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    width = max((len(x) for _, x in usable), default=0)
+    usable = [(i, np.pad(x, (0, width - len(x)))) for i, x in usable]
     out = []
-    for q, x in usable.items():
+    for a, (q, x) in enumerate(usable):
         if q % every == 0:
-            width = lambda a, b: max(len(a), len(b))
-            dot = lambda a, b: int(np.dot(np.pad(a, (0, width(a, b) - len(a))), np.pad(b, (0, width(a, b) - len(b)))))
-            best = sorted(((-dot(x, y), i) for i, y in usable.items() if i != q))[:k]
+            best = sorted((-int(np.dot(x, y)), i) for b, (i, y) in enumerate(usable) if a != b)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -32,7 +27,7 @@ def frame(spark, rows):
 @pytest.mark.parametrize("scale", [1.0, 1e-3, 1e6])
 def test_brute_force(spark, monkeypatch, scale):
     """Small pages and shards, so that trees have depth and blocks meet several shards."""
-    for name, value in (("PAGE", 8), ("FANOUT", 4), ("SHARD", 60), ("VECTORS_PER_PIVOT", 90), ("QUERY_BLOCK", 5)):
+    for name, value in (("PAGE", 8), ("FANOUT", 4), ("SHARD", 60), ("VECTORS_PER_PIVOT", 90), ("QUERY_BLOCK", 5), ("SHARDS_PER_TASK", 2)):
         monkeypatch.setattr(mtree, name, value)
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) * scale for _ in range(6)]) for i in range(300)]
@@ -40,6 +35,27 @@ def test_brute_force(spark, monkeypatch, scale):
     assert sorted(tuple(r) for r in mtree.top_k(frame(spark, rows), every=10).collect()) == brute(rows, 10, 5)
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [5.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 2.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0])]
+    for k in (2, 5):
+        assert sorted(tuple(r) for r in mtree.top_k(frame(spark, rows), k=k).collect()) == brute(rows, 50, k)
+
+
+def test_far_shards_are_not_sent(spark, monkeypatch):
+    """Rows in far groups: pairs of a block and a shard that the pivots' radii rule out meet no tree, and nothing is lost."""
+    for name, value in (("SHARD", 50), ("VECTORS_PER_PIVOT", 100), ("QUERY_BLOCK", 10)):
+        monkeypatch.setattr(mtree, name, value)
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(12, 6))
+    centers /= np.sqrt((centers**2).sum(axis=1, keepdims=True))
+    rows = [(i, (centers[i % 12] * 20 + rng.normal(size=6) * 0.01).tolist()) for i in range(1200)]
+    seen, plain = [], mtree.staged
+    monkeypatch.setattr(mtree, "staged", lambda df, name: seen.append((name, plain(df, name))) or seen[-1][1])
+    assert sorted(tuple(r) for r in mtree.top_k(frame(spark, rows)).collect()) == brute(rows, 50, 5)
+    tables = dict(seen)
+    assert tables["pairs_left"].count() < 0.7 * tables["query_blocks"].count() * tables["trees"].count()
+
+
 def test_few_and_no_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, [1.0, 0.0])]
     assert sorted(tuple(r) for r in mtree.top_k(frame(spark, rows)).collect()) == brute(rows, 50, 5)

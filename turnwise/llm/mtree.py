@@ -7,6 +7,10 @@ with a tree of metric pages each. A page keeps a routing object, a covering radi
 to its parent's routing object; a search visits pages by their least possible distance, and skips
 pages and entries that stored distances and the triangle inequality rule out, before it computes
 theirs. Scores are integer inner products; floating-point bounds have a margin.
+
+Queries go in blocks of one pivot. A block is first searched in the shards of its own pivot, which
+bounds its distances; of all other pairs of a block and a shard, those that this bound and the
+pivots' covering radii rule out are dropped before any tree is sent.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ MAX_PIVOTS, VECTORS_PER_PIVOT = 512, 2048
 SHARD = 4096
 PAGE, FANOUT = 256, 16
 QUERY_BLOCK = 1024
+#: A task of the search gets at most so many shards for a block of queries.
+SHARDS_PER_TASK = 16
 MARGIN = 1e-6
 _NONE = np.int64(-(1 << 62))
 
@@ -160,19 +166,20 @@ class Best:
 
 
 def _vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec binary) of floor(256 * x) as 64-bit integers; unusable vectors are left out."""
+    """(vec_id, row, vec binary) of floor(256 * x) as 64-bit integers; unusable vectors are left out. Rows are told apart by `row`."""
 
     def run(batches):
         for b in batches:
-            ids, vecs = [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids, numbers, vecs = [], [], []
+            for i, n, v in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if v is not None and None not in v and np.isfinite(x := np.array(v, float)).all():
                     ids.append(i)
+                    numbers.append(n)
                     vecs.append(np.floor(256 * x).astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary())], names=["vec_id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(vecs, pa.binary())], names=["vec_id", "row", "vec"])
 
-    found = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).where("vec_id is not null and vec is not null")
-    return found.mapInArrow(run, "vec_id long, vec binary").groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    found = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.col(vec_col).cast("array<double>").alias("vec"))
+    return found.where("vec_id is not null and vec is not null").mapInArrow(run, "vec_id long, row long, vec binary")
 
 
 def _matrix(vecs: list[bytes], width: int) -> np.ndarray:
@@ -191,25 +198,28 @@ def top_k(rows: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id",
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, its k best of all other rows.
 
     Score is the integer inner product of floor(256 * x); ties go to the smaller id. Vectors that
-    are null or hold a null or non-finite component, and rows with a null id, take no part. An id
-    that repeats counts once, with its least vector. Shorter vectors are filled up with zeros. With
-    fewer than k other rows all are returned; an empty table gives no rows.
+    are null or hold a null or non-finite component, and rows with a null id, take no part. Rows
+    that repeat an id are rows of their own: each is a candidate of the others, and each is a query
+    where its id is divisible. Shorter vectors are filled up with zeros. With fewer than k other
+    rows all are returned; an empty table gives no rows.
 
-    Equal vectors are searched once, with their k + 1 smallest ids, which is as many as any query
-    can use: no group of copies grows within a task.
+    Equal vectors are searched once, with the ids of their k + 1 first rows, which is as many as any
+    query can use: no group of copies grows within a task.
     """
     spark = rows.sparkSession
     vectors = staged(_vectors(rows, id_col, vec_col), "vectors")
     width = (vectors.agg(F.max(F.octet_length("vec"))).first()[0] or 0) // 8
-    ranked = vectors.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    classes = staged(ranked.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "distinct_vectors")
+    ranked = vectors.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id", "row"))).where(F.col("r") <= k + 1)
+    classes = ranked.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min_by("row", "r").alias("rep"))
 
     def norms(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array((_matrix(b.column(0).to_pylist(), width).astype(float) ** 2).sum(axis=1))], names=["n"])
+            own = (_matrix(b.column("vec").to_pylist(), width) ** 2).sum(axis=1) if width else np.zeros(b.num_rows, np.int64)
+            yield b.append_column("own", pa.array(own, pa.int64()))
 
-    total, top = classes.select("vec").mapInArrow(norms, "n double").agg(F.count("*"), F.max("n")).first()
-    top = top or 0.0
+    classes = staged(classes.mapInArrow(norms, "vec binary, ids array<long>, rep long, own long"), "distinct_vectors")
+    total, top = classes.agg(F.count("*"), F.max("own")).first()
+    top = float(top or 0)
     n_pivots = min(MAX_PIVOTS, -(-total // VECTORS_PER_PIVOT))
     pivots = _lifted(_matrix([r.vec for r in classes.orderBy(F.xxhash64("rep")).select("vec").limit(n_pivots).collect()], width), top)
 
@@ -221,9 +231,9 @@ def top_k(rows: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id",
                 d = _distance(x, p)
                 at[d < least] = i
                 least = np.minimum(least, d)
-            yield b.append_column("pivot", pa.array(at, pa.int32()))
+            yield b.append_column("pivot", pa.array(at, pa.int32())).append_column("away", pa.array(least))
 
-    placed = staged(classes.mapInArrow(nearest, "vec binary, ids array<long>, rep long, pivot int"), "placed_vectors")
+    placed = staged(classes.mapInArrow(nearest, "vec binary, ids array<long>, rep long, own long, pivot int, away double"), "placed_vectors")
     parts = placed.groupBy("pivot").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
     dealt = placed.join(F.broadcast(parts), "pivot").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))  # a row for each of MAX_PIVOTS pivots
 
@@ -231,24 +241,19 @@ def top_k(rows: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id",
         x, ids = _matrix(table.column("vec").to_pylist(), width), table.column("ids").combine_chunks()
         small = x.astype(np.int32) if top < 2**62 and (not x.size or np.abs(x).max() < 2**31) else x
         flat, n = ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
-        shard = f"{table.column('pivot')[0]}-{table.column('part')[0]}"
-        return pa.table({"shard": [shard], "tree": pa.array([pickle.dumps((vars(Tree(_lifted(x, top))), small, flat, n))], pa.binary())})
-
-    shards = staged(dealt.select("pivot", "part", "vec", "ids").groupBy("pivot", "part").applyInArrow(grow, "shard string, tree binary"), "trees")
-
-    asked = vectors.where(F.col("vec_id") % every == 0)
-    queries = staged(asked.join(classes.select("vec", "rep"), "vec").select(F.col("vec_id").alias("query_id"), "rep"), "queries")
-    wanted = classes.join(queries.select("rep").distinct(), "rep", "left_semi")
-    n_blocks = max(1, -(-queries.select("rep").distinct().count() // QUERY_BLOCK))
-    # Every block of queries meets every shard, the query set against all rows; a block's shards are dealt to several tasks.
-    deals = min(max(1, -(-2 * partitions(spark) // n_blocks)), max(1, shards.count()))
-    count_to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    blocks = wanted.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("rep", "vec")).alias("queries")).withColumn("deal", count_to(deals))
-    trees = shards.withColumn("deal", F.pmod(F.xxhash64("shard"), F.lit(deals)).cast("int")).withColumn("block", count_to(n_blocks))
-    work = trees.repartition(max(partitions(spark), n_blocks * deals), "block", "deal").join(blocks, ["block", "deal"]).select("block", "queries", "tree")
+        tree = pickle.dumps((vars(Tree(_lifted(x, top))), small, flat, n))
+        return pa.table({"shard": [f"{table.column('pivot')[0]}-{table.column('part')[0]}"], "pivot": [table.column("pivot")[0].as_py()], "radius": [max(table.column("away").to_pylist())], "tree": pa.array([tree], pa.binary())})
+
+    shards = staged(dealt.select("pivot", "part", "away", "vec", "ids").groupBy("pivot", "part").applyInArrow(grow, "shard string, pivot long, radius double, tree binary"), "trees")
+
+    queries = staged(vectors.where(F.col("vec_id") % every == 0).join(classes.select("vec", "rep", "own"), "vec").select(F.col("vec_id").alias("query_id"), "row", "rep", "own"), "queries")
+    asked = placed.join(queries.select("rep").distinct(), "rep", "left_semi").select("rep", "vec", "pivot")
+    sizes = asked.groupBy("pivot").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    asked = asked.join(F.broadcast(sizes), "pivot").withColumn("block", F.concat_ws("-", "pivot", F.pmod(F.xxhash64("rep"), F.col("blocks"))))  # of MAX_PIVOTS pivots
+    blocks = staged(asked.groupBy("block", F.col("pivot").cast("long").alias("pivot")).agg(F.collect_list(F.struct("rep", "vec")).alias("queries")), "query_blocks")
 
     def search(batches):
-        best: dict[int, tuple[list[int], np.ndarray, Best]] = {}  # of each block that this task has seen
+        best: dict[str, tuple[list[int], np.ndarray, Best]] = {}  # of each block that this task has seen
         for b in batches:
             for block, asked, blob in zip(b.column("block").to_pylist(), b.column("queries"), b.column("tree").to_pylist()):
                 pages, x, ids, n_ids = pickle.loads(blob)
@@ -258,15 +263,44 @@ def top_k(rows: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id",
                     best[block] = [a["rep"] for a in asked], np.c_[q.astype(float), np.zeros(len(q))], Best(q, top, k + 1)
                 _, lifted, found = best[block]
                 Tree.of(pages).search(lifted, found.take(x, ids, n_ids))
-        for reps, _, found in best.values():
+        for block, (reps, _, found) in best.items():
             there = found.score.ravel() != _NONE
             columns = [np.repeat(reps, k + 1)[there], found.vec_id.ravel()[there], found.score.ravel()[there]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rep", "vec_id", "score"])
-
+            # How far a block's queries may lie from what they still need.
+            reach = np.full(int(there.sum()), found.reach(np.arange(len(reps))).max() if len(reps) else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(reach), pa.string()), *(pa.array(c, pa.int64()) for c in columns), pa.array(reach)], names=["block", "rep", "vec_id", "score", "reach"])
+
+    def searched(pairs: DataFrame) -> DataFrame:
+        """The best of each query in the shards of pairs(block, shard), SHARDS_PER_TASK of them to a task."""
+        per = pairs.groupBy("block").agg(F.ceil(F.count("*") / SHARDS_PER_TASK).cast("int").alias("deals"))
+        work = pairs.join(per, "block").withColumn("deal", F.pmod(F.xxhash64("shard"), F.col("deals")))
+        work = work.join(shards.select("shard", "tree"), "shard").repartition(partitions(spark), "block", "deal")
+        return work.join(blocks.select("block", "queries"), "block").select("block", "queries", "tree").mapInArrow(search, "block string, rep long, vec_id long, score long, reach double")
+
+    described = shards.select("shard", F.col("pivot").alias("at"), "radius")
+    first = staged(searched(blocks.select("block", "pivot").join(described, F.col("pivot") == F.col("at")).select("block", "shard")), "first_answers")
+    # A query of pivot p lies within its block's radius of p, and its k-th best within `reach` of the query.
+    width_of = asked.join(placed.select("rep", "away"), "rep").groupBy("block").agg(F.max("away").alias("spread"))
+    bound = blocks.select("block", "pivot").join(width_of, "block").join(first.groupBy("block").agg(F.max("reach").alias("reach")), "block", "left")
+    gaps = [[float(x) for x in _distance(pivots, p)] for p in pivots]
+
+    def near(batches):
+        for b in batches:
+            far = np.array([gaps[p][q] for p, q in zip(b.column("pivot").to_pylist(), b.column("at").to_pylist())], float)
+            reach = np.array([np.inf if x is None else x for x in b.column("reach").to_pylist()], float)
+            keep = far - b.column("spread").to_numpy() - b.column("radius").to_numpy() <= reach * (1 + MARGIN) + MARGIN
+            yield b.filter(pa.array(keep)).select(["block", "shard"])
+
+    # Descriptions alone meet here: the query set against all rows, in blocks and shards.
+    others = bound.join(described, F.col("pivot") != F.col("at")).select("block", "shard", "pivot", "at", "spread", "radius", "reach")
+    second = searched(staged(others.mapInArrow(near, "block string, shard string"), "pairs_left"))
     order = [F.desc("score"), F.asc("vec_id")]
-    found = work.mapInArrow(search, "rep long, vec_id long, score long").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(*order))).where(F.col("r") <= k + 1)
-    answers = queries.join(found.drop("r"), "rep").where("query_id != vec_id")
-    return answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = first.unionByName(second).select("rep", "vec_id", "score").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(*order))).where(F.col("r") <= k + 1)
+    # Of the rows with the query's own id and score one is the query itself.
+    answers = queries.join(found.drop("r"), "rep").withColumn("nth", F.row_number().over(Window.partitionBy("row", "vec_id", "score").orderBy("rep")))
+    answers = answers.where(~((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own")) & (F.col("nth") == 1)))
+    answers = answers.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(*order))).where(F.col("rank") <= k)
+    return answers.select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """
