@@ -32,6 +32,18 @@ def test_stretches_of_long_texts(spark, monkeypatch):
     assert [found[i] for i in range(4)] == suffixes.brute_force([t.encode() for t in all_texts], 200)
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    """Each row is judged on its own text, whatever other texts its id has."""
+    rng = random.Random(11)
+    chunk = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = chunk(300)
+    all_texts = [(1, chunk(650)), (1, chunk(200) + shared), (None, shared + chunk(50)), (None, chunk(400)), (2, chunk(100)), (2, None), (3, chunk(10) + shared), (3, chunk(10) + shared[:199])]
+    docs = spark.createDataFrame(all_texts, "doc_id long, text string")
+    found = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digest(suffixes.remove_repeats(docs)).collect())
+    want = suffixes.brute_force([(t or "").encode() for _, t in all_texts], 200)
+    assert found == sorted((str(i), *w) for (i, _), w in zip(all_texts, want))
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark):
     t = "abcdefghij" * 30
     docs = spark.createDataFrame([(None, t), (5, t), (5, t), (None, None)], "doc_id long, text string")

@@ -1,18 +1,22 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-Two suffixes agree through `length` bytes exactly when their windows of that many bytes are equal,
-so suffixes are sorted by digits of those windows, most significant digit first, and a group that a
-pass leaves alone drops out. The digits are taken around an anchor: the leftmost least-hashed string
-of ANCHOR bytes in the window, which equal windows have at the same place. Suffixes with one anchor
-follow each other, so a pass handles them as spans:
+Suffixes are ordered only through their first `length` bytes, most significant digit first: each
+pass takes a longer head of the suffix as its digit, and what a pass leaves alone in its group drops
+out. Suffixes whose heads are equal through `length` bytes are exactly the repeated windows.
 
-* pass 1: the digit is the anchor, and a span is all suffixes that share it;
-* pass 2: spans are cut into cells by distance from the anchor; the digit is what all windows of a
-  cell have in common;
-* pass 3: cells are single suffixes, and the digit is the window.
+To sort every suffix on its own would cost many times the input, so suffixes travel in spans. The
+anchor of a suffix is the leftmost least-hashed string of ANCHOR bytes within its head; heads that
+are equal have it at the same distance, so suffixes can only be equal where the suffixes that begin
+at their anchors share a head. The suffixes of one anchor follow each other and make one span:
+
+* pass 1: the digit is the first ANCHOR bytes of the suffix at the anchor;
+* pass 2: spans are cut into cells of suffixes by distance from the anchor; the digit is the head,
+  as long as all heads of the cell cover, of the suffix that the cell begins with farthest right;
+* pass 3: cells are single suffixes, and the digit is the whole head of `length` bytes.
 
 In each pass, a span whose digit is nowhere else is unique and dropped; spans with equal bytes
-throughout are repeated and done; the rest go on, one for each different span.
+throughout are repeated and done; the rest go on, one for each different span. Digits travel as
+64-bit hashes, and bytes count as equal where their 128-bit hashes are; a group is ordered by hash.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import Staged, staged
+from turnwise.llm.common import Staged
 
 LENGTH = 200
 ANCHOR = 32
@@ -33,7 +37,7 @@ CELLS = (24, 1)
 _AT_ONCE = 1 << 21
 _POSITION = 24
 
-_SPAN = "row long, anchor int, first int, n int, weight long, digit long, whole_a long, whole_b long"
+_SPAN = "row long, mark int, anchor int, first int, n int, weight long, digit long, whole_a long, whole_b long"
 
 
 def anchor_hashes(data: np.ndarray) -> np.ndarray:
@@ -77,47 +81,48 @@ def anchored_spans(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _batch(rows: list) -> pa.RecordBatch:
-    """Rows are tuples of arrays for row .. digit and a list of 128-bit digests."""
+    """Rows are tuples of arrays for row, mark .. digit and a list of 128-bit digests."""
     columns = [np.concatenate(c) for c in zip(*(r[:-1] for r in rows))]
     whole = np.frombuffer(b"".join(x for r in rows for x in r[-1]), np.int64).reshape(-1, 2)
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in _SPAN.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, whole[:, 0], whole[:, 1]], kinds)], names=names)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, its stand-in `row` where ids can be null, and the bytes of the text."""
+    """doc_id, the bytes of the text, and (row, mark): 96 bits of hashes of both, as ids may be null or repeat with another text."""
     text = F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("mark", F.hash("text"))
 
 
 def _first_pass(texts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for row, data in zip(b.column("row").to_pylist(), b.column("text").to_pylist()):
+            for row, mark, data in zip(*(b.column(x).to_pylist() for x in ("row", "mark", "text"))):
                 if len(data) < length:
                     continue
                 anchor, first, n, digit = anchored_spans(data, length)
                 ends = (first + n + length - 1).tolist()
                 whole = [xxhash.xxh3_128_digest(data[s:e]) for s, e in zip(first.tolist(), ends)]
-                rows.append((np.full(len(n), row), anchor, first, n, np.ones(len(n), np.int64), digit.view(np.int64), whole))
+                rows.append((np.full(len(n), row), np.full(len(n), mark), anchor, first, n, np.ones(len(n), np.int64), digit.view(np.int64), whole))
                 if len(rows) >= 512:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
 
-    return texts.select("row", "text").mapInArrow(run, _SPAN)
+    return texts.select("row", "mark", "text").mapInArrow(run, _SPAN)
 
 
 def _finer_pass(texts: DataFrame, pending: DataFrame, length: int, size: int) -> DataFrame:
     """The pending spans, cut into cells of `size` suffixes by distance from the anchor."""
-    by_row = pending.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "n", "weight")).alias("spans"))
+    by_row = pending.groupBy("row", "mark").agg(F.collect_list(F.struct("anchor", "first", "n", "weight")).alias("spans"))
 
     def run(batches):
         for b in batches:
-            for row, data, spans in zip(*(b.column(x).to_pylist() for x in ("row", "text", "spans"))):
+            for row, mark, data, spans in zip(*(b.column(x).to_pylist() for x in ("row", "mark", "text", "spans"))):
                 out: list[list] = [[] for _ in range(6)]
                 for x in spans:
                     anchor, first, end = x["anchor"], x["first"], x["first"] + x["n"]
@@ -132,37 +137,44 @@ def _finer_pass(texts: DataFrame, pending: DataFrame, length: int, size: int) ->
                         out[4].append(xxhash.xxh3_64_intdigest(common, seed=cell))
                         out[5].append(xxhash.xxh3_128_digest(data[first : last - 1 + length], seed=cell))
                         first = last
-                yield _batch([(np.full(len(out[0]), row), *map(np.array, out[:4]), np.array(out[4], np.uint64).view(np.int64), out[5])])
+                yield _batch([(np.full(len(out[0]), row), np.full(len(out[0]), mark), *map(np.array, out[:4]), np.array(out[4], np.uint64).view(np.int64), out[5])])
 
-    return texts.join(by_row, "row").select("row", "text", "spans").mapInArrow(run, _SPAN)
+    return texts.join(by_row, ["row", "mark"]).select("row", "mark", "text", "spans").mapInArrow(run, _SPAN)
 
 
-def _sorted_out(pass_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeated spans as row, first, n; pending spans) of one pass.
+def _sorted_out(pass_: DataFrame) -> tuple[DataFrame, Staged]:
+    """(repeated spans as row, mark, first, n; pending spans) of one pass.
 
     Counts are written before they are joined to spans, so that Spark can split the partition of a
     digit that very many texts share.
     """
     spans = Staged(pass_, "spans")
     digits = spans.read().groupBy("digit").agg(F.sum("weight").alias("total"), (F.min("whole_a") != F.max("whole_a")).alias("mixed"))
-    digits = staged(digits.where("total > 1").select("digit", "mixed"), "repeated_digits")
-    alive = staged(spans.read().join(digits, "digit"), "alive_spans")
+    digits = Staged(digits.where("total > 1").select("digit", "mixed"), "repeated_digits")
+    alive = Staged(spans.read().join(digits.read(), "digit"), "alive_spans")
     spans.drop()
+    digits.drop()
     whole = ["digit", "whole_a", "whole_b"]
     # Any one of the equal spans stands for all: first() takes every column from the same row.
-    each = alive.groupBy(*whole).agg(F.sum("weight").alias("total"), F.first("mixed").alias("mixed"), *[F.first(c).alias(c) for c in ("row", "anchor", "first", "n")])
-    each = staged(each.where("mixed or total > 1"), "different_spans")
-    repeated = alive.where("weight = 1").join(each.where("total > 1").select(*whole), whole, "left_semi")
-    pending = each.where("mixed").select("row", "anchor", "first", "n", F.col("total").alias("weight"))
-    return repeated.select("row", "first", "n"), pending
+    each = alive.read().groupBy(*whole).agg(F.sum("weight").alias("total"), F.first("mixed").alias("mixed"), *[F.first(c).alias(c) for c in ("row", "mark", "anchor", "first", "n")])
+    each = Staged(each.where("mixed or total > 1"), "different_spans")
+    # Rows of one id and text give the same spans: once is enough.
+    repeated = alive.read().where("weight = 1").join(each.read().where("total > 1").select(*whole), whole, "left_semi")
+    repeated = Staged(repeated.select("row", "mark", "first", "n"), "repeated_spans")
+    alive.drop()
+    pending = Staged(each.read().where("mixed").select("row", "mark", "anchor", "first", "n", F.col("total").alias("weight")), "pending_spans")
+    each.drop()
+    return repeated.read(), pending
 
 
 def _repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """(row, first, n): suffixes first .. first + n - 1 start with `length` bytes that also start elsewhere."""
+    """(row, mark, first, n): suffixes first .. first + n - 1 start with `length` bytes that also start elsewhere."""
     found, pending = _sorted_out(_first_pass(texts, length))
     for size in CELLS:
-        repeated, pending = _sorted_out(_finer_pass(texts, pending, length, size))
-        found = found.union(repeated)
+        repeated, finer = _sorted_out(_finer_pass(texts, pending.read(), length, size))
+        pending.drop()
+        found, pending = found.union(repeated), finer
+    pending.drop()
     return found
 
 
@@ -186,12 +198,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     Each text is its UTF-8 bytes; null counts as empty. A byte goes if a window of `length` bytes
     that covers it also starts at another place, in this text or another; windows are judged on the
-    input. Texts shorter than `length` are kept whole. Rows that repeat an id and its text are
-    repeats like any others; an id should not have two texts (each would lose what either would).
-    Rows with a null id are told apart by their texts. An empty table gives no rows.
+    input. Texts shorter than `length` are kept whole. Rows that repeat an id, a null one too, with
+    its text or with another are texts like any others. Other columns are ignored; an empty table
+    gives no rows.
     """
     texts = _texts(docs, id_col, text_col)
-    spans = _repeated_spans(texts, length).groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    spans = _repeated_spans(texts, length).groupBy("row", "mark").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
 
     def run(batches):
         for b in batches:
@@ -202,10 +214,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    return texts.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return texts.join(spans, ["row", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def digest(kept: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of what remove_repeats() returns; the hash of no bytes where nothing is left."""
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
