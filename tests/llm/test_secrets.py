@@ -3,6 +3,9 @@ import random
 import re
 import string
 
+import pytest
+from pyspark.sql import functions as F
+
 from turnwise.llm import secrets
 
 
@@ -64,11 +67,50 @@ def test_the_battery_tells_keys_from_words(spark):
     assert not [i for i in found if i >= 1000]
 
 
+ALPHABETS = {
+    "hex": "0123456789abcdef", "lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "letters": string.ascii_letters, "base32": string.ascii_uppercase + "234567",
+    "base36": string.digits + string.ascii_lowercase, "base36 upper": string.digits + string.ascii_uppercase, "base62": string.digits + string.ascii_letters,
+    "base64": string.digits + string.ascii_letters + "+/", "base64url": string.digits + string.ascii_letters + "-_",
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_recall_by_alphabet_and_length(name):
+    """Of 200 random keys of each length 9 in 10 or more are admitted."""
+    rng = random.Random(8)
+    for n in (20, 24, 32, 48, 64):
+        found = [secrets.candidates(random_key(rng, n, ALPHABETS[name]), []) for _ in range(200)]
+        counts = {}
+        for of_key in found:
+            for _, _, b, k in of_key:
+                counts[b, k] = counts.get((b, k), 0) + 1
+        least = secrets.admitted(counts)
+        assert sum(any(k >= least.get(b, secrets.BUCKETS) for *_, b, k in of_key) for of_key in found) >= 180, n
+
+
+def test_words_are_no_secrets():
+    words = [
+        "AbstractSingletonProxyFactoryBeanDefinition", "donaudampfschifffahrtsgesellschaftskapitaen", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "INTERNATIONALIZATIONFRAMEWORK", "2024-01-02T03-04-05-000001",
+        "MAX_CONNECTION_COUNT_LIMIT", "IMG_20240102_030405_HDR_final", "getElementsByClassNameNS2XYZ", "Krankenversicherungskarte2024", "550e8400-e29b-41d4-a716-446655440000", "31415926535897932384626433832795",
+    ]
+    assert all(k < 8 for w in words for *_, k in secrets.candidates(w, []))  # a chance of 1 % or more
+
+
+def test_parts_of_runs_in_other_alphabets():
+    rng = random.Random(9)
+    for _ in range(50):
+        key = random_key(rng, 40)
+        text = f"v1/{key}_x-y"
+        assert any(s <= 3 and e >= 43 and k > 30 for s, e, _, k in secrets.candidates(text, []))
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "password=abcdefghij and rest", "en"), (2, None, "de"), (3, "clean", None)], "doc_id long, text string, lang string")
     out = secrets.redact(docs)
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "[assign removed] and rest", 2: None, 3: "clean"}
+    clash = docs.withColumn("found", F.lit("x")).withColumn("spans", F.lit(1))
+    assert secrets.redact(clash).columns == clash.columns and secrets.redact(clash.limit(0)).count() == 0
 
 
 def test_false_discovery_control():

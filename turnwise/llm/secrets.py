@@ -3,22 +3,32 @@
 A run of 20 or more characters of the usual encodings is given the smallest alphabet that holds it.
 Three tests ask whether it can be random over that alphabet: chi-squared uniformity, runs above and
 below the middle of the alphabet, and lag-one serial correlation. A run that they don't reject is a
-candidate, and its p-value is the chance that a word-like string of the same length and alphabet
-looks as uniform as it does; that noncentral chi-squared tail shrinks with length. Candidates are
-then admitted by Benjamini-Hochberg within bands of length, over the candidates of all documents.
+candidate. Its p-value is the chance that a word-like string looks so random: at most exp(-L), L the
+logarithm of how much likelier the string is over its alphabet than as words, where letters follow
+their usual shares, consonants and vowels take turns, and kinds of characters come in runs. L grows
+with length. Candidates are then admitted by Benjamini-Hochberg within bands of length, over the
+candidates of all documents.
+
+Where no alphabet holds a run, or it reads as words, its parts between slashes and pluses, then
+between hyphens and underscores, are tested. Not found by the battery: what is shorter than 20
+characters, digits alone (a number is as uniform as a key), and UUIDs, which are no secrets.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_right
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.llm.common import Staged
+
 KINDS = ("assign", "access", "hex", "random")
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -27,27 +37,35 @@ _HEX = re.compile(r"[0-9a-f]+")
 # '=' is part of a run only as padding at its end: NAME=value gives the value as a run of its own.
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
 
-# Alphabets from small to large, with the sum of squared shares of their characters in word-like strings.
+_UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+
+# Alphabets from small to large.
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _ALPHABETS = [
-    ("decimal", _DIGITS, 0.2),
-    ("hex", _DIGITS + "abcdef", 0.25),
-    ("hex upper", _DIGITS + "ABCDEF", 0.25),
-    ("lower", _LOWER, 0.066),
-    ("upper", _UPPER, 0.066),
-    ("letters", _UPPER + _LOWER, 0.064),
-    ("base32", _UPPER + "234567", 0.066),
-    ("base36", _DIGITS + _LOWER, 0.066),
-    ("base36 upper", _DIGITS + _UPPER, 0.066),
-    ("base62", _DIGITS + _UPPER + _LOWER, 0.064),
-    ("base64", _DIGITS + _UPPER + _LOWER + "+/", 0.063),
-    ("base64url", _DIGITS + _UPPER + _LOWER + "-_", 0.063),
-]
-_ALPHABETS = [(name, {c: i for i, c in enumerate(chars)}, share) for name, chars, share in _ALPHABETS]
+    _DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER, _UPPER, _UPPER + _LOWER, _UPPER + "234567", _DIGITS + _LOWER, _DIGITS + _UPPER,
+    _DIGITS + _UPPER + _LOWER, _DIGITS + _UPPER + _LOWER + "+/", _DIGITS + _UPPER + _LOWER + "-_",
+]
+_ALPHABETS = [{c: i for i, c in enumerate(chars)} for chars in _ALPHABETS]
+
+# Word-like strings. Rounded shares of letters in western European text; of kinds of characters after the kind before;
+# of vowels after so many consonants, none meaning a vowel.
+_VOWELS = {"a": 0.22, "e": 0.35, "i": 0.19, "o": 0.16, "u": 0.08}
+_CONSONANTS = {"n": 0.13, "s": 0.12, "r": 0.12, "t": 0.12, "l": 0.08, "d": 0.07, "c": 0.06, "h": 0.06, "m": 0.05, "p": 0.04, "g": 0.03, "b": 0.025, "f": 0.025, "v": 0.02, "y": 0.015, "w": 0.015, "k": 0.01, "q": 0.005, "z": 0.005, "j": 0.005, "x": 0.005}
+_AFTER = {
+    "": {"lower": 0.5, "upper": 0.3, "digit": 0.15, "mark": 0.05},
+    "lower": {"lower": 0.86, "upper": 0.06, "digit": 0.04, "mark": 0.04},
+    "upper": {"lower": 0.45, "upper": 0.45, "digit": 0.05, "mark": 0.05},
+    "digit": {"lower": 0.08, "upper": 0.07, "digit": 0.75, "mark": 0.1},
+    "mark": {"lower": 0.55, "upper": 0.2, "digit": 0.2, "mark": 0.05},
+}
+_VOWEL_AFTER = (0.22, 0.6, 0.65, 0.65, 0.65)
 BANDS = (20, 24, 32, 40, 48, 64, 96, 128, 256)
 BUCKETS, PER_DECADE = 120, 4
 REJECT = 1e-3
 FDR = 0.01
+#: A part of a run that reads as words with a chance above this gives way to its own parts.
+_READS_AS_WORDS = 0.01
+_PARTS = (None, re.compile(r"[^+/]+"), re.compile(r"[^_-]+"), re.compile(r"[^+/_-]+"))
 
 
 def _normal_tail(z: float) -> float:
@@ -59,14 +77,41 @@ def _chi2_z(x: float, df: float) -> float:
     return ((x / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df))
 
 
+def _kind(c: str) -> str:
+    return "lower" if c in _LOWER else "upper" if c in _UPPER else "digit" if c in _DIGITS else "mark"
+
+
+@cache
+def _gain(alphabet: int, before: str, c: str, consonants: int) -> float:
+    """By how much the logarithm of `c` is larger at random over the alphabet than as words, after a kind and so many consonants."""
+    kind, low = _kind(c), c.lower()
+    words = _AFTER[before][kind]
+    if low in _VOWELS:
+        words *= _VOWEL_AFTER[min(consonants, 4)] * _VOWELS[low]
+    elif low in _CONSONANTS:
+        words *= (1 - _VOWEL_AFTER[min(consonants, 4)]) * _CONSONANTS[low]
+    else:
+        words /= 10 if kind == "digit" else 4
+    return -math.log(len(_ALPHABETS[alphabet]) * words)
+
+
+def _gains(alphabet: int, body: str) -> float:
+    total, before, consonants = 0.0, "", 0
+    for c in body:
+        total += _gain(alphabet, before, c, min(consonants, 4))
+        before = _kind(c)
+        consonants = consonants + 1 if c.lower() in _CONSONANTS else 0
+    return total
+
+
 def battery(token: str) -> float | None:
     """The p-value of `token` as a word-like string, or None where it is no candidate."""
     body = token.rstrip("=")
     chars = set(body)
-    alphabet = next(((values, share) for _, values, share in _ALPHABETS if chars <= values.keys()), None)
-    if alphabet is None or len(body) < BANDS[0]:
+    alphabet = next((i for i, values in enumerate(_ALPHABETS) if chars <= values.keys()), None)
+    if not alphabet or len(body) < BANDS[0] or _UUID.fullmatch(body):
         return None
-    values, share = alphabet
+    values = _ALPHABETS[alphabet]
     n, k = len(body), len(values)
     x = np.array([values[c] for c in body], float)
     observed = float(((np.bincount(x.astype(int), minlength=k) - n / k) ** 2).sum() * k / n)
@@ -84,10 +129,10 @@ def battery(token: str) -> float | None:
     fisher = -2 * sum(math.log(max(p, 1e-300)) for p in (uniform, runs, serial))
     if _normal_tail(_chi2_z(fisher, 6)) < REJECT:
         return None
-    off = n * (k * share - 1)  # how far from uniform a word-like string of this length is
-    df = k - 1
-    scale, f = (df + 2 * off) / (df + off), (df + off) ** 2 / (df + 2 * off)
-    return _normal_tail(-_chi2_z(observed / scale, f))
+    # Words are as likely in capitals as not.
+    gains = sorted(_gains(alphabet, x) for x in (body, body.swapcase()))
+    gain = gains[0] - math.log1p(math.exp(gains[0] - gains[1])) + math.log(2)
+    return math.exp(-min(max(gain, 0.0), 690.0))
 
 
 def band(length: int) -> int:
@@ -111,6 +156,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _tested(run: str) -> list[tuple[int, int, float]]:
+    """(start, end, p) of the candidates of a run: it as a whole, or parts of it that read less like words."""
+    fallback = []
+    for part in _PARTS:
+        pieces = [(0, len(run))] if part is None else [m.span() for m in part.finditer(run)]
+        found = [(s, e, p) for s, e in pieces if e - s >= BANDS[0] and (p := battery(run[s:e])) is not None]
+        if any(p <= _READS_AS_WORDS for *_, p in found):
+            return found
+        fallback = fallback or found
+    return fallback
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
     """(start, end, band, bucket) of what the base spans leave of runs and the battery does not reject."""
     found = []
@@ -121,11 +178,18 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
             left.append((s, a))
             s = max(s, b)
         for s, e in [*left, (s, e)]:
-            if e - s >= BANDS[0] and (p := battery(text[s:e])) is not None:
-                found.append((s, e, band(e - s), bucket(p)))
+            if e - s >= BANDS[0]:
+                found += [(s + i, s + j, band(j - i), bucket(p)) for i, j, p in _tested(text[s:e])]
     return found
 
 
+def found_in(text: str | None) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, kind, band, bucket) of base spans, of band -1, and of candidates, by start and kind; null counts as empty."""
+    base = base_spans(text or "")
+    every = [(*x, -1, 0) for x in base] + [(s, e, "random", b, k) for s, e, b, k in candidates(text or "", base)]
+    return sorted(every, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+
+
 def admitted(counts: dict[tuple[int, int], int], fdr: float = FDR) -> dict[int, int]:
     """For each band, the least bucket that Benjamini-Hochberg at rate `fdr` admits."""
     least = {}
@@ -139,30 +203,37 @@ def admitted(counts: dict[tuple[int, int], int], fdr: float = FDR) -> dict[int,
     return least
 
 
-def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[int, int]:
-    """The admitted buckets of each length band, from the candidates of all documents.
+_FOUND = "array<struct<start:int,end:int,kind:string,band:int,bucket:int>>"
+_FOUND_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("band", pa.int32()), ("bucket", pa.int32())]))
 
-    At most len(BANDS) x BUCKETS counts reach the driver.
-    """
+
+def _searched(docs: DataFrame, text_col: str, name: str, drop_text: bool) -> Staged:
+    """`docs` with the column `name` of what found_in() gives, written once: the battery runs once a row."""
+    kept = [c for c in docs.columns if not (drop_text and c == text_col)]
 
     def run(batches):
-        counts: dict[tuple[int, int], int] = {}
         for b in batches:
-            for t in b.column(0).to_pylist():
-                for _, _, x, k in candidates(t or "", base_spans(t or "")):
-                    counts[x, k] = counts.get((x, k), 0) + 1
-        rows = [[x for x, _ in counts], [k for _, k in counts], list(counts.values())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int32(), pa.int64()))], names=["band", "bucket", "n"])
+            found = [[dict(zip(("start", "end", "kind", "band", "bucket"), x)) for x in found_in(t)] for t in b.column(text_col).to_pylist()]
+            yield b.select(kept).append_column(name, pa.array(found, _FOUND_TYPE))
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "band int, bucket int, n long")
-    return admitted({(r.band, r.bucket): r.n for r in rows.groupBy("band", "bucket").agg(F.sum("n").alias("n")).collect()}, fdr)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), f"`{name}` {_FOUND}"])
+    return Staged(docs.mapInArrow(run, schema), "searched")
 
 
-def spans(text: str | None, least: dict[int, int]) -> list[tuple[int, int, str]]:
-    """All spans of a text by start, then kind; null counts as empty."""
-    base = base_spans(text or "")
-    more = [(s, e, "random") for s, e, b, k in candidates(text or "", base) if k >= least.get(b, BUCKETS)]
-    return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+def thresholds(found: DataFrame, name: str, fdr: float = FDR) -> dict[int, int]:
+    """The admitted buckets of each length band, from the candidates of all documents.
+
+    At most len(BANDS) x BUCKETS counts reach the driver.
+    """
+    rows = found.select(F.explode(name).alias("x")).where("x.band >= 0").groupBy("x.band", "x.bucket").agg(F.count("*").alias("n"))
+    return admitted({(r.band, r.bucket): r.n for r in rows.collect()}, fdr)
+
+
+def _kept(name: str, least: dict[int, int]) -> Column:
+    """The base spans and the admitted candidates of the column `name`."""
+    cut = lambda x: F.coalesce(*[F.when(x["band"] == b, F.lit(k)) for b, k in least.items()], F.lit(BUCKETS))
+    kept = F.filter(name, lambda x: (x["band"] < 0) | (x["bucket"] >= cut(x)))
+    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
 
 
 def redacted(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -178,37 +249,33 @@ def redacted(text: str, found: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """(doc_id, spans array<struct<start, end, kind>>) of every row; code points, end exclusive.
 
-    A null or empty text has no spans. Repeated rows repeat; other columns are ignored; an empty
-    table gives no rows.
+    A null or empty text has no spans. Strings of under 20 characters, digits alone and UUIDs are
+    never `random`. Repeated rows repeat, null ids too; other columns are ignored; an empty table
+    gives no rows.
     """
-    least = thresholds(docs, text_col, fdr)
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-
-    def run(batches):
-        for b in batches:
-            found = [[{"start": s, "end": e, "kind": k} for s, e, k in spans(t, least)] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
-
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<start int, end int, kind string>>")
+    found = _searched(rows, "text", "found", True).read()
+    return found.select("doc_id", _kept("found", thresholds(found, "found", fdr)).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """`docs` with every span of its texts replaced by a mark; null texts stay null, rows and columns stay."""
-    least = thresholds(docs, text_col, fdr)
-    schema = docs.schema
+    name = f"found_{uuid.uuid4().hex}"
+    found = _searched(docs, text_col, name, False).read()
+    rows = found.withColumn(name, _kept(name, thresholds(found, name, fdr)))
 
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            texts = [t if t is None else redacted(t, spans(t, least)) for t in b.column(at).to_pylist()]
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            found = b.column(name).to_pylist()
+            texts = [t if t is None else redacted(t, [(x["start"], x["end"], x["kind"]) for x in spans]) for t, spans in zip(b.column(at).to_pylist(), found)]
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).select([c for c in b.schema.names if c != name])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by kind and the spans as text, from what scan() returns."""
+    """Counts by kind and the spans as text, from what scan() returns; a row without spans has zeros and the hash of no text."""
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "random")
