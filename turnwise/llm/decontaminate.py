@@ -4,32 +4,34 @@ A seed is the hash of the tokens at the set positions of a fixed mask; the other
 anything. Seeds of benchmark items and of documents are joined, each hit gives a diagonal (where the
 item would begin in the document), and the tokens along the diagonal are compared one by one: the
 document holds the item if some WINDOW tokens in a row, or the whole of a shorter item, agree in
-AGREE of their places or more. The masks are so chosen that none of these is missed.
+AGREE of their places or more. The masks are so chosen that none of these is missed. An item of too
+few tokens for a seed is held by documents that are that item and nothing else.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import staged
+from turnwise.llm.common import Staged
 
 #: One of these lies on equal tokens alone in every window of SHORT to WINDOW tokens that agrees in AGREE of its places.
 MASKS = ("11111", "111011", "11010011")
 WINDOW = 13
 AGREE = 0.8
-#: Items of fewer than MIN_TOKENS tokens say nothing about where they come from and match no document; those of
-#: fewer than SHORT must agree in all places.
+#: Items of fewer than MIN_TOKENS tokens are held by documents of the same tokens alone; those of fewer than SHORT must agree in all places.
 MIN_TOKENS, SHORT = 5, 8
-#: Seeds of about so many bytes are broadcast at once; a larger benchmark is taken in several parts.
-BROADCAST_BYTES = 32 << 20
+#: Seeds of up to about so many bytes are broadcast. Beyond, documents' seeds pass a bit table of FILTER_WORDS x 64 bits, which
+#: is broadcast in place of them, and are then joined in a shuffle.
+BROADCAST_BYTES, FILTER_WORDS = 32 << 20, 1 << 19
+#: Scripts without spaces between words: each character is a token.
+_UNSPACED = "Han Hiragana Katakana Thai Lao Khmer Myanmar".split()
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ", -1)
+    """Lower-case runs of letters and digits, and single characters of scripts that have no spaces."""
+    alone = F.regexp_replace(F.lower(text), "([" + "".join(rf"\p{{Is{s}}}" for s in _UNSPACED) + "])", " $1 ")
+    return F.split(F.trim(F.regexp_replace(alone, r"[^\p{L}\p{N}]+", " ")), " ", -1)
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
@@ -42,57 +44,81 @@ def _seeds(rows: DataFrame) -> DataFrame:
     return each.where("seed is not null").drop("n")
 
 
-def _hashed(df: DataFrame, key: Column, text: Column, key_name: str) -> DataFrame:
-    rows = df.select(key.cast("long").alias(key_name), tokens(text.cast("string")).alias("words")).where(F.col("words").isNotNull())
-    return rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", agree: float = AGREE) -> DataFrame:
-    """(doc_id, item_id, n_equal, n_item): the items that each document holds, whole texts against all items.
-
-    n_equal is the most equal tokens along any diagonal that passes. Null and empty texts hold
-    nothing and are held by nothing, and so are rows with a null id. Repeated rows count once.
-    Other columns are ignored; empty tables give no rows.
-    """
-    spark = docs.sparkSession
-    items = _hashed(benchmark, F.col(item_col), F.col(item_text_col), "item_id").where("item_id is not null").withColumn("n_item", F.size("hashes")).where(F.col("n_item") >= MIN_TOKENS).distinct()
-    size = items.agg(F.sum(F.col("n_item") * (len(MASKS) * 64)).alias("bytes")).first()
-    parts = max(1, math.ceil((size.bytes or 0) / BROADCAST_BYTES))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    texts = _hashed(rows, F.col("doc_id"), F.col("text"), "doc_id")
-    seeds = _seeds(items).select("seed", "item_id", "n_item", F.col("position").alias("at")).distinct()
-    hits = None
-    for part in range(parts):
-        some = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == part) if parts > 1 else seeds
-        found = _seeds(texts).select("doc_id", "seed", "position").join(F.broadcast(some), "seed")
-        found = found.select("doc_id", "item_id", "n_item", (F.col("position") - F.col("at")).alias("diagonal"))
-        hits = found if hits is None else hits.union(found)
-    hits = staged(hits.distinct(), "hits")
+def _hashed(rows: DataFrame) -> DataFrame:
+    """`rows` with the hashes of the tokens of `text` in its place; rows without a text are left out."""
+    words = rows.withColumn("words", tokens(F.col("text"))).where(F.col("words").isNotNull())
+    return words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words", "text")
+
+
+def _hits(seeds: DataFrame, of_items: DataFrame, key: list[str], n_tokens: int) -> DataFrame:
+    """(key, item_id, n_item, diagonal) of documents' seeds that items have."""
+    if n_tokens * len(MASKS) * 64 <= BROADCAST_BYTES:
+        found = seeds.join(F.broadcast(of_items), "seed")
+    else:
+        word, bit = F.pmod("seed", F.lit(FILTER_WORDS)), F.pmod(F.shiftrightunsigned("seed", 32), F.lit(64)).cast("int")
+        table = of_items.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))  # FILTER_WORDS rows at most
+        passed = seeds.withColumn("word", word).join(F.broadcast(table), "word").where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1)
+        found = passed.join(of_items.hint("merge"), "seed")
+    return found.select(*key, "item_id", "n_item", (F.col("position") - F.col("at")).alias("diagonal")).distinct()
+
+
+def _held(rows: DataFrame, key: list[str], benchmark: DataFrame, item_col: str, item_text_col: str, agree: float) -> DataFrame:
+    """(key, item_id, n_equal, n_item) of rows(key, text); rows of one key hold what any of their texts holds."""
+    items = _hashed(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null"))
+    items = items.withColumn("n_item", F.size("hashes")).distinct()
+    n_tokens = items.agg(F.coalesce(F.sum("n_item"), F.lit(0)).alias("n")).first().n
+    long = items.where(F.col("n_item") >= MIN_TOKENS)
+    texts = _hashed(rows)
+    # The empty text has one empty token and is no item.
+    short = items.where(F.col("n_item") < MIN_TOKENS).where(F.col("hashes")[0] != F.xxhash64(F.lit("")))
+    same = texts.where(F.size("hashes") < MIN_TOKENS).join(short, "hashes").select(*key, "item_id", F.col("n_item").alias("n_equal"), "n_item")
+    of_items = _seeds(long).select("seed", "item_id", "n_item", F.col("position").alias("at")).distinct()
+    hits = Staged(_hits(_seeds(texts).select(*key, "seed", "position"), of_items, key, n_tokens), "hits").read()
     # Only documents with a hit are cut into tokens again; each diagonal takes its stretch of them along once.
-    hit = _hashed(rows.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), F.col("doc_id"), F.col("text"), "doc_id")
+    hit = _hashed(rows.join(hits.select(*key).distinct(), key, "left_semi"))
     first = F.greatest(F.lit(0), -F.col("diagonal"))
     length = F.least(F.col("n_item"), F.size("hashes") - F.col("diagonal")) - first
     stretch = F.slice("hashes", F.col("diagonal") + first + 1, F.greatest(F.lit(0), length))
-    along = hit.join(hits, "doc_id").where(F.col("diagonal") < F.size("hashes")).select("doc_id", "item_id", "n_item", first.alias("first"), stretch.alias("stretch"))
-    once = along.join(items.select("item_id", "n_item", F.col("hashes").alias("item")), ["item_id", "n_item"])
+    along = hit.join(hits, key).where(F.col("diagonal") < F.size("hashes")).select(*key, "item_id", "n_item", first.alias("first"), stretch.alias("stretch"))
+    once = along.join(long.select("item_id", "n_item", F.col("hashes").alias("item")), ["item_id", "n_item"])
     equal = F.zip_with("stretch", F.slice("item", F.col("first") + 1, F.size("stretch")), lambda a, b: (a == b).cast("int"))
     width = F.least(F.lit(WINDOW), F.col("n_item"))
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, e: s + e)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("width") + 1), lambda i: total(F.slice("equal", i, F.col("width")))))
-    checked = once.select("doc_id", "item_id", "n_item", width.alias("width"), equal.alias("equal")).where(F.size("equal") >= F.col("width"))
+    checked = once.select(*key, "item_id", "n_item", width.alias("width"), equal.alias("equal")).where(F.size("equal") >= F.col("width"))
     passed = checked.where(best >= F.when(F.col("n_item") < SHORT, F.col("width")).otherwise(F.ceil(F.lit(agree) * F.col("width"))))
-    return passed.groupBy("doc_id", "item_id").agg(F.max(total(F.col("equal"))).alias("n_equal"), F.max("n_item").alias("n_item"))
+    return passed.select(*key, "item_id", total(F.col("equal")).alias("n_equal"), "n_item").unionByName(same).groupBy(*key, "item_id").agg(F.max("n_equal").alias("n_equal"), F.max("n_item").alias("n_item"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, that hold no item of the benchmark; null ids stay."""
-    held = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("held_id")).distinct()
-    return docs.join(held, docs[id_col] == held["held_id"], "left_anti")
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", agree: float = AGREE) -> DataFrame:
+    """(doc_id, item_id, n_equal, n_item): the items that each document holds, whole texts against all items.
+
+    n_equal is the most equal tokens along any diagonal that passes. Null and empty texts hold
+    nothing and are held by nothing, and so are rows with a null id. Repeated rows count once, and
+    an id with several texts holds what any of them holds. Other columns are ignored; empty tables
+    give no rows.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    return _held(rows, ["doc_id"], benchmark, item_col, item_text_col, agree)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold no item of the benchmark.
+
+    Rows are told apart by two hashes of their text, so a null id or one that repeats with another
+    text makes no difference; rows of one text go or stay together. Null texts stay.
+    """
+    text = F.col(text_col).cast("string")
+    name = {"a": F.xxhash64(text), "b": F.hash(text)}
+    rows = docs.where(text.isNotNull()).select(*[x.alias(f"text_{k}") for k, x in name.items()], text.alias("text"))
+    gone = _held(rows, ["text_a", "text_b"], benchmark, "item_id", "text", AGREE).select(F.col("text_a").alias("gone_a"), F.col("text_b").alias("gone_b")).distinct()
+    return docs.join(gone, (name["a"] == F.col("gone_a")) & (name["b"] == F.col("gone_b")) & text.isNotNull(), "left_anti")
 
 
 def oracle_sql(masks: tuple[str, ...] = MASKS) -> str:
     """The same over `documents` and `benchmark` in DuckDB SQL, with token strings for hashes."""
-    words = r"string_split(trim(regexp_replace(lower(text), '[^\pL\pN]+', ' ', 'g')), ' ')"
+    alone = "[" + "".join(rf"\p{{{s}}}" for s in _UNSPACED) + "]"
+    words = rf"string_split(trim(regexp_replace(regexp_replace(lower(text), '({alone})', ' \1 ', 'g'), '[^\pL\pN]+', ' ', 'g')), ' ')"
     key = lambda t: " UNION ALL ".join(f"SELECT id, w, p, {i} || '|' || concat_ws(' ', {', '.join(f'w[p + {k + 1}]' for k, c in enumerate(m) if c == '1')}) AS seed FROM {t} WHERE p + {len(m)} <= len(w)" for i, m in enumerate(masks))
     return f"""
 WITH d AS (SELECT doc_id AS id, {words} AS w FROM documents WHERE text IS NOT NULL),
@@ -103,6 +129,7 @@ hit AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS g, ds.
 eq AS (SELECT doc_id, item_id, g, len(v) AS n_item, least({WINDOW}, len(v)) AS wd,
   list_transform(range(greatest(0, -g), least(len(v), len(w) - g)), lambda i: CASE WHEN v[i + 1] = w[g + i + 1] THEN 1 ELSE 0 END) AS e FROM hit),
 ok AS (SELECT doc_id, item_id, n_item, list_sum(e) AS n FROM eq WHERE len(e) >= wd
-  AND list_max(list_transform(range(0, len(e) - wd + 1), lambda i: list_sum(e[i + 1 : i + wd]))) >= CASE WHEN n_item < {SHORT} THEN wd ELSE ceil({AGREE} * wd) END)
-SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS n_equal, CAST(max(n_item) AS INTEGER) AS n_item FROM ok GROUP BY doc_id, item_id
+  AND list_max(list_transform(range(0, len(e) - wd + 1), lambda i: list_sum(e[i + 1 : i + wd]))) >= CASE WHEN n_item < {SHORT} THEN wd ELSE ceil({AGREE} * wd) END
+  UNION ALL SELECT d.id, b.id, len(b.w), len(b.w) FROM d JOIN b ON d.w = b.w WHERE len(b.w) < {MIN_TOKENS} AND b.w <> [''])
+SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS n_equal, CAST(max(n_item) AS INTEGER) AS n_item FROM ok WHERE doc_id IS NOT NULL AND item_id IS NOT NULL GROUP BY doc_id, item_id
 """
