@@ -58,7 +58,20 @@ def test_brute_force(spark):
 
 def test_sql(spark):
     said = spark.read.parquet(f"{SF}/conversations.parquet")
-    same(chat.digest(chat.preference_pairs(chat.neighbours(said))).toPandas(), duck().execute(chat.ORACLE_SQL).df())
+    found = chat.digest(chat.preference_pairs(chat.replaced_replies(said))).toPandas()
+    same(found, duck().execute(chat.ORACLE_SQL).df())
+    assert (found.n_common > 0).mean() > 0.9 and (found.chosen != found.rejected).mean() > 0.5
+
+
+def test_replaced_replies(spark):
+    said = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "assistant", "b"), (1, 0, "user", "r"), (1, 1, "assistant", "c"), (2, 0, "user", "s"), (2, 1, "assistant", None), (4, 0, "user", "t"), (None, 0, "user", "x"), (1, None, None, None)]
+    turns = spark.createDataFrame([(*t, "x") for t in said], "conv_id long, turn long, role string, text string, other string").drop("other")
+    rows = sorted(map(str, ((r.pair_id, r.chosen, r.turn, r.role, r.text) for r in chat.replaced_replies(turns).collect())))
+    as_is = [(i, True, *t) for i, *t in said if i is not None]
+    new = {(0, 2): "c", (1, 1): "b", (2, 1): "gone"}
+    rejected = [(i, False, turn, role, new.get((i, turn), text)) for i, turn, role, text in said if i is not None and new.get((i, turn)) != "gone"]
+    assert rows == sorted(map(str, as_is + rejected))
+    assert chat.preference_pairs(chat.replaced_replies(turns.limit(0))).count() == 0
 
 
 @pytest.mark.parametrize("python", ["mapInArrow", "mapInPandas", "pandas_udf", "applyIn", ".rdd"])

@@ -53,21 +53,44 @@ def preference_pairs(turns: DataFrame, pair_col: str = "pair_id", chosen_col: st
     )
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) as pair k."""
-    return conversations.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod(F.col("conv_id"), F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+def replaced_replies(conversations: DataFrame) -> DataFrame:
+    """Pairs (pair_id, chosen, turn, role, text) of each conversation with itself: as it is, and with the text of its last assistant turn replaced.
+
+    The replacement is the last assistant text of conversation pair_id xor 1; without one, the turn
+    is left out of the rejected side. A conversation without an assistant turn is paired with itself
+    unchanged; rows with a null conv_id are left out. Of several last assistant turns of one number
+    the text largest in order counts as the last.
+    """
+    key = F.struct(F.col("turn"), F.coalesce("text", F.lit("")).alias("said"))
+    last = conversations.where("conv_id is not null and role = 'assistant'").groupBy("conv_id").agg(F.max(key).alias("last"))
+    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.said").alias("other"))
+    rows = conversations.where("conv_id is not null").join(last, "conv_id", "left").join(other, "conv_id", "left")
+    mine = F.coalesce((F.col("role") == "assistant") & key.eqNullSafe(F.col("last")), F.lit(False))
+    sides = F.filter(
+        F.array(F.struct(F.lit(True).alias("chosen"), F.col("text")), F.struct(F.lit(False).alias("chosen"), F.when(mine, F.col("other")).otherwise(F.col("text")).alias("text"))),
+        lambda s: s["chosen"] | ~mine | F.col("other").isNotNull(),
+    )
+    return rows.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(sides).alias("s")).select("pair_id", "s.chosen", "turn", "role", "s.text")
 
 
 def digest(pairs: DataFrame) -> DataFrame:
+    """What preference_pairs() returns with its spans as text, start:end joined by commas; an empty string for none."""
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
     return pairs.select("pair_id", "n_common", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
 
 
 ORACLE_SQL = """
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i
-  FROM conversations),
+WITH o AS (
+  SELECT *, rank() OVER (PARTITION BY conv_id, role ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) AS back FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT DISTINCT xor(conv_id, 1) AS conv_id, coalesce(text, '') AS other FROM o WHERE role = 'assistant' AND back = 1),
+u AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM o
+  UNION ALL SELECT o.conv_id, 1, turn, role, CASE WHEN role = 'assistant' AND back = 1 THEN other ELSE text END FROM o LEFT JOIN l ON l.conv_id = o.conv_id
+    WHERE NOT coalesce(role = 'assistant' AND back = 1, FALSE) OR other IS NOT NULL),
+t AS (
+  SELECT pair_id, side, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+    row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS i
+  FROM u),
 n AS (SELECT pair_id, count(*) FILTER (side = 0) AS na, count(*) FILTER (side = 1) AS nb FROM t GROUP BY pair_id HAVING count(DISTINCT side) = 2),
 d AS (SELECT a.pair_id, min(a.i) - 1 AS k FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.i = b.i AND a.side = 0 AND b.side = 1
   WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.pair_id),

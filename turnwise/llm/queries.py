@@ -58,7 +58,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.digest(chat.preference_pairs(chat.neighbours(_table(spark, sf_dir, "conversations"))))
+    return chat.digest(chat.preference_pairs(chat.replaced_replies(_table(spark, sf_dir, "conversations"))))
 
 
 ORACLES["op9_chat"] = chat.ORACLE_SQL
