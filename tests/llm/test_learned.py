@@ -1,8 +1,10 @@
 """Language identification and toxicity, by what they get right on documents that they did not learn from."""
 
+import random
 import zlib
 
 import numpy as np
+import pytest
 from compare import SF
 from pyspark.sql import functions as F
 
@@ -40,13 +42,44 @@ def test_language_edge_cases(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
-def test_ngrams_do_not_depend_on_neighbours():
-    texts = ["ab", "", "xyzzy", "é\U0001f600"]
-    rows, starts = langid.grams(texts)
-    for i, t in enumerate(texts):
-        alone, _ = langid.grams([t])
-        end = starts[i + 1] if i + 1 < len(texts) else rows.shape[1]
-        assert (rows[:, starts[i] : end] == alone).all()
+def plain_grams(text):
+    """Every n-gram of a text between zeros, hashed one by one."""
+    chars = [0, 0, *map(ord, text.lower()), 0, 0]
+    out = []
+    for at in range(len(text.lower()) + 2):
+        h = 0
+        for k in range(3):
+            h = ((h ^ chars[at + k]) * 2654435761) & 0xFFFFFFFF
+            h ^= h >> 15
+            out.append((h * 2246822519 & 0xFFFFFFFF) >> (32 - 15))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 7])
+def test_predictions_against_brute_force(monkeypatch, at_once):
+    """Grams, scores and choices as by definition, whatever texts go together and however long ones are cut."""
+    monkeypatch.setattr(langid, "_CHARS_AT_ONCE", at_once)
+    monkeypatch.setattr(langid, "_NUMBERS_AT_ONCE", 12)
+    rng = random.Random(3)
+    texts = ["ab", "", "xyzzy", "é\U0001f600b", None, "123", "İstanbul " * 5] + ["".join(rng.choice("abc é") for _ in range(rng.randint(1, 40))) for _ in range(20)]
+    weights = np.log(np.random.default_rng(1).dirichlet(np.ones(langid.BUCKETS), 3)).T
+    prior = np.log(np.array([0.5, 0.3, 0.2]))
+    found = langid.Model(["a", "b", "c"], weights, prior).predict(texts)
+    for t, (lang, score) in zip(texts, found):
+        if not t or not any(map(str.isalpha, t)):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        total = prior + weights[plain_grams(t)].sum(axis=0)
+        odds = np.exp(total - total.max())
+        assert lang == "abc"[int(total.argmax())] and abs(score - odds.max() / odds.sum()) < 1e-9
+
+
+def test_counts_learned_are_those_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, "aba", "x"), (2, "bb", "y"), (3, "c" * 5, "x"), (4, "z", "rare")], "doc_id long, text string, lang string")
+    model = langid.fit(docs, max_langs=2, alpha=0.5)
+    assert model.langs == ["rare", "x"]
+    seen = np.bincount(plain_grams("aba") + plain_grams("ccccc"), minlength=langid.BUCKETS) + 0.5
+    assert np.allclose(model.log_prob[:, model.langs.index("x")], np.log(seen / seen.sum()))
 
 
 def test_ordinal_model_shares_weights_across_ordered_cuts():
@@ -86,3 +119,33 @@ def test_toxicity_edge_cases(spark):
     for nothing in (toxicity.fit(docs, labels.limit(0)), toxicity.fit(docs.limit(0), labels), toxicity.fit(docs, labels.where("toxic = 0"))):
         assert not any(r.rejected for r in toxicity.grade(docs, nothing).collect())
     assert toxicity.grade(docs.limit(0), model).count() == 0
+
+
+def test_ordinal_fit_against_a_plain_optimiser():
+    """The penalised likelihood reached is that of plain gradient steps on the written-out sum over rows."""
+    rng = np.random.default_rng(4)
+    rows = [{f: int(n) for f, n in enumerate(r) if n} for r in rng.integers(0, 3, (60, 3))]
+    grades = np.array([min(2, int(rng.integers(0, 2)) + int(rng.random() < 0.3 * r.get(0, 0))) for r in rows])
+
+    def loss(w, cuts):
+        total = 0.0
+        for r, g in zip(rows, grades):
+            s = sum(w[f] * np.log1p(n) for f, n in r.items())
+            over = [1.0, *(1 / (1 + np.exp(c - s)) for c in cuts), 0.0]
+            total -= np.log(over[g] - over[g + 1])
+        return total / len(rows) + 0.5e-5 * float(np.dot(w, w))
+
+    weights, cuts = toxicity.fit_ordinal(rows, grades, np.ones(len(rows)))
+    got = loss(np.array([weights.get(f, 0.0) for f in range(3)]), cuts)
+    p, step = np.array([0.0, 0.0, 0.0, 2.0, 3.0]), 1e-5
+    for _ in range(1500):
+        slope = np.array([(loss((q := p + step * e)[:3], q[3:]) - loss((q := p - step * e)[:3], q[3:])) / (2 * step) for e in np.eye(5)])
+        p = p - 0.8 * slope
+    assert got <= loss(p[:3], p[3:]) + 1e-3
+
+
+def test_labels_that_contradict_and_ids_that_repeat(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "c"), (4, "d"), (None, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
+    assert sorted((r.text, r.toxic) for r in toxicity.sample(docs, labels).collect()) == [("a", 1), ("b", 1), ("c", 1), ("d", 0)]
+    assert sum(r.toxic for r in toxicity.sample(docs, labels, toxic_rows=2).collect()) == 2

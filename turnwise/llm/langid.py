@@ -13,20 +13,16 @@ GRAMS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: About so many documents of a language are learned from; those of a language with fewer all are.
 DOCS_PER_LANG = 4000
+#: So many languages are learned at most, those of the most documents first.
+MAX_LANGS = 1024
 _CHARS_AT_ONCE = 1 << 18
+_NUMBERS_AT_ONCE = 1 << 21
 _MIX = np.uint32(2654435761)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, one row for each n, and where each text begins.
-
-    Each text stands behind two zero characters, so the grams at its ends know that they are there.
-    """
+def grams(chars: np.ndarray) -> np.ndarray:
+    """Buckets of the n-grams that begin at each character but the last few, one row for each n."""
     longest = max(GRAMS)
-    lead = "\0" * (longest - 1)
-    parts = [lead + t.lower() for t in texts]
-    starts = np.cumsum([0, *map(len, parts)])[:-1]
-    chars = np.frombuffer(("".join(parts) + lead).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(chars) - longest + 1
     found, h = [], np.zeros(n, np.uint32)
     for k in range(longest):
@@ -34,20 +30,37 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint32(15)
         if k + 1 in GRAMS:
             found.append((h * np.uint32(2246822519) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64))
-    return np.stack(found), starts
+    return np.stack(found)
+
+
+def stretches(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(which texts, their n-grams, where each text begins), about _CHARS_AT_ONCE characters at a time.
+
+    Each text stands between zero characters, so the grams at its ends know that they are there.
+    Short texts go together; a long one goes alone, over several stretches.
+    """
+    zeros = "\0" * (max(GRAMS) - 1)
+    code = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    run, parts, size = [], [], 0
 
+    def together() -> tuple[list[int], np.ndarray, np.ndarray]:
+        return run, grams(code("".join(parts) + zeros)), np.cumsum([0, *map(len, parts)])[:-1]
 
-def _pieces(texts: list[str]) -> Iterator[list[int]]:
-    """Indices of texts, in runs of about _CHARS_AT_ONCE characters."""
-    run, size = [], 0
     for i, t in enumerate(texts):
+        whole = zeros + t.lower()
+        if len(whole) > _CHARS_AT_ONCE:
+            whole += zeros
+            for at in range(0, len(whole) - len(zeros), _CHARS_AT_ONCE):
+                yield [i], grams(code(whole[at : at + _CHARS_AT_ONCE + len(zeros)])), np.zeros(1, np.int64)
+            continue
         run.append(i)
-        size += len(t)
+        parts.append(whole)
+        size += len(whole)
         if size >= _CHARS_AT_ONCE:
-            yield run
-            run, size = [], 0
+            yield together()
+            run, parts, size = [], [], 0
     if run:
-        yield run
+        yield together()
 
 
 def has_letter(text: str) -> bool:
@@ -66,16 +79,20 @@ class Model:
         if not self.langs:
             return out
         scored = [i for i, t in enumerate(texts) if t and has_letter(t)]
-        for run in _pieces([texts[i] for i in scored]):
-            ids = [scored[j] for j in run]
-            rows, starts = grams([texts[i] for i in ids])
-            total = self.log_prior + sum(np.add.reduceat(self.log_prob[r], starts, axis=0) for r in rows)
-            total -= total.max(axis=1, keepdims=True)
-            odds = np.exp(total)
-            best = total.argmax(axis=1)
-            share = odds[np.arange(len(ids)), best] / odds.sum(axis=1)
-            for i, b, s in zip(ids, best.tolist(), share.tolist()):
-                out[i] = (self.langs[b], s)
+        total = np.tile(self.log_prior, (len(scored), 1))
+        step = max(1, _NUMBERS_AT_ONCE // len(self.langs))
+        for run, rows, starts in stretches([texts[i] for i in scored]):
+            # Gathered log-probabilities are characters times languages: so many at a time.
+            for at in range(0, rows.shape[1], step):
+                lo, hi = int(np.searchsorted(starts, at, "right")) - 1, int(np.searchsorted(starts, at + step))
+                begin = np.maximum(starts[lo:hi] - at, 0)
+                total[run[lo:hi]] += sum(np.add.reduceat(self.log_prob[r[at : at + step]], begin, axis=0) for r in rows)
+        total -= total.max(axis=1, keepdims=True, initial=-np.inf)
+        odds = np.exp(total)
+        best = total.argmax(axis=1)
+        share = odds[np.arange(len(scored)), best] / odds.sum(axis=1)
+        for i, b, s in zip(scored, best.tolist(), share.tolist()):
+            out[i] = (self.langs[b], s)
         return out
 
 
@@ -84,14 +101,15 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG, alpha: float = 0.1) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG, max_langs: int = MAX_LANGS, alpha: float = 0.1) -> Model:
     """Learn from rows with a language, about `docs_per_lang` for each, chosen by a hash of the id.
 
     Rows with a null text, language or id are skipped. Without any row left there are no languages
-    and every prediction is `und`. The counts that reach the driver are BUCKETS for each language.
+    and every prediction is `und`. Of more than `max_langs` languages those of the most rows are
+    learned, ties by name. The counts that reach the driver are BUCKETS for each language.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
-    there = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    there = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not there:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     parts = 1 << 30
@@ -106,8 +124,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 by.setdefault(lang, []).append(t)
             for lang, texts in by.items():
                 total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for run in _pieces(texts):
-                    for r in grams([texts[i] for i in run])[0]:
+                for _, found, _ in stretches(texts):
+                    for r in found:
                         total += np.bincount(r, minlength=BUCKETS)
         for lang, total in sums.items():
             some = np.flatnonzero(total)
