@@ -24,23 +24,29 @@ MIN_TOKENS, SHORT = 5, 8
 #: Seeds of up to about so many bytes are broadcast. Beyond, documents' seeds pass a bit table of FILTER_WORDS x 64 bits, which
 #: is broadcast in place of them, and are then joined in a shuffle.
 BROADCAST_BYTES, FILTER_WORDS = 32 << 20, 1 << 19
-#: Scripts without spaces between words: each character is a token.
-_UNSPACED = "Han Hiragana Katakana Thai Lao Khmer Myanmar".split()
+#: Ranges of scripts without spaces between words (Thai, Lao, Burmese, Khmer, Kana, Han): each character is a token.
+_UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+_ALONE = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _UNSPACED) + "]"
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, and single characters of scripts that have no spaces."""
-    alone = F.regexp_replace(F.lower(text), "([" + "".join(rf"\p{{Is{s}}}" for s in _UNSPACED) + "])", " $1 ")
-    return F.split(F.trim(F.regexp_replace(alone, r"[^\p{L}\p{N}]+", " ")), " ", -1)
+    low = F.lower(text)
+    low = F.when(low.rlike(_ALONE), F.regexp_replace(low, f"({_ALONE})", " $1 ")).otherwise(low)
+    return F.split(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), " ", -1)
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
-    """A row for each position and mask of the token hashes `hashes` of `rows`: columns position, seed."""
+    """A row for each position and mask of the token hashes `hashes` of `rows`: columns position, seed.
+
+    Of fewer than MIN_TOKENS tokens the seed is the hash of all, so only equal ones meet; no token at all gives none.
+    """
     least = min(map(len, MASKS))
-    at = rows.withColumn("n", F.size("hashes")).where(F.col("n") >= least)
-    at = at.withColumn("position", F.explode(F.sequence(F.lit(0), F.col("n") - least)))
+    at = rows.withColumn("n", F.size("hashes")).where(F.element_at("hashes", 1) != F.xxhash64(F.lit("")))
+    at = at.withColumn("position", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - least, F.lit(0)))))
     seed = lambda i, m: F.when(F.col("position") + len(m) <= F.col("n"), F.xxhash64(F.lit(i), *[F.get("hashes", F.col("position") + k) for k, c in enumerate(m) if c == "1"]))
-    each = at.withColumn("seed", F.explode(F.array(*[seed(i, m) for i, m in enumerate(MASKS)])))
+    whole = F.when(F.col("n") < MIN_TOKENS, F.xxhash64(F.lit(-1), "hashes"))
+    each = at.withColumn("seed", F.explode(F.array(*[seed(i, m) for i, m in enumerate(MASKS)], whole)))
     return each.where("seed is not null").drop("n")
 
 
@@ -67,27 +73,24 @@ def _held(rows: DataFrame, key: list[str], benchmark: DataFrame, item_col: str,
     items = _hashed(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null"))
     items = items.withColumn("n_item", F.size("hashes")).distinct()
     n_tokens = items.agg(F.coalesce(F.sum("n_item"), F.lit(0)).alias("n")).first().n
-    long = items.where(F.col("n_item") >= MIN_TOKENS)
     texts = _hashed(rows)
-    # The empty text has one empty token and is no item.
-    short = items.where(F.col("n_item") < MIN_TOKENS).where(F.col("hashes")[0] != F.xxhash64(F.lit("")))
-    same = texts.where(F.size("hashes") < MIN_TOKENS).join(short, "hashes").select(*key, "item_id", F.col("n_item").alias("n_equal"), "n_item")
-    of_items = _seeds(long).select("seed", "item_id", "n_item", F.col("position").alias("at")).distinct()
+    of_items = _seeds(items).select("seed", "item_id", "n_item", F.col("position").alias("at")).distinct()
     hits = Staged(_hits(_seeds(texts).select(*key, "seed", "position"), of_items, key, n_tokens), "hits").read()
     # Only documents with a hit are cut into tokens again; each diagonal takes its stretch of them along once.
     hit = _hashed(rows.join(hits.select(*key).distinct(), key, "left_semi"))
     first = F.greatest(F.lit(0), -F.col("diagonal"))
     length = F.least(F.col("n_item"), F.size("hashes") - F.col("diagonal")) - first
     stretch = F.slice("hashes", F.col("diagonal") + first + 1, F.greatest(F.lit(0), length))
-    along = hit.join(hits, key).where(F.col("diagonal") < F.size("hashes")).select(*key, "item_id", "n_item", first.alias("first"), stretch.alias("stretch"))
-    once = along.join(long.select("item_id", "n_item", F.col("hashes").alias("item")), ["item_id", "n_item"])
+    along = hit.join(hits, key).where(F.col("diagonal") < F.size("hashes")).select(*key, "item_id", "n_item", first.alias("first"), stretch.alias("stretch"), F.size("hashes").alias("n_text"))
+    once = along.join(items.select("item_id", "n_item", F.col("hashes").alias("item")), ["item_id", "n_item"])
     equal = F.zip_with("stretch", F.slice("item", F.col("first") + 1, F.size("stretch")), lambda a, b: (a == b).cast("int"))
     width = F.least(F.lit(WINDOW), F.col("n_item"))
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, e: s + e)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("width") + 1), lambda i: total(F.slice("equal", i, F.col("width")))))
+    once = once.where((F.col("n_item") >= MIN_TOKENS) | (F.col("n_item") == F.col("n_text")))
     checked = once.select(*key, "item_id", "n_item", width.alias("width"), equal.alias("equal")).where(F.size("equal") >= F.col("width"))
     passed = checked.where(best >= F.when(F.col("n_item") < SHORT, F.col("width")).otherwise(F.ceil(F.lit(agree) * F.col("width"))))
-    return passed.select(*key, "item_id", total(F.col("equal")).alias("n_equal"), "n_item").unionByName(same).groupBy(*key, "item_id").agg(F.max("n_equal").alias("n_equal"), F.max("n_item").alias("n_item"))
+    return passed.groupBy(*key, "item_id").agg(F.max(total(F.col("equal"))).alias("n_equal"), F.max("n_item").alias("n_item"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", agree: float = AGREE) -> DataFrame:
@@ -117,8 +120,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 def oracle_sql(masks: tuple[str, ...] = MASKS) -> str:
     """The same over `documents` and `benchmark` in DuckDB SQL, with token strings for hashes."""
-    alone = "[" + "".join(rf"\p{{{s}}}" for s in _UNSPACED) + "]"
-    words = rf"string_split(trim(regexp_replace(regexp_replace(lower(text), '({alone})', ' \1 ', 'g'), '[^\pL\pN]+', ' ', 'g')), ' ')"
+    words = rf"string_split(trim(regexp_replace(regexp_replace(lower(text), '({_ALONE})', ' \1 ', 'g'), '[^\pL\pN]+', ' ', 'g')), ' ')"
     key = lambda t: " UNION ALL ".join(f"SELECT id, w, p, {i} || '|' || concat_ws(' ', {', '.join(f'w[p + {k + 1}]' for k, c in enumerate(m) if c == '1')}) AS seed FROM {t} WHERE p + {len(m)} <= len(w)" for i, m in enumerate(masks))
     return f"""
 WITH d AS (SELECT doc_id AS id, {words} AS w FROM documents WHERE text IS NOT NULL),
