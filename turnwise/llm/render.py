@@ -1,4 +1,7 @@
-"""Layout-aware text of HTML pages: a tree with implied tags, visibility rules, and blocks as lines."""
+"""Layout-aware text of HTML pages: a tree with implied tags, visibility rules, and blocks as lines.
+
+Trees of any depth are walked: what would call itself hands its calls to run(), which keeps them on a list.
+"""
 
 from __future__ import annotations
 
@@ -10,17 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What is nested deeper than this hangs from the deepest allowed element that can hold it, unless an element between hides it.
-MAX_DEPTH = 120
-#: Cells are filled up to the width of their column, at most so far; longer ones are whole but not filled up.
-MAX_PAD = 40
+#: Cells of all columns but the last are wrapped at so many characters; a longer word widens its column, up to LONGEST_WORD, and is cut there.
+WRAP, LONGEST_WORD = 80, 1000
 MAX_COLSPAN = 1000
+#: Deeper lists and quotes keep their marks and are indented no further.
+MAX_INDENT = 64
 
 # Fixed values of the HTML standard: element names by how they are parsed and shown.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes textarea title".split())
 HEAD = set("base link meta title script style template noscript".split())
-NOT_SHOWN = set("head title script style template noscript iframe audio video canvas datalist noembed noframes annotation annotation-xml".split())
+NOT_SHOWN = set("head title script style template noscript iframe audio video canvas datalist noembed noframes annotation annotation-xml rp".split())
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split()
 )
@@ -54,29 +57,50 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_INVISIBLE = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
+_DISPLAY = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*([a-z-]+)")
+_VISIBILITY = re.compile(r"(?i)(?:^|;)\s*visibility\s*:\s*([a-z]+)")
+_AT_RULE = re.compile(r"/\*.*?(?:\*/|\Z)|@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", re.S)
+_CSS_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 _END_OF = {t: re.compile(rf"(?i)</{t}(?=[\s/>])[^>]*(?:>|\Z)") for t in RAW}
 _BREAK = "\0"
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "hides")
+    __slots__ = ("tag", "attrs", "children")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children, self.hides = tag, attrs or {}, [], False
+        self.tag, self.attrs, self.children = tag, attrs or {}, []
+
 
+def css_rules(css: str) -> list[tuple[str, set[str], set[str], bool]]:
+    """(tag, ids, classes, whether it leaves no box) of the simple selectors that hide what they select.
 
-def parse(page: str) -> Element:
-    """The tree of a page; tags that authors may leave out are put in, stray end tags are ignored."""
+    Selectors of several elements, of attributes or states, and rules within @media and the like are left out.
+    """
+    found = []
+    for selectors, body in _CSS_RULE.findall(_AT_RULE.sub(" ", css)):
+        display, visibility = _DISPLAY.search(body), _VISIBILITY.search(body)
+        none = bool(display) and display[1].lower() == "none"
+        if not none and not (visibility and visibility[1].lower() in ("hidden", "collapse")):
+            continue
+        for one in selectors.split(","):
+            m = _SELECTOR.fullmatch(one.strip())
+            if m and one.strip():
+                marks = re.findall(r"[.#][\w-]+", m[2])
+                found.append(((m[1] or "*").lower(), {x[1:] for x in marks if x[0] == "#"}, {x[1:] for x in marks if x[0] == "."}, none))
+    return found
+
+
+def parse(page: str) -> tuple[Element, list]:
+    """The tree of a page and the rules of its style sheets; tags that authors may leave out are put in, stray end tags are ignored."""
     root = Element("html")
+    rules: list = []
     stack = [root]
     opened: Counter[str] = Counter()  # tags on the stack above the root
     in_head = True
 
     def push(node: Element) -> None:
-        top = stack[-1]
-        closed = top.tag == "details" and "open" not in top.attrs and node.tag != "summary"
-        node.hides = len(stack) >= MAX_DEPTH and (top.hides or closed or not shown(node))
         stack.append(node)
         opened[node.tag] += 1
 
@@ -85,23 +109,18 @@ def parse(page: str) -> Element:
         del stack[i:]
 
     def close(tags: set[str], scope: set[str]) -> None:
-        if not any(opened[t] > 0 for t in tags):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                cut(i)
-                return close(tags, scope)
-            if stack[i].tag in scope:
+        while any(opened[t] > 0 for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    cut(i)
+                    break
+                if stack[i].tag in scope:
+                    return
+            else:
                 return
 
     def put(node: Element | str) -> None:
         top = stack[-1]
-        if len(stack) > MAX_DEPTH:
-            closed = top.tag == "details" and "open" not in top.attrs and not (isinstance(node, Element) and node.tag == "summary")
-            if not top.hides and not closed:
-                # In a part of a table only its own parts are shown, so what is flattened goes to the nearest other element.
-                next(e for e in reversed(stack[:MAX_DEPTH]) if e.tag not in _PARTS_OF_TABLE).children.append(node)
-            return
         stray = node.strip() if isinstance(node, str) else node.tag not in _STAY_IN_TABLE
         if top.tag in _PARTS_OF_TABLE and stray and opened["table"] > 0:  # what a table can't hold goes before it
             i = len(stack) - 1
@@ -127,7 +146,7 @@ def parse(page: str) -> Element:
                 in_head = in_head and not text.strip()
             put(html.unescape(text).replace(_BREAK, "�"))
         if m is None:
-            return root
+            return root, rules
         at = m.end()
         if end := m[1]:
             tag = end.lower()
@@ -181,16 +200,45 @@ def parse(page: str) -> Element:
             body = page[at : end.start() if end else len(page)]
             node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
             at = end.end() if end else len(page)
+            if tag == "style":
+                rules += css_rules(body)
         elif tag not in VOID and tag != "colgroup":
             push(node)
 
 
-def shown(e: Element) -> bool:
-    return e.tag not in NOT_SHOWN and "hidden" not in e.attrs and not _INVISIBLE.search(e.attrs.get("style", ""))
+def _is(e: Element, rule: tuple) -> bool:
+    tag, ids, classes, _ = rule
+    return (tag in ("*", e.tag)) and (not ids or ids <= {e.attrs.get("id")}) and (not classes or classes <= set(e.attrs.get("class", "").split()))
+
+
+def shown(e: Element, rules: list = ()) -> bool:
+    """Whether an element has a box at all."""
+    if e.tag in NOT_SHOWN or (e.tag == "dialog" and "open" not in e.attrs):
+        return False
+    if m := _DISPLAY.search(e.attrs.get("style", "")):
+        return m[1].lower() != "none"
+    return "hidden" not in e.attrs and not any(r[3] and _is(e, r) for r in rules)
+
 
+def visible(e: Element, inherited: bool, rules: list = ()) -> bool:
+    """Whether the text of an element is seen: its own setting, or that of what it is in."""
+    if m := _VISIBILITY.search(e.attrs.get("style", "")):
+        if m[1].lower() in ("visible", "hidden", "collapse"):
+            return m[1].lower() == "visible"
+    return False if any(not r[3] and _is(e, r) for r in rules) else inherited
 
-def _raw(e: Element) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _raw(c) if shown(c) else "" for c in e.children)
+
+def run(call):
+    """The value of a generator that yields generators of the values it needs, without nesting their calls."""
+    stack, value = [call], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
 
 
 def _trimmed(lines: list[str]) -> list[str]:
@@ -204,136 +252,190 @@ def _trimmed(lines: list[str]) -> list[str]:
     return out
 
 
-def lines(e: Element) -> list[str]:
-    """The visible text below an element, a block to a line or more, blank lines around spaced blocks."""
-    out: list[str] = []
-    run: list[str] = []
-
-    def flush() -> None:
-        if run:
-            parts = _SPACE.sub(" ", "".join(run)).split(_BREAK)
-            if parts[-1].strip(" ") == "":
-                parts.pop()
-            out.extend(p.strip(" ").replace("\xa0", " ") for p in parts)
-            run.clear()
-
-    def walk(e: Element) -> None:
-        number = int(e.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", e.attrs.get("start", "")) else 1
+def wrapped(line: str, width: int) -> list[str]:
+    """A line in pieces of at most `width` characters, cut at spaces where there are any."""
+    out = []
+    while len(line) > width:
+        at = line.rfind(" ", 1, width + 1)
+        at = at if at > 0 else width
+        out.append(line[:at].rstrip())
+        line = line[at:].lstrip()
+    return [*out, line]
+
+
+class Page:
+    """The visible text of a tree by the rules of its page. Methods that end in calls are for run()."""
+
+    def __init__(self, rules: list):
+        self.rules = rules
+
+    def shown(self, e: Element) -> bool:
+        return shown(e, self.rules)
+
+    def seen(self, e: Element, inherited: bool) -> bool:
+        return visible(e, inherited, self.rules)
+
+    def raw_calls(self, e: Element, seen: bool):
+        """Text as it stands, for preformatted blocks."""
+        out = []
         for c in e.children:
             if isinstance(c, str):
-                run.append(c)
-                continue
-            tag = c.tag
-            if not shown(c):
-                continue
-            if tag == "br":
-                run.append(_BREAK)
-            elif tag == "input":
-                if c.attrs.get("type", "").lower() in ("submit", "button", "reset"):
-                    run.append(c.attrs.get("value", ""))
-            elif tag == "svg":
-                drawn(c)
-            elif tag not in BLOCKS:
-                walk(c)
-            else:
-                flush()
-                out.extend([""] * (tag in SPACED))
-                if tag == "table":
-                    out.extend(table(c))
-                elif tag == "pre":
-                    out.extend(x.rstrip() for x in _raw(c).removeprefix("\n").split("\n"))
-                elif tag == "hr":
-                    out.append("---")
-                elif tag == "li":
-                    if re.fullmatch(r"-?\d{1,9}", c.attrs.get("value", "")):
-                        number = int(c.attrs["value"])
-                    mark = f"{number}. " if e.tag == "ol" else "- "
-                    number += 1
-                    inner = _trimmed(lines(c)) or [""]
-                    out.append((mark + inner[0]).rstrip())
-                    out.extend(" " * len(mark) + x if x else x for x in inner[1:])
-                elif tag in ("blockquote", "dd"):
-                    mark = "> " if tag == "blockquote" else "  "
-                    out.extend((mark + x).rstrip() for x in _trimmed(lines(c)))
-                elif tag == "details" and "open" not in c.attrs:
-                    for s in c.children:
-                        if isinstance(s, Element) and s.tag == "summary" and shown(s):
-                            out.extend(lines(s))
-                elif tag in ("ul", "ol", "menu", "dir") and e.tag == "li":
-                    out.pop()  # a list within an item follows its text closely
-                    out.extend(_trimmed(lines(c)))
+                out.append(c if seen else "")
+            elif c.tag == "br":
+                out.append("\n")
+            elif self.shown(c):
+                out.append((yield self.raw_calls(c, self.seen(c, seen))))
+        return "".join(out)
+
+    def lines_calls(self, e: Element, seen: bool, depth: int):
+        """The visible text below an element, a block to a line or more, blank lines around spaced blocks."""
+        out: list[str] = []
+        pieces: list[str] = []
+
+        def flush() -> None:
+            if pieces:
+                parts = _SPACE.sub(" ", "".join(pieces)).split(_BREAK)
+                if parts[-1].strip(" ") == "":
+                    parts.pop()
+                out.extend(p.strip(" ").replace("\xa0", " ") for p in parts)
+                pieces.clear()
+
+        def drawn_calls(e: Element, seen: bool):
+            for c in e.children:
+                if isinstance(c, Element) and self.shown(c) and c.tag not in _SVG_UNSEEN:
+                    if c.tag in _SVG_TEXT:
+                        pieces.append(" ")
+                        yield walk_calls(c, self.seen(c, seen))
+                        pieces.append(" ")
+                    else:
+                        yield drawn_calls(c, self.seen(c, seen))
+
+        def walk_calls(e: Element, seen: bool):
+            number = int(e.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", e.attrs.get("start", "")) else 1
+            for c in e.children:
+                if isinstance(c, str):
+                    if seen:
+                        pieces.append(c)
+                    continue
+                tag = c.tag
+                if not self.shown(c):
                     continue
+                see = self.seen(c, seen)
+                if tag == "br":
+                    pieces.append(_BREAK)
+                elif tag == "input":
+                    if see and c.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+                        pieces.append(c.attrs.get("value", ""))
+                elif tag == "svg":
+                    yield drawn_calls(c, see)
+                elif tag not in BLOCKS:
+                    yield walk_calls(c, see)
                 else:
-                    walk(c)
                     flush()
-                out.extend([""] * (tag in SPACED))
-
-    def drawn(e: Element) -> None:
-        for c in e.children:
-            if isinstance(c, Element) and shown(c) and c.tag not in _SVG_UNSEEN:
-                if c.tag in _SVG_TEXT:
-                    run.append(" ")
-                    walk(c)
-                    run.append(" ")
-                else:
-                    drawn(c)
-
-    walk(e)
-    flush()
-    return out
-
-
-def table(e: Element) -> list[str]:
-    """Rows as lines with cells in columns; a cell of several lines takes as many."""
-    rows: dict[str, list[Element]] = {"thead": [], "": [], "tfoot": []}
-    above: list[str] = []
-
-    def gather(part: Element, into: str) -> None:
-        for c in part.children:
-            if isinstance(c, Element) and shown(c):
-                if c.tag == "tr":
-                    rows[into].append(c)
-                elif c.tag in ("thead", "tbody", "tfoot"):
-                    gather(c, c.tag if c.tag in rows else "")
-                elif c.tag == "caption":
-                    above.extend(_trimmed(lines(c)))
-
-    gather(e, "")
-    grid: list[list[list[str]]] = []
-    spans: dict[int, int] = {}  # rows that a cell above still takes, by column
-    for row in rows["thead"] + rows[""] + rows["tfoot"]:
-        cells: list[list[str]] = []
-
-        def skip() -> None:
-            while spans.get(len(cells), 0) > 0:
-                spans[len(cells)] -= 1
-                cells.append([])
-
-        for c in row.children:
-            if isinstance(c, Element) and c.tag in ("td", "th") and shown(c):
+                    out.extend([""] * (tag in SPACED))
+                    if tag == "table":
+                        out.extend((yield self.table_calls(c, see)))
+                    elif tag == "pre":
+                        text = yield self.raw_calls(c, see)
+                        out.extend(x.rstrip() for x in text.removeprefix("\n").split("\n"))
+                    elif tag == "hr":
+                        out.extend(["---"] * see)
+                    elif tag == "li":
+                        if re.fullmatch(r"-?\d{1,9}", c.attrs.get("value", "")):
+                            number = int(c.attrs["value"])
+                        mark = f"{number}. " if e.tag == "ol" else "- "
+                        number += 1
+                        inner = _trimmed((yield self.lines_calls(c, see, depth + 1)))
+                        if see or inner:
+                            inner = inner or [""]
+                            indent = " " * len(mark) if depth < MAX_INDENT else ""
+                            out.append((mark + inner[0]).rstrip())
+                            out.extend(indent + x if x else x for x in inner[1:])
+                    elif tag in ("blockquote", "dd"):
+                        mark = ("> " if tag == "blockquote" else "  ") if depth < MAX_INDENT else ""
+                        out.extend((mark + x).rstrip() for x in _trimmed((yield self.lines_calls(c, see, depth + 1))))
+                    elif tag == "details" and "open" not in c.attrs:
+                        for s in c.children:
+                            if isinstance(s, Element) and s.tag == "summary" and self.shown(s):
+                                out.extend((yield self.lines_calls(s, self.seen(s, see), depth)))
+                    elif tag in ("ul", "ol", "menu", "dir") and e.tag == "li":
+                        out.pop()  # a list within an item follows its text closely
+                        yield walk_calls(c, see)
+                        flush()
+                        continue
+                    else:
+                        yield walk_calls(c, see)
+                        flush()
+                    out.extend([""] * (tag in SPACED))
+
+        yield walk_calls(e, seen)
+        flush()
+        return out
+
+    def table_calls(self, e: Element, seen: bool):
+        """Rows as lines with cells in columns; a cell of several lines takes as many."""
+        rows: dict[str, list[tuple[Element, bool]]] = {"thead": [], "": [], "tfoot": []}
+        above: list[str] = []
+
+        def gather_calls(part: Element, into: str, seen: bool):
+            for c in part.children:
+                if isinstance(c, Element) and self.shown(c):
+                    see = self.seen(c, seen)
+                    if c.tag == "tr":
+                        rows[into].append((c, see))
+                    elif c.tag in ("thead", "tbody", "tfoot"):
+                        yield gather_calls(c, c.tag if c.tag in rows else "", see)
+                    elif c.tag == "caption":
+                        above.extend(_trimmed((yield self.lines_calls(c, see, 0))))
+
+        yield gather_calls(e, "", seen)
+        grid: list[list[list[str]]] = []
+        for part in rows.values():
+            spans: dict[int, int] = {}  # rows that a cell above still takes, by column
+            for k, (row, see) in enumerate(part):
+                cells: list[list[str]] = []
+
+                def skip() -> None:
+                    while spans.get(len(cells), 0) > 0:
+                        spans[len(cells)] -= 1
+                        cells.append([])
+
+                for c in row.children:
+                    if isinstance(c, Element) and c.tag in ("td", "th") and self.shown(c):
+                        skip()
+                        wide, tall = (int(v) if re.fullmatch(r"\d{1,5}", v := c.attrs.get(name, "")) else 1 for name in ("colspan", "rowspan"))
+                        tall = tall or len(part) - k  # 0 is to the end of the part
+                        inner = _trimmed((yield self.lines_calls(c, self.seen(c, see), 0)))
+                        for i in range(min(max(1, wide), MAX_COLSPAN)):
+                            if tall > 1:
+                                spans[len(cells)] = tall - 1
+                            cells.append(inner if i == 0 else [])
                 skip()
-                wide, tall = (max(1, int(v)) if re.fullmatch(r"\d{1,5}", v := c.attrs.get(k, "")) else 1 for k in ("colspan", "rowspan"))
-                for i in range(min(wide, MAX_COLSPAN)):
-                    if tall > 1:
-                        spans[len(cells)] = tall - 1
-                    cells.append(_trimmed(lines(c)) if i == 0 else [])
-        skip()
-        while cells and not cells[-1]:
-            cells.pop()
-        grid.append(cells)
-    width: dict[int, int] = {}
-    for cells in grid:
-        for i, c in enumerate(cells):
-            width[i] = max([width.get(i, 0), *(len(x) for x in c if len(x) <= MAX_PAD)])
-    for cells in grid:
-        for k in range(max([len(c) for c in cells], default=0)):
-            above.append(" | ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(cells)).rstrip())
-    return above
+                while cells and not cells[-1]:
+                    cells.pop()
+                grid.append(cells)
+        width: dict[int, int] = {}
+        for cells in grid:
+            for i, c in enumerate(cells[:-1]):
+                for x in c:
+                    need = len(x) if len(x) <= WRAP else max(WRAP, min(LONGEST_WORD, max(map(len, x.split(" ")))))
+                    width[i] = max(width.get(i, 0), need)
+        for cells in grid:
+            last = len(cells) - 1
+            cells = [c if i == last else [y for x in c for y in wrapped(x, max(1, width.get(i, 0)))] for i, c in enumerate(cells)]
+            for k in range(max(map(len, cells), default=0)):
+                above.append(" | ".join((c[k] if k < len(c) else "").ljust(width.get(i, 0) if i < last else 0) for i, c in enumerate(cells)).rstrip())
+        return above
+
+
+def lines(e: Element, rules: list = ()) -> list[str]:
+    """The visible text of a tree as lines."""
+    return run(Page(rules).lines_calls(e, visible(e, True, rules), 0)) if shown(e, rules) else []
 
 
 def render(page: str | None) -> tuple[str, str]:
     """(title, visible text) of a page."""
-    tree = parse(page or "")
+    tree, rules = parse(page or "")
     title = ""
     todo = [tree]
     while todo and not title:
@@ -341,7 +443,7 @@ def render(page: str | None) -> tuple[str, str]:
         if e.tag == "title":
             title = _SPACE.sub(" ", "".join(c for c in e.children if isinstance(c, str))).strip()
         todo += [c for c in reversed(e.children) if isinstance(c, Element) and c.tag != "svg"]
-    return title, "\n".join(_trimmed(lines(tree)))
+    return title, "\n".join(_trimmed(lines(tree, rules)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -349,14 +451,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
     A null or empty page has an empty title and text; text without any tag is itself. Broken markup
     is read as browsers do: unclosed elements end with their parents, stray end tags are ignored, a
-    cut-off tag ends the page. Repeated rows repeat; other columns are ignored; an empty table gives
-    no rows.
+    cut-off tag ends the page. What is hidden by the hidden attribute, inline styles or simple
+    selectors (element, class, id) of the page's own style sheets is left out, closed dialogs and
+    details too; other selectors and linked sheets don't count. Repeated rows repeat; other columns
+    are ignored; an empty table gives no rows.
     """
 
-    def run(batches):
+    def render_all(batches):
         for b in batches:
             found = [render(x) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array([f[i] for f in found], pa.string()) for i in range(2))], names=["page_id", "title", "text"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, title string, text string")
+    return rows.mapInArrow(render_all, "page_id long, title string, text string")
