@@ -42,6 +42,7 @@ def test_stages_against_brute_force(spark, tables, tmp_path):
     key = lambda x: sorted(map(str, x))
     assert key(r.doc_id for r in after["toxicity"]) == key(i for i, _ in kept)
     component = groups([i for i, _ in kept], [plain(t) for _, t in kept])
+    # Null and empty texts are one group; the null id's text is like no other.
     kept = [(i, t) for (i, t), c in zip(kept, component) if i is None or i == c]
     assert key(r.doc_id for r in after["near duplicates"]) == key(i for i, _ in kept)
     assert not {100, 101} & {i for i, _ in kept}
@@ -63,6 +64,27 @@ def test_run_is_the_stages(spark, tables):
     assert toxicity.REJECT == 0.5
 
 
+def test_tables_with_null_ids_repeats_and_clashing_columns(spark, tmp_path):
+    """No stage loses clean rows or keeps contaminated ones for want of an id; empty tables go through."""
+    rng = random.Random(10)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    item, clean = prose(20), [prose(60) for _ in range(6)]
+    rows = [(None, clean[0] + " " + item), (1, clean[1]), (1, clean[1]), (1, clean[2] + " " + item), (None, clean[3]), (None, clean[3]), (2, clean[4]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, k, "x", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row long, seed string, spans int")
+    docs.write.parquet(f"{tmp_path}/full/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for d in ("full", "none"):
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{d}/labels.parquet")
+        spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        now = stage(spark, now, f"{tmp_path}/full")
+        assert now.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in now.collect()))) == sorted(map(str, [(1, clean[1]), (None, clean[3]), (2, clean[4]), (None, None)]))
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()} == {1, 2, None}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_every_query_runs(spark):
     from turnwise.llm import queries
 

@@ -70,6 +70,16 @@ def scratch() -> Iterator[None]:
             table.drop()
 
 
+@contextmanager
+def kept() -> Iterator[None]:
+    """What is staged within outlives the scratch() around it."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        _scratch.pop()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).read()
 
