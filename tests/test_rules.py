@@ -70,11 +70,67 @@ def test_over_quoting_needs_more_than_the_cap(spark):
     assert "over_quoting" not in names(verdict(spark, f'"{quote}"' + "x" * pad, first=False, deadline=None))
 
 
+def listed(spark, text):
+    return spark.createDataFrame([(w,) for w in text.split()], "word string")
+
+
 def test_unearned_words(spark):
     schema = "conv_id long, turn long, text string, notice_text string, user_texts array<string>"
-    replies = spark.createDataFrame([(1, 1, "The zorble runs. Zorble's Acme 2nd co-pay isn't odd", "by Acme", ["odd things"]), (2, 1, None, None, None)], schema)
-    words = spark.createDataFrame([(w,) for w in "the run pay co is not".split()], "word string")
-    assert {(r.word, r.n) for r in lexicon.unearned_words(replies, words).collect()} == {("zorble", 2)}
+    replies = spark.createDataFrame([(1, 1, "The zorble runs. Zorble's Acme 2nd co-pay isn't odd, co-zorb", "by Acme", ["odd things"]), (2, 1, None, None, None)], schema)
+    assert {(r.word,) for r in rules.unearned_words(replies, listed(spark, "the run pay co is not")).collect()} == {("zorble",), ("co-zorb",)}
+
+
+WORDS = "what this letter says your benefit is it asks you to do read by when must act the which means that pay part a i think should go said lost soon will not of end"
+
+
+def strict(spark, *replies, users=((), ()), notice=NOTICE):
+    """Rules of each reply of one conversation, judged by all ten."""
+    rows = [(1, 2 * i + 1, t, notice, list(u), i == 0, None, False) for i, (t, u) in enumerate(zip(replies, users))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string, notice_text string, user_texts array<string>, first_reply boolean, deadline string, adverse boolean")
+    found = rules.check_replies(df, listed(spark, WORDS)).orderBy("turn").collect()
+    return [([(v.rule, v.detail) for v in r.violations if v.rule != "missing_scaffold"], r.new_taught_terms) for r in found]
+
+
+@pytest.mark.parametrize(
+    "text, rules_, new",
+    [
+        ("The copay, which means the part that you pay.", [], ["copay"]),
+        ("The copay — that is, the part that you won't pay.", [], ["copay"]),
+        ("You pay a part. This is called a copay.", [], ["copay"]),
+        ('You must read what this letter says it asks you to do by the end. You pay a part. "This is called a copay."', [("fabricated_quote", "This is called a copay.")], ["copay"]),
+        ("The big red blue copay (in other words, the part that you pay) ends.", [("unearned_word", "in"), ("unearned_word", "other"), ("unearned_word", "words")], ["big red blue copay"]),
+        ("The copay, which means a zorble.", [("gloss_not_plain", "copay"), ("unearned_word", "zorble")], []),
+        ("The copay is part of it. The copay, which means the part that you pay.", [("unearned_word", "copay")], []),
+        ("The copay, which means a part. The waiver, which means a letter. The bluff, which means your benefit.", [("too_many_new_terms", "bluff")], ["copay", "waiver"]),
+        ("The copay, which means what Acme asks.", [], ["copay"]),
+        ("The copay, which means what the 2nd part asks.", [("gloss_not_plain", "copay")], []),
+        ("You pay a part. This is called a one two three four five.", [("unearned_word", x) for x in ("called", "five", "four", "one", "three", "two")], []),
+    ],
+)
+def test_taught_terms_of_a_reply(spark, text, rules_, new):
+    called = [("unearned_word", "called")] if "called a copay" in text and '"' not in text else []
+    ((got, terms),) = strict(spark, text, users=((),), notice=NOTICE + " By Acme.")
+    assert (sorted(got), terms) == (sorted(rules_ + called), new)
+
+
+def test_taught_terms_last_and_user_words_are_families(spark):
+    first, second = strict(spark, "The hearing officer review, which means a letter. The copay, which means the part that you pay.", "The copays end. The hearing officer review ends. The officer ends. Zorbles end.", users=((), ("my zorble",)))
+    assert first == ([], ["hearing officer review", "copay"])
+    assert second == ([("unearned_word", "officer")], [])
+
+
+def test_a_phrase_is_earned_as_a_whole_and_not_within_another_conversation(spark):
+    schema = "conv_id long, turn long, text string, notice_text string, user_texts array<string>"
+    rows = [(1, 1, "The copay, which means the part that you pay.", "", []), (1, 3, "The waiver, which means the copay.", "", []), (2, 1, "The waiver, which means the copay.", "", [])]
+    out = {(r.conv_id, r.turn): (r.taught, r.violations) for r in taught.taught_terms(spark.createDataFrame(rows, schema), listed(spark, WORDS)).collect()}
+    assert out == {(1, 1): (["copay"], []), (1, 3): (["waiver"], []), (2, 1): ([], ["gloss_not_plain: waiver"])}
+
+
+def test_the_first_banner_alone_is_masked(spark):
+    schema = "conv_id long, turn long, text string, notice_text string, user_texts array<string>"
+    for times, want in ((1, 0), (2, 1)):
+        rows = spark.createDataFrame([(1, 1, "\n".join([rules.BANNER] * times), "", [])], schema)
+        assert (rules.unearned_words(rows, listed(spark, "the")).count() > 0) == bool(want)
 
 
 def test_aggregate_golden(spark):
@@ -126,25 +182,11 @@ def test_contamination_finds_the_planted_copy(spark):
 def test_state_stays_within_a_conversation(spark):
     said = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (2, 0, "assistant", "e")], "conv_id long, turn long, role string, text string")
     before = {(r.conv_id, r.turn): r.user_texts for r in turns.user_texts_before(said).collect()}
-    assert before[1, 3] == ["a", "c"] and before[1, 1] == ["a"] and before[2, 0] == []
+    assert before == {(1, 3): ["a", "c"], (1, 1): ["a"], (2, 0): []}
     assert {(r.conv_id, r.turn): r.first_reply for r in turns.reply_index(said).collect()} == {(1, 1): True, (1, 3): False, (2, 0): True}
     assert {r.conv_id: r.transcript for r in turns.transcript(said).collect()}[1].startswith("[STUDENT]\na\n\n[ASSISTANT TURN 0]\nb")
 
 
-def test_taught_terms(spark):
-    schema = "conv_id long, turn long, role string, text string, user_texts array<string>"
-    rows = [
-        (1, 1, "assistant", "The copay — that is, the part you pay. The waiver, which means a zorble.", ["what is it"]),
-        (1, 3, "assistant", "You pay a part. This is called a bluff.", ["what is it"]),
-        (2, 1, "assistant", "The waiver, which means the copay.", []),
-    ]
-    words = spark.createDataFrame([(w,) for w in "the part you pay a is".split()], "word string")
-    out = {(r.conv_id, r.turn): (r.taught, r.violations) for r in taught.taught_terms(spark.createDataFrame(rows, schema), words).collect()}
-    assert out[1, 1] == (["copay"], ["gloss_not_plain: waiver"])
-    assert out[1, 3] == (["bluff"], [])
-    assert out[2, 1] == ([], ["gloss_not_plain: waiver"])  # what the other conversation taught is not earned here
-
-
 def test_one_repair_a_reply(spark):
     schema = "dialog_id long, turn long, reply string, first_ok boolean, rewrite string, rewrite_ok boolean, failure string"
     rows = [(1, 0, "a", True, None, None, None), (1, 1, "b", False, "c", True, None), (2, 0, "d", False, "e", False, None), (2, 1, "f", True, None, None, None), (3, 0, "g", True, None, None, "refusal")]

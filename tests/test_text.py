@@ -21,6 +21,12 @@ def test_strip_think(spark, text, want):
     assert one(spark, T.strip_think, text) == want
 
 
+def test_a_left_over_tag_can_be_an_error(spark):
+    row = spark.createDataFrame([("a <think>",)], "t string")
+    with pytest.raises(Exception, match="left over"):
+        row.select(T.required(T.strip_thinking(F.col("t")), "a tag is left over")).collect()
+
+
 @pytest.mark.parametrize("text, want", [("<think>a</think> \n b ", "b"), ("<THINK>a</THINK>", "<THINK>a</THINK>"), ("a <think>", None)])
 def test_strip_thinking(spark, text, want):
     assert one(spark, T.strip_thinking, text) == want
@@ -38,7 +44,10 @@ def test_word_count_is_at_least_one(spark):
         ("pay $1,234.50 or $ 5.", ["$1,234.50", "$ 5"]),
         ("by March 4, 2027 and Sept. 3rd", ["March 4, 2027", "Sept. 3rd"]),
         ("on 1/2/2027 or 2027-01-02", ["1/2/2027", "2027-01-02"]),
-        ("(555) 010-0199 or 1-555-010-0199", ["(555) 010-0199", "1-555-010-0199"]),
+        ("call 555-010-0199 or 1-555-010-0199", ["555-010-0199", "1-555-010-0199"]),
+        ("1 (555) 010-0199 but not (555) 010-0199", ["1 (555) 010-0199"]),
+        ("November 30 2026 and November 30,2026", ["November 30 2026", "November 30"]),
+        ("Jan. 5th, 2027, Sept 3, Mayor 4", ["Jan. 5th, 2027", "Sept 3"]),
         ("nothing here", []),
     ],
 )
@@ -70,12 +79,14 @@ def test_verbatim_in(spark, needle, text, want):
     assert one(spark, T.verbatim_in, needle, text) is want
 
 
-def test_word_at(spark):
-    assert one(spark, T.word_at, "copay waiver", "a Copay  waiver") == 3
-    assert one(spark, T.word_at, "pay", "copay co-pay") == 0
+@pytest.mark.parametrize("term, text, want", [("copay waiver", "a Copay  waiver, copay waivers", [(2, 15)]), ("pay", "copay co-pay pay's", []), ("a.b", "a.b axb A.B", [(0, 3), (8, 11)]), ("é", "é, café é", [(0, 1), (8, 9)])])
+def test_word_spans(spark, term, text, want):
+    assert [tuple(x) for x in one(spark, T.word_spans, term, text)] == want
+    left = one(spark, T.without_term, term, text)
+    assert len(left.split()) == len(text.split()) - sum(len(text[a:b].split()) for a, b in want) or want
 
 
-@pytest.mark.parametrize("text, want", [("I can't", "I can not"), ("won’t", "will not"), ("they'll isn't", "they will is not"), ("Cannot", "can not"), ("the worker's", "the worker's")])
+@pytest.mark.parametrize("text, want", [("I can't", "I can not"), ("won’t", "will not"), ("they'll isn't", "they will is not"), ("Cannot", "can not"), ("the worker's", "the worker's"), ("the 'dog' and 'money' or 'red' tape; the outlet's 'vest'", "the 'dog' and 'money' or 'red' tape; the outlet's 'vest'"), ("toucan't you'd", "touca not you would")])
 def test_expand_contractions(spark, text, want):
     assert one(spark, T.expand_contractions, text) == want
 
@@ -118,6 +129,19 @@ def test_british(spark, word, want):
     assert one(spark, W.british_variants, word) == want
 
 
+def test_british_words_need_their_base(spark):
+    words = spark.createDataFrame([("color",), ("tire",), ("cat",)], "word string")
+    assert {(r.word, r.form) for r in W.british_words(words).collect()} == {("color", x) for x in "colour colours coloured colouring colourful".split()} | {("tire", "tyre"), ("tire", "tyres")}
+
+
+@pytest.mark.parametrize(
+    "word, want",
+    [("happy", {"happily", "happial", "happyment"}), ("basic", {"basically", "basical", "basicial", "basication", "basiction", "basicment"}), ("arrive", {"arrively", "arrival", "arrivial", "arrivation", "arrivtion", "arrivment", "arrivement"}), ("by", {"byly", "bial", "byment"})],
+)
+def test_made_forms(spark, word, want):
+    assert set(one(spark, W.made_forms, word)) == want
+
+
 @pytest.mark.parametrize("a, b", [("stops", "stop"), ("stopped", "stop"), ("stopping", "stop"), ("cities", "city"), ("boxes", "box")])
 def test_lemma_joins_families(spark, a, b):
     assert one(spark, W.lemma, a) == one(spark, W.lemma, b)

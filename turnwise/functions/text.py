@@ -9,25 +9,25 @@ from pyspark.sql import functions as F
 
 # Patterns of words, anchors, quotes and contractions that results depend on.
 WORD = "[A-Za-z][A-Za-z'’-]*"
-MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
-DATE = rf"\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b(?:{MONTHS})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,\s*\d{{4}})?\b"
+MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+DATE = rf"\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b{MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?\b"
 AMOUNT = r"\$\s?\d(?:[\d,]*\d)?(?:\.\d+)?"
-PHONE = r"(?:\b1[-. ])?(?:\(\d{3}\)\s?|\b\d{3}[-. ])\d{3}[-. ]\d{4}\b"
+PHONE = r"\b(?:1[-. ])?(?:\(\d{3}\)\s?|\d{3}[-. ])\d{3}[-. ]\d{4}\b"
 ANCHORS = {"date": DATE, "amount": AMOUNT, "phone": PHONE}
 QUOTE = '"[^"\\n]+"|“[^”\\n]+”'
 CONTRACTIONS = [
-    ("won['’]t", "will not"),
-    ("can['’]t", "can not"),
-    ("shan['’]t", "shall not"),
-    ("ain['’]t", "is not"),
-    ("let['’]s", "let us"),
-    ("cannot", "can not"),
-    ("n['’]t", " not"),
-    ("['’]ll", " will"),
-    ("['’]re", " are"),
-    ("['’]ve", " have"),
-    ("['’]m", " am"),
-    ("['’]d", " would"),
+    (r"\bwon['’]t\b", "will not"),
+    (r"\bcan['’]t\b", "can not"),
+    (r"\bshan['’]t\b", "shall not"),
+    (r"\bain['’]t\b", "is not"),
+    (r"\blet['’]s\b", "let us"),
+    (r"\bcannot\b", "can not"),
+    (r"n['’]t\b", " not"),
+    (r"['’]ll\b", " will"),
+    (r"['’]re\b", " are"),
+    (r"['’]ve\b", " have"),
+    (r"['’]m\b", " am"),
+    (r"['’]d\b", " would"),
 ]
 
 
@@ -48,11 +48,19 @@ def strip_think(text: Column) -> Column:
 
 
 def strip_thinking(text: Column) -> Column:
-    """The training variant: lower-case tags only, with the white space behind them; null where a tag is left over."""
+    """The training variant: lower-case tags only, with the white space behind them.
+
+    Null where a tag is left over, so that such rows can be told apart; required() makes them an error.
+    """
     rest = F.regexp_replace(text, r"(?s)<think>.*?</think>\s*", "")
     return F.when(~rest.rlike("</?think>"), strip(rest))
 
 
+def required(value: Column, what: str) -> Column:
+    """The value; a null fails the job with `what`."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(what)))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -76,10 +84,30 @@ def verbatim_in(needle: Column, text: Column) -> Column:
     return F.rlike(text, F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(needle, F.lit("\\E"), F.lit("")), F.lit(r"\E(?!\w)")))
 
 
-def word_at(term: Column, text: Column) -> Column:
-    """1-based place of the first whole-word occurrence in any case, spaces matching any white space; 0 if none."""
+def whole_words(term: Column) -> Column:
+    """A pattern for a term as whole words in any case, its spaces standing for any white space."""
     escaped = F.regexp_replace(F.regexp_replace(term, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), r"\s+", r"\\s+")
-    return F.regexp_instr(text, F.concat(F.lit(r"(?iU)(?<![\w'’-])"), escaped, F.lit(r"(?![\w'’-])")))
+    return F.concat(F.lit(r"(?iU)(?<![\w'’-])"), escaped, F.lit(r"(?![\w'’-])"))
+
+
+def word_spans(term: Column, text: Column) -> Column:
+    """array<struct<start, end>>: the places of a term in a text as whole words; code points, end exclusive."""
+    gaps, found = F.split(text, whole_words(term), -1), F.regexp_extract_all(text, whole_words(term), F.lit(0))
+    kind = "array<struct<start:int,end:int>>"
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["word"]), F.lit(0))
+        span = F.array(F.struct(start.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["word"].isNotNull(), F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+
+    pieces = F.zip_with(gaps, found, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans")), step, lambda s: s["spans"])
+
+
+def without_term(term: Column, text: Column) -> Column:
+    """The text with a space for each place of a term as whole words."""
+    return F.regexp_replace(text, whole_words(term), F.lit(" "))
 
 
 def anchors(text: Column) -> Column:
@@ -95,10 +123,15 @@ def anchor_texts(text: Column) -> Column:
 
 def expand_contractions(text: Column) -> Column:
     for pattern, full in CONTRACTIONS:
-        text = F.regexp_replace(text, f"(?i){pattern}", full)
+        text = F.regexp_replace(text, f"(?iU){pattern}", full)
     return text
 
 
+def plain_words(text: Column) -> Column:
+    """The words of a text with contractions spelled out and possessive endings off."""
+    return F.filter(F.transform(words(expand_contractions(text)), strip_possessive), lambda w: w != "")
+
+
 def strip_possessive(word: Column) -> Column:
     return F.regexp_replace(word, r"['’]s\z|['’]\z", "")
 

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# British spellings of American suffixes.
+# British spellings of American suffixes, and of words that no suffix tells.
 BRITISH = [
-    ("ization", "isation"),
     ("izations", "isations"),
+    ("ization", "isation"),
     ("izing", "ising"),
     ("izes", "ises"),
     ("ized", "ised"),
     ("ize", "ise"),
-    ("izer", "iser"),
     ("izers", "isers"),
+    ("izer", "iser"),
     ("izable", "isable"),
     ("yzing", "ysing"),
     ("yzes", "yses"),
@@ -22,9 +22,40 @@ BRITISH = [
     ("yze", "yse"),
 ]
 BRITISH_DOUBLED = [("eled", "elled"), ("eling", "elling"), ("eler", "eller"), ("elers", "ellers")]
-# Endings of adverbs and nouns made from adjectives and verbs.
-DERIVED_ADJECTIVE = [("y", "ily"), ("ic", "ically"), ("", "ly")]
-DERIVED_VERB = [("", "al"), ("e", "al"), ("", "ation"), ("e", "ation"), ("e", "ion"), ("", "ion"), ("", "ment"), ("y", "ial")]
+BRITISH_WORDS = {
+    "color": "colour colours coloured colouring colourful",
+    "honor": "honour honours honoured honouring",
+    "favor": "favour favours favoured favouring",
+    "favorite": "favourite favourites",
+    "labor": "labour labours laboured labouring",
+    "neighbor": "neighbour neighbours neighbouring neighbourhood neighbourhoods",
+    "behavior": "behaviour behaviours",
+    "humor": "humour",
+    "flavor": "flavour flavours",
+    "harbor": "harbour harbours",
+    "center": "centre centres centred centring",
+    "theater": "theatre theatres",
+    "meter": "metre metres",
+    "liter": "litre litres",
+    "fiber": "fibre fibres",
+    "gray": "grey greys",
+    "practice": "practise practises practised practising",
+    "license": "licence licences",
+    "defense": "defence defences",
+    "offense": "offence offences",
+    "program": "programme programmes",
+    "check": "cheque cheques",
+    "tire": "tyre tyres",
+    "age": "ageing",
+    "judgment": "judgement judgements",
+    "enroll": "enrol enrolment",
+    "fulfill": "fulfil fulfilment",
+}
+# What takes the place of an ending in adverbs made from adjectives, and in nouns and adjectives made
+# from verbs. The first ending that a word has counts; every verb may also take the last.
+DERIVED_ADJECTIVE = [("y", ["ily"]), ("ic", ["ically"]), ("", ["ly"])]
+DERIVED_VERB = [("y", ["ial"]), ("e", ["al", "ial", "ation", "tion", "ment"]), ("", ["al", "ial", "ation", "tion"])]
+DERIVED_ALWAYS = "ment"
 
 
 def british_variants(word: Column) -> Column:
@@ -34,6 +65,12 @@ def british_variants(word: Column) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def british_words(lexicon: DataFrame) -> DataFrame:
+    """(word, form): the British spellings of the words of `lexicon`(word) that no suffix tells."""
+    pairs = F.map_from_entries(F.array(*[F.struct(F.lit(a), F.split(F.lit(b), " ")) for a, b in BRITISH_WORDS.items()]))
+    return lexicon.select("word").distinct().select("word", F.explode(F.try_element_at(pairs, F.col("word"))).alias("form"))
+
+
 def inflections(word: Column) -> Column:
     """The word with its regular noun and verb endings."""
     vowel_y = word.rlike("[aeiou]y$")
@@ -64,11 +101,25 @@ def lemma(word: Column) -> Column:
     return F.when(w.rlike("(bb|dd|gg|mm|nn|pp|rr|tt|.e)$"), cut(w, 1)).otherwise(w)
 
 
+def made_forms(word: Column) -> Column:
+    """Adverbs, nouns and adjectives that the endings make of a word, known or not."""
+    cut = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
+
+    def first_of(rules: list[tuple[str, list[str]]], least: int) -> Column:
+        chosen = F.array().cast("array<string>")
+        for ending, made in reversed(rules):
+            has = F.endswith(word, F.lit(ending)) & (F.length(word) > (least if ending == "y" else 0))
+            chosen = F.when(has, F.array(*[F.concat(cut(len(ending)), F.lit(x)) for x in made])).otherwise(chosen)
+        return chosen
+
+    return F.array_distinct(F.concat(first_of(DERIVED_ADJECTIVE, 2), first_of(DERIVED_VERB, 0), F.array(F.concat(word, F.lit(DERIVED_ALWAYS)))))
+
+
 def derivational_forms(lexicon: DataFrame, known: DataFrame) -> DataFrame:
-    """(word, form): adverbs and nouns made from the words of `lexicon`(word) that `known`(word) lists and it doesn't."""
-    rules = [(a, b) for a, b in DERIVED_ADJECTIVE + DERIVED_VERB]
-    w = F.col("word")
-    made = F.array(*[F.when(F.endswith(w, F.lit(a)) & (F.length(w) > len(a) + 2), F.concat(F.substring(w, F.lit(1), F.length(w) - len(a)), F.lit(b))) for a, b in rules])
-    forms = lexicon.select("word", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("form")).distinct()
+    """(word, form): adverbs and nouns made from the words of `lexicon`(word) that `known`(word) lists and it doesn't.
+
+    Without a dictionary of parts of speech each word is taken as adjective and as verb; `known` decides.
+    """
+    forms = lexicon.select("word").distinct().select("word", F.explode(made_forms(F.col("word"))).alias("form"))
     forms = forms.join(known.select(F.col("word").alias("form")).distinct(), "form", "left_semi")
     return forms.join(lexicon.select(F.col("word").alias("form")).distinct(), "form", "left_anti").select("word", "form")

@@ -1,18 +1,20 @@
-"""Word lists: reading, freezing, and holding replies to them."""
+"""Word lists: reading, building, freezing, and holding replies to them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.functions import text as T
 from turnwise.functions import wordforms as W
-from turnwise.operators.rules import BANNER
 
 # Forms that need no list.
 CLITICS = ["'s", "’s", "s’", "s'"]
 ORDINAL = r"(?i)\b[0-9]+(st|nd|rd|th)\b"
+CONTRACTED = ["not", "will", "are", "have", "am", "would", "can", "shall", "us", "is"]
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
@@ -34,10 +36,35 @@ def expanded(words: DataFrame) -> DataFrame:
     return forms.select(F.explode(F.concat(F.array("word"), W.british_variants(F.col("word")))).alias("word")).distinct()
 
 
+def allowed(words: DataFrame, known: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """(word): the list that replies are held to, built from `words`(word).
+
+    Their inflections, the forms made from them that `known`(word) has, with inflections too, and
+    British spellings of all; then what contractions are spelled out to, and `extra` words.
+    """
+    made = W.derivational_forms(words, known).select(F.col("form").alias("word"))
+    forms = expanded(words.select("word").union(made))
+    forms = forms.union(W.british_words(forms).select(F.col("form").alias("word")))
+    more = words.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in [*CONTRACTED, *(extra or [])]])).alias("word"))
+    return forms.union(more).distinct()
+
+
+def uncovered(text: str, words: DataFrame) -> DataFrame:
+    """(word): the words of a text that are not listed; a fixed text that replies must have should have none."""
+    own = words.sparkSession.range(1).select(F.explode(F.array_distinct(F.transform(T.words(T.expand_contractions(F.lit(text))), F.lower))).alias("word"))
+    return own.join(words.select("word"), "word", "left_anti")
+
+
 def provenance(words: DataFrame) -> DataFrame:
-    """(n, sha256) of the sorted words, a line each."""
-    lines = words.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("word")), "\n").alias("all"))
-    return lines.select("n", F.sha2(F.concat("all", F.lit("\n")), 256).alias("sha256"))
+    """(n, sha256) of the sorted words, each once: the hash of their ranges' hashes in order, a line each.
+
+    Words go to ranges by their first two characters, so no task holds the list; what meets in one
+    task is a hash for each pair of first characters.
+    """
+    head = F.substring("word", 1, 2)
+    lines = words.select("word").distinct().groupBy(head.alias("head")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("word")), "\n"), 256).alias("sha"))
+    whole = lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("head", "sha"))), lambda x: x["sha"]), "\n").alias("all"))
+    return whole.select("n", F.sha2("all", 256).alias("sha256"))
 
 
 def exempt(token: Column, source: Column, user_texts: Column) -> Column:
@@ -47,22 +74,53 @@ def exempt(token: Column, source: Column, user_texts: Column) -> Column:
     return plain | named
 
 
-def unearned_words(replies: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(conv_id, turn, word, n): words of replies(conv_id, turn, text, notice_text, user_texts) that are
-    on no list, that the user did not use before, and that are no names of the source.
+def parts(token: Column) -> Column:
+    """The parts of a hyphenated token; none of another."""
+    inner = F.regexp_replace(token, r"^-+|-+$", "")
+    return F.when(F.contains(inner, F.lit("-")), F.filter(F.split(token, "-"), lambda p: p != "")).otherwise(F.array().cast("array<string>"))
+
+
+MISSING = "array<struct<token:string,piece:string,family:string>>"
+
+
+def masked(text: Column, banner: str) -> Column:
+    """The text without quotes, ordinals and the first place of the banner."""
+    plain = T.unquoted(text)
+    at = F.instr(plain, banner)
+    plain = F.when(at > 0, F.concat(F.substring(plain, F.lit(1), at - 1), F.lit(" "), F.substring(plain, at + len(banner), F.length(plain)))).otherwise(plain)
+    return F.regexp_replace(plain, ORDINAL, " ")
+
+
+SUSPECT = "array<struct<word:string,family:string,parts:array<string>>>"
+
+
+def suspects(missing: Column, said: Column, source: Column, user_texts: Column) -> Column:
+    """array<struct<word, family, parts>>: of the missing words those that no user said and that are no names of the source or a user turn.
+
+    A hyphenated word is no suspect if all its parts are earned; `parts` has the families of those that are not.
+    """
+    piece = lambda p: F.array_contains(said, p["family"]) | exempt(p["piece"], source, user_texts)
+    open_ = F.filter(missing, lambda m: ~piece(m))
+    of = lambda m: F.transform(F.filter(open_, lambda x: (x["token"] == m["token"]) & (x["piece"] != m["token"])), lambda x: x["family"])
+    whole = F.filter(open_, lambda m: m["piece"] == m["token"])
+    found = F.transform(whole, lambda m: F.struct(m["token"].alias("word"), m["family"].alias("family"), of(m).alias("parts")))
+    return F.filter(found, lambda x: (F.size(parts(x["word"])) == 0) | (F.size(x["parts"]) > 0)).cast(SUSPECT)
+
+
+def earned(suspect: Column, families: Column) -> Callable[[Column], Column]:
+    """The test of a word: no suspect, or of a family taught, or hyphenated of such parts."""
+    taught = lambda x: F.array_contains(families, x["family"]) | ((F.size(x["parts"]) > 0) & F.forall(x["parts"], lambda p: F.array_contains(families, p)))
+    return lambda word: ~F.exists(suspect, lambda x: (x["word"] == word) & ~taught(x))
+
+
+def unearned(reply: Column, lesson: Column, suspect: Column, banner: str) -> Column:
+    """The distinct lower-case words of a reply that are not earned, in order.
 
-    A hyphenated word is earned if all its parts are. Quotes, ordinals, the banner and contractions' short
-    forms don't count. Families go by a rule-based lemma. The list is joined as it is: Spark
-    broadcasts it while it is small and shuffles by word when it is not.
+    Quotes, the banner, phrases taught so far and each term in the sentence that glosses it don't count.
     """
-    masked = F.regexp_replace(F.replace(T.unquoted(F.col("text")), F.lit(BANNER), F.lit(" ")), ORDINAL, " ")
-    tokens = F.transform(T.words(T.expand_contractions(masked)), T.strip_possessive)
-    rows = replies.select("conv_id", "turn", "notice_text", "user_texts", F.explode(tokens).alias("token")).where(~exempt(F.col("token"), F.coalesce("notice_text", F.lit("")), F.col("user_texts")))
-    counts = rows.groupBy("conv_id", "turn", F.lower("token").alias("word")).agg(F.count("*").alias("n"))
-    parts = counts.withColumn("part", F.explode(F.filter(F.split("word", "-"), lambda p: p != "")))
-    parts = parts.withColumn("family", W.lemma(F.col("part")))
-    listed = lexicon.select(W.lemma(F.col("word")).alias("family")).distinct()
-    missing = parts.join(listed, "family", "left_anti")
-    said = replies.select("conv_id", "turn", F.explode("user_texts").alias("u")).select("conv_id", "turn", F.explode(T.words(F.col("u"))).alias("w"))
-    said = said.select("conv_id", "turn", W.lemma(F.col("w")).alias("family")).distinct()
-    return missing.join(said, ["conv_id", "turn", "family"], "left_anti").select("conv_id", "turn", "word", "n").distinct()
+    text = F.aggregate(lesson["exempt"], reply, lambda t, x: F.replace(t, x["sentence"], T.without_term(x["term"], x["sentence"])))
+    text = F.aggregate(F.filter(lesson["taught"], lambda t: F.contains(t, F.lit(" "))), text, lambda t, phrase: T.without_term(phrase, t))
+    test = earned(suspect, lesson["families"])
+    some = F.transform(suspect, lambda x: x["word"])
+    found = F.filter(F.array_intersect(T.plain_words(masked(text, banner)), some), lambda w: ~test(w))
+    return F.when(F.size(suspect) > 0, F.array_sort(F.array_distinct(F.transform(found, F.lower)))).otherwise(F.array().cast("array<string>"))

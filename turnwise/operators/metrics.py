@@ -18,11 +18,11 @@ def per_100_words(n: Column, words: Column) -> Column:
     return F.bround(n * F.lit(100.0) / F.greatest(words, F.lit(1)), 2)
 
 
-def reply_metrics(checked: DataFrame) -> DataFrame:
-    """Counts and density of each checked reply; advisory flags are counted apart and don't fail it."""
+def reply_metrics(checked: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Counts and density of each checked reply, with the columns `keep`; advisory flags are counted apart and don't fail it."""
     n = F.size("violations").cast("long")
     return checked.select(
-        "conv_id", "turn", "word_count", n.alias("n_violations"), per_100_words(n, F.col("word_count")).alias("per_100_words"), counted(F.col("violations")).alias("by_rule"),
+        "conv_id", "turn", *(keep or ()), "word_count", n.alias("n_violations"), per_100_words(n, F.col("word_count")).alias("per_100_words"), counted(F.col("violations")).alias("by_rule"),
         F.size("advisory").cast("long").alias("n_advisory"), counted(F.col("advisory")).alias("advisory_by_rule"), "quoted_ratio", (n == 0).alias("strict_pass"),
     )
 
@@ -47,13 +47,13 @@ def conversation_series(conversations: DataFrame, metrics: DataFrame) -> DataFra
     )
 
 
-def conversation_records(checked: DataFrame) -> DataFrame:
-    """strict_pass, per_100_words, by_rule and advisory_by_rule of each checked conversation, in one shuffle."""
+def conversation_records(checked: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """strict_pass, per_100_words, by_rule and advisory_by_rule of each checked conversation, with its columns `carry`, in one shuffle."""
     together = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  of one conversation
-    sums = checked.groupBy("conv_id").agg(F.sum("word_count").alias("words"), together("violations").alias("violations"), together("advisory").alias("advisory"))
+    sums = checked.groupBy("conv_id").agg(F.sum("word_count").alias("words"), together("violations").alias("violations"), together("advisory").alias("advisory"), *[F.first(c).alias(c) for c in carry or ()])
     n = F.size("violations").cast("long")
     return sums.select(
-        "conv_id", (n == 0).alias("strict_pass"), per_100_words(n, F.col("words")).alias("per_100_words"), counted(F.col("violations")).alias("by_rule"), counted(F.col("advisory")).alias("advisory_by_rule")
+        "conv_id", *(carry or ()), (n == 0).alias("strict_pass"), per_100_words(n, F.col("words")).alias("per_100_words"), counted(F.col("violations")).alias("by_rule"), counted(F.col("advisory")).alias("advisory_by_rule")
     )
 
 
@@ -65,19 +65,22 @@ def aggregate(records: DataFrame) -> DataFrame:
     """
     keys = ["model", "strategy"]
     hard = F.col("category") == "adversarial"
-    count = lambda c: F.count_if(c)
     of = lambda m, rule: F.coalesce(F.try_element_at(m, F.lit(rule)), F.lit(0))
-    rows = records.groupBy(*keys).agg(
-        F.count("*").alias("n"), count(F.col("strict_pass")).alias("n_pass"), count(hard).alias("n_adv"), count(hard & F.col("strict_pass")).alias("n_adv_pass"),
-        F.bround(F.avg(F.col("per_100_words").cast("decimal(20,2)")).cast("double"), 2).alias("mean_per_100_words"),
-        F.sum(of("by_rule", "softened_modal") + of("advisory_by_rule", "softened_modal")).alias("softened"),
-        F.sum(of("by_rule", "paraphrased_anchor") + of("by_rule", "missing_operative_deadline")).alias("anchor_breaks"),
-        count(F.col("judged")).alias("n_judged"), count(F.col("judged") & F.col("judge_pass")).alias("n_judge_pass"),
+    # One pass: each record gives a row of its measures, without a rule, and a row for each of its rules.
+    measures = F.struct(
+        F.lit(1).alias("n"), F.col("strict_pass").cast("int").alias("n_pass"), hard.cast("int").alias("n_adv"), (hard & F.col("strict_pass")).cast("int").alias("n_adv_pass"),
+        F.col("per_100_words").cast("decimal(20,2)").alias("density"), (of("by_rule", "softened_modal") + of("advisory_by_rule", "softened_modal")).alias("softened"),
+        (of("by_rule", "paraphrased_anchor") + of("by_rule", "missing_operative_deadline")).alias("anchor_breaks"),
+        F.coalesce(F.col("judged"), F.lit(False)).cast("int").alias("n_judged"), F.coalesce(F.col("judged") & F.col("judge_pass"), F.lit(False)).cast("int").alias("n_judge_pass"),
     )
-    top = records.select(*keys, F.explode("by_rule").alias("k", "v")).groupBy(*keys, "k").agg(F.sum("v").alias("v"))
-    top = top.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("all"))
-    empty = F.expr("cast(map() as map<string,bigint>)")
-    joined = rows.join(top, keys, "left").withColumn("top_violations", T.histogram(F.coalesce("all", empty), 3)).drop("all")
+    names = ["n", "n_pass", "n_adv", "n_adv_pass", "density", "softened", "anchor_breaks", "n_judged", "n_judge_pass"]
+    rows = records.withColumn("m", measures).select(*keys, "m", F.explode_outer(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("value"))), F.map_entries("by_rule"))).alias("r"))
+    own = F.col("r.key").isNull()
+    by_rule = rows.groupBy(*keys, F.col("r.key").alias("rule")).agg(F.sum("r.value").alias("v"), *[F.sum(F.when(own, F.col(f"m.{c}"))).alias(c) for c in names])
+    listed = F.when(F.col("rule").isNotNull(), F.struct("rule", "v"))
+    sums = by_rule.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names], F.map_from_entries(F.collect_list(listed)).alias("all"))
+    mean = F.bround(F.col("density").cast("double") / F.col("n"), 2).alias("mean_per_100_words")
+    joined = sums.select(*keys, "n", "n_pass", "n_adv", "n_adv_pass", mean, "softened", "anchor_breaks", "n_judged", "n_judge_pass", T.histogram(F.col("all"), 3).alias("top_violations"))
     rate = lambda a, b, name: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")).alias(name)
     return joined.select("*", rate("n_pass", "n", "adherence"), rate("n_adv_pass", "n_adv", "robustness"), rate("n_judge_pass", "n_judged", "judge_pass_rate"))
 
@@ -124,6 +127,22 @@ def build_stats(dialogs: DataFrame) -> DataFrame:
     return sums.select("*", rate("accepted", "planned", "acceptance"), rate("first_passed", "first_checked", "first_pass_rate"), rate("repairs", "repairs_tried", "repair_rate"))
 
 
+def first_pass_histogram(verdicts: DataFrame) -> DataFrame:
+    """(rule, n): the violations of the first attempts at replies, verdicts(violations), of all dialogs, discarded ones too."""
+    return verdicts.select(F.explode("violations").alias("v")).groupBy("v.rule").agg(F.count("*").alias("n"))
+
+
+def untrainable(rows: DataFrame, labels: str = "labels") -> DataFrame:
+    """(n, dropped): rows, and those of them without any label to train on, which are dropped; -100 is masked. Null labels have none."""
+    idle = F.coalesce(F.forall(labels, lambda x: x == -100), F.lit(True))
+    return rows.agg(F.count("*").alias("n"), F.count_if(idle).alias("dropped"))
+
+
+def trainable(rows: DataFrame, labels: str = "labels") -> DataFrame:
+    """The rows with a label to train on."""
+    return rows.where(F.exists(labels, lambda x: x != -100))
+
+
 def strata(rows: DataFrame, minimums: dict[str, int], column: str = "category") -> DataFrame:
     """Counts by category against the least that each must have; categories without rows count 0."""
     spark = rows.sparkSession

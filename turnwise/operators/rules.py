@@ -1,4 +1,5 @@
-"""Rules for replies as Column expressions over reply, source notice and what users said before.
+"""The ten rules for replies: Column expressions over reply, source notice and what users said before,
+and one verdict of all of them.
 
 Violations are array<struct<rule, detail>>; an empty array passes.
 """
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
+from turnwise.operators import lexicon, taught
 
 # Phrases, section markers, banner and caps that replies are held to.
 ADVICE = ["you should", "i recommend", "i suggest", "your best option", "if i were you", "i think you should", "you ought to"]
@@ -45,9 +47,13 @@ def quotes(reply: Column, source: Column, contents: Column | None = None, ratio:
     return F.concat(each(made_up, "fabricated_quote"), one_if(ratio > QUOTE_CAP, "over_quoting", percent))
 
 
-def anchors(reply: Column, source: Column, user_texts: Column) -> Column:
-    """Dates, amounts and phone numbers of a reply are, as printed, in the source or in a user turn."""
-    known = T.anchor_texts(F.concat_ws("\n", source, user_texts))
+def all_anchors(texts: Column) -> Column:
+    """Distinct anchors of an array of texts."""
+    return F.array_distinct(F.flatten(F.transform(texts, T.anchor_texts)))
+
+
+def anchors(reply: Column, known: Column) -> Column:
+    """Dates, amounts and phone numbers of a reply are, as printed, among the known ones of its source and user turns."""
     return each(F.array_except(T.anchor_texts(reply), known), "paraphrased_anchor")
 
 
@@ -74,34 +80,60 @@ def banner(reply: Column, first_reply: Column, adverse: Column) -> Column:
     return one_if(first_reply & F.coalesce(adverse, F.lit(False)) & ~F.contains(reply, F.lit(BANNER)), "missing_banner", F.lit(BANNER[:60] + "..."))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences by end marks followed by white space, and by line breaks; an approximation of a trained splitter."""
-    parts = F.split(text, r"(?<=[.?!][\"”)]?)\s+|\n+", -1)
-    return F.filter(F.transform(parts, T.strip), lambda s: s != "")
+def bound_anchors(source: Column) -> Column:
+    """The anchors of the source's sentences that oblige, in order."""
+    duties = F.filter(taught.sentences(source), lambda s: s.rlike(MODAL_SOURCE))
+    return F.array_sort(all_anchors(duties))
 
 
-def modals(reply: Column, source: Column) -> Column:
+def modals(reply: Column, bound: Column) -> Column:
     """Advisory: a reply sentence on an anchor of an obligation keeps it an obligation."""
-    duties = F.filter(sentences(source), lambda s: s.rlike(MODAL_SOURCE))
-    bound = F.array_sort(F.array_distinct(F.flatten(F.transform(duties, T.anchor_texts))))
-    soft = F.filter(sentences(reply), lambda s: ~s.rlike(MODAL_REPLY))
+    soft = F.filter(taught.sentences(reply), lambda s: ~s.rlike(MODAL_REPLY))
     hits = T.once(soft, lambda sentences: F.flatten(F.transform(bound, lambda a: F.transform(F.filter(sentences, lambda s: F.contains(s, a)), lambda s: a))))
     return each(hits, "softened_modal")
 
 
-def check_replies(replies: DataFrame) -> DataFrame:
-    """The rules that need no dictionary, on rows of
-    (text, notice_text, user_texts, first_reply, deadline, adverse): adds word_count, quoted_ratio,
-    violations and advisory. All of it is one projection, without a shuffle.
+_STATE = ["reply", "source", "users", "suspect", "lesson"]
+
+
+def check_replies(replies: DataFrame, words: DataFrame | None = None, per_source: bool = False) -> DataFrame:
+    """All ten rules on replies(conv_id, turn, text, notice_text, user_texts, first_reply, deadline, adverse).
+
+    Adds word_count, quoted_ratio, violations, advisory and new_taught_terms. `words`(word) is the
+    list of words that need no earning; without it the rules on words (ceiling, user words, taught
+    terms) are left out. With `per_source` the columns known_anchors and bound_anchors are there
+    already, as turns.replies() makes them, once a source and user turn. A null reply or source is
+    empty; a null deadline or adverse asks for nothing. Replies of a conversation go by turn.
+
+    The words of replies meet the list in a join of distinct words by conversation; what terms were
+    taught before is folded over each conversation's replies, in the shuffle by conv_id that
+    gathers them.
     """
     rows = replies.withColumn("reply", T.strip_think(F.coalesce("text", F.lit("")))).withColumn("source", F.coalesce("notice_text", F.lit("")))
     reply, source = F.col("reply"), F.col("source")
+    rows = rows.withColumn("users", F.coalesce("user_texts", F.array().cast("array<string>")))
+    if not per_source:
+        rows = rows.withColumn("known_anchors", F.array_union(T.anchor_texts(source), all_anchors(F.col("users")))).withColumn("bound_anchors", bound_anchors(source))
+    glosses, unearned = F.array().cast(NONE), F.array().cast(NONE)
+    new_terms = F.array().cast("array<string>")
+    if words is not None:
+        rows = taught.with_lessons(taught.with_suspects(rows, words))
+        glosses, new_terms = F.col("lesson.bad"), F.col("lesson.new")
+        unearned = each(lexicon.unearned(reply, F.col("lesson"), F.col("suspect"), BANNER), "unearned_word")
     # What several rules need is worked out once, as a column of its own.
     rows = rows.withColumn("contents", T.quote_contents(reply)).withColumn("ratio", T.quote_ratio(reply, F.col("contents")))
-    users = F.coalesce("user_texts", F.array().cast("array<string>"))
     strict = F.concat(
-        quotes(reply, source, F.col("contents"), F.col("ratio")), anchors(reply, source, users), deadline(reply, F.col("deadline")), advice(reply), scaffold(reply, F.col("first_reply")), banner(reply, F.col("first_reply"), F.col("adverse"))
-    )
-    return (
-        rows.withColumn("word_count", T.word_count(reply)).withColumn("quoted_ratio", F.bround("ratio", 4)).withColumn("violations", strict).withColumn("advisory", modals(reply, source)).drop("reply", "source", "contents", "ratio")
-    )
+        quotes(reply, source, F.col("contents"), F.col("ratio")), glosses, unearned, anchors(reply, F.col("known_anchors")), deadline(reply, F.col("deadline")), advice(reply),
+        scaffold(reply, F.col("first_reply")), banner(reply, F.col("first_reply"), F.col("adverse")),
+    )
+    rows = rows.withColumn("word_count", T.word_count(reply)).withColumn("quoted_ratio", F.bround("ratio", 4)).withColumn("violations", strict)
+    rows = rows.withColumn("advisory", modals(reply, F.col("bound_anchors"))).withColumn("new_taught_terms", new_terms)
+    return rows.drop(*_STATE, "contents", "ratio", "known_anchors", "bound_anchors")
+
+
+def unearned_words(replies: DataFrame, words: DataFrame) -> DataFrame:
+    """(conv_id, turn, word): the distinct unearned words of replies(conv_id, turn, text, notice_text, user_texts), terms taught on the way counted as earned."""
+    rows = replies.withColumn("reply", T.strip_think(F.coalesce("text", F.lit("")))).withColumn("source", F.coalesce("notice_text", F.lit("")))
+    rows = taught.with_lessons(taught.with_suspects(rows.withColumn("users", F.coalesce("user_texts", F.array().cast("array<string>"))), words))
+    found = lexicon.unearned(F.col("reply"), F.col("lesson"), F.col("suspect"), BANNER)
+    return rows.select("conv_id", "turn", F.explode(found).alias("word"))

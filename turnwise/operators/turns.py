@@ -16,10 +16,42 @@ def reply_index(turns: DataFrame) -> DataFrame:
     return replies.withColumn("reply_index", F.row_number().over(w) - 1).withColumn("first_reply", F.col("reply_index") == 0)
 
 
+def gathered(turns: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(conv_id, all, carried columns): the turns of each conversation in order, array<struct<turn, role, text>>, in one shuffle.
+
+    Of a carried column the first value that is not null counts.
+    """
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("all"), *[F.first(c, ignorenulls=True).alias(c) for c in carry or ()])
+
+
 def user_texts_before(turns: DataFrame) -> DataFrame:
-    """Each turn with user_texts, the user turns of its conversation before it, in order."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return turns.withColumn("user_texts", F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(w))
+    """Assistant turns (conv_id, turn, role, text, user_texts, reply_index, first_reply) with the user turns before each, in order."""
+    rows = gathered(turns).select("conv_id", F.filter("all", lambda t: t["role"] == "user").alias("users"), F.posexplode(F.filter("all", lambda t: t["role"] == "assistant")).alias("reply_index", "t"))
+    said = F.transform(F.filter("users", lambda u: u["turn"] < F.col("t.turn")), lambda u: F.coalesce(u["text"], F.lit("")))
+    return rows.select("conv_id", "t.*", said.alias("user_texts"), "reply_index", (F.col("reply_index") == 0).alias("first_reply"))
+
+
+def replies(turns: DataFrame, carry: list[str]) -> DataFrame:
+    """Assistant turns as rules.check_replies takes them with per_source: carried columns, among them
+    notice_text, and known_anchors and bound_anchors.
+
+    A conversation is gathered once; the anchors of its notice and of each user turn are found once
+    and handed to the replies behind it.
+    """
+    from turnwise.operators import rules
+
+    rows = gathered(turns, carry)
+    source = F.coalesce("notice_text", F.lit(""))
+    rows = rows.withColumn("of_source", T.anchor_texts(source)).withColumn("bound_anchors", rules.bound_anchors(source))
+    text = lambda t: F.coalesce(t["text"], F.lit(""))
+    users = F.transform(F.filter("all", lambda t: t["role"] == "user"), lambda t: F.struct(t["turn"].alias("turn"), text(t).alias("text"), T.anchor_texts(text(t)).alias("anchors")))
+    rows = rows.withColumn("users", users)
+    rows = rows.select("conv_id", *carry, "of_source", "bound_anchors", "users", F.posexplode(F.filter("all", lambda t: t["role"] == "assistant")).alias("reply_index", "t"))
+    rows = rows.withColumn("before", F.filter("users", lambda u: u["turn"] < F.col("t.turn")))
+    known = F.array_union("of_source", F.flatten(F.transform("before", lambda u: u["anchors"])))
+    return rows.select(
+        "conv_id", "t.turn", "t.text", *carry, "bound_anchors", known.alias("known_anchors"), F.transform("before", lambda u: u["text"]).alias("user_texts"), "reply_index", (F.col("reply_index") == 0).alias("first_reply")
+    )
 
 
 def words_of(texts: Column) -> Column:

@@ -33,8 +33,7 @@ def _one_rule(df, expression):
 
 
 def _replies(spark, sf):
-    about = derived.notices(spark, sf).select("conv_id", "notice_text", "deadline", "adverse")
-    return turns.reply_index(derived.conversations(spark, sf)).join(about, "conv_id")
+    return derived.replies(spark, sf)
 
 
 @query(_rule("advice_given"))
@@ -59,19 +58,18 @@ def deadline_verbatim(spark, sf):
 
 @query(_rule("fabricated_quote"))
 def fabricated_quotes(spark, sf):
-    return _one_rule(_replies(spark, sf), rules.quotes(F.col("text"), F.col("notice_text"))).where("detail not like '%\\% quoted'")
+    return _one_rule(_replies(spark, sf), F.filter(rules.quotes(F.col("text"), F.col("notice_text")), lambda v: v["rule"] == "fabricated_quote"))
 
 
 @query(_rule("paraphrased_anchor"))
 def anchor_diff(spark, sf):
-    rows = turns.reply_index(turns.user_texts_before(derived.conversations(spark, sf))).join(derived.notices(spark, sf).select("conv_id", "notice_text"), "conv_id")
-    return _one_rule(rows, rules.anchors(F.col("text"), F.col("notice_text"), F.col("user_texts")))
+    return _one_rule(_replies(spark, sf), rules.anchors(F.col("text"), F.col("known_anchors")))
 
 
 @query(
     DUCK
     + "SELECT conv_id, kind, anchor FROM ("
-    + " UNION ALL ".join(f"SELECT conv_id, '{k}' AS kind, unnest(regexp_extract_all(notice_text, {derived._sql(rx)})) AS anchor FROM d_notices" for k, rx in T.ANCHORS.items())
+    + " UNION ALL ".join(f"SELECT conv_id, '{k}' AS kind, unnest(regexp_extract_all(notice_text, {rx})) AS anchor FROM d_notices" for k, rx in derived.DUCK_ANCHORS.items())
     + ")"
 )
 def anchor_extract(spark, sf):
@@ -91,7 +89,7 @@ def quote_ratio(spark, sf):
 @query(DUCK + "SELECT conv_id, turn, unnest(advisory) AS anchor FROM d_checked")
 def modal_advisory(spark, sf):
     rows = _replies(spark, sf)
-    return rows.select("conv_id", "turn", F.explode(rules.modals(F.col("text"), F.col("notice_text"))).alias("v")).select("conv_id", "turn", F.col("v.detail").alias("anchor"))
+    return rows.select("conv_id", "turn", F.explode(rules.modals(F.col("text"), F.col("bound_anchors"))).alias("v")).select("conv_id", "turn", F.col("v.detail").alias("anchor"))
 
 
 @query(
@@ -111,16 +109,18 @@ def conversation_series(spark, sf):
 
 
 @query(
-    """WITH r AS (SELECT conv_id, CAST(greatest(1, len(regexp_extract_all(text, '[A-Za-z][A-Za-z''’-]*'))) AS BIGINT) AS w FROM conversations WHERE role = 'assistant'),
-s AS (SELECT conv_id, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM r GROUP BY conv_id)
-SELECT c.conv_id, coalesce(n, 0) AS n_replies, CAST(greatest(1, coalesce(w, 0)) AS BIGINT) AS total_words, TRUE AS strict_pass FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s USING (conv_id)"""
+    """WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, coalesce(text, '') AS t FROM conversations WHERE role = 'assistant'),
+c AS (SELECT conv_id, greatest(1, len(regexp_extract_all(t, '[A-Za-z][A-Za-z''’-]*'))) AS w,
+  CASE WHEN i = 1 AND NOT (contains(t, 'What this letter says') AND contains(t, 'What it asks you to do') AND contains(t, 'By when')) THEN 1 ELSE 0 END AS bad FROM r),
+s AS (SELECT conv_id, count(*) AS n, CAST(sum(w) AS BIGINT) AS w, CAST(sum(bad) AS BIGINT) AS bad FROM c GROUP BY conv_id)
+SELECT c.conv_id, coalesce(n, 0) AS n_replies, CAST(greatest(1, coalesce(w, 0)) AS BIGINT) AS total_words, coalesce(bad, 0) AS total_violations, coalesce(bad, 0) = 0 AS strict_pass FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s USING (conv_id)"""
 )
 def conversations_without_replies(spark, sf):
-    """Conversations without an assistant turn pass, with 1 word."""
+    """Conversations without a notice: of those without an assistant turn each passes, with 1 word; first replies of others lack the section markers."""
     said = table(spark, sf, "conversations")
-    nothing = F.array().cast(rules.NONE)
-    checked = turns.reply_index(said).select("conv_id", "turn", T.word_count(F.col("text")).alias("word_count"), nothing.alias("violations"), nothing.alias("advisory"), F.lit(0.0).alias("quoted_ratio"))
-    return metrics.conversation_series(said, metrics.reply_metrics(checked)).select("conv_id", "n_replies", "total_words", "strict_pass")
+    replies = turns.user_texts_before(said).select("*", F.lit("").alias("notice_text"), F.lit(None).cast("string").alias("deadline"), F.lit(False).alias("adverse"))
+    checked = rules.check_replies(replies)
+    return metrics.conversation_series(said, metrics.reply_metrics(checked)).select("conv_id", "n_replies", "total_words", "total_violations", "strict_pass")
 
 
 _SUMMARY = (
@@ -163,9 +163,7 @@ def summary_markdown(spark, sf):
 
 @query(DUCK + "SELECT CAST(reply_index AS INTEGER) AS reply_index, count(*) AS n, count(*) FILTER (strict_pass) AS n_pass, round_even(avg(CAST(strict_pass AS INTEGER)), 4) AS pass_rate FROM d_metrics GROUP BY reply_index")
 def drift_by_turn_index(spark, sf):
-    checked = derived.checked(spark, sf)
-    m = metrics.reply_metrics(checked).join(checked.select("conv_id", "turn", "reply_index"), ["conv_id", "turn"])
-    return metrics.by_turn_index(m)
+    return metrics.by_turn_index(metrics.reply_metrics(derived.checked(spark, sf), ["reply_index"]))
 
 
 @query(DUCK + "SELECT rule, count(*) AS flags, count(*) FILTER (adverse) AS true_flags, count(*) FILTER (NOT adverse) AS false_flags FROM (SELECT conv_id, unnest(violations).rule AS rule FROM d_checked) JOIN (SELECT conv_id, adverse FROM d_notices) USING (conv_id) GROUP BY rule")

@@ -6,33 +6,17 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
 from turnwise.functions import wordforms as W
-from turnwise.operators import curation, lexicon, metrics, taught, turns
+from turnwise.operators import curation, lexicon, metrics, rules, taught, turns
 from turnwise.plans import derived
 from turnwise.plans.derived import DUCK, _sql
 from turnwise.plans.registry import query
 from turnwise.sources.tables import table
 from turnwise.streaming import panels
 
-_W = _sql(T.WORD)
+_W = "'[A-Za-z][A-Za-z''’-]*'"
 _LOWER_WORDS = f"list_transform(regexp_extract_all({{0}}, {_W}), lambda x: lower(x))"
 
 
-def _lemma(x: str) -> str:
-    cut = lambda w, n: f"left({w}, length({w}) - {n})"
-    w = f"lower({x})"
-    m = (
-        f"(CASE WHEN regexp_matches({w}, '[^aeiou](ies|ied)$') THEN {cut(w, 3)} || 'y' WHEN regexp_matches({w}, '(s|x|z|ch|sh)es$') THEN {cut(w, 2)} WHEN regexp_matches({w}, '[^s]s$') AND length({w}) > 3 THEN {cut(w, 1)}"
-        f" WHEN regexp_matches({w}, '..ing$') AND length({w}) > 5 THEN {cut(w, 3)} WHEN regexp_matches({w}, '..ed$') AND length({w}) > 4 THEN {cut(w, 2)} ELSE {w} END)"
-    )
-    return f"(CASE WHEN regexp_matches({m}, '(bb|dd|gg|mm|nn|pp|rr|tt|.e)$') THEN {cut(m, 1)} ELSE {m} END)"
-
-
-def _expand(x: str) -> str:
-    for pattern, full in T.CONTRACTIONS:
-        x = f"regexp_replace({x}, {_sql('(?i)' + pattern)}, {_sql(full)}, 'g')"
-    return x
-
-
 _THINK = "CASE conv_id % 4 WHEN 0 THEN '<THINK>a plan' || chr(10) || 'of two lines</think> ' || text WHEN 1 THEN text || ' <think>not closed' WHEN 2 THEN '<think>a</think>  <think>b</think>' || text ELSE text END"
 
 
@@ -41,12 +25,13 @@ def think_strip(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.strip_think(F.expr(_THINK.replace("chr(10)", "char(10)"))).alias("stripped"))
 
 
-_SHORT = "text || CASE conv_id % 3 WHEN 0 THEN ' I can''t, they''ll and we won’t.' WHEN 1 THEN ' Let''s; I''d say it isn''t the worker''s.' ELSE ' Cannot ain''t shan''t.' END"
+_SHORT = "text || CASE conv_id % 4 WHEN 0 THEN ' I can''t, they''ll and we won’t.' WHEN 3 THEN ' The ''dog'' and ''money'' or ''red'' tape; the outlet''s ''vest''; toucan''t.' WHEN 1 THEN ' Let''s; I''d say it isn''t the worker''s.' ELSE ' Cannot ain''t shan''t.' END"
 
 
-@query(f"SELECT conv_id, turn, {_expand('(' + _SHORT + ')')} AS expanded FROM conversations")
+@query(f"SELECT conv_id, turn, {derived.duck_spelled('(' + _SHORT + ')')} AS expanded FROM conversations")
 def contraction_expand(spark, sf):
-    more = F.when(F.col("conv_id") % 3 == 0, " I can't, they'll and we won’t.").when(F.col("conv_id") % 3 == 1, " Let's; I'd say it isn't the worker's.").otherwise(" Cannot ain't shan't.")
+    k = F.col("conv_id") % 4
+    more = F.when(k == 0, " I can't, they'll and we won’t.").when(k == 3, " The 'dog' and 'money' or 'red' tape; the outlet's 'vest'; toucan't.").when(k == 1, " Let's; I'd say it isn't the worker's.").otherwise(" Cannot ain't shan't.")
     return table(spark, sf, "conversations").select("conv_id", "turn", T.expand_contractions(F.concat("text", more)).alias("expanded"))
 
 
@@ -61,7 +46,9 @@ def lexicon_top_n(spark, sf):
 
 
 _ENDINGS = ["ize", "ized", "ization", "yzing", "eled", "eling", "izers", ""]
-_BRITISH = ", ".join([f"CASE WHEN ends_with(w, '{a}') AND length(w) > {len(a) + k} THEN left(w, length(w) - {len(a)}) || '{b}' END" for k, rules in ((1, W.BRITISH), (2, W.BRITISH_DOUBLED)) for a, b in rules])
+_SUFFIXES = "izations isations ization isation izing ising izes ises ized ised ize ise izers isers izer iser izable isable yzing ysing yzes yses yzed ysed yze yse".split()
+_ELS = "eled elled eling elling eler eller elers ellers".split()
+_BRITISH = ", ".join([f"CASE WHEN ends_with(w, '{a}') AND length(w) > {len(a) + k} THEN left(w, length(w) - {len(a)}) || '{b}' END" for k, rules in ((1, _SUFFIXES), (2, _ELS)) for a, b in zip(rules[::2], rules[1::2])])
 
 
 @query(_TOP + f", e AS (SELECT DISTINCT word || [{', '.join(map(_sql, _ENDINGS))}][rank % 8 + 1] AS w FROM top WHERE rank <= 200) SELECT w AS word, unnest(list_filter([{_BRITISH}], lambda x: x IS NOT NULL)) AS british FROM e")
@@ -71,10 +58,15 @@ def british_variants(spark, sf):
     return words.select("word", F.explode(W.british_variants(F.col("word"))).alias("british"))
 
 
-_MADE = ", ".join(f"CASE WHEN ends_with(word, '{a}') AND length(word) > {len(a) + 2} THEN left(word, length(word) - {len(a)}) || '{b}' END" for a, b in W.DERIVED_ADJECTIVE + W.DERIVED_VERB)
+_CUT = "left(word, length(word) - {0}) || '{1}'"
+_MADE = (
+    f"CASE WHEN ends_with(word, 'y') AND length(word) > 2 THEN [{_CUT.format(1, 'ily')}] WHEN ends_with(word, 'ic') THEN [word || 'ally'] ELSE [word || 'ly'] END || "
+    f"CASE WHEN ends_with(word, 'y') THEN [{_CUT.format(1, 'ial')}] WHEN ends_with(word, 'e') THEN [{', '.join(_CUT.format(1, x) for x in ('al', 'ial', 'ation', 'tion', 'ment'))}] "
+    "ELSE [word || 'al', word || 'ial', word || 'ation', word || 'tion'] END || [word || 'ment']"
+)
 
 
-@query(_TOP + f", l AS (SELECT DISTINCT word FROM top WHERE rank <= 300), f AS (SELECT DISTINCT word, unnest([{_MADE}]) AS form FROM l) SELECT word, form FROM f WHERE form IN (SELECT word FROM n) AND form NOT IN (SELECT word FROM l)")
+@query(_TOP + f", l AS (SELECT DISTINCT word FROM top WHERE rank <= 300), f AS (SELECT DISTINCT word, unnest({_MADE}) AS form FROM l) SELECT word, form FROM f WHERE form IN (SELECT word FROM n) AND form NOT IN (SELECT word FROM l)")
 def derivational_forms(spark, sf):
     docs = table(spark, sf, "documents")
     known = docs.select(F.explode(F.transform(T.words(F.col("text")), F.lower)).alias("word"))
@@ -82,21 +74,20 @@ def derivational_forms(spark, sf):
 
 
 _EARNED = f"""{_TOP},
-lex AS (SELECT DISTINCT {_lemma('word')} AS family FROM top WHERE rank <= 1000),
-u AS (SELECT r.conv_id, r.turn, r.text, (SELECT string_agg(x.text, chr(10)) FROM conversations x WHERE x.conv_id = r.conv_id AND x.role = 'user' AND x.turn < r.turn) AS said
-  FROM conversations r WHERE r.role = 'assistant'),
-t AS (SELECT conv_id, turn, said, regexp_replace(unnest(regexp_extract_all({_expand("regexp_replace(regexp_replace(text, " + _sql(T.QUOTE) + ", ' ', 'g'), " + _sql(lexicon.ORDINAL) + ", ' ', 'g')")}, {_W})), '[''’]s$|[''’]$', '') AS token FROM u),
-k AS (SELECT conv_id, turn, lower(token) AS word, count(*) AS n FROM t WHERE NOT (regexp_matches(token, '^[A-Z]') AND said IS NOT NULL AND regexp_matches(said, '(^|[^\\pL\\pN_])' || token || '($|[^\\pL\\pN_])')) GROUP BY ALL),
-p AS (SELECT conv_id, turn, word, n, unnest(list_filter(string_split(word, '-'), lambda x: x <> '')) AS part FROM k),
-s AS (SELECT DISTINCT conv_id, turn, {_lemma('w')} AS family FROM (SELECT conv_id, turn, unnest(regexp_extract_all(said, {_W})) AS w FROM u))
-SELECT DISTINCT conv_id, turn, word, n FROM p WHERE {_lemma('part')} NOT IN (SELECT family FROM lex)
-  AND NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = p.conv_id AND s.turn = p.turn AND s.family = {_lemma('p.part')})"""
+v_lex AS MATERIALIZED (SELECT DISTINCT word FROM top WHERE rank <= 1000),
+v_users AS MATERIALIZED (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+v_reply AS MATERIALIZED (SELECT r.conv_id, r.turn, r.text, '' AS notice_text, coalesce(string_agg(u.text, chr(10) ORDER BY u.turn), '') AS said FROM conversations r LEFT JOIN v_users u ON u.conv_id = r.conv_id AND u.turn < r.turn WHERE r.role = 'assistant' GROUP BY r.conv_id, r.turn, r.text),
+{derived.duck_words_ok('v_reply', 'v_users', 'v_lex')},
+{derived.duck_taught('v_reply')},
+{derived.duck_unearned('v_reply', 'v_earned')}
+SELECT conv_id, turn, unnest(unearned) AS word FROM v_earned"""
 
 
 @query(_EARNED)
 def vocab_ceiling(spark, sf):
-    said = turns.user_texts_before(table(spark, sf, "conversations")).where("role = 'assistant'").withColumn("notice_text", F.lit(""))
-    return lexicon.unearned_words(said, lexicon.top_words(table(spark, sf, "documents"), 1000))
+    """Words of replies that are not among the 1,000 most common of a language, that the user didn't say before and that nothing taught."""
+    said = turns.user_texts_before(table(spark, sf, "conversations")).withColumn("notice_text", F.lit(""))
+    return rules.unearned_words(said, lexicon.top_words(table(spark, sf, "documents"), 1000))
 
 
 @query(
@@ -104,7 +95,7 @@ def vocab_ceiling(spark, sf):
 FROM conversations r WHERE r.role = 'assistant'"""
 )
 def user_words_so_far(spark, sf):
-    said = turns.user_texts_before(table(spark, sf, "conversations")).where("role = 'assistant'")
+    said = turns.user_texts_before(table(spark, sf, "conversations"))
     return said.select("conv_id", "turn", F.size(turns.words_of(F.col("user_texts"))).cast("long").alias("n_words"))
 
 
@@ -113,7 +104,7 @@ def user_words_so_far(spark, sf):
     + f", tok AS (SELECT conv_id, turn, notice_text, unnest(regexp_extract_all(text, {_W})) AS token FROM d_checked) SELECT conv_id, turn, token, count(*) AS n FROM tok WHERE regexp_matches(token, '^[A-Z]') AND regexp_matches(notice_text, '(^|[^\\pL\\pN_])' || token || '($|[^\\pL\\pN_])') GROUP BY ALL"
 )
 def proper_noun_exempt(spark, sf):
-    rows = turns.reply_index(derived.conversations(spark, sf)).join(derived.notices(spark, sf).select("conv_id", "notice_text"), "conv_id")
+    rows = derived.replies(spark, sf)
     tokens = rows.select("conv_id", "turn", "notice_text", F.explode(T.words(F.col("text"))).alias("token"))
     return tokens.where(F.col("token").rlike(r"^\p{Lu}") & T.verbatim_in(F.col("token"), F.col("notice_text"))).groupBy("conv_id", "turn", "token").agg(F.count("*").alias("n"))
 
@@ -174,14 +165,8 @@ def hourly_panel(spark, sf):
     return panels.hourly(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("window.start").cast("long").alias("hour"), "event_type", "n", "total")
 
 
-@query()
+@query(DUCK + "SELECT conv_id, turn, array_to_string(new, ', ') AS taught, array_to_string(list_transform(bad, lambda b: b.rule || ': ' || b.detail), '; ') AS violations FROM d_earned")
 def taught_term_fold(spark, sf):
-    """Customers' conversations that gloss terms; the state of a conversation goes from reply to reply."""
-    c, lit = table(spark, sf, "customer"), F.lit
-    k = F.col("c_custkey")
-    first = F.concat(lit("The copay — that is, the part that you pay. "), F.when(k % 2 == 0, lit("The waiver, which means a copay that you can skip.")).otherwise(lit("The waiver, which means a zorble.")))
-    second = F.concat(lit("You can skip the part that you pay. This is called a "), F.when(k % 3 == 0, lit("waiver")).otherwise(lit("bluff")), lit("."))
-    said = F.array(*[F.struct(lit(i).cast("long").alias("turn"), lit(r).alias("role"), t.alias("text")) for i, (r, t) in enumerate((("user", lit("What is it?")), ("assistant", first), ("user", lit("And then?")), ("assistant", second)))])
-    rows = c.select(k.alias("conv_id"), F.explode(said).alias("t")).select("conv_id", "t.*")
-    words = spark.createDataFrame([(w,) for w in "the part that you pay can skip a is and then this called".split()], "word string")
-    return taught.taught_terms(turns.user_texts_before(rows), words)
+    """What each reply newly teaches, and its gloss violations; the state of a conversation goes from reply to reply."""
+    found = taught.taught_terms(derived.replies(spark, sf), derived.plain_words(spark))
+    return found.select("conv_id", "turn", F.array_join("taught", ", ").alias("taught"), F.array_join("violations", "; ").alias("violations"))

@@ -1,7 +1,8 @@
 """Notices, conversations about them and their verdicts, derived from orders and customers.
 
 The free text of the tables has next to none of what the rules look for, so texts are made from the
-same columns as their metadata. DUCK has the same relations for DuckDB.
+same columns as their metadata. DUCK has the same relations for DuckDB; its patterns are written out
+there and are not those of the library.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from turnwise.sources.tables import table
 
 MODELS = ["base", "large", "tuned"]
 STRATEGIES = ["zero_shot", "few_shot", "structured_cot"]
+#: The words that replies may use without earning them.
+PLAIN = (
+    "what this letter say it ask you to do by when your benefit is must return the form please read with care send soon i think should ask for help office if you are not sure "
+    "yes that day fine before start there an a money pay back part paper here person again of some and call which mean in other word wait need after red tape move will can be end co"
+).split()
 
 
 def pick(names: list[str], i: Column) -> Column:
@@ -32,22 +38,31 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = o.join(c, o.o_custkey == c.c_custkey).select(
         F.concat(F.lit("notice-"), k.cast("string")).alias("conv_id"), "o_orderkey", "o_custkey", "c_name", pick(list(GENRES), k % 8).alias("genre"), T.money(F.col("o_totalprice")).alias("amount"),
         T.long_date(F.date_add(day, (k % 20 + 10).cast("int"))).alias("deadline"), T.long_date(F.date_add(day, (k % 20 + 11).cast("int"))).alias("later"), T.long_date(day).alias("ordered"),
-        F.lpad((k % 10000).cast("string"), 4, "0").alias("line"),
+        F.concat(F.when(k % 2 == 0, F.lit("555-010-")).otherwise(F.lit("(555) 010-")), F.lpad((k % 10000).cast("string"), 4, "0")).alias("phone"),
     )
     text = F.concat(
-        "c_name", F.lit("\nCase "), F.col("o_orderkey").cast("string"), F.lit("\nYour monthly benefit is "), "amount", F.lit(".\nYou must return the form by "), "deadline", F.lit(".\nCall (555) 010-"), "line", F.lit(" with questions.")
+        "c_name", F.lit("\nCase "), F.col("o_orderkey").cast("string"), F.lit("\nYour monthly benefit is "), "amount", F.lit(".\nYou must return the form by "), "deadline", F.lit(".\nCall "), "phone", F.lit(" with questions.")
     )
     return rows.withColumn("adverse", F.col("genre").isin(ADVERSE)).withColumn("notice_text", text)
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns (conv_id, turn, role, text) on each notice; replies break a rule each by a variant number."""
-    n = notices(spark, sf_dir).withColumn("v", (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 8)
+def conversations(spark: SparkSession, sf_dir: str, about: list[str] | None = None) -> DataFrame:
+    """Turns (conv_id, turn, role, text) on each notice; replies break a rule each by a variant number.
+
+    The columns `about` of the notice stand on its first turn.
+    """
+    n = notices(spark, sf_dir).withColumn("v", (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 14)
     v, lit = F.col("v"), F.lit
     quoted = F.when(v.isin(3, 4), lit("> You must return the form")).otherwise(F.concat(lit("> You must return the form by "), "deadline", lit(".")))
     extra = (
         F.when(v == 6, lit('It says "You may lose everything".'))
-        .when(v == 7, F.concat(lit("> "), "c_name", lit("\n> Case "), F.col("o_orderkey").cast("string"), lit("\n> Your monthly benefit is "), "amount", lit(".\n> Call (555) 010-"), "line", lit(" with questions.")))
+        .when(v == 7, F.concat(lit("> "), "c_name", lit("\n> Case "), F.col("o_orderkey").cast("string"), lit("\n> Your monthly benefit is "), "amount", lit(".\n> Call "), "phone", lit(" with questions.")))
+        .when(v == 8, lit("The recoupment starts soon. Recoupments end."))
+        .when(v == 9, lit("There is a recoupment, which means money that you won't pay back."))
+        .when(v == 10, lit("There is a proration — that is, an apportionment of it."))
+        .when(v == 11, lit('The copay, which means the part that you pay. The waiver (in other words, a paper that you send) helps. You pay some of it. "This is called a bluff."'))
+        .when(v == 12, lit("There is the hearing officer review, which means a person reads it again."))
+        .when(v == 13, F.concat(lit("You won't need the 'red' tape. It can't move to "), F.replace("deadline", lit(","), lit("")), lit(". Call "), "phone", lit(".")))
         .otherwise(lit("Please read the letter with care."))
     )
     reply = F.concat_ws(
@@ -60,31 +75,49 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~v.isin(1, 7), lit(rules.BANNER)),
     )
     more = F.col("o_orderkey") % 3 == 0
-    second = F.when(v % 2 == 0, F.concat("ordered", lit(" is before "), "deadline", lit("."))).otherwise(lit("Yes, that day is fine."))
+    second = (
+        F.when(v == 8, F.concat(lit("The recoupment ends before "), "deadline", lit(".")))
+        .when(v == 9, F.concat(lit("The recoupments end before "), "deadline", lit(". Co-pay is not co-zeal.")))
+        .when(v == 12, F.concat(lit("The hearing officer review is before "), "deadline", lit(". The officer waits.")))
+        .when(v == 13, F.concat(lit("Your zorblexes are fine by "), "deadline", lit(".")))
+        .when(v % 2 == 0, F.concat("ordered", lit(" is before "), "deadline", lit(".")))
+        .otherwise(lit("Yes, that day is fine."))
+    )
     turn = lambda i, role, text: F.struct(lit(i).cast("long").alias("turn"), lit(role).alias("role"), text.alias("text"))
     all_turns = F.concat(
         F.array(turn(0, "user", F.concat(lit(PREFIX), "notice_text")), turn(1, "assistant", reply)),
-        F.when(more, F.array(turn(2, "user", F.concat(lit("I have time on "), "ordered", lit(". Is that ok?"))), turn(3, "assistant", second))).otherwise(F.array().cast("array<struct<turn:bigint,role:string,text:string>>")),
+        F.when(more, F.array(turn(2, "user", F.concat(lit("I have time on "), "ordered", lit(". Is my zorblex ok?"))), turn(3, "assistant", second))).otherwise(F.array().cast("array<struct<turn:bigint,role:string,text:string>>")),
     )
-    return n.select("conv_id", F.explode(all_turns).alias("t")).select("conv_id", "t.*")
+    rows = n.select("conv_id", *(about or ()), F.explode(all_turns).alias("t"))
+    return rows.select("conv_id", "t.*", *[F.when(F.col("t.turn") == 0, F.col(c)).alias(c) for c in about or ()])
+
+
+def plain_words(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in dict.fromkeys(PLAIN)])).alias("word"))
+
 
+ABOUT = ["notice_text", "deadline", "adverse", "genre"]
 
-def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reply with its violations; the state of a conversation is gathered in one shuffle by conv_id."""
-    said = turns.user_texts_before(conversations(spark, sf_dir))
-    replies = turns.reply_index(said)
-    about = notices(spark, sf_dir).select("conv_id", "notice_text", "deadline", "adverse", "genre")
-    return rules.check_replies(replies.join(about, "conv_id"))
+
+def replies(spark: SparkSession, sf_dir: str, more: list[str] | None = None) -> DataFrame:
+    """Every reply with its notice and the state of its conversation, gathered in one shuffle by conv_id."""
+    about = [*ABOUT, *(more or ())]
+    return turns.replies(conversations(spark, sf_dir, about), about)
+
+
+def checked(spark: SparkSession, sf_dir: str, more: list[str] | None = None) -> DataFrame:
+    """Every reply with its violations of the ten rules."""
+    return rules.check_replies(replies(spark, sf_dir, more), plain_words(spark), per_source=True)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each conversation with the model and strategy that it stands for."""
     k = F.col("o_orderkey")
-    about = notices(spark, sf_dir).select(
+    found = metrics.conversation_records(checked(spark, sf_dir, ["o_orderkey", "o_custkey"]), ["o_orderkey", "o_custkey"])
+    return found.select(
         "conv_id", pick(MODELS, k % 3).alias("model"), pick(STRATEGIES, F.floor(k / 3) % 3).alias("strategy"), F.when(k % 5 == 0, "adversarial").otherwise("clean").alias("category"),
-        (T.hash_fraction(F.col("conv_id")) < 0.25).alias("judged"), (F.col("o_custkey") % 2 == 0).alias("judge_pass"),
+        (T.hash_fraction(F.col("conv_id")) < 0.25).alias("judged"), (F.col("o_custkey") % 2 == 0).alias("judge_pass"), "strict_pass", "per_100_words", "by_rule", "advisory_by_rule",
     )
-    return about.join(metrics.conversation_records(checked(spark, sf_dir)), "conv_id")
 
 
 def _sql(text: str) -> str:
@@ -92,63 +125,232 @@ def _sql(text: str) -> str:
 
 
 _LIST = "[" + ", ".join(map(_sql, GENRES)) + "]"
-_FIND = lambda t: " || ".join(f"regexp_extract_all({t}, {_sql(rx)})" for rx in T.ANCHORS.values())
 _DATE = "strftime({0}, '%B %-d, %Y')"
+
+# Written out for DuckDB, whose patterns know no look-around and ASCII words only.
+_WORD = "'[A-Za-z][A-Za-z''’-]*'"
+_MONTHS = "Jan|January|Feb|February|Mar|March|Apr|April|May|Jun|June|Jul|July|Aug|August|Sep|Sept|September|Oct|October|Nov|November|Dec|December"
+DUCK_ANCHORS = {
+    "date": rf"'\b[0-9][0-9]?/[0-9][0-9]?/[0-9]{{2,4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b|\b(?:{_MONTHS})\.?\s+[0-9][0-9]?(?:st|nd|rd|th)?(?:,?\s+[0-9]{{4}})?\b'",
+    "amount": r"'\$\s?[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?'",
+    "phone": r"'\b(?:1[-. ])?(?:\([0-9]{3}\)\s?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}\b'",
+}
+_FIND = lambda t: " || ".join(f"regexp_extract_all({t}, {rx})" for rx in DUCK_ANCHORS.values())
+_SHORT = [
+    ("\\bwon[''’]t\\b", "will not"), ("\\bcan[''’]t\\b", "can not"), ("\\bshan[''’]t\\b", "shall not"), ("\\bain[''’]t\\b", "is not"), ("\\blet[''’]s\\b", "let us"), ("\\bcannot\\b", "can not"),
+    ("n[''’]t\\b", " not"), ("[''’]ll\\b", " will"), ("[''’]re\\b", " are"), ("[''’]ve\\b", " have"), ("[''’]m\\b", " am"), ("[''’]d\\b", " would"),
+]
+
+
+def duck_spelled(x: str) -> str:
+    """Contractions spelled out."""
+    for pattern, full in _SHORT:
+        x = f"regexp_replace({x}, '(?i){pattern}', '{full}', 'g')"
+    return x
+
+
+def duck_words(x: str) -> str:
+    """Words spelled out, without possessive endings."""
+    return f"list_filter(list_transform(regexp_extract_all({duck_spelled(x)}, {_WORD}), lambda w_: regexp_replace(w_, '[''’]s$|[''’]$', '')), lambda w_: w_ <> '')"
+
+
+def duck_lemma(x: str) -> str:
+    """The ending off a regular form."""
+    w = f"lower({x})"
+    cut = lambda y, n: f"left({y}, length({y}) - {n})"
+    m = (
+        f"(CASE WHEN regexp_matches({w}, '[^aeiou](ies|ied)$') THEN {cut(w, 3)} || 'y' WHEN regexp_matches({w}, '(s|x|z|ch|sh)es$') THEN {cut(w, 2)} WHEN regexp_matches({w}, '[^s]s$') AND length({w}) > 3 THEN {cut(w, 1)}"
+        f" WHEN regexp_matches({w}, '..ing$') AND length({w}) > 5 THEN {cut(w, 3)} WHEN regexp_matches({w}, '..ed$') AND length({w}) > 4 THEN {cut(w, 2)} ELSE {w} END)"
+    )
+    return f"(CASE WHEN regexp_matches({m}, '(bb|dd|gg|mm|nn|pp|rr|tt|.e)$') THEN {cut(m, 1)} ELSE {m} END)"
+
+
+def duck_sentences(x: str) -> str:
+    return f"list_filter(list_transform(string_split_regex(regexp_replace({x}, '([.?!][\"”)]?)\\s+', '\\1' || chr(1), 'g'), '\\x01|\\n+'), lambda s_: trim(s_, ' ' || chr(9))), lambda s_: s_ <> '')"
+
+
+def _blank(term: str, x: str) -> str:
+    return f"regexp_replace({x}, '(?i)(^|[^A-Za-z0-9_''’-])' || replace({term}, ' ', '\\s+') || '($|[^A-Za-z0-9_''’-])', '\\1 \\2', 'g')"
+
+
+_FORMS = {
+    "that_is": r"'(?is)^(.*?)\s*[—–-]\s*that is,\s*(.+?)[.?!]?$'", "which": r"'(?is)^(.*?),\s*which means\s+(.+?)[.?!]?$'", "other": r"'(?is)^(.*?)\s*\(\s*in other words,\s*([^)]+)\)'",
+    "called": r"""'(?i)^["“]?This is called\s+["“]?([A-Za-z0-9_''’-]+(?:\s+[A-Za-z0-9_''’-]+){0,3})["”]?\s*[.?!]?["”]?$'""",
+}
 _COUNTS = "map_from_entries(list_transform(list_sort(list_distinct({0})), lambda r: struct_pack(k := r, v := len(list_filter({0}, lambda x: x = r)))))"
+_BANNER = "'Important: letters like this often have a much shorter deadline if you want to keep your benefits while you ask for a hearing. Look for it in the letter, and ask a free legal aid office if you are not sure.'"
+_QUOTELESS = "regexp_replace(regexp_replace({0}, '\"[^\"\\n]+\"', ' ', 'g'), '(^|\\n)[ \\t]*>[^\\n]*', '\\1 ', 'g')"
+
+
+def duck_words_ok(replies: str, users: str, lex: str) -> str:
+    """CTEs that end in w_ok(conv_id, turn, token, ok, fam, pf) over replies(conv_id, turn, text, notice_text, said), users(conv_id, turn, text) and lex(word).
+
+    ok says whether a word needs no teaching; fam is its family, pf those of its hyphenated parts that are not ok by themselves.
+    """
+    return f"""
+w_lex AS (SELECT DISTINCT {duck_lemma('word')} AS f FROM {lex}),
+w_said AS MATERIALIZED (SELECT DISTINCT conv_id, turn, w FROM (SELECT conv_id, turn, unnest({duck_words('text')}) AS w FROM {users})),
+w_saidf AS MATERIALIZED (SELECT DISTINCT conv_id, turn, {duck_lemma('w')} AS f FROM w_said),
+w_tok AS MATERIALIZED (SELECT DISTINCT conv_id, turn, unnest({duck_words('text')} || regexp_extract_all(text, {_WORD})) AS token FROM {replies}),
+w_piece AS MATERIALIZED (SELECT conv_id, turn, token, token AS piece, TRUE AS whole FROM w_tok
+  UNION ALL SELECT conv_id, turn, token, unnest(list_filter(string_split(token, '-'), lambda p: p <> '')), FALSE FROM w_tok WHERE contains(trim(token, '-'), '-')),
+w_fam AS (SELECT piece, {duck_lemma('piece')} AS f FROM (SELECT DISTINCT piece FROM w_piece)),
+w_known AS MATERIALIZED (SELECT p.*, f.f, f.f IN (SELECT f FROM w_lex) AS listed FROM w_piece p JOIN w_fam f USING (piece)),
+w_heard AS MATERIALIZED (SELECT DISTINCT k.conv_id, k.turn, k.f FROM w_known k JOIN w_saidf s ON s.conv_id = k.conv_id AND s.turn < k.turn AND s.f = k.f WHERE NOT k.listed),
+w_cap AS MATERIALIZED (SELECT DISTINCT k.conv_id, k.turn, piece, r.notice_text || chr(10) || r.said AS around FROM w_known k JOIN {replies} r USING (conv_id, turn) WHERE NOT listed AND regexp_matches(piece, '^[A-Z]')),
+w_near AS MATERIALIZED (SELECT * FROM w_cap WHERE contains(around, piece)),
+w_named AS MATERIALIZED (SELECT conv_id, turn, piece FROM w_near WHERE regexp_matches(around, '(^|[^\\pL\\pN_])' || piece || '($|[^\\pL\\pN_])')),
+w_each AS (SELECT k.*, k.listed OR h.f IS NOT NULL OR n.piece IS NOT NULL AS ok FROM w_known k LEFT JOIN w_heard h ON h.conv_id = k.conv_id AND h.turn = k.turn AND h.f = k.f
+  LEFT JOIN w_named n ON n.conv_id = k.conv_id AND n.turn = k.turn AND n.piece = k.piece),
+w_ok AS MATERIALIZED (SELECT conv_id, turn, token, bool_or(ok AND whole) OR (count(*) FILTER (NOT whole) > 0 AND bool_and(ok OR whole)) AS ok, max(f) FILTER (whole) AS fam,
+  list(f) FILTER (NOT whole AND NOT ok) AS pf FROM w_each GROUP BY conv_id, turn, token)"""
+
+
+def _taught_or(x: str, families: str) -> str:
+    return f"({x}.ok OR list_contains({families}, {x}.fam) OR (coalesce(len({x}.pf), 0) > 0 AND list_has_all({families}, {x}.pf)))"
+
+
+#: The texts here gloss at most so many terms in a conversation; each is a step of the fold.
+_MOST_GLOSSES = 4
+
+
+def _fold(back: str) -> str:
+    """g_fold: the state of each conversation after each of its glosses, step by step."""
+    steps = [
+        """g_0 AS MATERIALIZED (SELECT DISTINCT conv_id, 0::BIGINT AS k, -1::BIGINT AS turn, []::VARCHAR[] AS taught, []::VARCHAR[] AS tf, []::VARCHAR[] AS new, []::VARCHAR[] AS nf, []::VARCHAR[] AS seen,
+  NULL::VARCHAR AS bad, NULL::VARCHAR AS term, ''::VARCHAR AS s FROM g_gloss)"""
+    ]
+    for k in range(1, _MOST_GLOSSES + 1):
+        steps += [
+            f"""g_{k}a AS MATERIALIZED (SELECT g.conv_id, g.k, g.turn, g.text, g.s, g.pre, g.inner_words, g.named, g.named_family, g.form, g.gloss,
+  CASE WHEN g.turn <> f.turn THEN f.taught || f.new ELSE f.taught END AS taught, CASE WHEN g.turn <> f.turn THEN f.tf || f.nf ELSE f.tf END AS tf,
+  CASE WHEN g.turn <> f.turn THEN [] ELSE f.new END AS new, CASE WHEN g.turn <> f.turn THEN [] ELSE f.nf END AS nf, CASE WHEN g.turn <> f.turn THEN [] ELSE f.seen END AS seen
+  FROM g_{k - 1} f JOIN g_gloss g ON g.conv_id = f.conv_id AND g.k = {k})""",
+            f"g_{k}b AS MATERIALIZED (SELECT *, coalesce({back}, 0) AS n FROM g_{k}a)",
+            f"""g_{k}c AS MATERIALIZED (SELECT *, CASE WHEN form = 'called' THEN nullif(named, '')
+  WHEN len(pre) > 0 THEN lower(array_to_string(list_transform(list_reverse(list_reverse(pre)[1:CASE n WHEN 0 THEN len(pre) WHEN 1 THEN 1 ELSE n - 1 END]), lambda x: x.w), ' ')) END AS term FROM g_{k}b)""",
+            f"""g_{k}d AS MATERIALIZED (SELECT *, {_blank('term', 'gloss')} AS rest, coalesce(instr(lower(text), regexp_extract(lower(text), '(?:^|[^a-z0-9_''’-])(' || replace(term, ' ', '\\s+') || ')(?:$|[^a-z0-9_''’-])', 1)), 0) AS place FROM g_{k}c)""",
+            f"g_{k}e AS MATERIALIZED (SELECT *, {duck_words('rest')} AS left_over FROM g_{k}d)",
+            f"""g_{k}f AS MATERIALIZED (SELECT *, term IS NOT NULL AND NOT list_contains(seen, term) AND (place = 0 OR (place >= instr(text, s) AND place < instr(text, s) + length(s))) AS fresh,
+  CASE WHEN len(list_filter(inner_words, lambda x: list_contains(left_over, x.w) AND NOT {_taught_or('x', 'tf')})) > 0 THEN 'gloss_not_plain' WHEN len(new) >= 2 THEN 'too_many_new_terms' END AS fault FROM g_{k}e)""",
+            f"""g_{k} AS MATERIALIZED (SELECT conv_id, k, turn, taught, tf, CASE WHEN fresh AND fault IS NULL THEN list_append(new, term) ELSE new END AS new,
+  CASE WHEN fresh AND fault IS NULL AND NOT contains(term, ' ') THEN list_append(nf, CASE WHEN form = 'called' THEN named_family ELSE pre[-1].fam END) ELSE nf END AS nf,
+  CASE WHEN term IS NULL THEN seen ELSE list_append(seen, term) END AS seen, CASE WHEN fresh THEN fault END AS bad, CASE WHEN NOT list_contains(seen, term) THEN term END AS term, s FROM g_{k}f)""",
+        ]
+    return ",\n".join(steps) + ",\ng_fold AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM g_{k}" for k in range(1, _MOST_GLOSSES + 1)) + ")"
+
+
+def duck_taught(replies: str) -> str:
+    """CTEs g_gloss, g_fold, g_lesson over replies as in duck_words_ok(), behind its CTEs.
+
+    The glosses of a conversation are folded one by one, with what was taught before the reply and
+    what the reply has taught so far.
+    """
+    form = " ".join(f"WHEN regexp_matches(s, {rx}) THEN '{name}'" for name, rx in _FORMS.items())
+    part = lambda n: "CASE form " + " ".join(f"WHEN '{f}' THEN regexp_extract(s, {_FORMS[f]}, {n})" for f in ("that_is", "which", "other")) + " END"
+    back = f"list_position(list_transform(list_reverse(pre), lambda x: {_taught_or('x', 'tf')}), TRUE)"
+    return f"""
+g_sent AS MATERIALIZED (SELECT conv_id, turn, text, {duck_sentences('text')} AS ss FROM {replies} WHERE regexp_matches(text, '(?i)that is,|which means|in other words,|this is called')),
+g_each AS MATERIALIZED (SELECT *, ss[i] AS s, CASE WHEN i > 1 THEN ss[i - 1] ELSE '' END AS prev FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM g_sent)),
+g_form AS MATERIALIZED (SELECT *, CASE {form} END AS form FROM g_each),
+g_text AS MATERIALIZED (SELECT conv_id, turn, text, s, form, coalesce(regexp_extract_all({part(1)}, {_WORD})[-4:], []) AS pre, CASE WHEN form = 'called' THEN lower(regexp_replace(trim(regexp_extract(s, {_FORMS['called']}, 1), '"“”''’ .'), '(?i)^(a|an|the)\\s+', '')) END AS named,
+  CASE WHEN form = 'called' THEN prev ELSE {part(2)} END AS gloss, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS k FROM g_form WHERE form IS NOT NULL),
+g_pre AS MATERIALIZED (SELECT p.conv_id, p.k, list(struct_pack(w := w, ok := o.ok, fam := o.fam, pf := o.pf) ORDER BY j) AS pre FROM (SELECT conv_id, turn, k, unnest(pre) AS w, generate_subscripts(pre, 1) AS j FROM g_text) p JOIN w_ok o ON o.conv_id = p.conv_id AND o.turn = p.turn AND o.token = p.w GROUP BY ALL),
+g_in AS MATERIALIZED (SELECT p.conv_id, p.k, list(struct_pack(w := w, ok := o.ok, fam := o.fam, pf := o.pf)) AS inner_words FROM (SELECT DISTINCT conv_id, turn, k, unnest({duck_words('gloss')}) AS w FROM g_text) p JOIN w_ok o ON o.conv_id = p.conv_id AND o.turn = p.turn AND o.token = p.w GROUP BY ALL),
+g_gloss AS MATERIALIZED (SELECT t.* EXCLUDE (pre), {duck_lemma('t.named')} AS named_family, p.pre, i.inner_words FROM g_text t LEFT JOIN g_pre p USING (conv_id, k) LEFT JOIN g_in i USING (conv_id, k)),
+{_fold(back)},
+g_lesson AS MATERIALIZED (SELECT conv_id, turn, arg_max(taught, k) AS before, arg_max(new, k) AS new, arg_max(tf || nf, k) AS tf, list(struct_pack(rule := bad, detail := term) ORDER BY k) FILTER (bad IS NOT NULL) AS bad,
+  list(struct_pack(s := s, term := term) ORDER BY k) FILTER (term IS NOT NULL) AS exempt FROM g_fold WHERE k > 0 GROUP BY conv_id, turn)"""
+
+
+def duck_unearned(replies: str, out: str) -> str:
+    """CTEs that end in `out`: the replies with new, bad and unearned, behind those of duck_taught()."""
+    steps = [
+        f"{out}_e{i} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN len(exempt) >= {i} THEN replace(masked, exempt[{i}].s, {_blank(f'exempt[{i}].term', f'exempt[{i}].s')}) ELSE masked END AS masked) FROM {out}_e{i - 1})"
+        for i in (1, 2, 3)
+    ]
+    phrases = "list_filter(known, lambda t: contains(t, ' '))"
+    masked = f"CASE WHEN len({phrases}) > 0 THEN {_blank(f'({phrases})[1]', 'masked')} ELSE masked END"
+    plain = f"regexp_replace(CASE WHEN instr(quoteless, {_BANNER}) > 0 THEN left(quoteless, instr(quoteless, {_BANNER}) - 1) || ' ' || substr(quoteless, instr(quoteless, {_BANNER}) + length({_BANNER})) ELSE quoteless END, '(?i)\\b[0-9]+(st|nd|rd|th)\\b', ' ', 'g')"
+    return f"""
+{out}_l AS MATERIALIZED (SELECT r.conv_id, r.turn, l.before || l.new AS known, l.tf FROM {replies} r ASOF JOIN g_lesson l ON l.conv_id = r.conv_id AND r.turn >= l.turn),
+{out}_e0 AS MATERIALIZED (SELECT r.*, r.text AS masked, coalesce(l.exempt, []) AS exempt, coalesce(l.new, []) AS new, coalesce(l.bad, []) AS bad, coalesce(k.known, []) AS known, coalesce(k.tf, []) AS tf
+  FROM {replies} r LEFT JOIN g_lesson l ON l.conv_id = r.conv_id AND l.turn = r.turn LEFT JOIN {out}_l k ON k.conv_id = r.conv_id AND k.turn = r.turn),
+{", ".join(steps)},
+{out}_p AS MATERIALIZED (SELECT * REPLACE ({masked} AS masked) FROM {out}_e3),
+{out}_q AS MATERIALIZED (SELECT *, {_QUOTELESS.format("masked")} AS quoteless FROM {out}_p),
+{out}_r AS MATERIALIZED (SELECT conv_id, turn, tf, {plain} AS plain FROM {out}_q),
+{out}_w AS (SELECT conv_id, turn, tf, unnest({duck_words('plain')}) AS token FROM {out}_r),
+{out}_u AS (SELECT w.conv_id, w.turn, list_sort(list(DISTINCT lower(w.token))) AS unearned FROM {out}_w w JOIN w_ok o USING (conv_id, turn, token) WHERE NOT {_taught_or('o', 'w.tf')} GROUP BY ALL),
+{out} AS MATERIALIZED (SELECT p.*, coalesce(u.unearned, []) AS unearned FROM {out}_p p LEFT JOIN {out}_u u USING (conv_id, turn))"""
+
 
 #: Common table expressions d_notices, d_turns, d_checked, d_metrics, d_series, d_records.
 DUCK = f"""
-WITH d_notices AS (
+WITH d_notices AS MATERIALIZED (
   SELECT 'notice-' || o_orderkey AS conv_id, o_orderkey, o_custkey, c_name, {_LIST}[o_orderkey % 8 + 1] AS genre,
     '$' || format('{{:,.2f}}', o_totalprice) AS amount, {_DATE.format("CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 + 10 AS INTEGER)")} AS deadline,
     {_DATE.format("CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 + 11 AS INTEGER)")} AS later, {_DATE.format("CAST(o_orderdate AS DATE)")} AS ordered,
-    lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS line, genre IN ({", ".join(map(_sql, ADVERSE))}) AS adverse,
+    CASE WHEN o_orderkey % 2 = 0 THEN '555-010-' ELSE '(555) 010-' END || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS phone, genre IN ({", ".join(map(_sql, ADVERSE))}) AS adverse,
     c_name || chr(10) || 'Case ' || o_orderkey || chr(10) || 'Your monthly benefit is ' || amount || '.' || chr(10) || 'You must return the form by ' || deadline || '.'
-      || chr(10) || 'Call (555) 010-' || line || ' with questions.' AS notice_text, (o_orderkey * 7 + o_custkey) % 8 AS v
+      || chr(10) || 'Call ' || phone || ' with questions.' AS notice_text, (o_orderkey * 7 + o_custkey) % 14 AS v
   FROM orders JOIN customer ON o_custkey = c_custkey),
-d_turns AS (
+d_turns AS MATERIALIZED (
   SELECT conv_id, 0::BIGINT AS turn, 'user' AS role, {_sql(PREFIX)} || notice_text AS text FROM d_notices
   UNION ALL SELECT conv_id, 1, 'assistant', concat_ws(chr(10), CASE WHEN v <> 1 THEN 'What this letter says' END,
     'Your benefit is ' || CASE WHEN v = 2 THEN split_part(amount, '.', 1) ELSE amount END || '.', 'What it asks you to do',
     CASE WHEN v IN (3, 4) THEN '> You must return the form' ELSE '> You must return the form by ' || deadline || '.' END,
     CASE v WHEN 6 THEN 'It says "You may lose everything".'
-      WHEN 7 THEN '> ' || c_name || chr(10) || '> Case ' || o_orderkey || chr(10) || '> Your monthly benefit is ' || amount || '.' || chr(10) || '> Call (555) 010-' || line || ' with questions.'
+      WHEN 7 THEN '> ' || c_name || chr(10) || '> Case ' || o_orderkey || chr(10) || '> Your monthly benefit is ' || amount || '.' || chr(10) || '> Call ' || phone || ' with questions.'
+      WHEN 8 THEN 'The recoupment starts soon. Recoupments end.'
+      WHEN 9 THEN 'There is a recoupment, which means money that you won''t pay back.'
+      WHEN 10 THEN 'There is a proration — that is, an apportionment of it.'
+      WHEN 11 THEN 'The copay, which means the part that you pay. The waiver (in other words, a paper that you send) helps. You pay some of it. "This is called a bluff."'
+      WHEN 12 THEN 'There is the hearing officer review, which means a person reads it again.'
+      WHEN 13 THEN 'You won''t need the ''red'' tape. It can''t move to ' || replace(deadline, ',', '') || '. Call ' || phone || '.'
       ELSE 'Please read the letter with care.' END, 'By when',
     CASE v WHEN 3 THEN 'Send it by ' || later || '.' WHEN 4 THEN 'Send it soon.' WHEN 7 THEN 'Soon.' ELSE 'You must send it by ' || deadline || '.' END,
     CASE WHEN v = 5 THEN 'I think you should ask for help.' WHEN v <> 7 THEN 'Ask the office if you are not sure.' END,
-    CASE WHEN v NOT IN (1, 7) THEN {_sql(rules.BANNER)} END) FROM d_notices
-  UNION ALL SELECT conv_id, 2, 'user', 'I have time on ' || ordered || '. Is that ok?' FROM d_notices WHERE o_orderkey % 3 = 0
-  UNION ALL SELECT conv_id, 3, 'assistant', CASE WHEN v % 2 = 0 THEN ordered || ' is before ' || deadline || '.' ELSE 'Yes, that day is fine.' END FROM d_notices WHERE o_orderkey % 3 = 0),
-d_said AS (
-  SELECT r.conv_id, r.turn, r.text, CASE WHEN r.turn = 1 THEN 0 ELSE 1 END AS reply_index, r.turn = 1 AS first_reply, n.notice_text, n.deadline, n.adverse, n.genre,
-    (SELECT string_agg(u.text, chr(10)) FROM d_turns u WHERE u.conv_id = r.conv_id AND u.role = 'user' AND u.turn < r.turn) AS said
-  FROM d_turns r JOIN d_notices n USING (conv_id) WHERE r.role = 'assistant'),
+    CASE WHEN v NOT IN (1, 7) THEN {_BANNER} END) FROM d_notices
+  UNION ALL SELECT conv_id, 2, 'user', 'I have time on ' || ordered || '. Is my zorblex ok?' FROM d_notices WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT conv_id, 3, 'assistant', CASE WHEN v = 8 THEN 'The recoupment ends before ' || deadline || '.' WHEN v = 9 THEN 'The recoupments end before ' || deadline || '. Co-pay is not co-zeal.'
+    WHEN v = 12 THEN 'The hearing officer review is before ' || deadline || '. The officer waits.' WHEN v = 13 THEN 'Your zorblexes are fine by ' || deadline || '.'
+    WHEN v % 2 = 0 THEN ordered || ' is before ' || deadline || '.' ELSE 'Yes, that day is fine.' END FROM d_notices WHERE o_orderkey % 3 = 0),
+d_lex AS (SELECT unnest([{", ".join(map(_sql, dict.fromkeys(PLAIN)))}]) AS word),
+d_users AS MATERIALIZED (SELECT conv_id, turn, text FROM d_turns WHERE role = 'user'),
+d_said AS MATERIALIZED (
+  SELECT r.conv_id, r.turn, r.text, CASE WHEN r.turn = 1 THEN 0 ELSE 1 END AS reply_index, r.turn = 1 AS first_reply, n.notice_text, n.deadline, n.adverse, n.genre, u.text || CASE WHEN r.turn > 2 THEN chr(10) || w.text ELSE '' END AS said
+  FROM d_turns r JOIN d_notices n USING (conv_id) JOIN d_turns u ON u.conv_id = r.conv_id AND u.turn = 0 LEFT JOIN d_turns w ON w.conv_id = r.conv_id AND w.turn = 2 WHERE r.role = 'assistant'),
+{duck_words_ok('d_said', 'd_users', 'd_lex')},
+{duck_taught('d_said')},
+{duck_unearned('d_said', 'd_earned')},
 d_quotes AS (
   SELECT *, list_transform(regexp_extract_all(text, '"[^"\\n]+"'), lambda q: q[2:-2])
-    || list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_extract(l, '^[ \\t]*>[ \\t]?(.*)$', 1))), lambda c: c <> '') AS contents FROM d_said),
+    || list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_extract(l, '^[ \\t]*>[ \\t]?(.*)$', 1))), lambda c: c <> '') AS contents FROM d_earned),
 d_rules AS (
   SELECT *, coalesce(list_sum(list_transform(contents, lambda c: length(c))), 0)::BIGINT AS quoted, coalesce(quoted / length(text), 0.0) AS ratio,
     list_transform(list_filter(contents, lambda c: NOT contains(notice_text, c) AND NOT contains(notice_text, regexp_replace(c, '[,.]$', ''))
       AND NOT (NOT contains(c, ' ') AND contains(lower(notice_text), lower(c)))), lambda c: struct_pack(rule := 'fabricated_quote', detail := c)) AS f1,
     list_transform(list_filter(list_distinct({_FIND("text")}), lambda a: NOT list_contains({_FIND("notice_text")}, a) AND NOT list_contains({_FIND("said")}, a)),
       lambda a: struct_pack(rule := 'paraphrased_anchor', detail := a)) AS f2,
-    list_transform(list_filter([{", ".join(map(_sql, rules.ADVICE))}], lambda p: contains(lower(regexp_replace(regexp_replace(text, '"[^"\\n]+"', '', 'g'), '(^|\\n)[ \\t]*>[^\\n]*', '', 'g')), p)),
+    list_transform(list_filter(['you should', 'i recommend', 'i suggest', 'your best option', 'if i were you', 'i think you should', 'you ought to'], lambda p: contains(lower({_QUOTELESS.format("text")}), p)),
       lambda p: struct_pack(rule := 'advice_given', detail := p)) AS f3,
-    list_filter([{", ".join(map(_sql, rules.SCAFFOLD))}], lambda m: NOT contains(text, m)) AS missing
+    list_filter(['What this letter says', 'What it asks you to do', 'By when'], lambda m: NOT contains(text, m)) AS missing
   FROM d_quotes),
-d_checked AS (
-  SELECT conv_id, turn, reply_index, text, notice_text, deadline, genre, greatest(1, len(regexp_extract_all(text, {_sql(T.WORD)})))::BIGINT AS word_count, quoted, ratio, round_even(ratio, 4) AS quoted_ratio,
-    f1 || CASE WHEN ratio > {rules.QUOTE_CAP} THEN [struct_pack(rule := 'over_quoting', detail := CAST(round_even(ratio * 100, 0) AS INTEGER) || '% quoted')] ELSE [] END || f2
+d_checked AS MATERIALIZED (
+  SELECT conv_id, turn, reply_index, text, notice_text, deadline, genre, new, greatest(1, len(regexp_extract_all(text, {_WORD})))::BIGINT AS word_count, quoted, ratio, round_even(ratio, 4) AS quoted_ratio,
+    f1 || CASE WHEN ratio > 0.4 THEN [struct_pack(rule := 'over_quoting', detail := CAST(round_even(ratio * 100, 0) AS INTEGER) || '% quoted')] ELSE [] END
+    || bad || list_transform(unearned, lambda u: struct_pack(rule := 'unearned_word', detail := u)) || f2
     || CASE WHEN NOT contains(text, deadline) THEN [struct_pack(rule := 'missing_operative_deadline', detail := deadline)] ELSE [] END || f3
     || CASE WHEN first_reply AND len(missing) > 0 THEN [struct_pack(rule := 'missing_scaffold', detail := array_to_string(missing, '; '))] ELSE [] END
-    || CASE WHEN first_reply AND adverse AND NOT contains(text, {_sql(rules.BANNER)}) THEN [struct_pack(rule := 'missing_banner', detail := {_sql(rules.BANNER[:60] + "...")})] ELSE [] END AS violations,
-    list_filter(list_distinct({_FIND("array_to_string(list_filter(string_split_regex(notice_text, '[.?!]\\s+|\\n+'), lambda s: regexp_matches(s, " + _sql(rules.MODAL_SOURCE) + ")), chr(10))")}),
-      lambda a: len(list_filter(string_split_regex(text, '[.?!]\\s+|\\n+'), lambda s: contains(s, a) AND NOT regexp_matches(s, {_sql(rules.MODAL_REPLY)}))) > 0) AS advisory
+    || CASE WHEN first_reply AND adverse AND NOT contains(text, {_BANNER}) THEN [struct_pack(rule := 'missing_banner', detail := left({_BANNER}, 60) || '...')] ELSE [] END AS violations,
+    list_filter(list_distinct({_FIND("array_to_string(list_filter(string_split_regex(notice_text, '[.?!]\\s+|\\n+'), lambda s: regexp_matches(s, '(?i)\\b(must|required|have to|has to)\\b')), chr(10))")}),
+      lambda a: len(list_filter(string_split_regex(text, '[.?!]\\s+|\\n+'), lambda s: contains(s, a) AND NOT regexp_matches(s, '(?i)\\b(must|needs? to|required?|have to|has to)\\b'))) > 0) AS advisory
   FROM d_rules),
-d_metrics AS (
+d_metrics AS MATERIALIZED (
   SELECT conv_id, turn, reply_index, genre, word_count, len(violations)::BIGINT AS n_violations, round_even(len(violations) * 100.0 / word_count, 2) AS per_100_words,
     list_transform(violations, lambda v: v.rule) AS rule_list, len(advisory)::BIGINT AS n_advisory, quoted_ratio, len(violations) = 0 AS strict_pass FROM d_checked),
-d_series AS (
+d_series AS MATERIALIZED (
   SELECT conv_id, count(*) AS n_replies, sum(word_count)::BIGINT AS total_words, sum(n_violations)::BIGINT AS total_violations, sum(n_advisory)::BIGINT AS total_advisory,
     round_even(sum(n_violations) * 100.0 / sum(word_count), 2) AS per_100_words, bool_and(strict_pass) AS strict_pass, flatten(list(rule_list)) AS rule_list FROM d_metrics GROUP BY conv_id),
 d_records AS (
