@@ -34,7 +34,7 @@ def test_a_stream_scores_as_the_table_does(spark, tmp_path):
     run = scored.select("conv_id", "turn", "violations").writeStream.format("memory").queryName("scored").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     key = lambda r: (r.conv_id, r.turn, tuple(v.rule for v in r.violations))
-    replies = turns.reply_index(turns.user_texts_before(said)).join(about, "conv_id")
+    replies = turns.user_texts_before(said).join(about, "conv_id")
     assert sorted(map(key, spark.table("scored").collect())) == sorted(map(key, rules.check_replies(replies).collect()))
 
 
@@ -49,3 +49,15 @@ def test_windows_on_a_stream_and_a_table(spark, tmp_path):
         table = f(events)
         got, want = ({tuple(map(str, r)) for r in x.select(*sorted(table.columns)).collect()} for x in (spark.table(name), table))
         assert got <= want and (got == want or mode == "append")
+
+
+def test_batches_are_judged_by_all_rules(spark, tmp_path):
+    said = [("a", 0, "user", "hi"), ("a", 1, "assistant", "The copay, which means the part."), ("b", 0, "user", "my zorble"), ("b", 1, "assistant", "Zorbles and bluff.")]
+    spark.createDataFrame(said, "conv_id string, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    about = spark.createDataFrame([("a", "", None, False), ("b", "", None, False)], "conv_id string, notice_text string, deadline string, adverse boolean")
+    words = spark.createDataFrame([(w,) for w in "the part which means and".split()], "word string")
+    stream = spark.readStream.schema("conv_id string, turn long, role string, text string").parquet(f"{tmp_path}/in")
+    scoring.score_batches(stream, about, f"{tmp_path}/out", f"{tmp_path}/state", words).awaitTermination()
+    rows = spark.read.json(f"{tmp_path}/out").collect()
+    assert {(r.conv_id, v.detail) for r in rows for v in r.violations if v.rule == "unearned_word"} == {("b", "bluff")}
+    assert {(r.conv_id, t) for r in rows for t in r.new_taught_terms or ()} == {("a", "copay")}

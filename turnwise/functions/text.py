@@ -180,6 +180,12 @@ def parse_long_date(text: Column) -> Column:
     return F.to_date(F.try_to_timestamp(text, F.lit("MMMM d, yyyy")))
 
 
+def earliest(printed: Column) -> Column:
+    """Of an array of printed dates the earliest as it is printed; what is no date doesn't count."""
+    dated = F.filter(F.transform(printed, lambda p: F.struct(parse_long_date(p).alias("day"), p.alias("text"))), lambda x: x["day"].isNotNull())
+    return F.array_min(dated)["text"]
+
+
 def retry_seconds(text: Column) -> Column:
     """The wait that a rate-limit message asks for; null where it asks for none."""
     return F.regexp_extract(text, r"retry in ([0-9.]+)s", 1).try_cast("double")

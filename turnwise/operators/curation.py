@@ -26,14 +26,29 @@ def merge_last_wins(rows: DataFrame, keys: list[str], *order: Column) -> DataFra
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last")).select(*keys, *[F.col("last")[c].alias(c) for c in rest])
 
 
+def _held(train_text: str, held: DataFrame, held_text: str) -> tuple[DataFrame, Column]:
+    texts = held.select(F.col(held_text).alias("held_text")).distinct().withColumn("held_sha", F.sha2("held_text", 256))
+    return texts, (F.sha2(F.col(train_text), 256) == F.col("held_sha")) & (F.col(train_text) == F.col("held_text"))
+
+
+def limit_in_order(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in their order, say that of lines in files."""
+    return rows.orderBy(*order).limit(n)
+
+
+def not_done(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are not among those done, so that a job can be run again."""
+    return rows.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
 def contaminated(train: DataFrame, held: DataFrame, train_text: str = "text", held_text: str = "text") -> DataFrame:
-    """Training rows whose exact text is in the held-out set."""
-    return train.join(held.select(F.col(held_text).alias("held_text")).distinct(), F.col(train_text) == F.col("held_text"), "left_semi")
+    """Training rows whose exact text is in the held-out set. Texts meet by their hash, and are compared where it is equal."""
+    return train.join(*_held(train_text, held, held_text), "left_semi")
 
 
 def clean(train: DataFrame, held: DataFrame, train_text: str = "text", held_text: str = "text") -> DataFrame:
-    """Training rows whose exact text is not in the held-out set."""
-    return train.join(held.select(F.col(held_text).alias("held_text")).distinct(), F.col(train_text) == F.col("held_text"), "left_anti")
+    """Training rows whose exact text is not in the held-out set; null texts are in none."""
+    return train.join(*_held(train_text, held, held_text), "left_anti")
 
 
 def require_unique(rows: DataFrame, key: str) -> DataFrame:
@@ -50,6 +65,7 @@ def validate_notices(notices: DataFrame, prefix: str, genres: list[str]) -> Data
         F.when(F.col("deadline").isNotNull() & ~F.contains(text, F.col("deadline")), "deadline"),
         F.when(~F.forall("amounts", lambda a: F.contains(text, a)), "amounts"),
         F.when(F.col("rare_term").isNotNull() & ~F.contains(F.lower(text), F.lower("rare_term")), "rare_term"),
+        F.when(F.col("outer_date").isNotNull() & ~F.contains(text, F.col("outer_date")), "outer_date"),
     )
     return notices.select("notice_id", F.filter(problems, lambda p: p.isNotNull()).alias("problems"))
 
@@ -68,6 +84,15 @@ def markdown_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def markdown_table(rows: DataFrame, columns: list[str], *order: str) -> DataFrame:
+    """(place, line): a markdown table in order, header and rule line first. For summaries: places are given in one task."""
+    heads = ["| " + " | ".join(columns) + " |", "| " + " | ".join("---" for _ in columns) + " |"]
+    head = rows.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(i - 2).alias("place"), F.lit(x).alias("line")) for i, x in enumerate(heads)])).alias("x")).select("x.*")
+    place = (F.row_number().over(Window.orderBy(*order)) - 1).alias("place")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return head.union(rows.select(place, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")))
+
+
 def grid(scenarios: DataFrame, models: list[str], strategies: list[str]) -> DataFrame:
     """A row for each model, strategy and scenario to run; models and strategies are short lists."""
     names = lambda xs: F.explode(F.array(*map(F.lit, xs)))
@@ -96,6 +121,12 @@ def contrast_pairs(n: int) -> int:
     return max(pairs, 1) if n >= 6 else pairs
 
 
+def contrast_pairs_of(n: Column) -> Column:
+    """contrast_pairs() of a column of plan sizes."""
+    pairs = F.floor(F.bround(n * 0.175, 0) / 2)
+    return F.when(n >= 6, F.greatest(pairs, F.lit(1))).otherwise(pairs).cast("long")
+
+
 def broken_twins(turns: DataFrame) -> DataFrame:
     """Contrast groups in which the term is not in a follow-up of exactly the twin that uses it.
 
@@ -114,8 +145,18 @@ def bait_top_up(dialogs: DataFrame, share: float = 0.30, seed: int = 0, may: Col
     """
     n = dialogs.agg(F.count("*").alias("n"), F.count_if("bait").alias("baits"))
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("dialog_id").cast("string")), 256)
-    need = n.select(F.greatest(F.bround(F.col("n") * share, 0) - F.col("baits"), F.lit(0)).cast("int").alias("need")).first()["need"]
-    chosen = dialogs.where(~F.col("bait")).where(may if may is not None else F.lit(True)).orderBy(order, "dialog_id").limit(need).select(F.col("dialog_id").alias("chosen_id"))
+    need = n.select(F.greatest(F.bround(F.col("n") * share, 0) - F.col("baits"), F.lit(0)).cast("long").alias("need")).first()["need"]
+    may_be = dialogs.where(~F.col("bait")).where(may if may is not None else F.lit(True)).select("dialog_id", order.alias("at"))
+    # Whole buckets of the hash order are taken by their counts; only the bucket that the limit cuts is sorted.
+    bucket = F.conv(F.substring("at", 1, 3), 16, 10).cast("int")
+    counts = sorted((r.bucket, r.n) for r in may_be.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect())
+    cut, before = 0, 0
+    for cut, rows in counts:
+        if before + rows >= need:
+            break
+        before += rows
+    last = may_be.where(bucket == cut).orderBy("at", "dialog_id").limit(int(need - before))
+    chosen = may_be.where(bucket < cut).unionByName(last).select(F.col("dialog_id").alias("chosen_id"))
     joined = dialogs.join(chosen, F.col("dialog_id") == F.col("chosen_id"), "left")
     change = F.when(F.col("chosen_id").isNotNull(), F.when(F.col("n_turns") >= 4, "replace").otherwise("append"))
     return joined.withColumn("change", change).drop("chosen_id")

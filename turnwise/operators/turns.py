@@ -74,10 +74,15 @@ def messages(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
 
 
+def without_trailing_assistant(messages: Column) -> Column:
+    """Messages without a last assistant turn, which is a reference answer and not part of a prompt."""
+    last = F.try_element_at(messages, F.lit(-1))["role"] == "assistant"
+    return F.when(last, F.slice(messages, F.lit(1), F.size(messages) - 1)).otherwise(messages)
+
+
 def drop_trailing_assistant(rows: DataFrame) -> DataFrame:
-    """`messages` without a last assistant turn, which is a reference answer and not part of a prompt."""
-    last = F.element_at("messages", -1)["role"] == "assistant"
-    return rows.withColumn("messages", F.when(last, F.slice("messages", 1, F.size("messages") - 1)).otherwise(F.col("messages")))
+    """`rows` whose `messages` are without a last assistant turn."""
+    return rows.withColumn("messages", without_trailing_assistant(F.col("messages")))
 
 
 def metadata_for_turn(rows: DataFrame, policy: str = "all") -> DataFrame:

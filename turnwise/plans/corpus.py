@@ -101,7 +101,9 @@ def user_words_so_far(spark, sf):
 
 @query(
     DUCK
-    + f", tok AS (SELECT conv_id, turn, notice_text, unnest(regexp_extract_all(text, {_W})) AS token FROM d_checked) SELECT conv_id, turn, token, count(*) AS n FROM tok WHERE regexp_matches(token, '^[A-Z]') AND regexp_matches(notice_text, '(^|[^\\pL\\pN_])' || token || '($|[^\\pL\\pN_])') GROUP BY ALL"
+    + f""", tok AS MATERIALIZED (SELECT conv_id, turn, notice_text, unnest(regexp_extract_all(text, {_W})) AS token FROM d_said),
+cap AS MATERIALIZED (SELECT conv_id, turn, token, notice_text, count(*) AS n FROM tok WHERE regexp_matches(token, '^[A-Z]') AND contains(notice_text, token) GROUP BY ALL)
+SELECT conv_id, turn, token, n FROM cap WHERE regexp_matches(notice_text, '(^|[^\\pL\\pN_])' || token || '($|[^\\pL\\pN_])')"""
 )
 def proper_noun_exempt(spark, sf):
     rows = derived.replies(spark, sf)

@@ -52,7 +52,7 @@ def repeated_texts(spark, sf):
 @query(
     DUCK
     + """, p AS (SELECT conv_id AS notice_id, list_filter([CASE WHEN o_orderkey % 13 = 0 THEN 'id' END, CASE WHEN o_orderkey % 11 = 0 THEN 'genre' END,
-  CASE WHEN o_orderkey % 7 = 0 THEN 'deadline' END, CASE WHEN o_orderkey % 5 = 0 THEN 'amounts' END], lambda x: x IS NOT NULL) AS p FROM d_notices)
+  CASE WHEN o_orderkey % 7 = 0 THEN 'deadline' END, CASE WHEN o_orderkey % 5 = 0 THEN 'amounts' END, CASE WHEN o_orderkey % 17 = 0 THEN 'outer_date' END], lambda x: x IS NOT NULL) AS p FROM d_notices)
 SELECT CASE WHEN list_contains(p, 'id') THEN 'x' ELSE '' END || notice_id AS notice_id, array_to_string(p, ',') AS problems FROM p"""
 )
 def notice_validate(spark, sf):
@@ -60,7 +60,7 @@ def notice_validate(spark, sf):
     n = derived.notices(spark, sf).select(
         F.concat(F.when(k % 13 == 0, "x").otherwise(""), "conv_id").alias("notice_id"), F.when(k % 11 == 0, "letter").otherwise(F.col("genre")).alias("genre"), "notice_text",
         F.when(k % 7 == 0, F.col("later")).otherwise(F.col("deadline")).alias("deadline"), F.when(k % 5 == 0, F.array("amount", F.lit("$0.01x"))).otherwise(F.array("amount")).alias("amounts"),
-        F.when(k % 2 == 0, F.lit("CASE")).alias("rare_term"),
+        F.when(k % 2 == 0, F.lit("CASE")).alias("rare_term"), F.when(k % 17 == 0, F.col("later")).when(k % 3 == 0, F.col("deadline")).alias("outer_date"),
     )
     return curation.validate_notices(n, "notice-", list(derived.GENRES)).select("notice_id", F.array_join("problems", ",").alias("problems"))
 

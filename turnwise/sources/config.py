@@ -1,0 +1,28 @@
+"""Settings of jobs: a tree of values with overrides, and a hash that names it."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+
+
+def overridden(config: dict, overrides: list[str]) -> dict:
+    """A copy of `config` with `a.b=value` overrides; values are JSON where they can be, else text."""
+    out = json.loads(json.dumps(config))
+    for item in overrides:
+        path, _, value = item.partition("=")
+        *branch, leaf = path.split(".")
+        at = out
+        for name in branch:
+            at = at.setdefault(name, {})
+        try:
+            at[leaf] = json.loads(value)
+        except ValueError:
+            at[leaf] = value
+    return out
+
+
+def config_hash(config: dict) -> str:
+    """The first 16 hex digits of the SHA-256 of the settings as sorted JSON, names with a leading underscore left out."""
+    kept = {k: v for k, v in config.items() if not k.startswith("_")}
+    return hashlib.sha256(json.dumps(kept, sort_keys=True).encode()).hexdigest()[:16]
