@@ -62,6 +62,6 @@ def test_dataset_log_and_words(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/log").count() == 2
     files.freeze_words(spark.createDataFrame([("b",), ("a",), ("b",)], "word string"), f"{tmp_path}/words")
     assert {r.word for r in lexicon.read_words(spark, f"{tmp_path}/words/forms").collect()} == {"a", "b"}
-    assert spark.read.json(f"{tmp_path}/words/provenance").first().n == 3
+    assert spark.read.json(f"{tmp_path}/words/provenance").first().n == 2
     document = files.read_document(spark, lines(tmp_path / "state.json", '{"first_reply":\n true, "user_turns": ["x"]}'), "first_reply boolean, user_turns array<string>").first()
     assert document.first_reply and document.user_turns == ["x"]

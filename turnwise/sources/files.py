@@ -105,11 +105,13 @@ def write_dataset(dialogs: DataFrame, path: str) -> None:
 
 
 def freeze_words(words: DataFrame, path: str) -> None:
-    """forms/ has the words in order, a line each; provenance/ their number and hash.
-
-    The hash is over all words at once: word lists are bounded by the dictionary.
-    """
+    """forms/ has the words, each once, a line each, in order over its files; provenance/ their number and hash."""
     from turnwise.operators.lexicon import provenance
 
-    words.select(F.col("word").cast(StringType()).alias("value")).distinct().orderBy("value").coalesce(1).write.text(f"{path}/forms")
+    words.select(F.col("word").cast(StringType()).alias("value")).distinct().orderBy("value").write.text(f"{path}/forms")
     provenance(words).write.json(f"{path}/provenance")
+
+
+def write_batches(rows: DataFrame, path: str, checkpoint: str):
+    """Starts a query that writes each batch of a stream to a folder of its own as JSON lines; a batch that is done again replaces itself."""
+    return rows.writeStream.foreachBatch(lambda batch, n: write_jsonl(batch, f"{path}/batch={n}", "overwrite")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
