@@ -65,15 +65,102 @@ def notice_validate(spark, sf):
     return curation.validate_notices(n, "notice-", list(derived.GENRES)).select("notice_id", F.array_join("problems", ",").alias("problems"))
 
 
-@query()
+def _draw(name: str, seed: int) -> str:
+    return _FRACTION.format(f"'{seed}:{name}:' || seq")
+
+
+def _one_of(texts: list[str], at: str) -> str:
+    return f"[{', '.join(map(_sql, texts))}][CAST(floor(({at}) * {len(texts)}) AS BIGINT) + 1]"
+
+
+def _filled(text: str, names: list[str]) -> str:
+    for n in names:
+        text = f"replace({text}, '{{{n}}}', coalesce({n}, ''))"
+    return text
+
+
+def _of_genre(texts: dict[str, list[str]], at: str) -> str:
+    return "CASE genre " + " ".join(f"WHEN '{g}' THEN {_one_of(some, at)}" for g, some in texts.items()) + " END"
+
+
+def _weighted(weights: dict[str, int], key: str) -> str:
+    cases, total = "", 0
+    for name, w in weights.items():
+        total += w
+        cases += f" WHEN {_FRACTION.format(key)} * {sum(weights.values())} < {total} THEN '{name}'"
+    return f"CASE{cases} END"
+
+
+def _money(x: str) -> str:
+    return f"'$' || format('{{:,.2f}}', CAST(CAST({x} AS DECIMAL(14,2)) AS DOUBLE))"
+
+
+def _notices_sql(p: str, n: str, seed: int) -> str:
+    """CTEs that end in {p}: n generated notices."""
+    d, day = lambda name: _draw(name, seed), "strftime({0}, '%B %-d, %Y')"
+    names = ["program", "other", "proof", "term", "before", "after"]
+    g = generate
+    return f"""
+{p}_a AS MATERIALIZED (SELECT seq, {_weighted(g.GENRES, f"'{seed}:' || seq")} AS genre, {_one_of(g.PROGRAMS, d('program'))} AS program, {_one_of(g.PROGRAMS, f"({d('program')} + 0.21) % 1")} AS other, {_one_of(g.PROOFS, d('proof'))} AS proof,
+  {_one_of(g.TERMS, d('term'))} AS term, DATE '2026-01-05' + CAST(floor({d('sent')} * 360) AS INTEGER) AS sent, CAST(floor({d('days')} * 40 + 10) AS INTEGER) AS days, {_money(d('before') + ' * 900 + 100')} AS before, {_money(d('after') + ' * 90 + 10')} AS after,
+  CASE WHEN {d('hearing')} < 0.4 THEN 'prominent' WHEN {d('hearing')} < 0.8 THEN 'buried' ELSE 'absent' END AS hearing_mode, {d('layout')} < 0.55 AS as_list,
+  '555-010-' || lpad(CAST(CAST(floor({d('phone')} * 10000) AS BIGINT) AS VARCHAR), 4, '0') AS phone, 'CN-' || lpad(CAST(CAST(floor({d('case')} * 10000000) AS BIGINT) AS VARCHAR), 7, '0') AS case_no FROM (SELECT unnest(range(0, {n})) AS seq)),
+{p}_b AS MATERIALIZED (SELECT *, genre IN ('denial', 'termination', 'reduction', 'multi_program', 'missing_element') AS adverse, {day.format('sent + days')} AS due, {day.format('sent + 90')} AS outer_day, {_of_genre(g.WHAT, d('what'))} AS what0, {_of_genre(g.WHY, d('why'))} AS why0,
+  genre IN ('verification', 'recert_form', 'denial', 'reduction', 'termination', 'multi_program') AS has_must FROM {p}_a),
+{p}_c AS MATERIALIZED (SELECT *, {_filled('what0', names)} AS what, {_filled('why0', names)} AS why, CASE WHEN has_must THEN 'You must send ' || proof || ' by ' || due || '.' END AS must,
+  'If you ask within 10 days, your benefits can stay the same until the hearing.' AS keep, 'You may ask for a hearing by ' || outer_day || '.' AS ask, adverse AND genre <> 'missing_element' AS heard FROM {p}_b),
+{p}_d AS MATERIALIZED (SELECT *, list_filter([what, why, must], lambda b: b IS NOT NULL) || CASE WHEN NOT heard THEN [] WHEN hearing_mode = 'prominent' THEN [keep, ask] WHEN hearing_mode = 'buried' THEN [ask || ' ' || keep] ELSE [ask] END AS blocks FROM {p}_c),
+{p} AS MATERIALIZED (SELECT 'train-' || genre || '-' || lpad(CAST(seq AS VARCHAR), 4, '0') AS notice_id, seq, genre,
+  'Case ' || case_no || chr(10) || 'Sent ' || {day.format('sent')} || chr(10) || chr(10) || CASE WHEN as_list THEN array_to_string(list_transform(blocks, lambda b, i: i || '. ' || b), chr(10)) ELSE array_to_string(blocks, chr(10) || chr(10)) END
+    || chr(10) || chr(10) || 'Call ' || phone || ' with questions.' AS notice_text, CASE WHEN has_must THEN due END AS deadline, adverse,
+  CASE WHEN genre IN ('reduction', 'multi_program') THEN [before, after] WHEN genre IN ('denial', 'termination', 'approval') THEN [before] WHEN genre = 'missing_element' THEN [after] ELSE [] END AS amounts,
+  CASE WHEN genre IN ('reduction', 'denial', 'termination') THEN term END AS rare_term, CASE WHEN heard THEN outer_day END AS outer_date, hearing_mode, as_list, CASE WHEN genre = 'missing_element' THEN 'deadline' END AS missing_element FROM {p}_d)"""
+
+
+_N = "(SELECT count(*) FROM customer)"
+
+
+@query(f"WITH {_notices_sql('made', _N, 0)} SELECT * REPLACE (array_to_string(amounts, '; ') AS amounts) FROM made")
 def generated_notices(spark, sf):
     """As many generated notices as there are customers."""
-    return generate.notices(spark, table(spark, sf, "customer").count())
+    return generate.notices(spark, table(spark, sf, "customer").count()).withColumn("amounts", F.array_join("amounts", "; "))
+
 
+def _asked(intent: str, at: str) -> str:
+    there = {"vocab": "rare_term IS NOT NULL", "contrast_term": "rare_term IS NOT NULL", "deadline_collapse": "outer_date IS NOT NULL", "confirmation": "len(amounts) > 0", "form_field": "genre IN ('recert_form', 'verification')"}.get(intent, "TRUE")
+    text = _filled(_one_of(generate.ASKED[intent], at), ["rare_term", "outer_date"])
+    text = f"replace(replace({text}, '{{amount}}', coalesce(amounts[-1], '')), '{{field}}', {_one_of(generate.FIELDS, f'(({at}) * 7) % 1')})"
+    return f"CASE WHEN {there} THEN {text} END"
 
-@query()
+
+_INTENT_ROWS = " UNION ALL ".join(f"SELECT seq, {_draw(f'intent {i}', 0)} AS place, '{i}' AS intent, {_asked(i, _draw(f'words {i}', 0))} AS text FROM made" for i in ["vocab", "form_field", "emotional", "confirmation", "advice_bait", "deadline_collapse"])
+_OPEN = f"{_sql(generate.FIRST_TURN)} || notice_text"
+
+
+@query(
+    f"""WITH p AS (SELECT {_N} AS n, CAST(CASE WHEN {_N} >= 6 THEN greatest(round_even(0.175 * {_N}, 0) // 2, 1) ELSE round_even(0.175 * {_N}, 0) // 2 END AS BIGINT) AS pairs),
+{_notices_sql('made', _N, 0)}, {_notices_sql('spare', '(SELECT 40 * pairs + 40 FROM p)', 1)},
+chosen AS (SELECT * FROM spare WHERE rare_term IS NOT NULL ORDER BY seq LIMIT (SELECT pairs FROM p)),
+i AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY place, intent) AS r FROM ({_INTENT_ROWS}) WHERE text IS NOT NULL AND (intent NOT IN ('advice_bait', 'deadline_collapse') OR place < 0.3)),
+k AS (SELECT seq, notice_id, notice_text, CAST({_weighted(generate.FOLLOW_UPS, "'2:' || seq")} AS INTEGER) AS k FROM made WHERE seq < (SELECT n - 2 * pairs FROM p)),
+said AS (SELECT seq, list(text ORDER BY r) AS texts, list(intent ORDER BY r) AS intents FROM i JOIN k USING (seq) WHERE r <= k GROUP BY seq),
+plan AS (
+  SELECT 'regular-' || seq AS dialog_id, notice_id, [{_OPEN}] || coalesce(texts, []) AS texts, ['open'] || coalesce(intents, []) AS intents, NULL::BIGINT AS contrast_group, NULL AS contrast_role FROM k LEFT JOIN said USING (seq)
+  UNION ALL SELECT 'contrast-' || seq || '-used', notice_id, [{_OPEN}, {_asked('contrast_term', _draw('twin', 0))}], ['open', 'contrast_term'], seq, 'used' FROM chosen
+  UNION ALL SELECT 'contrast-' || seq || '-absent', notice_id, [{_OPEN}, {_asked('emotional', _draw('twin', 0))}], ['open', 'emotional'], seq, 'absent' FROM chosen),
+b AS (SELECT *, list_has_any(intents, ['advice_bait', 'deadline_collapse']) AS bait FROM plan),
+need AS (SELECT greatest(round_even(count(*) * 0.30, 0) - count(*) FILTER (bait), 0) AS need FROM b),
+c AS (SELECT dialog_id, row_number() OVER (ORDER BY sha256('0:' || dialog_id), dialog_id) AS r FROM b WHERE NOT bait AND contrast_group IS NULL),
+e AS (SELECT b.*, c.r IS NOT NULL AND c.r <= need AS more FROM b CROSS JOIN need LEFT JOIN c USING (dialog_id)),
+f AS (SELECT *, CASE WHEN more AND len(texts) >= 4 THEN len(texts) - 1 ELSE len(texts) END AS stay FROM e)
+SELECT dialog_id, notice_id, contrast_group, contrast_role, bait OR more AS bait, CAST(stay + CASE WHEN more THEN 1 ELSE 0 END AS INTEGER) AS n_turns,
+  array_to_string(texts[:stay] || CASE WHEN more THEN [{_sql(generate.ASKED['advice_bait'][0])}] ELSE [] END, ' / ') AS texts, array_to_string(intents[:stay] || CASE WHEN more THEN ['advice_bait'] ELSE [] END, ' / ') AS intents FROM f"""
+)
 def dialog_plan(spark, sf):
-    return generate.plan_dialogs(spark, table(spark, sf, "customer").count())
+    """A plan of as many dialogs as there are customers, a row for each with its turns."""
+    plan = generate.plan_dialogs(spark, table(spark, sf, "customer").count())
+    of = lambda name: F.array_join(F.transform("turns", lambda t: t[name]), " / ")
+    return plan.select("dialog_id", "notice_id", "contrast_group", "contrast_role", "bait", "n_turns", of("text").alias("texts"), of("intent").alias("intents"))
 
 
 _MINIMUMS = {**{g: 100 * w for g, w in derived.GENRES.items()}, "other": 1}
