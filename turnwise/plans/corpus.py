@@ -103,7 +103,7 @@ def user_words_so_far(spark, sf):
     DUCK
     + f""", tok AS MATERIALIZED (SELECT conv_id, turn, notice_text, unnest(regexp_extract_all(text, {_W})) AS token FROM d_said),
 cap AS MATERIALIZED (SELECT conv_id, turn, token, notice_text, count(*) AS n FROM tok WHERE regexp_matches(token, '^[A-Z]') AND contains(notice_text, token) GROUP BY ALL)
-SELECT conv_id, turn, token, n FROM cap WHERE regexp_matches(notice_text, '(^|[^\\pL\\pN_])' || token || '($|[^\\pL\\pN_])')"""
+SELECT conv_id, turn, token, n FROM cap WHERE regexp_matches(notice_text, '(^|[^A-Za-z0-9_])' || token || '($|[^A-Za-z0-9_])')"""
 )
 def proper_noun_exempt(spark, sf):
     rows = derived.replies(spark, sf)
