@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import chat, decontaminate, langid, mtree, packing, render, secrets, simhash, suffixes, toxicity
+from turnwise.llm import audit, chat, decontaminate, fim, langid, mtree, packing, render, secrets, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,19 @@ ORACLES["op6_mtree"] = mtree.ORACLE_SQL
 @query
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.extract(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.arrange(_table(spark, sf_dir, "documents")))
+
+
+ORACLES["op11_fim"] = fim.ORACLE_SQL
+
+
+@query
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(audit.cells(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+ORACLES["op12_audit"] = audit.ORACLE_SQL
