@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import audit, chat, decontaminate, fim, langid, mtree, packing, render, secrets, simhash, suffixes, toxicity
+from turnwise.llm import audit, chat, covers, decontaminate, fim, langid, mtree, packing, render, secrets, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,8 @@ def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_audit"] = audit.ORACLE_SQL
+
+
+@query
+def op13_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covers.digest(covers.remove_repeats(_table(spark, sf_dir, "documents")))
