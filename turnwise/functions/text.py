@@ -32,7 +32,7 @@ CONTRACTIONS = [
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with the value worked out a single time; as part of a lambda it would be for each element."""
+    """f(value) with the value worked out a single time; within a lambda it would be at each place where f uses it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
@@ -72,16 +72,20 @@ def word_count(text: Column) -> Column:
 
 def blanked(text: Column, pattern: str) -> Column:
     """The text with each match replaced by as many spaces, so that offsets hold."""
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # A gap with the match behind it; the last gap has none.
-    pieces = F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.rpad(F.lit(""), F.length(m), " "), F.lit(""))))
-    return F.array_join(pieces, "")
+
+    def pieces(t: Column) -> Column:
+        gaps = F.split(t, pattern, -1)
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        # A gap with the match behind it; the last gap has none.
+        return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.rpad(F.lit(""), F.length(m), " "), F.lit("")))), "")
+
+    return once(text, pieces)
 
 
 def verbatim_in(needle: Column, text: Column) -> Column:
     """Whether the text has the needle as it is, not inside a longer word."""
-    return F.rlike(text, F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(needle, F.lit("\\E"), F.lit("")), F.lit(r"\E(?!\w)")))
+    # Most texts don't have it at all, and no pattern is made for them.
+    return F.contains(text, needle) & F.rlike(text, F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(needle, F.lit("\\E"), F.lit("")), F.lit(r"\E(?!\w)")))
 
 
 def whole_words(term: Column) -> Column:
@@ -110,6 +114,12 @@ def without_term(term: Column, text: Column) -> Column:
     return F.regexp_replace(text, whole_words(term), F.lit(" "))
 
 
+def sentences(text: Column) -> Column:
+    """Sentences by end marks followed by white space, and by line breaks; an approximation of a trained splitter."""
+    parts = F.split(text, r"(?<=[.?!][\"”)]?)\s+|\n+", -1)
+    return F.filter(F.transform(parts, strip), lambda s: s != "")
+
+
 def anchors(text: Column) -> Column:
     """array<struct<kind, anchor>>: dates, amounts and phone numbers, by kind in text order."""
     of = lambda kind, rx: F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("anchor")))
@@ -121,15 +131,30 @@ def anchor_texts(text: Column) -> Column:
     return F.array_distinct(F.transform(anchors(text), lambda a: a["anchor"]))
 
 
+def _has_mark(text: Column) -> Column:
+    return F.contains(text, F.lit("'")) | F.contains(text, F.lit("’"))
+
+
 def expand_contractions(text: Column) -> Column:
-    for pattern, full in CONTRACTIONS:
-        text = F.regexp_replace(text, f"(?iU){pattern}", full)
-    return text
+    """The text with contractions spelled out; most texts have none and are left at a glance."""
+
+    def expanded(t: Column) -> Column:
+        full = t
+        for pattern, long in CONTRACTIONS:
+            full = F.regexp_replace(full, f"(?iU){pattern}", long)
+        return F.when(_has_mark(t) | F.contains(F.lower(t), F.lit("cannot")), full).otherwise(t)
+
+    return once(text, expanded)
 
 
 def plain_words(text: Column) -> Column:
     """The words of a text with contractions spelled out and possessive endings off."""
-    return F.filter(F.transform(words(expand_contractions(text)), strip_possessive), lambda w: w != "")
+
+    def bare(t: Column) -> Column:
+        found = words(expand_contractions(t))
+        return F.when(_has_mark(t), F.filter(F.transform(found, strip_possessive), lambda w: w != "")).otherwise(found)
+
+    return once(text, bare)
 
 
 def strip_possessive(word: Column) -> Column:

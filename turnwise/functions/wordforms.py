@@ -86,19 +86,16 @@ def inflections(word: Column) -> Column:
     return F.array_distinct(F.array(word, s, ed, ing))
 
 
+# What an ending leaves of a form; the first alternative that fits counts.
+_Y = r"([^aeiou])(?:ies|ied)$"
+_ENDING = r"^(?:(.*(?:s|x|z|ch|sh))es|(.{2,}[^s])s|(.{3,})ing|(.{3,})ed)$"
+_LAST = r"([bdgmnprt])\1$|(.)e$"
+
+
 def lemma(word: Column) -> Column:
     """A regular form without its ending; an approximation that is equal for forms of one family."""
-    cut = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
-    w = F.lower(word)
-    w = (
-        F.when(w.rlike("[^aeiou](ies|ied)$"), F.concat(cut(w, 3), F.lit("y")))
-        .when(w.rlike("(s|x|z|ch|sh)es$"), cut(w, 2))
-        .when(w.rlike("[^s]s$") & (F.length(w) > 3), cut(w, 1))
-        .when(w.rlike("..ing$") & (F.length(w) > 5), cut(w, 3))
-        .when(w.rlike("..ed$") & (F.length(w) > 4), cut(w, 2))
-        .otherwise(w)
-    )
-    return F.when(w.rlike("(bb|dd|gg|mm|nn|pp|rr|tt|.e)$"), cut(w, 1)).otherwise(w)
+    y = F.regexp_replace(F.lower(word), _Y, "$1y")
+    return F.regexp_replace(F.regexp_replace(y, _ENDING, "$1$2$3$4"), _LAST, "$1$2")
 
 
 def made_forms(word: Column) -> Column:

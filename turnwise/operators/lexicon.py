@@ -11,9 +11,13 @@ from pyspark.sql.window import Window
 from turnwise.functions import text as T
 from turnwise.functions import wordforms as W
 
-# Forms that need no list.
+# Forms that need no list, the banner, what contractions are spelled out to.
 CLITICS = ["'s", "’s", "s’", "s'"]
 ORDINAL = r"(?i)\b[0-9]+(st|nd|rd|th)\b"
+BANNER = (
+    "Important: letters like this often have a much shorter deadline if you want to keep your benefits while you ask for a hearing. "
+    "Look for it in the letter, and ask a free legal aid office if you are not sure."
+)
 CONTRACTED = ["not", "will", "are", "have", "am", "would", "can", "shall", "us", "is"]
 
 
@@ -77,50 +81,87 @@ def exempt(token: Column, source: Column, user_texts: Column) -> Column:
 def parts(token: Column) -> Column:
     """The parts of a hyphenated token; none of another."""
     inner = F.regexp_replace(token, r"^-+|-+$", "")
-    return F.when(F.contains(inner, F.lit("-")), F.filter(F.split(token, "-"), lambda p: p != "")).otherwise(F.array().cast("array<string>"))
+    return F.when(F.contains(token, F.lit("-")) & F.contains(inner, F.lit("-")), F.filter(F.split(token, "-"), lambda p: p != "")).otherwise(F.array().cast("array<string>"))
 
 
-MISSING = "array<struct<token:string,piece:string,family:string>>"
+def masked(text: Column, banner: str = BANNER) -> Column:
+    """The text without quotes, ordinals and the first place of the banner."""
 
+    def rest(plain: Column) -> Column:
+        at = F.instr(plain, banner)
+        return F.when(at > 0, F.concat(F.substring(plain, F.lit(1), at - 1), F.lit(" "), F.substring(plain, at + len(banner), F.length(plain)))).otherwise(plain)
 
-def masked(text: Column, banner: str) -> Column:
-    """The text without quotes, ordinals and the first place of the banner."""
-    plain = T.unquoted(text)
-    at = F.instr(plain, banner)
-    plain = F.when(at > 0, F.concat(F.substring(plain, F.lit(1), at - 1), F.lit(" "), F.substring(plain, at + len(banner), F.length(plain)))).otherwise(plain)
-    return F.regexp_replace(plain, ORDINAL, " ")
+    return F.regexp_replace(T.once(T.unquoted(text), rest), ORDINAL, " ")
 
 
 SUSPECT = "array<struct<word:string,family:string,parts:array<string>>>"
 
 
-def suspects(missing: Column, said: Column, source: Column, user_texts: Column) -> Column:
-    """array<struct<word, family, parts>>: of the missing words those that no user said and that are no names of the source or a user turn.
+#: A list of so many words at most goes into the plan as a constant; a longer one is joined.
+MOST_CONSTANT = 1 << 14
+
 
-    A hyphenated word is no suspect if all its parts are earned; `parts` has the families of those that are not.
+def few_words(words: DataFrame, most: int = MOST_CONSTANT) -> Callable[[Column], Column] | None:
+    """The test whether `words`(word) lists a word or one of its family, or None if it has more than `most` words.
+
+    A listed form is found as it is; only other words are cut down to their families.
     """
-    piece = lambda p: F.array_contains(said, p["family"]) | exempt(p["piece"], source, user_texts)
-    open_ = F.filter(missing, lambda m: ~piece(m))
-    of = lambda m: F.transform(F.filter(open_, lambda x: (x["token"] == m["token"]) & (x["piece"] != m["token"])), lambda x: x["family"])
-    whole = F.filter(open_, lambda m: m["piece"] == m["token"])
-    found = F.transform(whole, lambda m: F.struct(m["token"].alias("word"), m["family"].alias("family"), of(m).alias("parts")))
-    return F.filter(found, lambda x: (F.size(parts(x["word"])) == 0) | (F.size(x["parts"]) > 0)).cast(SUSPECT)
+    found = words.select(F.lower("word").alias("word"), W.lemma(F.col("word")).alias("family")).where("word is not null").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        return None
+    forms, families = (sorted({r[i] for r in found}) for i in range(2))
+    return lambda word: F.lower(word).isin(forms) | W.lemma(word).isin(families)
+
 
+def pieces(tokens: Column) -> Column:
+    """Distinct tokens and the parts of the hyphenated ones."""
+    return F.array_distinct(F.concat(tokens, F.flatten(F.transform(F.filter(tokens, lambda t: F.contains(t, F.lit("-"))), parts))))
+
+
+def suspects(tokens: Column, listed: Callable[[Column], Column], source: Column, user_texts: Column) -> Column:
+    """SUSPECT: of the tokens those that are not listed, that no user said and that are no names of the source or a user turn.
+
+    A hyphenated word is no suspect if all its parts are earned; `parts` has the families of those
+    that are not. What users said is only looked at where a token is not listed, and each of their
+    words once.
+    """
 
-def earned(suspect: Column, families: Column) -> Callable[[Column], Column]:
-    """The test of a word: no suspect, or of a family taught, or hyphenated of such parts."""
+    def said(texts: Column) -> Column:
+        return F.transform(F.array_distinct(F.flatten(F.transform(texts, T.plain_words))), W.lemma)
+
+    def judged(unlisted: Column) -> Column:
+        def found(open_: Column) -> Column:
+            ok = lambda x: ~F.array_contains(open_, x["family"]) | exempt(x["word"], source, user_texts)
+            bad = T.once(F.filter(unlisted, lambda x: ~ok(x)), lambda bad: F.transform(F.array_intersect(tokens, F.transform(bad, lambda x: x["word"])), lambda t: one(t, bad)))
+            return F.filter(bad, lambda x: (F.size(parts(x["word"])) == 0) | (F.size(x["parts"]) > 0))
+
+        def one(token: Column, bad: Column) -> Column:
+            own = lambda x: F.array_contains(parts(token), x["word"])
+            of = F.when(F.contains(token, F.lit("-")), F.transform(F.filter(bad, own), lambda x: x["family"])).otherwise(F.array().cast("array<string>"))
+            return F.struct(token.alias("word"), W.lemma(token).alias("family"), of.alias("parts"))
+
+        families = F.array_distinct(F.transform(unlisted, lambda x: x["family"]))
+        return T.once(F.array_except(families, said(user_texts)), found)
+
+    unlisted = F.transform(F.filter(pieces(tokens), lambda w: ~listed(w)), lambda w: F.struct(w.alias("word"), W.lemma(w).alias("family")))
+    return T.once(unlisted, lambda u: F.when(F.size(u) > 0, judged(u)).otherwise(F.array())).cast(SUSPECT)
+
+
+def open_words(suspect: Column, families: Column) -> Column:
+    """The suspect words that no family taught earns: neither their own nor, of hyphenated ones, those of all open parts."""
     taught = lambda x: F.array_contains(families, x["family"]) | ((F.size(x["parts"]) > 0) & F.forall(x["parts"], lambda p: F.array_contains(families, p)))
-    return lambda word: ~F.exists(suspect, lambda x: (x["word"] == word) & ~taught(x))
+    return F.transform(F.filter(suspect, lambda x: ~taught(x)), lambda x: x["word"])
 
 
-def unearned(reply: Column, lesson: Column, suspect: Column, banner: str) -> Column:
+def unearned(reply: Column, lesson: Column, suspect: Column) -> Column:
     """The distinct lower-case words of a reply that are not earned, in order.
 
     Quotes, the banner, phrases taught so far and each term in the sentence that glosses it don't count.
     """
-    text = F.aggregate(lesson["exempt"], reply, lambda t, x: F.replace(t, x["sentence"], T.without_term(x["term"], x["sentence"])))
-    text = F.aggregate(F.filter(lesson["taught"], lambda t: F.contains(t, F.lit(" "))), text, lambda t, phrase: T.without_term(phrase, t))
-    test = earned(suspect, lesson["families"])
-    some = F.transform(suspect, lambda x: x["word"])
-    found = F.filter(F.array_intersect(T.plain_words(masked(text, banner)), some), lambda w: ~test(w))
-    return F.when(F.size(suspect) > 0, F.array_sort(F.array_distinct(F.transform(found, F.lower)))).otherwise(F.array().cast("array<string>"))
+
+    def found(some: Column) -> Column:
+        text = F.aggregate(lesson["exempt"], reply, lambda t, x: F.replace(t, x["sentence"], T.without_term(x["term"], x["sentence"])))
+        text = F.aggregate(F.filter(lesson["taught"], lambda t: F.contains(t, F.lit(" "))), text, lambda t, phrase: T.without_term(phrase, t))
+        return F.array_sort(F.array_distinct(F.transform(F.array_intersect(T.plain_words(masked(text)), some), F.lower)))
+
+    return T.once(open_words(suspect, lesson["families"]), lambda some: F.when(F.size(some) > 0, found(some)).otherwise(F.array().cast("array<string>")))

@@ -11,17 +11,14 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
 from turnwise.operators import lexicon, taught
+from turnwise.operators.anchors import all_anchors, bound_anchors
+from turnwise.operators.lexicon import BANNER
 
-# Phrases, section markers, banner and caps that replies are held to.
+# Phrases, section markers and caps that replies are held to.
 ADVICE = ["you should", "i recommend", "i suggest", "your best option", "if i were you", "i think you should", "you ought to"]
 SCAFFOLD = ["What this letter says", "What it asks you to do", "By when"]
-BANNER = (
-    "Important: letters like this often have a much shorter deadline if you want to keep your benefits while you ask for a hearing. "
-    "Look for it in the letter, and ask a free legal aid office if you are not sure."
-)
 QUOTE_CAP = 0.40
-MODAL_SOURCE = r"(?i)\b(must|required|have to|has to)\b"
-MODAL_REPLY = r"(?i)\b(must|needs? to|required?|have to|has to)\b"
+MODAL_REPLY = r"(?i)\b(must|need to|needs to|require|required|have to|has to)\b"
 
 NONE = "array<struct<rule:string,detail:string>>"
 
@@ -47,11 +44,6 @@ def quotes(reply: Column, source: Column, contents: Column | None = None, ratio:
     return F.concat(each(made_up, "fabricated_quote"), one_if(ratio > QUOTE_CAP, "over_quoting", percent))
 
 
-def all_anchors(texts: Column) -> Column:
-    """Distinct anchors of an array of texts."""
-    return F.array_distinct(F.flatten(F.transform(texts, T.anchor_texts)))
-
-
 def anchors(reply: Column, known: Column) -> Column:
     """Dates, amounts and phone numbers of a reply are, as printed, among the known ones of its source and user turns."""
     return each(F.array_except(T.anchor_texts(reply), known), "paraphrased_anchor")
@@ -80,15 +72,9 @@ def banner(reply: Column, first_reply: Column, adverse: Column) -> Column:
     return one_if(first_reply & F.coalesce(adverse, F.lit(False)) & ~F.contains(reply, F.lit(BANNER)), "missing_banner", F.lit(BANNER[:60] + "..."))
 
 
-def bound_anchors(source: Column) -> Column:
-    """The anchors of the source's sentences that oblige, in order."""
-    duties = F.filter(taught.sentences(source), lambda s: s.rlike(MODAL_SOURCE))
-    return F.array_sort(all_anchors(duties))
-
-
 def modals(reply: Column, bound: Column) -> Column:
     """Advisory: a reply sentence on an anchor of an obligation keeps it an obligation."""
-    soft = F.filter(taught.sentences(reply), lambda s: ~s.rlike(MODAL_REPLY))
+    soft = F.filter(T.sentences(reply), lambda s: ~s.rlike(MODAL_REPLY))
     hits = T.once(soft, lambda sentences: F.flatten(F.transform(bound, lambda a: F.transform(F.filter(sentences, lambda s: F.contains(s, a)), lambda s: a))))
     return each(hits, "softened_modal")
 
@@ -96,44 +82,70 @@ def modals(reply: Column, bound: Column) -> Column:
 _STATE = ["reply", "source", "users", "suspect", "lesson"]
 
 
-def check_replies(replies: DataFrame, words: DataFrame | None = None, per_source: bool = False) -> DataFrame:
-    """All ten rules on replies(conv_id, turn, text, notice_text, user_texts, first_reply, deadline, adverse).
+def fixed_rules(rows: DataFrame) -> DataFrame:
+    """`rows` with word_count, quoted_ratio, advisory, and `head` and `tail`: the violations that no taught term changes, before and behind those of the word rules.
 
-    Adds word_count, quoted_ratio, violations, advisory and new_taught_terms. `words`(word) is the
-    list of words that need no earning; without it the rules on words (ceiling, user words, taught
-    terms) are left out. With `per_source` the columns known_anchors and bound_anchors are there
-    already, as turns.replies() makes them, once a source and user turn. A null reply or source is
-    empty; a null deadline or adverse asks for nothing. Replies of a conversation go by turn.
-
-    The words of replies meet the list in a join of distinct words by conversation; what terms were
-    taught before is folded over each conversation's replies, in the shuffle by conv_id that
-    gathers them.
+    rows(reply, source, known_anchors, bound_anchors, first_reply, deadline, adverse).
     """
-    rows = replies.withColumn("reply", T.strip_think(F.coalesce("text", F.lit("")))).withColumn("source", F.coalesce("notice_text", F.lit("")))
     reply, source = F.col("reply"), F.col("source")
-    rows = rows.withColumn("users", F.coalesce("user_texts", F.array().cast("array<string>")))
-    if not per_source:
-        rows = rows.withColumn("known_anchors", F.array_union(T.anchor_texts(source), all_anchors(F.col("users")))).withColumn("bound_anchors", bound_anchors(source))
-    glosses, unearned = F.array().cast(NONE), F.array().cast(NONE)
-    new_terms = F.array().cast("array<string>")
-    if words is not None:
-        rows = taught.with_lessons(taught.with_suspects(rows, words))
-        glosses, new_terms = F.col("lesson.bad"), F.col("lesson.new")
-        unearned = each(lexicon.unearned(reply, F.col("lesson"), F.col("suspect"), BANNER), "unearned_word")
     # What several rules need is worked out once, as a column of its own.
     rows = rows.withColumn("contents", T.quote_contents(reply)).withColumn("ratio", T.quote_ratio(reply, F.col("contents")))
-    strict = F.concat(
-        quotes(reply, source, F.col("contents"), F.col("ratio")), glosses, unearned, anchors(reply, F.col("known_anchors")), deadline(reply, F.col("deadline")), advice(reply),
-        scaffold(reply, F.col("first_reply")), banner(reply, F.col("first_reply"), F.col("adverse")),
+    tail = F.concat(anchors(reply, F.col("known_anchors")), deadline(reply, F.col("deadline")), advice(reply), scaffold(reply, F.col("first_reply")), banner(reply, F.col("first_reply"), F.col("adverse")))
+    rows = rows.withColumn("head", quotes(reply, source, F.col("contents"), F.col("ratio"))).withColumn("tail", tail)
+    rows = rows.withColumn("word_count", T.word_count(reply)).withColumn("quoted_ratio", F.bround("ratio", 4)).withColumn("advisory", modals(reply, F.col("bound_anchors")))
+    return rows.drop("contents", "ratio")
+
+
+def _verdict(rows: DataFrame, with_words: bool) -> DataFrame:
+    """The verdict on each row with reply, source and anchors and, `with_words`, its lesson and suspect words."""
+    rows = fixed_rules(rows)
+    word_rules, new_terms = F.array().cast(NONE), F.array().cast("array<string>")
+    if with_words:
+        unearned = each(lexicon.unearned(F.col("reply"), F.col("lesson"), F.col("suspect")), "unearned_word")
+        word_rules, new_terms = F.concat("lesson.bad", unearned), F.col("lesson.new")
+    rows = rows.withColumn("violations", F.concat("head", word_rules, "tail")).withColumn("new_taught_terms", new_terms)
+    return rows.drop(*_STATE, "head", "tail", "known_anchors", "bound_anchors")
+
+
+def check_replies(replies: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """All ten rules on replies(conv_id, turn, text, notice_text, user_texts, first_reply, deadline, adverse[, taught_before]).
+
+    Adds word_count, quoted_ratio, violations, advisory and new_taught_terms. `words`(word) is the
+    list of words that need no earning; without it the rules on words (ceiling, user words, taught
+    terms) are left out, and conv_id and turn may be missing. taught_before are the terms taught
+    before the first of a conversation's replies here; its value on that reply counts. A null reply
+    or source is empty; a null deadline or adverse asks for nothing. Replies of a conversation go by
+    turn and are gathered in one shuffle by conv_id.
+    """
+    rows = taught.prepared(replies)
+    if words is not None:
+        before = F.get("replies", F.lit(0))["taught_before"] if "taught_before" in replies.columns else None
+        rows = taught.each_reply(taught.with_lessons(taught.gathered(rows), words, before))
+    if "known_anchors" not in rows.columns:
+        rows = rows.withColumn("known_anchors", F.array_union(T.anchor_texts(F.col("source")), all_anchors(F.col("users"))))
+    if "bound_anchors" not in rows.columns:
+        rows = rows.withColumn("bound_anchors", bound_anchors(F.col("source")))
+    return _verdict(rows, words is not None)
+
+
+def check_conversations(conversations: DataFrame, carry: list[str], words: DataFrame | None = None) -> DataFrame:
+    """check_replies() on what turns.conversations() gathered, without another shuffle: (conv_id, turn, text, carried columns, reply_index, first_reply and the verdict)."""
+    rows = conversations.withColumn("source", F.coalesce("notice_text", F.lit("")))
+    one = lambda r: F.struct(
+        r["turn"].alias("turn"), r["text"].alias("text"), r["reply_index"].alias("reply_index"), T.strip_think(F.coalesce(r["text"], F.lit(""))).alias("reply"), F.col("source").alias("source"),
+        F.transform(F.filter("users", lambda u: u["turn"] < r["turn"]), lambda u: u["text"]).alias("users"),
+        F.array_union("source_anchors", F.flatten(F.transform(F.filter("users", lambda u: u["turn"] < r["turn"]), lambda u: u["anchors"]))).alias("known_anchors"),
     )
-    rows = rows.withColumn("word_count", T.word_count(reply)).withColumn("quoted_ratio", F.bround("ratio", 4)).withColumn("violations", strict)
-    rows = rows.withColumn("advisory", modals(reply, F.col("bound_anchors"))).withColumn("new_taught_terms", new_terms)
-    return rows.drop(*_STATE, "contents", "ratio", "known_anchors", "bound_anchors")
+    rows = rows.withColumn("replies", F.transform("replies", one)).select("conv_id", *carry, "bound_anchors", "replies")
+    if words is not None:
+        rows = taught.each_reply(taught.with_lessons(rows, words), [*carry, "bound_anchors"])
+    else:
+        rows = rows.select("conv_id", *carry, "bound_anchors", F.explode("replies").alias("r")).select("conv_id", *carry, "bound_anchors", "r.*")
+    return _verdict(rows.withColumn("first_reply", F.col("reply_index") == 0), words is not None)
 
 
 def unearned_words(replies: DataFrame, words: DataFrame) -> DataFrame:
     """(conv_id, turn, word): the distinct unearned words of replies(conv_id, turn, text, notice_text, user_texts), terms taught on the way counted as earned."""
-    rows = replies.withColumn("reply", T.strip_think(F.coalesce("text", F.lit("")))).withColumn("source", F.coalesce("notice_text", F.lit("")))
-    rows = taught.with_lessons(taught.with_suspects(rows.withColumn("users", F.coalesce("user_texts", F.array().cast("array<string>"))), words))
-    found = lexicon.unearned(F.col("reply"), F.col("lesson"), F.col("suspect"), BANNER)
+    rows = taught.each_reply(taught.with_lessons(taught.gathered(taught.prepared(replies)), words))
+    found = lexicon.unearned(F.col("reply"), F.col("lesson"), F.col("suspect"))
     return rows.select("conv_id", "turn", F.explode(found).alias("word"))

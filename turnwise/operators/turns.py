@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.functions import text as T
+from turnwise.operators.anchors import bound_anchors
 
 
 def reply_index(turns: DataFrame) -> DataFrame:
@@ -31,27 +32,28 @@ def user_texts_before(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "t.*", said.alias("user_texts"), "reply_index", (F.col("reply_index") == 0).alias("first_reply"))
 
 
-def replies(turns: DataFrame, carry: list[str]) -> DataFrame:
-    """Assistant turns as rules.check_replies takes them with per_source: carried columns, among them
-    notice_text, and known_anchors and bound_anchors.
+def conversations(turns: DataFrame, carry: list[str]) -> DataFrame:
+    """A row for each conversation, in one shuffle: conv_id, carried columns, among them notice_text, source_anchors,
+    bound_anchors, users array<struct<turn, text, anchors>> and replies array<struct<turn, text, reply_index>>.
 
-    A conversation is gathered once; the anchors of its notice and of each user turn are found once
-    and handed to the replies behind it.
+    The anchors of its notice and of each user turn are found once and serve all replies.
     """
-    from turnwise.operators import rules
-
     rows = gathered(turns, carry)
     source = F.coalesce("notice_text", F.lit(""))
-    rows = rows.withColumn("of_source", T.anchor_texts(source)).withColumn("bound_anchors", rules.bound_anchors(source))
+    rows = rows.withColumn("source_anchors", T.anchor_texts(source)).withColumn("bound_anchors", bound_anchors(source))
     text = lambda t: F.coalesce(t["text"], F.lit(""))
     users = F.transform(F.filter("all", lambda t: t["role"] == "user"), lambda t: F.struct(t["turn"].alias("turn"), text(t).alias("text"), T.anchor_texts(text(t)).alias("anchors")))
-    rows = rows.withColumn("users", users)
-    rows = rows.select("conv_id", *carry, "of_source", "bound_anchors", "users", F.posexplode(F.filter("all", lambda t: t["role"] == "assistant")).alias("reply_index", "t"))
-    rows = rows.withColumn("before", F.filter("users", lambda u: u["turn"] < F.col("t.turn")))
-    known = F.array_union("of_source", F.flatten(F.transform("before", lambda u: u["anchors"])))
-    return rows.select(
-        "conv_id", "t.turn", "t.text", *carry, "bound_anchors", known.alias("known_anchors"), F.transform("before", lambda u: u["text"]).alias("user_texts"), "reply_index", (F.col("reply_index") == 0).alias("first_reply")
-    )
+    said = F.transform(F.filter("all", lambda t: t["role"] == "assistant"), lambda t, i: F.struct(t["turn"].alias("turn"), t["text"].alias("text"), i.alias("reply_index")))
+    return rows.select("conv_id", *carry, "source_anchors", "bound_anchors", users.alias("users"), said.alias("replies"))
+
+
+def replies(turns: DataFrame, carry: list[str]) -> DataFrame:
+    """Assistant turns with what rules.check_replies() takes: carried columns, user_texts, reply_index, first_reply, known_anchors and bound_anchors."""
+    rows = conversations(turns, carry).select("conv_id", *carry, "bound_anchors", "source_anchors", "users", F.explode("replies").alias("r"))
+    rows = rows.withColumn("before", F.filter("users", lambda u: u["turn"] < F.col("r.turn")))
+    known = F.array_union("source_anchors", F.flatten(F.transform("before", lambda u: u["anchors"])))
+    texts = F.transform("before", lambda u: u["text"])
+    return rows.select("conv_id", "r.turn", "r.text", *carry, "bound_anchors", known.alias("known_anchors"), texts.alias("user_texts"), "r.reply_index", (F.col("r.reply_index") == 0).alias("first_reply"))
 
 
 def words_of(texts: Column) -> Column:

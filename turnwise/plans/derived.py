@@ -107,7 +107,8 @@ def replies(spark: SparkSession, sf_dir: str, more: list[str] | None = None) ->
 
 def checked(spark: SparkSession, sf_dir: str, more: list[str] | None = None) -> DataFrame:
     """Every reply with its violations of the ten rules."""
-    return rules.check_replies(replies(spark, sf_dir, more), plain_words(spark), per_source=True)
+    about = [*ABOUT, *(more or ())]
+    return rules.check_conversations(turns.conversations(conversations(spark, sf_dir, about), about), about, plain_words(spark))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
