@@ -144,6 +144,15 @@ def check_conversations(conversations: DataFrame, carry: list[str], words: DataF
     return _verdict(rows.withColumn("first_reply", F.col("reply_index") == 0), words is not None)
 
 
+def check_last(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """All ten rules on rows as check_replies() takes them, each with `replies`: the replies of its conversation that may bear on it, itself the last, as with_lessons() takes them. No shuffle."""
+    judged = taught.with_lessons(taught.prepared(rows), words)
+    last = lambda c: F.element_at(c, F.lit(-1))
+    judged = judged.withColumn("suspect", last(F.col("facts"))["suspect"]).withColumn("lesson", last(F.col("lessons"))).drop("replies", "facts", "lessons", "unlisted")
+    judged = judged.withColumn("known_anchors", F.array_union(T.anchor_texts(F.col("source")), all_anchors(F.col("users")))).withColumn("bound_anchors", bound_anchors(F.col("source")))
+    return _verdict(judged, True)
+
+
 def unearned_words(replies: DataFrame, words: DataFrame) -> DataFrame:
     """(conv_id, turn, word): the distinct unearned words of replies(conv_id, turn, text, notice_text, user_texts), terms taught on the way counted as earned."""
     rows = taught.each_reply(taught.with_lessons(taught.gathered(taught.prepared(replies)), words))

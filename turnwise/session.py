@@ -18,6 +18,7 @@ def get_session(app: str = "turnwise", cores: int | str | None = None) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         # Rows of text take long for their size: small partitions are not merged into fewer tasks than there are cores.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "6g")
