@@ -26,6 +26,13 @@ def test_one_reply_from_files(spark, tmp_path, capsys):
     assert state == {"user_turns": [], "taught_terms": ["copay"], "first_reply": False}
     code, verdict, state = run("The copays end by November 5, 2026. The waiver.")
     assert code == 1 and [(v["rule"], v["detail"]) for v in verdict["violations"]] == [("unearned_word", "waiver")]
+    # A phrase is earned as it stands, and its words are not.
+    code, verdict, state = run("The hearing officer review, which means a letter by November 5, 2026.")
+    assert code == 0 and state["taught_terms"] == ["copay", "hearing officer review"]
+    code, verdict, state = run("The Hearing Officer Review must end by November 5, 2026. The copays end.")
+    assert code == 0 and verdict["new_taught_terms"] == [] and state["taught_terms"] == ["copay", "hearing officer review"]
+    code, verdict, state = run("The officer must act by November 5, 2026.")
+    assert code == 1 and [(v["rule"], v["detail"]) for v in verdict["violations"]] == [("unearned_word", "officer")]
 
 
 def test_settings():

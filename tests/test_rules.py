@@ -213,3 +213,34 @@ def test_runs_of_labels(spark):
 
 def test_contrast_pairs_of_a_plan():
     assert [curation.contrast_pairs(n) for n in (5, 6, 100, 300)] == [0, 1, 9, 26]
+
+
+def test_dialogs_are_judged_on_the_state_before_each_turn(spark):
+    """What a failed reply taught is forgotten; a rewrite that passes is adopted."""
+    schema = "dialog_id long, turn long, user string, reply string, stop string, rewrite string, rewrite_stop string, notice_text string, deadline string, adverse boolean"
+    head = "What this letter says What it asks you to do By when "
+    taught_ok, taught_bad = head + "The copay, which means the part that you pay.", head + "The copay, which means the part that you pay. A zorble."
+    uses = "The copays end."
+    rows = [
+        (1, 0, "hi", taught_ok, None, None, None), (1, 1, "and", uses, None, None, None),
+        (2, 0, "hi", taught_bad, None, head + "You pay.", None), (2, 1, "and", uses, None, "You pay soon.", None), (2, 2, "x", "The zorble.", None, "The zorble.", None), (2, 3, "x", "You pay.", None, None, None),
+        (3, 0, "my zorble", taught_bad, None, None, None), (3, 1, "and", uses, None, None, None),
+        (4, 0, "hi", taught_bad, None, taught_ok, "refusal"), (4, 1, "x", "You pay.", None, None, None),
+        (5, 0, "hi", "You pay.", "max_tokens", None, None), (6, 0, "hi", head, None, None, None), (6, 1, None, None, None, None, None),
+        (7, 0, "hi", "You pay.", None, None, None),
+    ]
+    done = repair.judge_dialogs(spark.createDataFrame([(*r, "", None, False) for r in rows], schema), listed(spark, WORDS))
+    by = {r.dialog_id: r for r in done.collect()}
+    of = lambda i: (by[i].accepted, by[i].repairs, by[i].repairs_tried, by[i].first_passed, by[i].first_checked, by[i].calls, by[i].discard_reason)
+    assert of(1) == (True, 0, 0, 2, 2, 2, None) and by[1].rejected == []
+    # The copay is not taught by the reply that failed, so the second turn fails and is mended too; the third can't be.
+    assert of(2) == (False, 2, 3, 0, 3, 6, "repair_failed")
+    first, second, third = by[2].rejected
+    assert [v.detail for v in first.violations] == ["zorble"] and first.accepted_rewrite == head + "You pay." and first.rewrite_violations is None
+    assert [v.detail for v in second.violations] == ["copays"] and third.rejected_rewrite == "The zorble." and [v.detail for v in third.rewrite_violations] == ["zorble"]
+    assert of(3) == (True, 0, 0, 2, 2, 2, None)  # what the user said is earned
+    assert of(4) == (False, 0, 0, 0, 1, 2, "refusal") and by[4].rejected == []
+    assert of(5) == (False, 0, 0, 0, 0, 1, "max_tokens") and of(6) == (True, 0, 0, 2, 2, 2, None)
+    assert of(7) == (False, 0, 1, 0, 1, 2, "repair_failed") and [len(v) for v in by[7].first_violations] == [1]
+    pairs = {(r.dialog_id, r.turn): r.chosen for r in repair.preference_pairs(done).collect()}
+    assert pairs == {(2, 0): head + "You pay.", (2, 1): "You pay soon."}

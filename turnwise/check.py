@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.operators import lexicon, rules
 
-_ROW = "conv_id string, turn long, text string, notice_text string, user_texts array<string>, first_reply boolean, deadline string, adverse boolean"
+_ROW = "conv_id string, turn long, text string, notice_text string, user_texts array<string>, first_reply boolean, deadline string, adverse boolean, taught_before array<string>"
 
 
 def check(spark: SparkSession, reply: str, source: str, state: dict, metadata: dict, words: DataFrame | None = None) -> tuple[dict, dict]:
     """The verdict on a reply, and the state after it.
 
-    The state has user_turns, taught_terms and first_reply. Terms taught before count as said by the
-    user, which earns their families; `words`(word) is the list, or None for the rules without one.
+    The state has user_turns, taught_terms and first_reply. Of the terms taught before, single words
+    earn their families and phrases are earned as they stand; `words`(word) is the list, or None for
+    the rules without one.
     """
     known = list(state.get("taught_terms", []))
-    row = ("reply", 0, reply, source, [*state.get("user_turns", []), *known], bool(state.get("first_reply", True)), metadata.get("operative_deadline"), bool(metadata.get("adverse_action", False)))
+    row = ("reply", 0, reply, source, list(state.get("user_turns", [])), bool(state.get("first_reply", True)), metadata.get("operative_deadline"), bool(metadata.get("adverse_action", False)), known)
     v = rules.check_replies(spark.createDataFrame([row], _ROW), words).first()
     found = {k: [x.asDict() for x in v[k]] for k in ("violations", "advisory")}
     verdict = {"passed": not v.violations, "word_count": v.word_count, "quoted_ratio": v.quoted_ratio, "new_taught_terms": list(v.new_taught_terms), **found}

@@ -51,8 +51,25 @@ def conversations(spark: SparkSession, sf_dir: str, about: list[str] | None = No
 
     The columns `about` of the notice stand on its first turn.
     """
-    n = notices(spark, sf_dir).withColumn("v", (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 14)
-    v, lit = F.col("v"), F.lit
+    n = with_variant(notices(spark, sf_dir))
+    lit, reply, second = F.lit, first_reply(F.col("v")), second_reply(F.col("v"))
+    more = F.col("o_orderkey") % 3 == 0
+    turn = lambda i, role, text: F.struct(lit(i).cast("long").alias("turn"), lit(role).alias("role"), text.alias("text"))
+    all_turns = F.concat(
+        F.array(turn(0, "user", F.concat(lit(PREFIX), "notice_text")), turn(1, "assistant", reply)),
+        F.when(more, F.array(turn(2, "user", second_question()), turn(3, "assistant", second))).otherwise(F.array().cast("array<struct<turn:bigint,role:string,text:string>>")),
+    )
+    rows = n.select("conv_id", *(about or ()), F.explode(all_turns).alias("t"))
+    return rows.select("conv_id", "t.*", *[F.when(F.col("t.turn") == 0, F.col(c)).alias(c) for c in about or ()])
+
+
+def with_variant(n: DataFrame) -> DataFrame:
+    return n.withColumn("v", (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 14)
+
+
+def first_reply(v: Column) -> Column:
+    """The reply to a notice; what it breaks goes by the variant number."""
+    lit = F.lit
     quoted = F.when(v.isin(3, 4), lit("> You must return the form")).otherwise(F.concat(lit("> You must return the form by "), "deadline", lit(".")))
     extra = (
         F.when(v == 6, lit('It says "You may lose everything".'))
@@ -65,7 +82,7 @@ def conversations(spark: SparkSession, sf_dir: str, about: list[str] | None = No
         .when(v == 13, F.concat(lit("You won't need the 'red' tape. It can't move to "), F.replace("deadline", lit(","), lit("")), lit(". Call "), "phone", lit(".")))
         .otherwise(lit("Please read the letter with care."))
     )
-    reply = F.concat_ws(
+    return F.concat_ws(
         "\n",
         F.when(v != 1, lit("What this letter says")),
         F.concat(lit("Your benefit is "), F.when(v == 2, F.substring_index("amount", ".", 1)).otherwise(F.col("amount")), lit(".")),
@@ -74,8 +91,15 @@ def conversations(spark: SparkSession, sf_dir: str, about: list[str] | None = No
         F.when(v == 5, lit("I think you should ask for help.")).when(v != 7, lit("Ask the office if you are not sure.")),
         F.when(~v.isin(1, 7), lit(rules.BANNER)),
     )
-    more = F.col("o_orderkey") % 3 == 0
-    second = (
+
+
+def second_question() -> Column:
+    return F.concat(F.lit("I have time on "), "ordered", F.lit(". Is my zorblex ok?"))
+
+
+def second_reply(v: Column) -> Column:
+    lit = F.lit
+    return (
         F.when(v == 8, F.concat(lit("The recoupment ends before "), "deadline", lit(".")))
         .when(v == 9, F.concat(lit("The recoupments end before "), "deadline", lit(". Co-pay is not co-zeal.")))
         .when(v == 12, F.concat(lit("The hearing officer review is before "), "deadline", lit(". The officer waits.")))
@@ -83,13 +107,6 @@ def conversations(spark: SparkSession, sf_dir: str, about: list[str] | None = No
         .when(v % 2 == 0, F.concat("ordered", lit(" is before "), "deadline", lit(".")))
         .otherwise(lit("Yes, that day is fine."))
     )
-    turn = lambda i, role, text: F.struct(lit(i).cast("long").alias("turn"), lit(role).alias("role"), text.alias("text"))
-    all_turns = F.concat(
-        F.array(turn(0, "user", F.concat(lit(PREFIX), "notice_text")), turn(1, "assistant", reply)),
-        F.when(more, F.array(turn(2, "user", F.concat(lit("I have time on "), "ordered", lit(". Is my zorblex ok?"))), turn(3, "assistant", second))).otherwise(F.array().cast("array<struct<turn:bigint,role:string,text:string>>")),
-    )
-    rows = n.select("conv_id", *(about or ()), F.explode(all_turns).alias("t"))
-    return rows.select("conv_id", "t.*", *[F.when(F.col("t.turn") == 0, F.col(c)).alias(c) for c in about or ()])
 
 
 def plain_words(spark: SparkSession) -> DataFrame:
@@ -121,6 +138,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as attempts at replies: a failed first reply is rewritten as variant 0, a failed second one is not; some are refused or cut short."""
+    n, k, lit = with_variant(notices(spark, sf_dir)), F.col("o_orderkey"), F.lit
+    turn = lambda i, user, reply, stop, rewrite, rewrite_stop: F.struct(lit(i).cast("long").alias("turn"), user.alias("user"), reply.alias("reply"), stop.alias("stop"), rewrite.alias("rewrite"), rewrite_stop.alias("rewrite_stop"))
+    none = lit(None).cast("string")
+    first = turn(0, F.concat(lit(PREFIX), "notice_text"), first_reply(F.col("v")), F.when(k % 11 == 0, lit("refusal")), first_reply(lit(0)), F.when(k % 13 == 0, lit("max_tokens")))
+    second = turn(1, second_question(), second_reply(F.col("v")), none, none, none)
+    rows = n.select(F.col("conv_id").alias("dialog_id"), "notice_text", "deadline", "adverse", F.explode(F.filter(F.array(first, F.when(k % 3 == 0, second)), lambda t: t.isNotNull())).alias("t"))
+    return rows.select("dialog_id", "t.*", "notice_text", "deadline", "adverse")
+
+
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
@@ -359,3 +387,16 @@ d_records AS (
     CASE WHEN o_orderkey % 5 = 0 THEN 'adversarial' ELSE 'clean' END AS category, ('0x' || substr(sha256(conv_id), 1, 8))::BIGINT / 4294967296.0 < 0.25 AS judged, o_custkey % 2 = 0 AS judge_pass,
     s.* EXCLUDE (conv_id) FROM d_notices JOIN d_series s USING (conv_id))
 """
+
+
+def _duck_twice() -> str:
+    """DUCK with each conversation a second time, as fixed-N, whose first reply is that of variant 0."""
+    head, tail = DUCK.split("d_turns AS MATERIALIZED (", 1)
+    head = head.replace("d_notices AS MATERIALIZED (", "d_once AS MATERIALIZED (", 1)
+    first, cut, rest = tail.partition("FROM d_notices\n  UNION ALL SELECT conv_id, 2,")
+    for old in ("CASE WHEN v ", "CASE v ", "WHEN v "):
+        first = first.replace(old, old.replace("v", "v1"))
+    return head + "d_notices AS MATERIALIZED (SELECT *, v AS v1 FROM d_once UNION ALL SELECT * REPLACE ('fixed' || substr(conv_id, 7) AS conv_id), 0 AS v1 FROM d_once),\nd_turns AS MATERIALIZED (" + first + cut + rest
+
+
+DUCK_TWICE = _duck_twice()

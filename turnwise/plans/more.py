@@ -191,3 +191,27 @@ def genre_table(spark, sf):
     """A markdown table with its header."""
     sums = derived.notices(spark, sf).groupBy("genre").agg(F.count("*").alias("n"), F.count_if("adverse").alias("adverse"))
     return curation.markdown_table(sums, ["genre", "n", "adverse"], "genre")
+
+
+_JUDGED = (
+    derived.DUCK_TWICE
+    + """, c AS (SELECT 'notice' || substr(conv_id, length(conv_id) - strpos(reverse(conv_id), '-') + 1) AS dialog_id, starts_with(conv_id, 'fixed') AS fixed, turn, violations FROM d_checked),
+t AS (SELECT c.dialog_id, n.o_orderkey, max(len(violations)) FILTER (NOT fixed AND turn = 1) AS first, max(len(violations)) FILTER (fixed AND turn = 1) AS rewrite,
+  max(len(violations)) FILTER (NOT fixed AND turn = 3) AS second, max(len(violations)) FILTER (fixed AND turn = 3) AS second_fixed FROM c JOIN d_once n ON n.conv_id = c.dialog_id GROUP BY ALL),
+s AS (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN 'refusal' WHEN first > 0 AND o_orderkey % 13 = 0 THEN 'max_tokens' WHEN first > 0 AND rewrite > 0 THEN 'repair_failed' END AS early, CASE WHEN first > 0 THEN second_fixed ELSE second END AS last FROM t),
+d AS (SELECT *, coalesce(early, CASE WHEN last > 0 THEN 'repair_failed' END) AS discard_reason, early IS NULL AND last IS NOT NULL AS went_on FROM s)
+"""
+)
+
+
+@query(
+    _JUDGED
+    + """SELECT dialog_id, discard_reason IS NULL AS accepted, (o_orderkey % 11 <> 0 AND first > 0 AND o_orderkey % 13 <> 0 AND rewrite = 0)::BIGINT AS repairs,
+  (o_orderkey % 11 <> 0 AND first > 0 AND o_orderkey % 13 <> 0)::BIGINT + (went_on AND last > 0)::BIGINT AS repairs_tried, (o_orderkey % 11 <> 0 AND first = 0)::BIGINT + (went_on AND last = 0)::BIGINT AS first_passed,
+  (o_orderkey % 11 <> 0)::BIGINT + went_on::BIGINT AS first_checked, 1 + (o_orderkey % 11 <> 0 AND first > 0)::BIGINT + went_on::BIGINT + (went_on AND last > 0)::BIGINT AS calls, discard_reason,
+  CAST(CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE first END + CASE WHEN went_on THEN last ELSE 0 END AS BIGINT) AS first_violations FROM d"""
+)
+def judged_dialogs(spark, sf):
+    """Replies and rewrites judged by all rules on the state before their turn, which only those that pass change."""
+    found = repair.judge_dialogs(derived.attempts(spark, sf), derived.plain_words(spark))
+    return found.drop("rejected").withColumn("first_violations", F.size(F.flatten("first_violations")).cast("long"))
