@@ -114,9 +114,13 @@ def without_term(term: Column, text: Column) -> Column:
     return F.regexp_replace(text, whole_words(term), F.lit(" "))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences by end marks followed by white space, and by line breaks; an approximation of a trained splitter."""
-    parts = F.split(text, r"(?<=[.?!][\"”)]?)\s+|\n+", -1)
+#: End marks followed by white space, and line breaks.
+GAPS = r"(?<=[.?!][\"”)]?)\s+|\n+"
+
+
+def sentences(text: Column, gaps: str = GAPS) -> Column:
+    """Sentences by a pattern of the gaps between them; the plain one is an approximation of a trained splitter, boundaries.pattern() learns a better one."""
+    parts = F.split(text, gaps, -1)
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 

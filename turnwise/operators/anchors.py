@@ -16,7 +16,7 @@ def all_anchors(texts: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(texts, T.anchor_texts)))
 
 
-def bound_anchors(source: Column) -> Column:
+def bound_anchors(source: Column, gaps: str = T.GAPS) -> Column:
     """The anchors of the source's sentences that oblige, in order."""
-    duties = F.filter(T.sentences(source), lambda s: s.rlike(MODAL_SOURCE))
+    duties = F.filter(T.sentences(source, gaps), lambda s: s.rlike(MODAL_SOURCE))
     return F.array_sort(all_anchors(duties))

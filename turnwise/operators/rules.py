@@ -72,9 +72,9 @@ def banner(reply: Column, first_reply: Column, adverse: Column) -> Column:
     return one_if(first_reply & F.coalesce(adverse, F.lit(False)) & ~F.contains(reply, F.lit(BANNER)), "missing_banner", F.lit(BANNER[:60] + "..."))
 
 
-def modals(reply: Column, bound: Column) -> Column:
+def modals(reply: Column, bound: Column, gaps: str = T.GAPS) -> Column:
     """Advisory: a reply sentence on an anchor of an obligation keeps it an obligation."""
-    soft = F.filter(T.sentences(reply), lambda s: ~s.rlike(MODAL_REPLY))
+    soft = F.filter(T.sentences(reply, gaps), lambda s: ~s.rlike(MODAL_REPLY))
     hits = T.once(soft, lambda sentences: F.flatten(F.transform(bound, lambda a: F.transform(F.filter(sentences, lambda s: F.contains(s, a)), lambda s: a))))
     return each(hits, "softened_modal")
 
@@ -82,7 +82,7 @@ def modals(reply: Column, bound: Column) -> Column:
 _STATE = ["reply", "source", "users", "suspect", "lesson"]
 
 
-def fixed_rules(rows: DataFrame) -> DataFrame:
+def fixed_rules(rows: DataFrame, gaps: str = T.GAPS) -> DataFrame:
     """`rows` with word_count, quoted_ratio, advisory, and `head` and `tail`: the violations that no taught term changes, before and behind those of the word rules.
 
     rows(reply, source, known_anchors, bound_anchors, first_reply, deadline, adverse).
@@ -92,13 +92,13 @@ def fixed_rules(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("contents", T.quote_contents(reply)).withColumn("ratio", T.quote_ratio(reply, F.col("contents")))
     tail = F.concat(anchors(reply, F.col("known_anchors")), deadline(reply, F.col("deadline")), advice(reply), scaffold(reply, F.col("first_reply")), banner(reply, F.col("first_reply"), F.col("adverse")))
     rows = rows.withColumn("head", quotes(reply, source, F.col("contents"), F.col("ratio"))).withColumn("tail", tail)
-    rows = rows.withColumn("word_count", T.word_count(reply)).withColumn("quoted_ratio", F.bround("ratio", 4)).withColumn("advisory", modals(reply, F.col("bound_anchors")))
+    rows = rows.withColumn("word_count", T.word_count(reply)).withColumn("quoted_ratio", F.bround("ratio", 4)).withColumn("advisory", modals(reply, F.col("bound_anchors"), gaps))
     return rows.drop("contents", "ratio")
 
 
-def _verdict(rows: DataFrame, with_words: bool) -> DataFrame:
+def _verdict(rows: DataFrame, with_words: bool, gaps: str = T.GAPS) -> DataFrame:
     """The verdict on each row with reply, source and anchors and, `with_words`, its lesson and suspect words."""
-    rows = fixed_rules(rows)
+    rows = fixed_rules(rows, gaps)
     word_rules, new_terms = F.array().cast(NONE), F.array().cast("array<string>")
     if with_words:
         unearned = each(lexicon.unearned(F.col("reply"), F.col("lesson"), F.col("suspect")), "unearned_word")
@@ -107,7 +107,7 @@ def _verdict(rows: DataFrame, with_words: bool) -> DataFrame:
     return rows.drop(*_STATE, "head", "tail", "known_anchors", "bound_anchors")
 
 
-def check_replies(replies: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def check_replies(replies: DataFrame, words: DataFrame | None = None, gaps: str = T.GAPS) -> DataFrame:
     """All ten rules on replies(conv_id, turn, text, notice_text, user_texts, first_reply, deadline, adverse[, taught_before]).
 
     Adds word_count, quoted_ratio, violations, advisory and new_taught_terms. `words`(word) is the
@@ -115,17 +115,17 @@ def check_replies(replies: DataFrame, words: DataFrame | None = None) -> DataFra
     terms) are left out, and conv_id and turn may be missing. taught_before are the terms taught
     before the first of a conversation's replies here; its value on that reply counts. A null reply
     or source is empty; a null deadline or adverse asks for nothing. Replies of a conversation go by
-    turn and are gathered in one shuffle by conv_id.
+    turn and are gathered in one shuffle by conv_id. `gaps` is the pattern between sentences.
     """
     rows = taught.prepared(replies)
     if words is not None:
         before = F.get("replies", F.lit(0))["taught_before"] if "taught_before" in replies.columns else None
-        rows = taught.each_reply(taught.with_lessons(taught.gathered(rows), words, before))
+        rows = taught.each_reply(taught.with_lessons(taught.gathered(rows), words, before, gaps))
     if "known_anchors" not in rows.columns:
         rows = rows.withColumn("known_anchors", F.array_union(T.anchor_texts(F.col("source")), all_anchors(F.col("users"))))
     if "bound_anchors" not in rows.columns:
-        rows = rows.withColumn("bound_anchors", bound_anchors(F.col("source")))
-    return _verdict(rows, words is not None)
+        rows = rows.withColumn("bound_anchors", bound_anchors(F.col("source"), gaps))
+    return _verdict(rows, words is not None, gaps)
 
 
 def check_conversations(conversations: DataFrame, carry: list[str], words: DataFrame | None = None) -> DataFrame:

@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return register
 
 
-from turnwise.plans import checks, corpus, curated, more  # noqa: E402, F401  the modules register their queries
+from turnwise.plans import checks, corpus, curated, learned, more  # noqa: E402, F401  the modules register their queries
