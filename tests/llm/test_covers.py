@@ -58,7 +58,8 @@ def test_stretches_of_long_texts(spark, monkeypatch):
     rng = random.Random(9)
     words = [f"v{rng.randint(0, 10**6)}" for _ in range(900)]
     all_texts = [" ".join(words), "a b " + "\n".join(words[100:700]) + " c", " ".join(words[:15]) + " " + " ".join(words[850:])]
-    assert sum(covers.word_lists(all_texts[1].encode()), []) == all_texts[1].encode().split()
+    whole = covers.Words([all_texts[1].encode()]).hashes()
+    assert whole.tolist() == np.concatenate([covers.Words([w]).hashes() for w in all_texts[1].encode().split()], 1).tolist()
     docs = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string")
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in covers.digest(covers.remove_repeats(docs)).collect()}
     assert [found[i] for i in range(3)] == covers.brute_force([t.encode() for t in all_texts], 20)
@@ -80,7 +81,20 @@ def test_whole_table(spark):
 
 
 def test_hashes_tell_places_apart():
-    words = covers.word_hashes(b"a b c a b c a")
+    words = covers.Words([b"a b c a b c a"]).hashes()
     at = np.arange(5)
     found = covers.hashes_at(words[0], at, 3)
     assert found[0] == found[3] and found[1] == found[4] and len(set(found.tolist())) == 3
+
+
+def test_hashes_of_words():
+    """Equal words have equal hashes wherever they stand, and different ones don't."""
+    words = [w.encode() for w in ["a", "b", "ab", "ba", "aa", "aaa", "é", "\u2028", "x" * 5000, "x" * 4999, "\x00", "\x00\x00", "\x1c", *(f"w{i}" for i in range(20000))]]
+    texts = [b" ".join(words) + b"\t\n", b"", b"\r ".join(reversed(words)), b" \n "]
+    made = covers.Words(texts)
+    found = made.hashes()
+    assert found.shape == (2, 2 * len(words)) and found[:, : len(words)].tolist() == found[:, : len(words) - 1 : -1].tolist()
+    assert len(set(found[0].tolist())) == len(set(found[1].tolist())) == len(words)
+    assert [made.bytes[s:e].tobytes() for s, e in zip(made.starts, made.ends)] == b" ".join(texts).split()
+    assert made.n.tolist() == [len(words), 0, len(words), 0] and made.place.tolist() == [*range(len(words))] * 2
+    assert covers.Words([]).hashes().shape == covers.Words([b"", b" \n"]).hashes().shape == (2, 0)

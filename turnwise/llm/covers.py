@@ -17,19 +17,23 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import Staged
 
 LENGTH = 20
-_AT_ONCE = 1 << 22
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_AT_ONCE = 1 << 18
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+# Random numbers by byte, and odd numbers to mix by, for each of two lanes.
+_BYTES = np.random.default_rng(13).integers(0, 1 << 64, (2, 256), np.uint64)
+_MIX, _LENGTH = np.random.default_rng(14).integers(0, 1 << 64, (2, 2), np.uint64) | np.uint64(1)
 _PLACE = "doc_id long, row long, mark int, at int"
 
 
@@ -48,20 +52,77 @@ def cover(period: int) -> list[int]:
     raise ValueError(f"no cover for {period}")
 
 
-def word_lists(data: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, a list for each stretch of it."""
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the bytes of a text starts and ends."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    np.logical_not(_SPACE[data], out=inside[1:-1].view(bool))
+    turns = np.flatnonzero(np.diff(inside))
+    return turns[::2], turns[1::2]
+
+
+class Words:
+    """The words of several texts in a row: where they start and end in `bytes`, which text each is of, and the first of each text."""
+
+    def __init__(self, texts: list[bytes]):
+        self.bytes = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        self.starts, self.ends = word_places(self.bytes)
+        self.first = np.searchsorted(self.starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        self.n = np.diff(self.first)
+        self.text = np.repeat(np.arange(len(texts)), self.n)
+        self.place = np.arange(len(self.starts)) - self.first[self.text]
+
+    def hashes(self) -> np.ndarray:
+        """Two rows of 64-bit hashes, a column for each word.
+
+        A row has for each word the sum of random numbers of its bytes times powers of an odd number
+        by the byte's place, as the difference of two running sums, which go over a stretch of words
+        at a time; the sum is mixed with the word's length.
+        """
+        starts, ends = self.starts, self.ends
+        out = np.zeros((2, len(starts)), np.uint64)
+        first = 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + _AT_ONCE)))
+            at = int(starts[first])
+            piece = self.bytes[at : int(ends[last - 1])]
+            s, e = starts[first:last] - at, ends[first:last] - at
+            for lane in range(2):
+                down, up = _powers(lane, len(piece))
+                sums = np.zeros(len(piece) + 1, np.uint64)
+                np.cumsum(_BYTES[lane][piece] * down[: len(piece)], out=sums[1:])
+                h = (sums[e] - sums[s]) * up[s] + (e - s).astype(np.uint64) * _LENGTH[lane]
+                h ^= h >> np.uint64(32)
+                h *= _MIX[lane]
+                out[lane, first:last] = h ^ (h >> np.uint64(29))
+            first = last
+        return out
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in groups of texts that are worked on together; a long text is one by itself."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) if batch.num_rows else []
     at = 0
-    while at < len(data):
-        cut = _SPACE.search(data, at + _AT_ONCE)
-        end = cut.start() if cut else len(data)
-        yield data[at:end].split()
-        at = end
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + _AT_ONCE, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """Two rows of 64-bit hashes, a column for each word."""
-    found = b"".join(b"".join(map(xxhash.xxh3_128_digest, words)) for words in word_lists(data))
-    return np.ascontiguousarray(np.frombuffer(found, np.uint64).reshape(-1, 2).T)
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Of an array column how many items each row has, none for null, and all items in a row."""
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), column.flatten()
+
+
+@cache
+def _powers_to(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = int(_MIX[1 - lane])
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (pow(base, -1, 1 << 64), base))
+
+
+def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Falling and rising powers of the lane's odd number, at least n of each."""
+    return _powers_to(lane, _AT_ONCE if n <= _AT_ONCE else n)
 
 
 def _factors(width: int) -> np.ndarray:
@@ -76,12 +137,6 @@ def hashes_at(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _batch(columns: dict[str, list]) -> pa.RecordBatch:
-    whole = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in columns.items()}
-    narrow = {"mark": np.int32, "at": np.int32}
-    return pa.RecordBatch.from_pydict({k: v.view(np.int64) if v.dtype == np.uint64 else v.astype(narrow.get(k, np.int64)) for k, v in whole.items()})
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, the bytes of the text, and (row, mark): 96 bits of hashes of both."""
     text = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
@@ -94,20 +149,13 @@ def _anchors(texts: DataFrame, length: int, period: int) -> DataFrame:
     width, residues = length - period + 1, np.array(cover(period))
 
     def run(batches):
-        for b in batches:
-            out: dict[str, list] = {"row": [], "mark": [], "at": [], "anchor": []}
-            for row, mark, data in zip(*(b.column(x).to_pylist() for x in ("row", "mark", "text"))):
-                words = word_hashes(data)[0]
-                n = len(words)
-                if n < length:
-                    continue
-                at = (np.arange(0, n, period)[:, None] + residues).ravel()
-                at = at[at <= n - width]
-                out["row"].append(np.full(len(at), row))
-                out["mark"].append(np.full(len(at), mark))
-                out["at"].append(at)
-                out["anchor"].append(hashes_at(words, at, width))
-            yield _batch(out)
+        for group in (g for b in batches for g in _groups(b)):
+            words = Words(group.column("text").to_pylist())
+            hit = np.isin(words.place % period, residues) & (words.place <= words.n[words.text] - width) & (words.n[words.text] >= length)
+            at = np.flatnonzero(hit)
+            of = pa.array(words.text[at])
+            anchor = hashes_at(words.hashes()[0], at, width) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([group.column("row").take(of), group.column("mark").take(of), pa.array(words.place[at], pa.int32()), pa.array(anchor.view(np.int64))], names=["row", "mark", "at", "anchor"])
 
     return texts.select("row", "mark", "text").mapInArrow(run, "row long, mark int, at int, anchor long")
 
@@ -122,32 +170,28 @@ def _hashed(placed: DataFrame, length: int, period: int, contexts: bool) -> Data
     width, behind = length - period + 1, period - 1
 
     def run(batches):
-        for b in batches:
-            out: dict[str, list] = {x: [] for x in ("doc_id", "row", "mark", "at", "a", "b", *(["anchor"] if contexts else []))}
-            ids = []
-            for doc, row, mark, data, places in zip(*(b.column(x).to_pylist() for x in ("doc_id", "row", "mark", "text", "places"))):
-                words, at = word_hashes(data), np.sort(np.array(places, np.int64))
-                if contexts:
-                    edge = np.zeros((2, behind), np.uint64)  # no word has this hash
-                    out["anchor"].append(hashes_at(words[0], at, width))
-                    around = np.concatenate([edge, words, edge], 1)
-                    for x, lane in zip("ab", around):
-                        out[x].append(hashes_at(lane, at, width + 2 * behind))
-                else:
-                    starts = np.zeros(words.shape[1] - length + 1, bool)
-                    for k in range(period):
-                        starts[np.clip(at - k, 0, len(starts) - 1)] |= (at - k >= 0) & (at - k < len(starts))
-                    at = np.flatnonzero(starts)
-                    for x, lane in zip("ab", words):
-                        out[x].append(hashes_at(lane, at, length))
-                ids.append((doc, len(at)))
-                out["row"].append(np.full(len(at), row))
-                out["mark"].append(np.full(len(at), mark))
-                out["at"].append(at)
-            docs = pa.array([d for d, _ in ids], pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), [n for _, n in ids])))
-            out.pop("doc_id")
-            made = _batch(out)
-            yield pa.RecordBatch.from_arrays([docs, *made.columns], names=["doc_id", *made.schema.names])
+        for group in (g for b in batches for g in _groups(b)):
+            words = Words(group.column("text").to_pylist())
+            hashes = words.hashes()
+            counts, places = _lists(group.column("places"))
+            text, places = np.repeat(np.arange(len(counts)), counts), places.to_numpy(zero_copy_only=False).astype(np.int64)
+            if contexts:
+                # A margin of no words, which no word's hash is, lies on both sides of each text.
+                around = np.zeros((2, hashes.shape[1] + 2 * behind * len(counts)), np.uint64)
+                around[:, np.arange(hashes.shape[1]) + behind * (2 * words.text + 1)] = hashes
+                at = words.first[text] + places
+                more = [hashes_at(hashes[0], at, width)]
+                lanes = [hashes_at(lane, at + behind * 2 * text, width + 2 * behind) for lane in around]
+            else:
+                starts = places[:, None] - np.arange(period)
+                fits = (starts >= 0) & (starts <= words.n[text][:, None] - length)
+                at = np.unique((starts + words.first[text][:, None])[fits])
+                text, places, more = words.text[at], words.place[at], []
+                lanes = [hashes_at(lane, at, length) for lane in hashes]
+            of = pa.array(text)
+            known = [group.column(c).take(of) for c in ("doc_id", "row", "mark")]
+            names = ["doc_id", "row", "mark", "at", "a", "b", *(["anchor"] if contexts else [])]
+            yield pa.RecordBatch.from_arrays([*known, pa.array(places, pa.int32()), *(pa.array(x.view(np.int64)) for x in [*lanes, *more])], names=names)
 
     return placed.mapInArrow(run, f"{_PLACE}, a long, b long" + (", anchor long" if contexts else ""))
 
@@ -191,22 +235,38 @@ def _repeats(texts: DataFrame, length: int) -> DataFrame:
     return same.read().union(later.read())
 
 
-def keep(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, list[tuple[int, int]]]:
-    """The words outside the spans (first, stop) joined by spaces, how many there were, and the removed runs."""
-    words = list(word_lists(data))
-    n = sum(map(len, words))
-    edges = np.zeros(n + 1, np.int64)
-    for first, stop in spans:
-        edges[first] += 1
-        edges[min(stop, n)] -= 1
-    gone = np.cumsum(edges)[:-1] > 0
-    turns = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2)
-    kept, at = [], 0
-    for some in words:
-        mine = gone[at : at + len(some)]
-        at += len(some)
-        kept += some if not mine.any() else [w for w, g in zip(some, mine.tolist()) if not g]
-    return b" ".join(kept), n, list(map(tuple, turns.tolist()))
+def keep(group: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, kept, n_words, n_removed, removed) of rows (doc_id, text, spans): the words outside the spans (first, stop), joined by spaces."""
+    words = Words(group.column("text").to_pylist())
+    n = words.n
+    counts, spans = _lists(group.column("spans"))
+    text = np.repeat(np.arange(len(n)), counts)
+    edges = np.zeros(len(words.starts) + 1, np.int64)
+    for side, step in (("first", 1), ("stop", -1)):
+        places = spans.field(side).to_numpy(zero_copy_only=False)
+        np.add.at(edges, words.first[text] + np.minimum(places, n[text]), step)
+    gone = np.cumsum(edges[:-1]) > 0
+    # Runs end with their text.
+    head, tail = words.place == 0, words.place == n[words.text] - 1
+    begins = np.flatnonzero(gone & (head | ~np.r_[False, gone[:-1]]))
+    ends = np.flatnonzero(gone & (tail | ~np.r_[gone[1:], False]))
+    runs = pa.StructArray.from_arrays([pa.array(words.place[begins], pa.int32()), pa.array(words.place[ends] + 1, pa.int32())], names=["start", "end"])
+    offsets = np.r_[0, np.cumsum(np.bincount(words.text[begins], minlength=len(n)))]
+    # Each kept word goes along with the byte behind it, which is made a space; the last of a text without.
+    kept = ~gone
+    of = words.text[kept]
+    last = np.r_[of[1:] != of[:-1], True] if len(of) else np.zeros(0, bool)
+    letters, marks = words.bytes.copy(), np.zeros(len(words.bytes) + 1, np.int8)
+    letters[words.ends] = 0x20
+    marks[words.starts[kept]] += 1
+    marks[words.ends[kept] + ~last] -= 1
+    letters = letters[np.cumsum(marks[:-1], dtype=np.int8) > 0]
+    sizes = np.bincount(of, words.ends[kept] - words.starts[kept] + ~last, minlength=len(n)).astype(np.int64)
+    texts = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(letters))
+    removed = np.bincount(words.text[gone], minlength=len(n))
+    return pa.RecordBatch.from_arrays(
+        [group.column("doc_id"), texts.cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)], names=["doc_id", "kept", "n_words", "n_removed", "removed"]
+    )
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,11 +285,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     def run(batches):
         for b in batches:
-            done = [keep(data, [(x["first"], x["stop"]) for x in spans or ()]) for data, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
-            runs = pa.array([[{"start": s, "end": e} for s, e in r] for _, _, r in done], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            counts = [pa.array(x, pa.int64()) for x in ([n for _, n, _ in done], [sum(e - s for s, e in r) for _, _, r in done])]
-            kept = pa.array([k for k, _, _ in done], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), kept, *counts, runs], names=["doc_id", "kept", "n_words", "n_removed", "removed"])
+            yield from map(keep, _groups(b))
 
     placed = texts.join(spans.hint("merge"), ["row", "mark"], "left").select("doc_id", "text", "spans")
     return placed.mapInArrow(run, "doc_id long, kept string, n_words long, n_removed long, removed array<struct<start:int,end:int>>")
