@@ -85,6 +85,37 @@ def aggregate(records: DataFrame) -> DataFrame:
     return joined.select("*", rate("n_pass", "n", "adherence"), rate("n_adv_pass", "n_adv", "robustness"), rate("n_judge_pass", "n_judged", "judge_pass_rate"))
 
 
+def roll_up(records: DataFrame, levels: list[str] | None = None) -> DataFrame:
+    """Counts and passes of records(strict_pass, per_100_words, and the columns of the levels) at every level of a hierarchy, from each group to all, in one pass.
+
+    `level` is how many of the last levels are summed over; their columns are null there, and a null
+    value of a record is a group of its own.
+    """
+    levels = levels or ["model", "strategy", "category"]
+    zeros = F.lit(0).cast("long")
+    sums = records.rollup(*levels).agg(
+        F.bit_count(F.grouping_id()).cast("int").alias("level"), F.count("*").alias("n"), F.count_if("strict_pass").alias("n_pass"),
+        F.coalesce(F.sum(F.aggregate(F.map_values("by_rule"), zeros, lambda s, n: s + n)), zeros).alias("violations"), F.sum(F.col("per_100_words").cast("decimal(20,2)")).alias("density"),
+    )
+    mean = F.bround(F.col("density").cast("double") / F.col("n"), 2).alias("mean_per_100_words")
+    return sums.select(*levels, "level", "n", "n_pass", F.bround(F.col("n_pass") / F.col("n"), 4).alias("adherence"), "violations", mean)
+
+
+def daily_sketches(events: DataFrame, value: str, user: str, time: str = "ts") -> DataFrame:
+    """(day, n, users, values): sketches of each day's distinct users and of its values, to be stored and merged."""
+    return events.groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("n"), F.hll_sketch_agg(user, F.lit(12)).alias("users"), F.kll_sketch_agg_double(F.col(value).cast("double")).alias("values"))
+
+
+def merged_sketches(days: DataFrame, *by, ranks: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """(by..., n, users, quantiles) of stored daily sketches: distinct users and quantiles of values over all days of a group, without their events.
+
+    Distinct counts are off by 1.6 % in two of three cases, ranks of quantiles by 1.3 % at most in 99 of 100.
+    """
+    sums = days.groupBy(*by).agg(F.sum("n").alias("n"), F.hll_union_agg("users").alias("all_users"), F.kll_merge_agg_double("values").alias("all_values"))
+    keys = [c for c in sums.columns if c not in ("n", "all_users", "all_values")]
+    return sums.select(*keys, "n", F.hll_sketch_estimate("all_users").alias("users"), F.kll_sketch_get_quantile_double("all_values", F.array(*map(F.lit, ranks))).alias("quantiles"))
+
+
 def by_turn_index(metrics: DataFrame) -> DataFrame:
     """Share of strict passes at each place among the replies of a conversation."""
     return metrics.groupBy("reply_index").agg(F.count("*").alias("n"), F.count_if("strict_pass").alias("n_pass"), F.bround(F.avg(F.col("strict_pass").cast("int")), 4).alias("pass_rate"))

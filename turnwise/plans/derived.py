@@ -29,9 +29,9 @@ def pick(names: list[str], i: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), i.cast("int") + 1)
 
 
-def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A notice for each order, with metadata that its text has verbatim."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+def notices(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """A notice for each order, with metadata that its text has verbatim; `orders` may be a stream of them."""
+    o = (orders if orders is not None else table(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("o_orderkey")
     day = F.to_date("o_orderdate")
@@ -46,12 +46,12 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("adverse", F.col("genre").isin(ADVERSE)).withColumn("notice_text", text)
 
 
-def conversations(spark: SparkSession, sf_dir: str, about: list[str] | None = None) -> DataFrame:
+def conversations(spark: SparkSession, sf_dir: str, about: list[str] | None = None, orders: DataFrame | None = None) -> DataFrame:
     """Turns (conv_id, turn, role, text) on each notice; replies break a rule each by a variant number.
 
     The columns `about` of the notice stand on its first turn.
     """
-    n = with_variant(notices(spark, sf_dir))
+    n = with_variant(notices(spark, sf_dir, orders))
     lit, reply, second = F.lit, first_reply(F.col("v")), second_reply(F.col("v"))
     more = F.col("o_orderkey") % 3 == 0
     turn = lambda i, role, text: F.struct(lit(i).cast("long").alias("turn"), lit(role).alias("role"), text.alias("text"))
