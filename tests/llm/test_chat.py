@@ -65,7 +65,7 @@ def test_sql(spark):
 
 def test_replaced_replies(spark):
     said = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "assistant", "b"), (1, 0, "user", "r"), (1, 1, "assistant", "c"), (2, 0, "user", "s"), (2, 1, "assistant", None), (4, 0, "user", "t"), (None, 0, "user", "x"), (1, None, None, None)]
-    turns = spark.createDataFrame([(*t, "x") for t in said], "conv_id long, turn long, role string, text string, other string").drop("other")
+    turns = spark.createDataFrame([(*t, "x", 1, True) for t in said], "conv_id long, turn long, role string, text string, other string, last int, chosen boolean")
     rows = sorted(map(str, ((r.pair_id, r.chosen, r.turn, r.role, r.text) for r in chat.replaced_replies(turns).collect())))
     as_is = [(i, True, *t) for i, *t in said if i is not None]
     new = {(0, 2): "c", (1, 1): "b", (2, 1): "gone"}

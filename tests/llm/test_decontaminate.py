@@ -10,8 +10,8 @@ from turnwise.llm import decontaminate as D
 WORDS = "alpha beta gamma delta épsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 
-def brute(docs, items):
-    """Every diagonal of every document and item, without seeds."""
+def brute(docs, items, whole_only=False):
+    """Every diagonal of every document and item, without seeds; with `whole_only` short items as a whole."""
     tokens = lambda t: re.sub(r"[\W_]+", " ", re.sub("([\u4e00-\u9fff\u3040-\u30ff])", r" \1 ", t.lower())).strip().split(" ")
     out = {}
     for (d, text), (i, item) in product(docs, items):
@@ -19,7 +19,7 @@ def brute(docs, items):
             continue
         w, v = tokens(text), tokens(item)
         if len(v) < D.MIN_TOKENS:
-            if w == v != [""]:
+            if v != [""] and (w == v if whole_only else any(w[k : k + len(v)] == v for k in range(len(w)))):
                 out[d, i] = (len(v), len(v))
             continue
         width = min(D.WINDOW, len(v))
@@ -63,9 +63,11 @@ def test_brute_force(spark):
         (14, "Before. " + ", ".join(item).upper() + "; after"),
     ]
     items = [(1, " ".join(item)), (2, " ".join(WORDS[16:21])), (3, "too short to say"), (4, None), (None, " ".join(item)), (5, " ".join(["on"] * 8)), (6, ""), (1, " ".join(item)), (8, "我们今天去北京看长城吧"), (9, " ".join(WORDS[::-1] * 1000))]
-    d = spark.createDataFrame([(*r, "clash", 0) for r in docs], "doc_id long, text string, seed string, hashes int")
+    items += [(10, "short"), (11, "of it"), (12, "是"), (13, "omega"), (14, "is too short")]
+    d = spark.createDataFrame([(*r, "clash", 0, 1, 2) for r in docs], "doc_id long, text string, seed string, hashes int, gone_a int, text_b int")
     b = spark.createDataFrame([(*r, "clash") for r in items], "item_id long, text string, doc_id string")
     assert {tuple(r) for r in D.overlaps(d, b).collect()} == brute(docs, items)
+    assert {(10, 10), (11, 10), (11, 14), (14, 11)} <= {(r.doc_id, r.item_id) for r in D.overlaps(d, b).collect()}
     kept = D.drop_contaminated(d, b)
     assert kept.columns == d.columns
     # A null id does not keep a text that holds an item, and of an id with two texts the clean one stays.

@@ -61,6 +61,7 @@ def replaced_replies(conversations: DataFrame) -> DataFrame:
     unchanged; rows with a null conv_id are left out. Of several last assistant turns of one number
     the text largest in order counts as the last.
     """
+    conversations = conversations.select("conv_id", "turn", "role", "text")
     key = F.struct(F.col("turn"), F.coalesce("text", F.lit("")).alias("said"))
     last = conversations.where("conv_id is not null and role = 'assistant'").groupBy("conv_id").agg(F.max(key).alias("last"))
     other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.said").alias("other"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[app]}"
 
 
-_scratch: list[list[Staged]] = []
+#: The tables of the scratch() around the code that runs; each thread or task of the driver has its own.
+_scratch: ContextVar[list[Staged] | None] = ContextVar("scratch", default=None)
 
 
 class Staged:
@@ -49,8 +51,8 @@ class Staged:
         self._files.deleteOnExit(self._folder)
         df.write.parquet(self.path)
         self.schema = df.schema
-        if _scratch:
-            _scratch[-1].append(self)
+        if (around := _scratch.get()) is not None:
+            around.append(self)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -62,22 +64,24 @@ class Staged:
 @contextmanager
 def scratch() -> Iterator[None]:
     """What is staged within goes at its end; results that still read it must be written before."""
-    _scratch.append([])
+    own: list[Staged] = []
+    before = _scratch.set(own)
     try:
         yield
     finally:
-        for table in _scratch.pop():
+        _scratch.reset(before)
+        for table in own:
             table.drop()
 
 
 @contextmanager
 def kept() -> Iterator[None]:
     """What is staged within outlives the scratch() around it."""
-    _scratch.append([])
+    before = _scratch.set(None)
     try:
         yield
     finally:
-        _scratch.pop()
+        _scratch.reset(before)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
