@@ -23,38 +23,38 @@ BRITISH = [
 ]
 BRITISH_DOUBLED = [("eled", "elled"), ("eling", "elling"), ("eler", "eller"), ("elers", "ellers")]
 BRITISH_WORDS = {
-    "color": "colour colours coloured colouring colourful",
-    "honor": "honour honours honoured honouring",
-    "favor": "favour favours favoured favouring",
-    "favorite": "favourite favourites",
-    "labor": "labour labours laboured labouring",
-    "neighbor": "neighbour neighbours neighbouring neighbourhood neighbourhoods",
-    "behavior": "behaviour behaviours",
-    "humor": "humour",
-    "flavor": "flavour flavours",
-    "harbor": "harbour harbours",
-    "center": "centre centres centred centring",
-    "theater": "theatre theatres",
-    "meter": "metre metres",
-    "liter": "litre litres",
-    "fiber": "fibre fibres",
-    "gray": "grey greys",
-    "practice": "practise practises practised practising",
-    "license": "licence licences",
-    "defense": "defence defences",
-    "offense": "offence offences",
-    "program": "programme programmes",
-    "check": "cheque cheques",
-    "tire": "tyre tyres",
-    "age": "ageing",
-    "judgment": "judgement judgements",
-    "enroll": "enrol enrolment",
-    "fulfill": "fulfil fulfilment",
+    "color": ["colour", "colours", "coloured", "colouring", "colourful"],
+    "honor": ["honour", "honours", "honoured", "honouring"],
+    "favor": ["favour", "favours", "favoured", "favouring"],
+    "favorite": ["favourite", "favourites"],
+    "labor": ["labour", "labours", "laboured", "labouring"],
+    "neighbor": ["neighbour", "neighbours", "neighbouring", "neighbourhood", "neighbourhoods"],
+    "behavior": ["behaviour", "behaviours"],
+    "humor": ["humour"],
+    "flavor": ["flavour", "flavours"],
+    "harbor": ["harbour", "harbours"],
+    "center": ["centre", "centres", "centred", "centring"],
+    "theater": ["theatre", "theatres"],
+    "meter": ["metre", "metres"],
+    "liter": ["litre", "litres"],
+    "fiber": ["fibre", "fibres"],
+    "gray": ["grey", "greys"],
+    "practice": ["practise", "practises", "practised", "practising"],
+    "license": ["licence", "licences"],
+    "defense": ["defence", "defences"],
+    "offense": ["offence", "offences"],
+    "program": ["programme", "programmes"],
+    "check": ["cheque", "cheques"],
+    "tire": ["tyre", "tyres"],
+    "age": ["ageing"],
+    "judgment": ["judgement", "judgements"],
+    "enroll": ["enrol", "enrolment"],
+    "fulfill": ["fulfil", "fulfilment"],
 }
-# What takes the place of an ending in adverbs made from adjectives, and in nouns and adjectives made
-# from verbs. The first ending that a word has counts; every verb may also take the last.
-DERIVED_ADJECTIVE = [("y", ["ily"]), ("ic", ["ically"]), ("", ["ly"])]
-DERIVED_VERB = [("y", ["ial"]), ("e", ["al", "ial", "ation", "tion", "ment"]), ("", ["al", "ial", "ation", "tion"])]
+# The ending of a word, how many letters of it go, and what comes behind the rest in adverbs made from
+# adjectives, and in nouns and adjectives made from verbs. The first ending that a word has counts; every verb may also take the last.
+DERIVED_ADJECTIVE = [("y", 1, ["ily"]), ("ic", 0, ["ally"]), ("", 0, ["ly"])]
+DERIVED_VERB = [("y", 1, ["ial"]), ("e", 1, ["al", "ial", "ation", "tion", "ment"]), ("", 0, ["al", "ial", "ation", "tion"])]
 DERIVED_ALWAYS = "ment"
 
 
@@ -67,7 +67,7 @@ def british_variants(word: Column) -> Column:
 
 def british_words(lexicon: DataFrame) -> DataFrame:
     """(word, form): the British spellings of the words of `lexicon`(word) that no suffix tells."""
-    pairs = F.map_from_entries(F.array(*[F.struct(F.lit(a), F.split(F.lit(b), " ")) for a, b in BRITISH_WORDS.items()]))
+    pairs = F.map_from_entries(F.array(*[F.struct(F.lit(a), F.array(*map(F.lit, b))) for a, b in BRITISH_WORDS.items()]))
     return lexicon.select("word").distinct().select("word", F.explode(F.try_element_at(pairs, F.col("word"))).alias("form"))
 
 
@@ -102,11 +102,11 @@ def made_forms(word: Column) -> Column:
     """Adverbs, nouns and adjectives that the endings make of a word, known or not."""
     cut = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
 
-    def first_of(rules: list[tuple[str, list[str]]], least: int) -> Column:
+    def first_of(rules: list[tuple[str, int, list[str]]], least: int) -> Column:
         chosen = F.array().cast("array<string>")
-        for ending, made in reversed(rules):
+        for ending, gone, made in reversed(rules):
             has = F.endswith(word, F.lit(ending)) & (F.length(word) > (least if ending == "y" else 0))
-            chosen = F.when(has, F.array(*[F.concat(cut(len(ending)), F.lit(x)) for x in made])).otherwise(chosen)
+            chosen = F.when(has, F.array(*[F.concat(cut(gone), F.lit(x)) for x in made])).otherwise(chosen)
         return chosen
 
     return F.array_distinct(F.concat(first_of(DERIVED_ADJECTIVE, 2), first_of(DERIVED_VERB, 0), F.array(F.concat(word, F.lit(DERIVED_ALWAYS)))))

@@ -56,6 +56,12 @@ def require_unique(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def unique_by(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each key, the least in order of its other columns; partial results are taken before rows are dealt out."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*").select(*rows.columns)
+
+
 def validate_notices(notices: DataFrame, prefix: str, genres: list[str]) -> DataFrame:
     """(notice_id, problems array<string>): what of each notice is not as its metadata says."""
     text = F.col("notice_text")

@@ -11,6 +11,7 @@ from turnwise.plans import derived
 from turnwise.plans.corpus import _TOP
 from turnwise.plans.derived import DUCK, _sql
 from turnwise.plans.registry import query
+from turnwise.sources import files, staging
 from turnwise.sources.tables import table
 
 _MARKED = "CASE conv_id % 4 WHEN 0 THEN '<think>a plan</think>  ' || text || ' ' WHEN 1 THEN '<THINK>x</THINK>' || text WHEN 2 THEN text || ' <think>' ELSE text END"
@@ -59,13 +60,15 @@ def word_families(spark, sf):
     return top.select("word", F.explode(W.inflections(F.col("word"))).alias("form")).select("word", W.lemma(F.col("form")).alias("family")).distinct()
 
 
-@query(
-    "SELECT word, unnest(forms) AS form FROM (VALUES ('color', ['colour', 'colours', 'coloured', 'colouring', 'colourful']), ('gray', ['grey', 'greys']), ('tire', ['tyre', 'tyres']), ('check', ['cheque', 'cheques']), "
-    "('license', ['licence', 'licences']), ('defense', ['defence', 'defences'])) t(word, forms)"
-)
+_PAIRS = "(VALUES " + ", ".join(f"('{w}', [{', '.join(_sql(f) for f in forms)}])" for w, forms in W.BRITISH_WORDS.items()) + ") t(word, forms)"
+_BASES = "[" + ", ".join(map(_sql, [*W.BRITISH_WORDS, "cat"])) + "]"
+
+
+@query(f"SELECT p_partkey, word, unnest(forms) AS form FROM (SELECT p_partkey, {_BASES}[p_partkey % {len(W.BRITISH_WORDS) + 1} + 1] AS word FROM part) JOIN {_PAIRS} USING (word)")
 def british_word_pairs(spark, sf):
-    words = spark.range(1).select(F.explode(F.split(F.lit("color gray tire check cat license defense"), " ")).alias("word"))
-    return W.british_words(words)
+    """Spellings of the word that each part is given; the last of them has none."""
+    given = table(spark, sf, "part").select("p_partkey", derived.pick([*W.BRITISH_WORDS, "cat"], F.col("p_partkey") % (len(W.BRITISH_WORDS) + 1)).alias("word"))
+    return given.join(W.british_words(given), "word").select("p_partkey", "word", "form")
 
 
 _IZE = "('izations', 'isations'), ('ization', 'isation'), ('izing', 'ising'), ('izes', 'ises'), ('ized', 'ised'), ('ize', 'ise'), ('izers', 'isers'), ('izer', 'iser'), ('yzing', 'ysing'), ('yzes', 'yses'), ('yzed', 'ysed'), ('yze', 'yse')"
@@ -84,12 +87,38 @@ def allowed_list(spark, sf):
     return lexicon.allowed(top, top, ["medicaid"])
 
 
+@query(_TOP + f" SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all({derived._BANNER}, '[A-Za-z]+')) AS w) WHERE lower(w) NOT IN (SELECT word FROM top WHERE lang = 'en' AND rank <= 1000)")
+def banner_uncovered(spark, sf):
+    """Words of the banner that are not among the most common ones of English documents."""
+    return lexicon.uncovered(rules.BANNER, lexicon.top_words(table(spark, sf, "documents"), 1000).where("lang = 'en'"))
+
+
+@query(DUCK + "SELECT DISTINCT conv_id AS notice_id, notice_text, deadline FROM d_said")
+def unique_notices(spark, sf):
+    """The notices that replies are about, each once."""
+    said = derived.replies(spark, sf).select(F.col("conv_id").alias("notice_id"), "notice_text", "deadline")
+    return curation.unique_by(said, "notice_id")
+
+
 @query(
-    f"SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all({derived._BANNER}, '[A-Za-z]+')) AS w) WHERE lower(w) NOT IN (SELECT unnest([{', '.join(map(_sql, dict.fromkeys(derived.PLAIN)))}]))"
+    "WITH v AS (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 5 AND l_discount < 0.09) SELECT (SELECT count(*) FROM lineitem) AS read, (SELECT count(*) FROM lineitem WHERE l_quantity < 5) AS few, "
+    "(SELECT count(*) FROM lineitem WHERE l_discount >= 0.09) AS cheap, count(*) AS valid, count(DISTINCT l_orderkey) AS written, count(*) - count(DISTINCT l_orderkey) AS repeated FROM v"
 )
-def banner_uncovered(spark, sf):
-    """Words of the banner that the plain list does not have."""
-    return lexicon.uncovered(rules.BANNER, derived.plain_words(spark))
+def checked_write(spark, sf):
+    """What came of each row of a write with rules and keys, told by the write itself."""
+    path = staging.new_folder(spark, "checked")
+    found = files.write_checked(table(spark, sf, "lineitem"), path, ["l_orderkey"], {"few": F.col("l_quantity") >= 5, "cheap": F.col("l_discount") < 0.09})
+    # The figures beside what was written, whose keys are counted again as a check.
+    rows = spark.read.parquet(path).agg(F.countDistinct("l_orderkey").alias("written"))
+    return rows.select(*[F.lit(found[c]).cast("long").alias(c) for c in ("read", "few", "cheap", "valid")], "written", F.lit(found["repeated"]).cast("long").alias("repeated"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS missing, json_type(props) = 'OBJECT' AS whole, json_extract(props, '$.k') IS NOT NULL AS has_k FROM events")
+def event_properties(spark, sf):
+    """Fields of records whose keys no schema names."""
+    record = F.try_parse_json("props")
+    found = files.fields(record, {"k": ("$.k", "bigint"), "missing": ("$.none", "string")})
+    return table(spark, sf, "events").select("event_id", *found, F.schema_of_variant(record).startswith("OBJECT").alias("whole"), F.variant_get(record, "$.k", "variant").isNotNull().alias("has_k"))
 
 
 _SPEC = "['hf', 'api', 'local'][event_id % 3 + 1] || ':' || event_type || CASE WHEN event_id % 2 = 0 THEN ':v' || user_id ELSE '' END"

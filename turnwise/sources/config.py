@@ -2,27 +2,60 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
 
+from pyspark.sql import SparkSession
+
+try:
+    import yaml
+except ImportError:  # settings in JSON, which is YAML too, still work
+    yaml = None
+
+
+def _value(text: str):
+    """A value as YAML reads it, or where that can't be read as JSON does; other text as it is."""
+    try:
+        return yaml.safe_load(text) if yaml else json.loads(text)
+    except (ValueError, *((yaml.YAMLError,) if yaml else ())):
+        return text
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of one file in any store that Spark reads, without white space around it: a prompt, a rubric, settings."""
+    return spark.read.text(path, wholetext=True).first().value.strip()
+
+
+def read_prompts(spark: SparkSession, folder: str, names: list[str]) -> dict[str, str]:
+    """The texts of several files of a folder by name; one that is missing is an error that names it."""
+    return {n: read_text(spark, f"{folder.rstrip('/')}/{n}") for n in names}
+
+
+def read_config(spark: SparkSession, path: str, overrides: list[str] | None = None) -> dict:
+    """Settings from a YAML file, with overrides, and the path under `_config_path`."""
+    found = _value(read_text(spark, path))
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no settings by name" + ("" if yaml else ", or is YAML that is not JSON, for which PyYAML is missing"))
+    return overridden(found | {"_config_path": path}, overrides or [])
+
 
 def overridden(config: dict, overrides: list[str]) -> dict:
-    """A copy of `config` with `a.b=value` overrides; values are JSON where they can be, else text."""
-    out = json.loads(json.dumps(config))
+    """A copy of `config` with `a.b=value` overrides; values are as YAML reads them. One without = is an error."""
+    out = copy.deepcopy(config)
     for item in overrides:
-        path, _, value = item.partition("=")
-        *branch, leaf = path.split(".")
+        path, sign, value = item.partition("=")
+        if not sign:
+            raise ValueError(f"an override is key=value, not {item!r}")
+        *branch, leaf = path.strip().split(".")
         at = out
         for name in branch:
             at = at.setdefault(name, {})
-        try:
-            at[leaf] = json.loads(value)
-        except ValueError:
-            at[leaf] = value
+        at[leaf] = _value(value)
     return out
 
 
 def config_hash(config: dict) -> str:
     """The first 16 hex digits of the SHA-256 of the settings as sorted JSON, names with a leading underscore left out."""
     kept = {k: v for k, v in config.items() if not k.startswith("_")}
-    return hashlib.sha256(json.dumps(kept, sort_keys=True).encode()).hexdigest()[:16]
+    return hashlib.sha256(json.dumps(kept, sort_keys=True, default=str).encode()).hexdigest()[:16]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -112,6 +115,55 @@ def freeze_words(words: DataFrame, path: str) -> None:
     provenance(words).write.json(f"{path}/provenance")
 
 
+def read_or_build_words(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """(word): the words that freeze_words() wrote to `path`, which are built and written first if they aren't there."""
+    forms = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/forms/_SUCCESS")
+    if not forms.getFileSystem(spark._jsc.hadoopConfiguration()).exists(forms):
+        freeze_words(build(), path)
+    from turnwise.operators.lexicon import read_words
+
+    return read_words(spark, f"{path}/forms")
+
+
+def read_open(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(record variant): JSON lines without a declared schema; every key of every record is kept, with its own type."""
+    return spark.read.option("singleVariantColumn", "record").json(path)
+
+
+def fields(record: Column, wanted: dict[str, tuple[str, str]]) -> list[Column]:
+    """Columns of a variant by name: (path, type) each; a record without the path, or with what can't be cast, has null."""
+    return [F.try_variant_get(record, path, kind).alias(name) for name, (path, kind) in wanted.items()]
+
+
+def _told(metrics: Observation, names: list[str]) -> dict[str, int]:
+    """The metrics of a write; zeros where Spark left them out, as it does where it can tell that no row comes by."""
+    try:
+        return metrics.get
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e.java_exception):
+            raise
+        return dict.fromkeys(names, 0)
+
+
+def write_checked(rows: DataFrame, path: str, keys: list[str], rules: dict[str, Column]) -> dict[str, int]:
+    """Writes the rows that pass all rules, of those with equal keys one, as Parquet, and says what came of all in the same pass.
+
+    read, dropped by each rule (a null counts as failed), valid, written and repeated: rows that
+    passed but had the keys of another. Counts are made where rows go by, so nothing is read twice; a
+    stage that is done again for a lost executor may be counted again.
+    """
+    seen, valid, written = Observation(), Observation(), Observation()
+    ok = {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("read"), *[F.count_if(~c).alias(name) for name, c in ok.items()])
+    for c in ok.values():
+        rows = rows.where(c)
+    rows = rows.observe(valid, F.count(F.lit(1)).alias("valid")).dropDuplicates(keys).observe(written, F.count(F.lit(1)).alias("written"))
+    rows.write.parquet(path)
+    names = (seen, ["read", *ok]), (valid, ["valid"]), (written, ["written"])
+    found = {k: v for told, of in names for k, v in _told(told, of).items()}
+    return found | {"repeated": found["valid"] - found["written"]}
+
+
 def write_batches(rows: DataFrame, path: str, checkpoint: str):
     """Starts a query that writes each batch of a stream to a folder of its own as JSON lines; a batch that is done again replaces itself."""
     return rows.writeStream.foreachBatch(lambda batch, n: write_jsonl(batch, f"{path}/batch={n}", "overwrite")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
