@@ -64,7 +64,7 @@ def conversations(spark: SparkSession, sf_dir: str, about: list[str] | None = No
 
 
 def with_variant(n: DataFrame) -> DataFrame:
-    return n.withColumn("v", (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 14)
+    return n.withColumn("v", (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 15)
 
 
 def first_reply(v: Column) -> Column:
@@ -80,6 +80,7 @@ def first_reply(v: Column) -> Column:
         .when(v == 11, lit('The copay, which means the part that you pay. The waiver (in other words, a paper that you send) helps. You pay some of it. "This is called a bluff."'))
         .when(v == 12, lit("There is the hearing officer review, which means a person reads it again."))
         .when(v == 13, F.concat(lit("You won't need the 'red' tape. It can't move to "), F.replace("deadline", lit(","), lit("")), lit(". Call "), "phone", lit(".")))
+        .when(v == 14, lit("The hearing officer review, which means a person reads it again. The zonal grant audit, which means money that you pay back. The copay, which means the part that you pay. The waiver (in other words, a paper that you send) helps. There is a proration — that is, a part of it."))
         .otherwise(lit("Please read the letter with care."))
     )
     return F.concat_ws(
@@ -104,6 +105,7 @@ def second_reply(v: Column) -> Column:
         .when(v == 9, F.concat(lit("The recoupments end before "), "deadline", lit(". Co-pay is not co-zeal.")))
         .when(v == 12, F.concat(lit("The hearing officer review is before "), "deadline", lit(". The officer waits.")))
         .when(v == 13, F.concat(lit("Your zorblexes are fine by "), "deadline", lit(".")))
+        .when(v == 14, F.concat(lit("The hearing officer review and the zonal grant audit are before "), "deadline", lit(". The officer and the audit wait. The copay ends.")))
         .when(v % 2 == 0, F.concat("ordered", lit(" is before "), "deadline", lit(".")))
         .otherwise(lit("Yes, that day is fine."))
     )
@@ -239,8 +241,10 @@ def _taught_or(x: str, families: str) -> str:
     return f"({x}.ok OR list_contains({families}, {x}.fam) OR (coalesce(len({x}.pf), 0) > 0 AND list_has_all({families}, {x}.pf)))"
 
 
-#: The texts here gloss at most so many terms in a conversation; each is a step of the fold.
-_MOST_GLOSSES = 4
+#: The texts here gloss so many terms at most in a conversation, each a step of the fold, all of them exempt in their sentences.
+_MOST_GLOSSES = 5
+#: And its replies know so many phrases at most.
+_MOST_PHRASES = 2
 
 
 def _fold(back: str) -> str:
@@ -296,17 +300,20 @@ def duck_unearned(replies: str, out: str) -> str:
     """CTEs that end in `out`: the replies with new, bad and unearned, behind those of duck_taught()."""
     steps = [
         f"{out}_e{i} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN len(exempt) >= {i} THEN replace(masked, exempt[{i}].s, {_blank(f'exempt[{i}].term', f'exempt[{i}].s')}) ELSE masked END AS masked) FROM {out}_e{i - 1})"
-        for i in (1, 2, 3)
+        for i in range(1, _MOST_GLOSSES + 1)
     ]
     phrases = "list_filter(known, lambda t: contains(t, ' '))"
-    masked = f"CASE WHEN len({phrases}) > 0 THEN {_blank(f'({phrases})[1]', 'masked')} ELSE masked END"
+    steps += [f"{out}_f0 AS MATERIALIZED (SELECT *, {phrases} AS phrases FROM {out}_e{_MOST_GLOSSES})"]
+    steps += [
+        f"{out}_f{i} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN len(phrases) >= {i} THEN {_blank(f'phrases[{i}]', 'masked')} ELSE masked END AS masked) FROM {out}_f{i - 1})" for i in range(1, _MOST_PHRASES + 1)
+    ]
     plain = f"regexp_replace(CASE WHEN instr(quoteless, {_BANNER}) > 0 THEN left(quoteless, instr(quoteless, {_BANNER}) - 1) || ' ' || substr(quoteless, instr(quoteless, {_BANNER}) + length({_BANNER})) ELSE quoteless END, '(?i)\\b[0-9]+(st|nd|rd|th)\\b', ' ', 'g')"
     return f"""
 {out}_l AS MATERIALIZED (SELECT r.conv_id, r.turn, l.before || l.new AS known, l.tf FROM {replies} r ASOF JOIN g_lesson l ON l.conv_id = r.conv_id AND r.turn >= l.turn),
 {out}_e0 AS MATERIALIZED (SELECT r.*, r.text AS masked, coalesce(l.exempt, []) AS exempt, coalesce(l.new, []) AS new, coalesce(l.bad, []) AS bad, coalesce(k.known, []) AS known, coalesce(k.tf, []) AS tf
   FROM {replies} r LEFT JOIN g_lesson l ON l.conv_id = r.conv_id AND l.turn = r.turn LEFT JOIN {out}_l k ON k.conv_id = r.conv_id AND k.turn = r.turn),
 {", ".join(steps)},
-{out}_p AS MATERIALIZED (SELECT * REPLACE ({masked} AS masked) FROM {out}_e3),
+{out}_p AS MATERIALIZED (SELECT * EXCLUDE (phrases) FROM {out}_f{_MOST_PHRASES}),
 {out}_q AS MATERIALIZED (SELECT *, {_QUOTELESS.format("masked")} AS quoteless FROM {out}_p),
 {out}_r AS MATERIALIZED (SELECT conv_id, turn, tf, {plain} AS plain FROM {out}_q),
 {out}_w AS (SELECT conv_id, turn, tf, unnest({duck_words('plain')}) AS token FROM {out}_r),
@@ -322,7 +329,7 @@ WITH d_notices AS MATERIALIZED (
     {_DATE.format("CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 + 11 AS INTEGER)")} AS later, {_DATE.format("CAST(o_orderdate AS DATE)")} AS ordered,
     CASE WHEN o_orderkey % 2 = 0 THEN '555-010-' ELSE '(555) 010-' END || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS phone, genre IN ({", ".join(map(_sql, ADVERSE))}) AS adverse,
     c_name || chr(10) || 'Case ' || o_orderkey || chr(10) || 'Your monthly benefit is ' || amount || '.' || chr(10) || 'You must return the form by ' || deadline || '.'
-      || chr(10) || 'Call ' || phone || ' with questions.' AS notice_text, (o_orderkey * 7 + o_custkey) % 14 AS v
+      || chr(10) || 'Call ' || phone || ' with questions.' AS notice_text, (o_orderkey * 7 + o_custkey) % 15 AS v
   FROM orders JOIN customer ON o_custkey = c_custkey),
 d_turns AS MATERIALIZED (
   SELECT conv_id, 0::BIGINT AS turn, 'user' AS role, {_sql(PREFIX)} || notice_text AS text FROM d_notices
@@ -337,6 +344,7 @@ d_turns AS MATERIALIZED (
       WHEN 11 THEN 'The copay, which means the part that you pay. The waiver (in other words, a paper that you send) helps. You pay some of it. "This is called a bluff."'
       WHEN 12 THEN 'There is the hearing officer review, which means a person reads it again.'
       WHEN 13 THEN 'You won''t need the ''red'' tape. It can''t move to ' || replace(deadline, ',', '') || '. Call ' || phone || '.'
+      WHEN 14 THEN 'The hearing officer review, which means a person reads it again. The zonal grant audit, which means money that you pay back. The copay, which means the part that you pay. The waiver (in other words, a paper that you send) helps. There is a proration — that is, a part of it.'
       ELSE 'Please read the letter with care.' END, 'By when',
     CASE v WHEN 3 THEN 'Send it by ' || later || '.' WHEN 4 THEN 'Send it soon.' WHEN 7 THEN 'Soon.' ELSE 'You must send it by ' || deadline || '.' END,
     CASE WHEN v = 5 THEN 'I think you should ask for help.' WHEN v <> 7 THEN 'Ask the office if you are not sure.' END,
@@ -344,6 +352,7 @@ d_turns AS MATERIALIZED (
   UNION ALL SELECT conv_id, 2, 'user', 'I have time on ' || ordered || '. Is my zorblex ok?' FROM d_notices WHERE o_orderkey % 3 = 0
   UNION ALL SELECT conv_id, 3, 'assistant', CASE WHEN v = 8 THEN 'The recoupment ends before ' || deadline || '.' WHEN v = 9 THEN 'The recoupments end before ' || deadline || '. Co-pay is not co-zeal.'
     WHEN v = 12 THEN 'The hearing officer review is before ' || deadline || '. The officer waits.' WHEN v = 13 THEN 'Your zorblexes are fine by ' || deadline || '.'
+    WHEN v = 14 THEN 'The hearing officer review and the zonal grant audit are before ' || deadline || '. The officer and the audit wait. The copay ends.'
     WHEN v % 2 = 0 THEN ordered || ' is before ' || deadline || '.' ELSE 'Yes, that day is fine.' END FROM d_notices WHERE o_orderkey % 3 = 0),
 d_lex AS (SELECT unnest([{", ".join(map(_sql, dict.fromkeys(PLAIN)))}]) AS word),
 d_users AS MATERIALIZED (SELECT conv_id, turn, text FROM d_turns WHERE role = 'user'),
