@@ -102,3 +102,18 @@ def test_pages_are_skipped():
 
 def test_sql(spark):
     same(mtree.top_k(spark.read.parquet(f"{SF}/embeddings.parquet")).toPandas(), duck().execute(mtree.ORACLE_SQL).df())
+
+
+def test_no_nested_loops_over_shards(spark, monkeypatch):
+    """Blocks and shards meet by equal pivots; only pivots, of bounded number, are paired."""
+    plans, staged = [], mtree.staged
+
+    def kept(df, name):
+        if name == "pairs_left":
+            plans.append(df._jdf.queryExecution().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(mtree, "staged", kept)
+    monkeypatch.setattr(mtree, "VECTORS_PER_PIVOT", 40)
+    assert mtree.top_k(spark.read.parquet(f"{SF}/embeddings.parquet")).count() > 0
+    assert plans and "NestedLoop" not in plans[0] and "Cartesian" not in plans[0]

@@ -19,6 +19,7 @@ import heapq
 import pickle
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -282,18 +283,14 @@ def top_k(rows: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id",
     # A query of pivot p lies within its block's radius of p, and its k-th best within `reach` of the query.
     width_of = asked.join(placed.select("rep", "away"), "rep").groupBy("block").agg(F.max("away").alias("spread"))
     bound = blocks.select("block", "pivot").join(width_of, "block").join(first.groupBy("block").agg(F.max("reach").alias("reach")), "block", "left")
-    gaps = [[float(x) for x in _distance(pivots, p)] for p in pivots]
-
-    def near(batches):
-        for b in batches:
-            far = np.array([gaps[p][q] for p, q in zip(b.column("pivot").to_pylist(), b.column("at").to_pylist())], float)
-            reach = np.array([np.inf if x is None else x for x in b.column("reach").to_pylist()], float)
-            keep = far - b.column("spread").to_numpy() - b.column("radius").to_numpy() <= reach * (1 + MARGIN) + MARGIN
-            yield b.filter(pa.array(keep)).select(["block", "shard"])
-
-    # Descriptions alone meet here: the query set against all rows, in blocks and shards.
-    others = bound.join(described, F.col("pivot") != F.col("at")).select("block", "shard", "pivot", "at", "spread", "radius", "reach")
-    second = searched(staged(others.mapInArrow(near, "block string, shard string"), "pairs_left"))
+    # Pivots meet first, MAX_PIVOTS by MAX_PIVOTS at most; only the blocks and shards of those that may be near are paired.
+    gaps = spark.createDataFrame(pd.DataFrame({"pivot": np.repeat(np.arange(len(pivots)), len(pivots)), "at": np.tile(np.arange(len(pivots)), len(pivots)), "gap": np.concatenate([_distance(pivots, p) for p in pivots]) if len(pivots) else np.zeros(0)}), "pivot long, at long, gap double")
+    may = F.col("gap") - F.col("spread") - F.col("radius") <= F.coalesce("reach", F.lit(float("inf"))) * (1 + MARGIN) + MARGIN
+    of_blocks = bound.groupBy("pivot").agg(F.max("spread").alias("spread"), F.max(F.coalesce("reach", F.lit(float("inf")))).alias("reach"))
+    of_shards = described.groupBy("at").agg(F.max("radius").alias("radius"))
+    near = gaps.where("pivot <> at").join(of_blocks, "pivot").join(of_shards, "at").where(may).select("pivot", "at", "gap")
+    pairs = near.join(bound, "pivot").join(described, "at").where(may).select("block", "shard")
+    second = searched(staged(pairs, "pairs_left"))
     order = [F.desc("score"), F.asc("vec_id")]
     found = first.unionByName(second).select("rep", "vec_id", "score").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(*order))).where(F.col("r") <= k + 1)
     # Of the rows with the query's own id and score one is the query itself.
