@@ -84,12 +84,6 @@ def side_by_side(summary: DataFrame, base: str, tuned: str, metrics: list[str])
     return wide.withColumn("change", F.bround(F.col("tuned") - F.col("base"), 6))
 
 
-def markdown_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(line): a markdown table row for each row; null as an empty cell."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
-
-
 def markdown_table(rows: DataFrame, columns: list[str], *order: str) -> DataFrame:
     """(place, line): a markdown table in order, header and rule line first. For summaries: places are given in one task."""
     heads = ["| " + " | ".join(columns) + " |", "| " + " | ".join("---" for _ in columns) + " |"]

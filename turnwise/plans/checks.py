@@ -156,9 +156,14 @@ def side_by_side(spark, sf):
     return curation.side_by_side(by_model, "base", "tuned", names)
 
 
-@query(_SUMMARY + "SELECT '| ' || model || ' | ' || strategy || ' | ' || n || ' | ' || n_pass || ' | ' || softened || ' | ' || anchor_breaks || ' |' AS line FROM d_summary")
+@query(
+    _SUMMARY
+    + """SELECT CAST(row_number() OVER (ORDER BY model, strategy) - 1 AS INTEGER) AS place, '| ' || model || ' | ' || strategy || ' | ' || n || ' | ' || n_pass || ' | ' || softened || ' | ' || anchor_breaks || ' |' AS line FROM d_summary
+UNION ALL SELECT -2, '| model | strategy | n | n_pass | softened | anchor_breaks |' UNION ALL SELECT -1, '| --- | --- | --- | --- | --- | --- |'"""
+)
 def summary_markdown(spark, sf):
-    return curation.markdown_rows(metrics.aggregate(derived.records(spark, sf)), ["model", "strategy", "n", "n_pass", "softened", "anchor_breaks"])
+    """The summary as a markdown table, by model and strategy."""
+    return curation.markdown_table(metrics.aggregate(derived.records(spark, sf)), ["model", "strategy", "n", "n_pass", "softened", "anchor_breaks"], "model", "strategy")
 
 
 @query(DUCK + "SELECT CAST(reply_index AS INTEGER) AS reply_index, count(*) AS n, count(*) FILTER (strict_pass) AS n_pass, round_even(avg(CAST(strict_pass AS INTEGER)), 4) AS pass_rate FROM d_metrics GROUP BY reply_index")

@@ -244,3 +244,20 @@ def judged_dialogs(spark, sf):
     """Replies and rewrites judged by all rules on the state before their turn, which only those that pass change."""
     found = repair.judge_dialogs(derived.attempts(spark, sf), derived.plain_words(spark))
     return found.drop("rejected").withColumn("first_violations", F.size(F.flatten("first_violations")).cast("long"))
+
+
+_LABELLED = "WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN l_linenumber ELSE -100 END AS label FROM lineitem), o AS (SELECT l_orderkey, list(label ORDER BY l_linenumber, label) AS labels FROM l GROUP BY l_orderkey)"
+
+
+@query(
+    _LABELLED
+    + " SELECT l_orderkey, array_to_string(labels || list_transform(range(len(labels), 8), lambda i: -100), ',') AS padded, CAST(1 + len(list_filter(range(1, len(labels)), lambda i: (labels[i] = -100) <> (labels[i + 1] = -100))) AS INTEGER) AS n_runs,"
+    " CAST(len(list_filter(range(1, len(labels) + 1), lambda i: labels[i] <> -100 AND (i = 1 OR labels[i - 1] = -100))) AS INTEGER) AS n_trained FROM o WHERE len(list_filter(labels, lambda x: x <> -100)) > 0"
+)
+def label_runs(spark, sf):
+    """Rows with a label to train on, their labels filled up, and the runs of trained and masked ones."""
+    label = F.when(F.col("l_quantity") < 10, F.col("l_linenumber").cast("int")).otherwise(F.lit(-100))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("at"), label.alias("label")))).alias("l"))
+    rows = metrics.trainable(rows.select("l_orderkey", F.transform("l", lambda x: x["label"]).alias("labels"))).withColumn("runs", turns.runs(F.col("labels")))
+    padded = F.array_join(F.transform(T.padded(F.col("labels"), F.lit(8), -100), lambda x: x.cast("string")), ",")
+    return rows.select("l_orderkey", padded.alias("padded"), F.size("runs").alias("n_runs"), F.size(F.filter("runs", lambda r: r["trained"])).alias("n_trained"))
