@@ -59,3 +59,13 @@ def test_blocks_leave_no_pair_out(spark):
     rows = near_rows(random.Random(5))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in shingles.without_near_copies(docs, block=2).collect()) == kept(rows)
+
+
+def test_candidates_come_from_simhash(spark, monkeypatch):
+    """Without links of the segment counts only equal sets go."""
+    asked = []
+    monkeypatch.setattr(shingles, "near_sets", lambda sets, least: asked.append((sets.columns, least)) or sets.selectExpr("row a", "row b").limit(0))
+    rows = [(1, " ".join(f"w{i}" for i in range(60))), (2, " ".join(f"w{i}" for i in range(61))), (3, " ".join(f"W{i}" for i in range(60)))]
+    left = shingles.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2]
+    assert asked == [(["row", "size", "fp0", "fp1", "fp2", "fp3"], 0.8)]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -93,3 +94,63 @@ def test_a_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (600, 601), (601, 600)], "a long, b long")
     found = {r.node: r.component for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(201)}, 600: 600, 601: 600}
+
+
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(5)
+    shared = rng.integers(0, 1 << 64, 600, np.uint64)
+    whole = simhash.set_fingerprint(shared)
+    assert whole.shape == (4,) and (simhash.set_fingerprint(rng.permutation(shared)) == whole).all()
+    each = np.array([np.unpackbits(simhash.set_fingerprint(shared[k : k + 1]).view(np.uint8)) for k in range(600)])
+    assert (np.unpackbits(whole.view(np.uint8)) == (each.sum(0) * 2 > 600)).all()
+    far = np.bitwise_count(whole ^ simhash.set_fingerprint(rng.integers(0, 1 << 64, 600, np.uint64))).sum()
+    assert np.bitwise_count(whole ^ simhash.set_fingerprint(shared[:500])).sum() < 64 < 96 < far
+    assert not simhash.set_fingerprint(shared[:0]).any()
+
+
+def test_links_within_cells(monkeypatch):
+    """Against all pairs of each cell, a few pairs at a time and all at once."""
+    rng = np.random.default_rng(3)
+    m = 200
+    fps = rng.integers(0, 1 << 64, (12, 4), np.uint64)[rng.integers(0, 12, m)]
+    for k in range(m):
+        for b in rng.choice(256, rng.integers(0, 60), False):
+            fps[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    cells, sizes = np.sort(np.arange(m) % 4), rng.integers(1, 40, m)
+    order = np.lexsort((sizes, cells))
+    sizes, near = sizes[order], []
+    for i in range(m):
+        for j in range(i + 1, m):
+            radius = simhash.RADIUS_OF_FEW if sizes[i] <= simhash.FEW else simhash.RADIUS
+            if cells[i] == cells[j] and sizes[i] >= 0.8 * sizes[j] - 1e-9 and np.bitwise_count(fps[i] ^ fps[j]).sum() <= radius:
+                near.append((i, j))
+    want = list(range(m))
+    for _ in range(m):
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    assert near
+    for at_once in (7, 1 << 18):
+        monkeypatch.setattr(simhash, "_PAIRS_AT_ONCE", at_once)
+        a, b = simhash.linked_sets(cells, np.ascontiguousarray(fps.T), sizes, 0.8)
+        found = np.arange(m)
+        found[b] = a
+        assert found.tolist() == want
+
+
+def test_grids_are_of_whole_segments():
+    for segments, grids in simhash.GRIDS:
+        masks = simhash.grid_masks(segments, grids)
+        assert len(masks) == grids == len({tuple(m) for m in masks})
+        for m in masks:
+            bits = [x & (1 << 64) - 1 for x in m]
+            assert sum(x.bit_count() for x in bits) == 2 * segments and all((x & simhash._LOW) * 3 == x for x in bits)
+
+
+def test_blocks_of_sets_lose_no_link(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 64, 400, np.uint64)
+    sets = [base[rng.random(400) < 0.97] for _ in range(30)] + [rng.integers(0, 1 << 64, 300, np.uint64) for _ in range(30)]
+    frame = spark.createDataFrame([(i, len(s), *simhash.set_fingerprint(s).view(np.int64).tolist()) for i, s in enumerate(sets)], "row long, size int, fp0 long, fp1 long, fp2 long, fp3 long")
+    for block in (1 << 16, 4):
+        found = {r.node: r.component for r in components(simhash.near_sets(frame, 0.8, (3, 20), block)).collect()}
+        assert found == {i: 0 for i in range(30)}

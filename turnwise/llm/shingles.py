@@ -1,9 +1,9 @@
 """Near copies by the Jaccard similarity of word shingles, for the pipeline.
 
-Each text is the set of hashes of its five-word shingles. Minima of the set under BANDS x ROWS
-multipliers are dealt into bands; texts that share a band are candidates. The candidates' components
+Each text is the set of hashes of its five-word shingles. Candidates are the links between the sets'
+SimHash fingerprints that `simhash.near_sets` finds by segment counts. The candidates' components
 are then cut down: within each, sets are compared exactly, so that only pairs of similarity `least`
-or more link. A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8.
+or more link.
 """
 
 from __future__ import annotations
@@ -16,16 +16,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from turnwise.llm.common import Staged, components, partitions
+from turnwise.llm.simhash import WIDE, near_sets, set_fingerprint
 
 WORDS_EACH = 5
 LEAST = 0.8
-BANDS, ROWS = 32, 5
 BLOCK = 512
-_AT_ONCE = 1 << 8
-_MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
 def shingles(text: str | None, words_each: int = WORDS_EACH) -> np.ndarray:
@@ -37,14 +35,6 @@ def shingles(text: str | None, words_each: int = WORDS_EACH) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, each)), np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band; texts without words share theirs."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), _AT_ONCE):
-        least = np.minimum(least, (hashes[at : at + _AT_ONCE, None] * _MULTIPLIERS).min(0))
-    return [xxhash.xxh64_intdigest(r.tobytes(), seed=i) - (1 << 63) for i, r in enumerate(least.reshape(BANDS, ROWS))]
-
-
 def linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """A spanning forest (index pairs) of the graph that links sets of Jaccard similarity `least` or more."""
     sizes = np.array([len(s) for s in sets])
@@ -107,26 +97,27 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     never broadcast, as it grows with them.
     """
     tag = uuid.uuid4().hex
-    row, whole, keys = (f"{n}_{tag}" for n in ("row", "whole", "bands"))
+    row, whole, size, *fps = (f"{n}_{tag}" for n in ("row", "whole", "size", *(f"fp{w}" for w in range(WIDE))))
 
     def run(batches):
         for b in batches:
             sets = [shingles(t) for t in b.column(text_col).to_pylist()]
             digests = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield b.append_column(whole, digests).append_column(keys, pa.array(map(bands, sets), pa.list_(pa.int64())))
+            signed = b.append_column(whole, digests).append_column(size, pa.array(map(len, sets), pa.int32()))
+            words = np.array([set_fingerprint(s) for s in sets]).reshape(-1, WIDE).view(np.int64)
+            for name, word in zip(fps, words.T):
+                signed = signed.append_column(name, pa.array(word))
+            yield signed
 
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    schema = StructType([*numbered.schema.fields, StructField(whole, BinaryType()), StructField(keys, ArrayType(LongType()))])
+    schema = StructType([*numbered.schema.fields, StructField(whole, BinaryType()), StructField(size, IntegerType()), *(StructField(n, LongType()) for n in fps)])
     signed = Staged(numbered.mapInArrow(run, schema), "signed_documents").read()
-    signs = signed.select(F.col(row).alias("row"), F.col(whole).alias("whole"), F.col(keys).alias("bands"), F.struct(F.col(id_col).isNull().alias("lacks"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("order"))
+    signs = signed.select(F.col(row).alias("row"), F.col(whole).alias("whole"), F.col(size).alias("size"), *[F.col(n).alias(f"fp{w}") for w, n in enumerate(fps)], F.struct(F.col(id_col).isNull().alias("lacks"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("order"))
     reps = Staged(signs.groupBy("whole").agg(F.min("order").alias("order")).select("whole", "order", F.col("order.row").alias("row")), "distinct_sets").read()
-    distinct = signs.drop("order").join(reps.select("whole", "row"), ["whole", "row"]).select("row", F.explode("bands").alias("band"))
-    cells = Staged(distinct, "bands")
-    # Each member of a band is tied to its smallest; candidates' components are only narrowed down from here.
-    firsts = cells.read().groupBy("band").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-    ties = cells.read().join(firsts.hint("merge"), "band").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    found = Staged(components(ties), "candidates").read()
-    cells.drop()
+    distinct = Staged(signs.drop("order").join(reps.select("whole", "row").hint("merge"), ["whole", "row"]).drop("whole"), "fingerprints")
+    # Candidates' components are only narrowed down from here.
+    found = Staged(components(near_sets(distinct.read(), least)), "candidates").read()
+    distinct.drop()
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
     own = F.expr("pmod(xxhash64(node), blocks)")
     parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.expr("transform(sequence(0, blocks - 1), j -> least(own, j) * blocks + greatest(own, j))"))
