@@ -3,7 +3,7 @@ from itertools import combinations
 
 import corpus_pipeline
 
-from turnwise.llm import shingles
+from turnwise.llm import common, shingles
 
 
 def sets(text):
@@ -69,3 +69,45 @@ def test_candidates_come_from_simhash(spark, monkeypatch):
     left = shingles.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in left.collect()) == [1, 2]
     assert asked == [(["row", "size", "fp0", "fp1", "fp2", "fp3"], 0.8)]
+
+
+def joined(spark, run):
+    """What run() returns, and the rows that joins of links with their least ones made meanwhile."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    result = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    rows = 0
+    for e in range(before, store.executionsCount()):
+        execution = store.executionsList().apply(e)
+        metrics, nodes = store.executionMetrics(execution.executionId()), store.planGraph(execution.executionId()).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name() and "[a" in node.desc():
+                found = [m.accumulatorId() for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
+                rows += sum(int(metrics.apply(i).replace(",", "")) for i in found if metrics.contains(i))
+    return result, rows
+
+
+def test_links_of_a_large_group_are_few(spark):
+    """Near copies meet in many cells; the links joined are a few for each copy, not one for each cell, and all copies link."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for c in range(400):
+        copy = list(base)
+        for k in rng.sample(range(150), 2):
+            copy[k] = f"x{rng.randrange(9)}"
+        rows.append((c, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left, made = joined(spark, lambda: sorted(r.doc_id for r in shingles.without_near_copies(docs).collect()))
+    assert left == kept(rows)
+    assert 400 < made < 15 * 400
+
+
+def test_thinned_links_connect_the_same(spark):
+    rng = random.Random(7)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400, b) for b in range(401, 440)] + [(h, b) for h in range(500, 520) for b in range(520, 560)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    few = common.thinned(frame)
+    assert sorted(common.components(few).collect()) == sorted(common.components(frame).collect())
+    assert few.where("a >= 500 and a != b").distinct().count() == 19 + 40

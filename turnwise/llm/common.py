@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Executors get the helpers of this subpackage with each task and need not have it installed.
@@ -92,12 +92,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same nodes as edges(a, b: long), with few more than one for each b once repeats are gone.
+
+    Of the edges of a b only that to its least a stays; the others become edges from that to their
+    own a. So where many b have the same few a, as members of one group found in many cells, most
+    edges are repeats. The edges of a b come to one task: b is the side whose number of them is bounded.
+    """
+    least = edges.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    return least.select(F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     edges(a, b: long): undirected, repeats and loops allowed. Returns (node, component): each node
     that has an edge to another node, with the smallest node of its component. Rows stay
-    distributed; each round is written to the shared folder and the one before it is removed.
+    distributed; each half of a round is written to the shared folder, as the next reads it twice,
+    and the one before it is removed.
     """
     spark = edges.sparkSession
 
@@ -121,9 +133,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        after = Staged(star(star(now.read(), True), False), "edges")
-        now.drop()
-        now, seen = after, state(after.read())
+        for large in (True, False):
+            after = Staged(star(now.read(), large), "edges")
+            now.drop()
+            now = after
+        seen = state(now.read())
         if seen == before:
             break
         before = seen

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from turnwise.llm.common import Staged, components, partitions
+from turnwise.llm.common import Staged, components, partitions, thinned
 from turnwise.llm.simhash import WIDE, near_sets, set_fingerprint
 
 WORDS_EACH = 5
@@ -116,7 +116,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = Staged(signs.groupBy("whole").agg(F.min("order").alias("order")).select("whole", "order", F.col("order.row").alias("row")), "distinct_sets").read()
     distinct = Staged(signs.drop("order").join(reps.select("whole", "row").hint("merge"), ["whole", "row"]).drop("whole"), "fingerprints")
     # Candidates' components are only narrowed down from here.
-    found = Staged(components(near_sets(distinct.read(), least)), "candidates").read()
+    found = Staged(components(thinned(near_sets(distinct.read(), least))), "candidates").read()
     distinct.drop()
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
     own = F.expr("pmod(xxhash64(node), blocks)")
@@ -124,7 +124,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = found.join(sizes, "component", "left").withColumn("own", own).select("node", "component", F.explode(parts).alias("part"))
     texts = signed.select(F.col(row).alias("node"), F.col(text_col).cast("string").alias("text")).join(dealt.hint("merge"), "node").select("component", "part", F.col("node").alias("rep"), "text")
     texts = texts.repartition(partitions(docs.sparkSession), "component", "part").sortWithinPartitions("component", "part")
-    groups = components(texts.mapInArrow(_links(least), "a long, b long"))
+    groups = components(thinned(texts.mapInArrow(_links(least), "a long, b long")))
     named = reps.join(groups, reps["row"] == groups["node"], "left").select("order", F.coalesce("component", "row").alias("group"))
     stay = Staged(named.groupBy("group").agg(F.min("order").alias("order")).select(F.col("order.row").alias("row")), "rows_that_stay").read()
     gone = Staged(signs.select("row").join(stay.hint("merge"), "row", "left_anti").select(F.col("row").alias(row)), "rows_that_go").read()
