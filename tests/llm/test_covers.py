@@ -1,4 +1,6 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -43,6 +45,32 @@ def test_brute_force(spark, seed, n_words, length):
     assert sum(w[1] for w in want) > 0
 
 
+@pytest.mark.parametrize("anchor_bits, at_bits", [(40, 63), (2, 30), (1, 62)])
+def test_anchors_and_texts_that_share_their_bits(spark, monkeypatch, anchor_bits, at_bits):
+    """Anchors are looked for by some bits of hashes; what these don't tell apart, texts with no window included, changes no result."""
+    monkeypatch.setattr(covers, "_ANCHOR_BITS", anchor_bits)
+    monkeypatch.setattr(covers, "_AT_BITS", at_bits)
+    short = ["one two three four five six seven eight nine ten eleven"] * 3
+    all_texts = texts(random.Random(8), 9, 20) + short
+    docs = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in covers.digest(covers.remove_repeats(docs)).collect()}
+    assert [found[i] for i in range(len(all_texts))] == covers.brute_force([t.encode() for t in all_texts], 20)
+
+
+def test_no_shuffle_files_stay(spark):
+    """Of the tables that are staged on the way; else disk grows with what the driver has not collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in d.rglob("shuffle_*")}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before, setting = files(), spark.conf.get(key)
+    repeats = covers._repeats(covers._texts(docs, "doc_id", "text"), 20)
+    until = time.time() + 10
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key) == setting and repeats.count() > 0
+
+
 def test_runs_and_texts(spark):
     words = [f"w{i}" for i in range(40)]
     docs = [(2, "  start " + " ".join(words[5:35]) + "\nend"), (1, " ".join(words)), (None, " ".join(words[:25]) + " tail"), (3, " ".join(words[:19]))]

@@ -4,7 +4,8 @@ A difference cover modulo a period holds two members for each difference. So for
 the same window of `length` words starts, there is a distance below the period at which both places
 come to cover positions, and the anchor there, the next length - period + 1 words, lies within the
 window at both. Anchors are hashed at cover positions only, and an anchor that is nowhere else rules
-its windows out.
+its windows out. As most do, the anchors travel small, by some bits of their hash and of their text's:
+what these leave too much is told apart by the contexts, which are hashed from the texts.
 
 Extension: the context of an anchor is all words of the windows that hold it within a period of
 their start. Of the places of one anchor with equal contexts the first stands for all, and the
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import Staged
+from turnwise.llm.common import Staged, shuffles_dropped
 
 LENGTH = 20
 _AT_ONCE = 1 << 18
@@ -34,6 +35,8 @@ _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 # Random numbers by byte, and odd numbers to mix by, for each of two lanes.
 _BYTES = np.random.default_rng(13).integers(0, 1 << 64, (2, 256), np.uint64)
 _MIX, _LENGTH = np.random.default_rng(14).integers(0, 1 << 64, (2, 2), np.uint64) | np.uint64(1)
+# Bits of an anchor's hash by which it is looked for elsewhere; bits for a word's place in its text, which has under 2^30 words.
+_ANCHOR_BITS, _AT_BITS = 40, 30
 _PLACE = "doc_id long, row long, mark int, at int"
 
 
@@ -144,8 +147,17 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("mark", F.hash("text"))
 
 
+def _short(row: Column) -> Column:
+    """The bits of `row` that a place has; different texts may share them."""
+    return F.shiftright(F.shiftleft(row, _AT_BITS), _AT_BITS)
+
+
+def _place(row: str, at: str) -> Column:
+    return F.shiftleft(row, _AT_BITS).bitwiseOR(F.col(at)).alias("place")
+
+
 def _anchors(texts: DataFrame, length: int, period: int) -> DataFrame:
-    """(row, mark, at, anchor): the hash of the anchor at each cover position of each text that has a window."""
+    """(row, at, anchor): bits of the hash of the anchor at each cover position of each text that has a window."""
     width, residues = length - period + 1, np.array(cover(period))
 
     def run(batches):
@@ -155,18 +167,24 @@ def _anchors(texts: DataFrame, length: int, period: int) -> DataFrame:
             at = np.flatnonzero(hit)
             of = pa.array(words.text[at])
             anchor = hashes_at(words.hashes()[0], at, width) if len(at) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([group.column("row").take(of), group.column("mark").take(of), pa.array(words.place[at], pa.int32()), pa.array(anchor.view(np.int64))], names=["row", "mark", "at", "anchor"])
+            anchor >>= np.uint64(64 - _ANCHOR_BITS)
+            yield pa.RecordBatch.from_arrays([group.column("row").take(of), pa.array(words.place[at], pa.int32()), pa.array(anchor.view(np.int64))], names=["row", "at", "anchor"])
 
-    return texts.select("row", "mark", "text").mapInArrow(run, "row long, mark int, at int, anchor long")
+    return texts.select("row", "text").mapInArrow(run, "row long, at int, anchor long")
 
 
 def _with_places(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """The texts that have places(row, mark, at), with these as an array."""
-    return texts.join(places.groupBy("row", "mark").agg(F.collect_set("at").alias("places")).hint("merge"), ["row", "mark"]).select("doc_id", "row", "mark", "text", "places")
+    """The texts that have places(place), with where these are as an array, among them those of other texts of the same _short(row)."""
+    at = F.col("place").bitwiseAND(F.lit((1 << _AT_BITS) - 1)).cast("int")
+    places = places.groupBy(F.shiftright("place", _AT_BITS).alias("short")).agg(F.collect_set(at).alias("places"))
+    return texts.withColumn("short", _short(F.col("row"))).join(places.hint("merge"), "short").select("doc_id", "row", "mark", "text", "places")
 
 
 def _hashed(placed: DataFrame, length: int, period: int, contexts: bool) -> DataFrame:
-    """(doc_id, row, mark, at, a, b[, anchor]): with `contexts` each place of an anchor, else each window that holds one of the places' anchors."""
+    """(doc_id, row, mark, at, a, b[, anchor]): with `contexts` each place of an anchor, else each window that holds one of the places' anchors.
+
+    A place where the text has no anchor is passed over.
+    """
     width, behind = length - period + 1, period - 1
 
     def run(batches):
@@ -175,6 +193,8 @@ def _hashed(placed: DataFrame, length: int, period: int, contexts: bool) -> Data
             hashes = words.hashes()
             counts, places = _lists(group.column("places"))
             text, places = np.repeat(np.arange(len(counts)), counts), places.to_numpy(zero_copy_only=False).astype(np.int64)
+            inside = (places <= words.n[text] - width) & (words.n[text] >= length)
+            text, places = text[inside], places[inside]
             if contexts:
                 # A margin of no words, which no word's hash is, lies on both sides of each text.
                 around = np.zeros((2, hashes.shape[1] + 2 * behind * len(counts)), np.uint64)
@@ -215,23 +235,24 @@ def _later(places: DataFrame, firsts: DataFrame, keys: list[str], first: Column,
 def _repeats(texts: DataFrame, length: int) -> DataFrame:
     """(row, mark, first, stop): words that a window covers which also starts earlier; a stop may be beyond the text."""
     period = period_for(length)
-    anchors = Staged(_anchors(texts, length, period), "anchors")
-    shared = anchors.read().groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    alive = Staged(anchors.read().join(shared.hint("merge"), "anchor").select("row", "mark", "at"), "shared_anchors")
-    anchors.drop()
-    places = Staged(_hashed(_with_places(texts, alive.read()), length, period, True), "contexts")
-    alive.drop()
-    keys = ["anchor", "a", "b"]
-    firsts = Staged(_firsts(places.read(), keys), "first_contexts")
-    same = Staged(_later(places.read(), firsts.read(), keys, F.greatest(F.col("at") - (period - 1), F.lit(0)), F.col("at") + length), "repeated_contexts")
-    places.drop()
-    several = firsts.read().groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor")
-    open_ = Staged(firsts.read().join(several.hint("merge"), "anchor").select("least.row", "least.mark", "least.at"), "open_anchors")
-    firsts.drop()
-    windows = Staged(_hashed(_with_places(texts, open_.read()), length, period, False), "windows")
-    open_.drop()
-    later = Staged(_later(windows.read(), _firsts(windows.read(), ["a", "b"]), ["a", "b"], F.col("at"), F.col("at") + length), "repeated_windows")
-    windows.drop()
+    with shuffles_dropped(texts.sparkSession):
+        anchors = Staged(_anchors(texts, length, period), "anchors")
+        shared = anchors.read().groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+        alive = Staged(anchors.read().select("anchor", _place("row", "at")).join(shared.hint("merge"), "anchor").select("place"), "shared_anchors")
+        anchors.drop()
+        places = Staged(_hashed(_with_places(texts, alive.read()), length, period, True), "contexts")
+        alive.drop()
+        keys = ["anchor", "a", "b"]
+        firsts = Staged(_firsts(places.read(), keys), "first_contexts")
+        same = Staged(_later(places.read(), firsts.read(), keys, F.greatest(F.col("at") - (period - 1), F.lit(0)), F.col("at") + length), "repeated_contexts")
+        places.drop()
+        several = firsts.read().groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor")
+        open_ = Staged(firsts.read().join(several.hint("merge"), "anchor").select(_place("least.row", "least.at")), "open_anchors")
+        firsts.drop()
+        windows = Staged(_hashed(_with_places(texts, open_.read()), length, period, False), "windows")
+        open_.drop()
+        later = Staged(_later(windows.read(), _firsts(windows.read(), ["a", "b"]), ["a", "b"], F.col("at"), F.col("at") + length), "repeated_windows")
+        windows.drop()
     return same.read().union(later.read())
 
 
