@@ -237,9 +237,10 @@ def _repeats(texts: DataFrame, length: int) -> DataFrame:
     period = period_for(length)
     with shuffles_dropped(texts.sparkSession):
         anchors = Staged(_anchors(texts, length, period), "anchors")
-        shared = anchors.read().groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-        alive = Staged(anchors.read().select("anchor", _place("row", "at")).join(shared.hint("merge"), "anchor").select("place"), "shared_anchors")
+        shared = Staged(anchors.read().groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated_anchors")
+        alive = Staged(anchors.read().select("anchor", _place("row", "at")).join(shared.read().hint("merge"), "anchor").select("place"), "shared_anchors")
         anchors.drop()
+        shared.drop()
         places = Staged(_hashed(_with_places(texts, alive.read()), length, period, True), "contexts")
         alive.drop()
         keys = ["anchor", "a", "b"]
