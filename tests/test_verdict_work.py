@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import text as T
 from turnwise.functions import wordforms as W
 from turnwise.operators import lexicon, rules, taught, turns
-from turnwise.plans import derived
+from turnwise.plans import derived, registry
 
 
 def plan(rows):
@@ -24,6 +24,14 @@ def test_conversations_of_notices_are_made_whole(spark):
     assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
 
 
+def test_first_passes_alone_are_judged(spark):
+    first = derived.checked(spark, SF, first=True)
+    want = derived.checked(spark, SF).where("reply_index = 0")
+    columns = ["conv_id", "turn", "violations", "advisory", "new_taught_terms"]
+    assert first.select(columns).exceptAll(want.select(columns)).isEmpty() and first.count() == want.count()
+    assert "slice(replies" in plan(registry.QUERIES["first_pass_violations"](spark, SF))
+
+
 @pytest.mark.parametrize("column", ["source_anchors", "users"])
 def test_state_is_worked_out_once(spark, column):
     """Not in the lambda over the replies, which would find anchors again for each."""

@@ -153,7 +153,7 @@ def rules_by_model(spark, sf):
 @query(DUCK + "SELECT v AS rule, count(*) AS n FROM (SELECT unnest(rule_list) AS v FROM d_metrics WHERE reply_index = 0) GROUP BY v")
 def first_pass_violations(spark, sf):
     """The violations of first attempts, of dialogs that are discarded later too."""
-    return metrics.first_pass_histogram(derived.checked(spark, sf).where("reply_index = 0"))
+    return metrics.first_pass_histogram(derived.checked(spark, sf, first=True))
 
 
 @query("WITH o AS (SELECT l_orderkey, bool_or(l_quantity < 10) AS has_label FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS n, count(*) FILTER (NOT has_label) AS dropped FROM o")
